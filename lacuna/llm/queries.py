@@ -34,3 +34,21 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_secret_scan": op2_secret_scan}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lacuna.llm.quality_rules import judge
+
+    return judge(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op3_quality_rules"] = op3_quality_rules
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lacuna.llm.pii import BASE, find_pii
+
+    return span_digest(find_pii(table(spark, sf_dir, "documents")), BASE, BASE)
+
+
+QUERIES["op6_pii"] = op6_pii
