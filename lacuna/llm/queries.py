@@ -52,3 +52,12 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op6_pii"] = op6_pii
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lacuna.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op5_simhash"] = op5_simhash
