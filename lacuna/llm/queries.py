@@ -61,3 +61,12 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op5_simhash"] = op5_simhash
+
+
+def op4_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lacuna.llm.interpolation import score_texts
+
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op4_interpolation"] = op4_interpolation
