@@ -70,3 +70,12 @@ def op4_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op4_interpolation"] = op4_interpolation
+
+
+def op1_quality_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lacuna.llm.quality_bayes import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES["op1_quality_bayes"] = op1_quality_bayes
