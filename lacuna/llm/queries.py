@@ -79,3 +79,12 @@ def op1_quality_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op1_quality_bayes"] = op1_quality_bayes
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lacuna.llm.decontaminate import decontaminate
+
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES["op10_decontaminate"] = op10_decontaminate
