@@ -88,3 +88,12 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op10_decontaminate"] = op10_decontaminate
+
+
+def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lacuna.llm.html_extract import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
+QUERIES["op9_html_extract"] = op9_html_extract
