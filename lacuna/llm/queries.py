@@ -97,3 +97,12 @@ def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op9_html_extract"] = op9_html_extract
+
+
+def op8_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lacuna.llm.language_crf import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op8_language_crf"] = op8_language_crf
