@@ -32,8 +32,8 @@ from lacuna.llm.common import crc_of, keyed, written
 
 END = np.uint64(0x9E3779B97F4A7C15)  # the end token's number
 BUCKETS = 40
-BLOCK_BYTES = 24_000_000
-RANGE_GRAMS = 3_000_000
+BLOCK_BYTES = 12_000_000
+RANGE_GRAMS = 1_500_000
 
 
 class Tokens(NamedTuple):
