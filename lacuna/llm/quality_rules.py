@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lacuna.llm.common import WHITE, WHITE_RE, keyed, words_of
+from lacuna.llm.common import WHITE, WHITE_RE, keyed, words_of, written
 
 CLASSES = ("letters", "digits", "white", "points", "symbols", "others")
 
@@ -39,7 +39,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     hashes = F.transform(F.sequence(F.lit(1), n - 7), lambda i: F.xxhash64(F.slice("words", i, 8)))
     df = df.withColumn("windows", F.when(n >= 9, hashes).otherwise(F.array().cast("array<bigint>")))
     left = lambda pattern: F.length(F.regexp_replace("rest", pattern, ""))
-    df = df.withColumns({"n_rest": F.length("rest"), "no_white": left(WHITE_RE), "digits": F.col("n_chars") * 0 + F.length("rest") - left("[0-9]+"), "points": F.length("rest") - left(r"[.,;:!?'\"()-]+"), "n_symbols": F.length("rest") - left(r"[#*$%&|<>]+"), "repeats": F.size(F.array_distinct("windows")) < F.size("windows")})
+    df = df.withColumns({"n_rest": F.length("rest"), "no_white": left(WHITE_RE), "digits": F.length("rest") - left("[0-9]+"), "points": F.length("rest") - left(r"[.,;:!?'\"()-]+"), "n_symbols": F.length("rest") - left(r"[#*$%&|<>]+"), "repeats": F.size(F.array_distinct("windows")) < F.size("windows")})
     df = df.withColumns({"letters": F.col("n_chars") - F.col("n_rest"), "white": F.col("n_rest") - F.col("no_white"), "symbols": F.col("n_symbols")})
     df = df.withColumn("others", F.col("n_rest") - F.col("white") - F.col("digits") - F.col("points") - F.col("symbols"))
     return df.select(
@@ -49,29 +49,34 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     )
 
 
-def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", n_common: int = 48) -> DataFrame:
-    """``lang, ref_classes, ref_words, ref_shares, ref_other``: one row for each language.
+def word_references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", n_common: int = 24, max_size: int = 6) -> DataFrame:
+    """``lang, ref_words, ref_shares, ref_other``: the commonest words of at most max_size code points of each language, and their shares of all its words.
 
-    Both counts are summed before their shuffle; a language that holds most rows costs one row from each task.
+    Counts are summed before their shuffle, so a language that holds most rows costs one row for each word and task.
     """
-    df = keyed(docs, lang_col, text_col, F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"))
-    rest = F.col("rest")
-    of = lambda pattern: F.length(rest) - F.length(F.regexp_replace(rest, pattern, ""))
-    chars = df.withColumn("rest", F.regexp_replace("text", r"\p{L}+", ""))
-    chars = chars.select("lang", (F.length("text") - F.length(rest)).alias("letters"), of("[0-9]+").alias("digits"), of(WHITE_RE).alias("white"), of(r"[.,;:!?'\"()-]+").alias("points"), of(r"[#*$%&|<>]+").alias("symbols"), F.length(rest).alias("rest"))
-    chars = chars.withColumn("others", F.col("rest") - F.col("digits") - F.col("white") - F.col("points") - F.col("symbols"))
-    chars = chars.groupBy("lang").agg(*(F.sum(c).cast("double").alias(c) for c in CLASSES))
-    total = sum(F.col(c) for c in CLASSES)
-    chars = chars.select("lang", F.array(*(F.when(total > 0, F.col(c) / total).otherwise(0.0) for c in CLASSES)).alias("ref_classes"))
-    counted = df.select("lang", F.explode(words_of(F.col("text"))).alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
-    # one row for each language and word: ranking needs only each slice's best, so no language meets whole in one task
-    cut = counted.withColumn("slice", F.pmod(F.hash("word"), F.lit(64)))
-    best = cut.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "slice").orderBy(F.desc("n"), "word"))).where(F.col("rank") <= n_common)
+    df = keyed(docs, lang_col, text_col, F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang")).select("lang", words_of(F.col("text")).alias("words"))
+    short = df.select("lang", F.explode("words").alias("word")).where(F.length("word") <= max_size)
+    counted = short.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+    sums = df.groupBy("lang").agg(F.sum(F.size("words")).alias("total"))
+    # ranked by slices of the words first: no language meets whole in one task
+    sliced = Window.partitionBy("lang", F.pmod(F.hash("word"), F.lit(64))).orderBy(F.desc("n"), "word")
+    best = counted.withColumn("rank", F.row_number().over(sliced)).where(F.col("rank") <= n_common)
     best = best.groupBy("lang").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "word"))), 1, n_common).alias("top"))
-    sums = counted.groupBy("lang").agg(F.sum("n").alias("total"))
-    words = best.join(sums, "lang").select("lang", F.transform("top", lambda x: x["word"]).alias("ref_words"), F.transform("top", lambda x: -x["m"] / F.col("total")).alias("ref_shares"))
-    words = words.withColumn("ref_other", F.lit(1.0) - F.aggregate("ref_shares", F.lit(0.0), lambda a, x: a + x))
-    return chars.join(words, "lang", "left")
+    words = sums.join(best, "lang", "left").select("lang", "total", F.coalesce("top", F.array().cast("array<struct<m:bigint,word:string>>")).alias("top"))
+    words = words.select("lang", F.transform("top", lambda x: x["word"]).alias("ref_words"), F.transform("top", lambda x: -x["m"] / F.col("total")).alias("ref_shares"))
+    return words.withColumn("ref_other", F.lit(1.0) - F.aggregate("ref_shares", F.lit(0.0), lambda a, x: a + x))
+
+
+def class_references(counts: DataFrame) -> DataFrame:
+    """``lang, ref_classes``: each language's shares of CLASSES."""
+    sums = counts.groupBy("lang").agg(*(F.sum(c).cast("double").alias(c) for c in CLASSES))
+    total = sum(F.col(c) for c in CLASSES)
+    return sums.select("lang", F.array(*(F.when(total > 0, F.col(c) / total).otherwise(0.0) for c in CLASSES)).alias("ref_classes"))
+
+
+def joined(df: DataFrame, refs: DataFrame, max_rows: int = 4096) -> DataFrame:
+    """df with its language's references: broadcast where they are few rows (each of fixed size), else a plain join."""
+    return df.join(F.broadcast(refs) if refs.count() <= max_rows else refs, "lang", "left")
 
 
 def distance(pairs: Column) -> Column:
@@ -84,18 +89,20 @@ def distance(pairs: Column) -> Column:
     return F.sqrt(F.greatest(both / 2, F.lit(0.0)))
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", n_common: int = 48, min_words: int = 50, max_chars: float = 0.2, max_words: float = 0.42) -> DataFrame:
-    """One row for each input row: the base counts, ``char_distance``, ``word_distance`` (null below ``min_words``), ``base_failed`` and ``kept``."""
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", n_common: int = 24, min_words: int = 50, max_chars: float = 0.2, max_words: float = 0.42) -> DataFrame:
+    """One row for each input row: the base counts, ``base_failed``, ``kept``, ``char_distance`` and ``word_distance`` (null below ``min_words``)."""
     n = F.col("n_words")
-    refs = references(docs, text_col, lang_col, n_common)
-    df = features(docs, id_col, text_col, lang_col).join(refs, "lang", "left")
+    df = joined(features(docs, id_col, text_col, lang_col), written(word_references(docs, text_col, lang_col, n_common), "references"))
     df = df.withColumn("common", F.when(n >= min_words, F.filter("words", lambda w: F.array_contains("ref_words", w))))
-    total = sum(F.col(c) for c in CLASSES)
-    chars = F.zip_with(F.array(*(F.col(c) / total for c in CLASSES)), "ref_classes", lambda p, q: F.struct(p.alias("p"), q.alias("q")))
     seen = F.transform("ref_words", lambda w: (F.size("common") - F.size(F.array_remove("common", w))) / n)
     shares = F.zip_with(seen, "ref_shares", lambda p, q: F.struct(p.alias("p"), q.alias("q")))
     rest = F.array(F.struct((F.lit(1.0) - F.size("common") / n).alias("p"), F.greatest("ref_other", F.lit(0.0)).alias("q")))
-    df = df.withColumns({"char_distance": F.when(n >= min_words, distance(chars)), "word_distance": F.when(n >= min_words, distance(F.concat(shares, rest)))})
+    base = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    df = written(df.select("doc_id", "lang", *base, *CLASSES, F.when(n >= min_words, distance(F.concat(shares, rest))).alias("word_distance")), "counts")
+    df = joined(df, class_references(df))
+    total = sum(F.col(c) for c in CLASSES)
+    chars = F.zip_with(F.array(*(F.col(c) / total for c in CLASSES)), "ref_classes", lambda p, q: F.struct(p.alias("p"), q.alias("q")))
+    df = df.withColumn("char_distance", F.when(n >= min_words, distance(chars)))
     failed = (n < 20) | (F.lit(100) * F.col("n_repeat_words") > F.lit(30) * n)
     near = F.coalesce(F.col("char_distance") <= max_chars, F.lit(True)) & F.coalesce(F.col("word_distance") <= max_words, F.lit(True))
-    return df.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & near).alias("kept"), "char_distance", "word_distance")
+    return df.select("doc_id", *base, failed.alias("base_failed"), (~failed & near).alias("kept"), "char_distance", "word_distance")

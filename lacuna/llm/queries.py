@@ -106,3 +106,16 @@ def op8_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op8_language_crf"] = op8_language_crf
+
+#: Where the public vocabulary lies; a parameter of the operators.
+VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lacuna.llm.pieces import decode, encode
+
+    both = decode(encode(table(spark, sf_dir, "documents"), VOCABULARY), VOCABULARY)
+    return both.select(F.col("key").alias("doc_id"), F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), (F.col("decoded") == F.col("text")).alias("lossless"))
+
+
+QUERIES["op7_pieces"] = op7_pieces
