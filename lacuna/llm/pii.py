@@ -79,9 +79,9 @@ def strictly_valid(kind: str, v: Column) -> Column:
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``uid, doc_id, text, base, found``: the base spans, and every candidate with its code and label. Narrow."""
+    """``uid, doc_id, text, row, base, found``: the base spans, and every candidate with its code and label; ``row`` holds the input's columns. Narrow."""
     t = F.col("text")
-    df = keyed(docs, id_col, text_col).withColumns({"at": t.contains("@"), "number": F.rlike(t, F.lit("[0-9]{2}|[0-9][\x20.-][0-9]"))})
+    df = keyed(docs, id_col, text_col, F.struct("*").alias("row")).withColumns({"at": t.contains("@"), "number": F.rlike(t, F.lit("[0-9]{2}|[0-9][\x20.-][0-9]"))})
     digits = F.col("number")
     raw = {
         "email": spans_of(t, EMAIL, F.col("at")), "ip": spans_of(t, IP, digits & t.contains(".")), "card": spans_of(t, CARD, digits),
@@ -120,7 +120,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     def plain(kind: str) -> Column:
         return F.transform(f"ok_{kind}", lambda x: F.struct(x["s"].alias("s"), F.lit(KINDS.index(kind)).alias("k"), x["e"].alias("e"), x["v"].alias("v")))
 
-    return df.select("uid", "doc_id", "text", F.concat(*map(plain, BASE)).alias("base"), F.concat(*map(described, KINDS)).alias("found"))
+    return df.select("uid", "doc_id", "text", "row", F.concat(*map(plain, BASE)).alias("base"), F.concat(*map(described, KINDS)).alias("found"))
 
 
 class Boosted:
@@ -234,7 +234,7 @@ def fit(found: DataFrame, **options: float) -> Boosted:
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Boosted | None = None) -> DataFrame:
-    """``doc_id, text, spans``: one row for each input row; spans are ``struct<kind, start, end, value>`` by start, then kind."""
+    """``doc_id, text, row, spans``: one row for each input row; spans are ``struct<kind, start, end, value>`` by start, then kind; ``row`` holds the input's columns."""
     found = candidates(docs, id_col, text_col)
     model = model or fit(found)
     cut = F.create_map(*(F.lit(x) for kv in (model.cuts or {-1: 0.0}).items() for x in kv))
@@ -246,7 +246,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mo
     more = F.transform(F.filter("found", added), lambda c: F.struct(c["s"].alias("s"), c["k"].alias("k"), c["e"].alias("e"), c["v"].alias("v")))
     name = F.array(*map(F.lit, KINDS))
     shaped = lambda x: F.struct(F.element_at(name, x["k"] + 1).alias("kind"), x["s"].alias("start"), x["e"].alias("end"), x["v"].alias("value"))
-    return found.select("doc_id", "text", F.transform(F.array_sort(F.concat("base", more)), shaped).alias("spans"))
+    return found.select("doc_id", "text", "row", F.transform(F.array_sort(F.concat("base", more)), shaped).alias("spans"))
 
 
 def redacted(text: Column, spans: Column) -> Column:
@@ -261,3 +261,9 @@ def redacted(text: Column, spans: Column) -> Column:
     start = F.struct(F.lit(0).alias("p"), F.array().cast("array<string>").alias("o"))
     whole = F.aggregate(spans, start, step, lambda acc: F.concat(F.array_join(acc["o"], ""), F.substring(text, acc["p"] + 1, 2147483647)))
     return F.when(F.size(spans) > 0, whole).otherwise(text)
+
+
+def redact_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Boosted | None = None) -> DataFrame:
+    """The input's columns, with all spans of the text replaced by their kinds; null texts stay null."""
+    found = find_pii(docs, id_col, text_col, model).withColumn("text", redacted(F.col("text"), F.col("spans")))
+    return found.select(*(F.when(F.col(f"row.{c}").isNotNull(), F.col("text")).alias(c) if c == text_col else F.col(f"row.{c}").alias(c) for c in docs.columns))
