@@ -55,3 +55,17 @@ def group_spans(text: Column, pattern: str, group: int = 1, guard: Column | None
     folded = F.aggregate(pairs, F.struct(F.lit(0).alias("p"), no_spans().alias("o")), step, lambda acc: acc["o"])
     found = F.rlike(text, F.lit(pattern)) if guard is None else guard
     return F.when(found, folded).otherwise(no_spans())
+
+
+def overlapping_starts(text: Column, phrase: Column) -> Column:
+    """0-based places of all occurrences of a literal phrase, overlapping ones too: cuts before each, added up."""
+    quoted = F.concat(F.lit("(?=\\Q"), F.replace(phrase, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E)"))
+    first = F.when(F.startswith(text, phrase), F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
+
+    def step(acc: Column, piece: Column) -> Column:
+        at = acc["p"] + F.length(piece)
+        return F.struct(at.alias("p"), F.concat(acc["o"], F.array(at)).alias("o"))
+
+    start = F.struct(F.lit(0).alias("p"), first.alias("o"))
+    folded = F.aggregate(F.split(text, quoted, -1), start, step, lambda acc: F.slice(acc["o"], F.lit(1), F.size(acc["o"]) - 1))
+    return F.when((F.length(phrase) > 0) & F.contains(text, phrase), folded).otherwise(F.array().cast("array<int>"))
