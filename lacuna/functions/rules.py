@@ -31,7 +31,7 @@ TRADES = "科技|投资|实业|商贸|文化|传媒|网络|信息|电子|建筑|
 PATH = rf"""(?:/[^{NOT_S}<>"'）】」』，。；、]*)?"""
 TLD = "com|cn|org|net|io|gov|edu|co|ai|app|me|info|xyz|biz|com\\.cn|org\\.cn|net\\.cn|gov\\.cn|edu\\.cn"
 OCTET = r"(?:25[0-5]|2[0-4]\d|[01]?\d\d?)"
-LABELLED = "|".join(rf"{label}{S}*[:：是为]{S}*" for label in ("姓名", "名字", "客户姓名", "联系人", "项目负责人"))
+LABELLED = "|".join(rf"{label}{S}{{0,40}}[:：是为]{S}{{0,40}}" for label in ("姓名", "名字", "客户姓名", "联系人", "项目负责人"))
 
 #: The built-in rules in their order, which decides ties between equal spans.
 BUILTIN = (

@@ -108,10 +108,16 @@ def restore(df: DataFrame, text_col: str = "redacted_text", mapping: str = "mapp
     return df.withColumn(out, restored(F.col(text_col), F.col(mapping)))
 
 
-def verify_round_trip(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """Rows whose restored text differs, or whose redacted text still holds an original at a place of its mapping."""
+def round_trip(df: DataFrame, text_col: str = "text", out: str = "round_trip_ok") -> DataFrame:
+    """The input and ``out``: whether the restored text is the source, and no original stands at its place in the redacted text."""
     kept = F.exists("mapping", lambda x: F.substring(F.col("redacted_text"), x["start"] + 1, x["end"] - x["start"]) == x["originalValue"])
-    return restore(df).where((F.col("restored_text") != F.coalesce(F.col(text_col), F.lit(""))) | kept)
+    same = restored(F.col("redacted_text"), F.col("mapping")) == F.coalesce(F.col(text_col), F.lit(""))
+    return df.withColumn(out, same & ~kept)
+
+
+def verify_round_trip(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """Rows that fail the round trip."""
+    return round_trip(df, text_col, "__ok").where(~F.col("__ok")).drop("__ok")
 
 
 def replace_range(text: Column, start: Column, end: Column, replacement: Column) -> Column:
