@@ -111,7 +111,7 @@ def lattice(v: Vocabulary, data: np.ndarray, offsets: np.ndarray) -> Lattice:
     within = np.repeat(sizes, sizes) - left
     unit = np.repeat(np.arange(len(sizes)), sizes)
     codes, active = np.zeros(len(data), np.uint64), np.arange(len(data))
-    begin, size, ids = [np.arange(len(data))], [np.ones(len(data), np.int64)], [v.bytes_[data]]
+    begin, size, ids = [np.arange(len(data), dtype=np.int32)], [np.ones(len(data), np.int32)], [v.bytes_[data].astype(np.int32)]
     for k, (known, of) in enumerate(v.keys, 1):
         active = active[left[active] >= k]
         if not len(active):
@@ -123,17 +123,18 @@ def lattice(v: Vocabulary, data: np.ndarray, offsets: np.ndarray) -> Lattice:
         hit = active[v.sieve[(own >> np.uint64(44)).astype(np.int64)]]
         at = np.minimum(np.searchsorted(known, codes[hit]), len(known) - 1)
         ok = known[at] == codes[hit]
-        begin.append(hit[ok])
-        size.append(np.full(int(ok.sum()), k))
-        ids.append(of[at[ok]])
+        begin.append(hit[ok].astype(np.int32))
+        size.append(np.full(int(ok.sum()), k, np.int32))
+        ids.append(of[at[ok]].astype(np.int32))
     begin, size, ids = np.concatenate(begin), np.concatenate(size), np.concatenate(ids)
-    start = begin + unit[begin]  # as a place
-    end = start + size
+    end = begin + unit[begin].astype(np.int32) + size  # as a place
     order = np.argsort(end, kind="stable")
-    start, end, size, ids = start[order], end[order], size[order], ids[order]
+    begin, end, size, ids = begin[order], end[order], size[order], ids[order]
+    start = end - size
     n = len(data) + len(sizes)
     weight = np.exp(v.logs[ids]) * SCALE**size
-    reached = (within[begin[order]] + size).astype(np.int16)
+    reached = (within[begin] + size).astype(np.int16)
+    del order, begin, codes, left, within, unit
     step = np.argsort(reached, kind="stable")
     cuts = np.searchsorted(reached[step], np.arange(1, int(reached.max(initial=0)) + 2))
     sums = np.zeros(n)
@@ -239,8 +240,8 @@ def joined(v: Vocabulary, lists: pa.ListArray) -> pa.Array:
     return pa.array([raw[a:b].decode("utf-8", "replace") for a, b in zip(starts.tolist(), bounds[1:].tolist(), strict=True)], pa.string())
 
 
-def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", seed: int = 0, exponent: float = 1.0, keep: tuple[str, ...] = ()) -> DataFrame:
-    """``key, text, ids`` and the columns ``keep``: one row for each input row. ``vocabulary`` is a file that every worker has. Narrow."""
+def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", seed: int = 0, exponent: float = 1.0, keep: tuple[str, ...] = (), decoded: bool = False) -> DataFrame:
+    """``key, text, ids``, with ``decoded`` the text made of the ids again, and the columns ``keep``: one row for each input row. ``vocabulary`` is a file that every worker has. Narrow."""
     from lacuna.llm.language_crf import pieces as slices
 
     kinds = dict(docs.dtypes)
@@ -250,12 +251,13 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = load(vocabulary, exponent)
         for whole in batches:
-            for b in slices(whole, "__text", 3_000_000):
+            for b in slices(whole, "__text", 1_500_000):
                 ids = segment(v, b["__text"], b["__seed"].to_numpy().view(np.uint64))
-                yield pa.RecordBatch.from_arrays([*(b[c] for c in b.schema.names if c != "__seed"), ids], names=[*(c for c in b.schema.names if c != "__seed"), "__ids"])
+                more = {"__ids": ids} | ({"__decoded": joined(v, ids)} if decoded else {})
+                yield pa.RecordBatch.from_arrays([*(b[c] for c in b.schema.names if c != "__seed"), *more.values()], names=[*(c for c in b.schema.names if c != "__seed"), *more])
 
-    schema = ", ".join([f"__key {kinds[id_col]}", *(f"`{c}` {kinds[c]}" for c in keep), "__text string", "__ids array<int>"])
-    return own.mapInArrow(run, schema).select(F.col("__key").alias("key"), F.col("__text").alias("text"), F.col("__ids").alias("ids"), *(c for c in keep if c not in ("key", "text", "ids")))
+    schema = ", ".join([f"__key {kinds[id_col]}", *(f"`{c}` {kinds[c]}" for c in keep), "__text string", "__ids array<int>", *(["__decoded string"] if decoded else [])])
+    return own.mapInArrow(run, schema).select(F.col("__key").alias("key"), F.col("__text").alias("text"), F.col("__ids").alias("ids"), *([F.col("__decoded").alias("decoded")] if decoded else []), *(c for c in keep if c not in ("key", "text", "ids")))
 
 
 def decode(encoded: DataFrame, vocabulary: str, ids_col: str = "ids", exponent: float = 1.0) -> DataFrame:

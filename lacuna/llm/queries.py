@@ -112,9 +112,9 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from lacuna.llm.pieces import decode, encode
+    from lacuna.llm.pieces import encode
 
-    both = decode(encode(table(spark, sf_dir, "documents"), VOCABULARY), VOCABULARY)
+    both = encode(table(spark, sf_dir, "documents"), VOCABULARY, decoded=True)
     return both.select(F.col("key").alias("doc_id"), F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), (F.col("decoded") == F.col("text")).alias("lossless"))
 
 
