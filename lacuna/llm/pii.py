@@ -9,7 +9,7 @@ lowest calibrated probability at which the kept candidates reach ``precision``.
 expressions, applied on the rows. The base spans always stay; the model adds spans.
 
 Defined cases: a null text counts as empty; repeated rows and ids stay apart; other columns are ignored; an empty table
-gives no rows; a kind without candidates has no threshold and adds nothing; spans of equal start are ordered by KINDS.
+gives no rows; a kind without candidates has no threshold and adds nothing; spans of equal start are ordered by NAMES.
 """
 
 from __future__ import annotations
@@ -35,6 +35,8 @@ IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-
 SPELLED = r"(?i)(?<![a-z0-9._-])[a-z0-9._-]{2,64}\x20?[\[(]\x20?at\x20?[\])]\x20?[a-z0-9-]{2,64}(?:\x20?[\[(]\x20?dot\x20?[\])]\x20?[a-z]{2,24}|\.[a-z]{2,24})"
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "local", "number", "iban", "spelled")
+#: Names of spans: what looks like a base kind to the model but fails its check has a name of its own.
+NAMES = (*KINDS, *(f"{k}_like" for k in BASE))
 CUES = r"(?i)(?:tel|phone|call|fax|mail|contact|ssn|social|iban|account|card|ip|address)[^\n]{0,12}$"
 #: Sizes of the features: kind, length, digits, separators, left, right, cue, company.
 SIZES = (len(KINDS), 4, 4, 3, 3, 3, 2, 2)
@@ -229,7 +231,7 @@ class Boosted:
 
 def fit(found: DataFrame, **options: float) -> Boosted:
     """Learns from the candidates of all rows: at most CELLS rows reach the driver."""
-    one = found.select(F.explode("found").alias("c")).groupBy("c.code").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("c.label").cast("long")).alias("y"))
+    one = found.select(F.explode_outer("found").alias("c")).where("c is not null").groupBy("c.code").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("c.label").cast("long")).alias("y"))
     return Boosted({r["code"]: (r["n"], r["y"]) for r in one.collect()}, **options)
 
 
@@ -243,8 +245,9 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mo
         in_base = F.exists("base", lambda b: (b["k"] == c["k"]) & (b["s"] < c["e"]) & (b["e"] > c["s"]))
         return ~in_base & F.coalesce(model.score(c["code"]) >= F.element_at(cut, c["k"]), F.lit(False))
 
-    more = F.transform(F.filter("found", added), lambda c: F.struct(c["s"].alias("s"), c["k"].alias("k"), c["e"].alias("e"), c["v"].alias("v")))
-    name = F.array(*map(F.lit, KINDS))
+    kind = lambda c: F.when(c["k"] < len(BASE), c["k"] + len(KINDS)).otherwise(c["k"])
+    more = F.transform(F.filter("found", added), lambda c: F.struct(c["s"].alias("s"), kind(c).alias("k"), c["e"].alias("e"), c["v"].alias("v")))
+    name = F.array(*map(F.lit, NAMES))
     shaped = lambda x: F.struct(F.element_at(name, x["k"] + 1).alias("kind"), x["s"].alias("start"), x["e"].alias("end"), x["v"].alias("value"))
     return found.select("doc_id", "text", "row", F.transform(F.array_sort(F.concat("base", more)), shaped).alias("spans"))
 
@@ -266,4 +269,4 @@ def redacted(text: Column, spans: Column) -> Column:
 def redact_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Boosted | None = None) -> DataFrame:
     """The input's columns, with all spans of the text replaced by their kinds; null texts stay null."""
     found = find_pii(docs, id_col, text_col, model).withColumn("text", redacted(F.col("text"), F.col("spans")))
-    return found.select(*(F.when(F.col(f"row.{c}").isNotNull(), F.col("text")).alias(c) if c == text_col else F.col(f"row.{c}").alias(c) for c in docs.columns))
+    return found.select(*(F.when(F.col("row")[c].isNotNull(), F.col("text")).alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns))
