@@ -1,8 +1,8 @@
 """Benchmark decontamination by template canonicalisation.
 
 Words lose their case and outer punctuation. Numbers, quantities, units and names (capitalised words inside a sentence)
-become typed placeholders: the template. Every window of ``width`` words of a benchmark item has a 64-bit key, of its
-template where it holds a placeholder, else of its words. Texts are scanned for these keys, the hits hash-joined to the
+become typed placeholders: the template. Every window of ``width`` words of a benchmark item has a 64-bit key of its words and,
+where it holds a placeholder, one of its template. Texts are scanned for these keys, the hits hash-joined to the
 items' windows, and each alignment of a text with an item checked for slot consistency: equal values of the item must
 stand against equal values of the text, else the alignment goes. A text is contaminated by an item if the rest covers at
 least ``coverage`` of the item's windows; so re-parameterised questions are caught, and loose likeness is not.
@@ -73,7 +73,7 @@ def windows(owner: np.ndarray, tokens: np.ndarray, width: int) -> tuple[np.ndarr
 
 
 def window_rows(texts: pa.Array, width: int, wanted: np.ndarray | None, sieve: np.ndarray | None = None):
-    """Row, position, key, slot values of the windows: all, each by its own kind of key, or those with a wanted key of either kind."""
+    """Row, position, key, slot values of the windows: all, by each kind of key, or those with a wanted key of either kind."""
     owner, plain, template, slot, words = canonical(texts)
     begin = np.searchsorted(owner, np.arange(len(texts)))
     starts, keys = windows(owner, plain, width)
@@ -82,8 +82,8 @@ def window_rows(texts: pa.Array, width: int, wanted: np.ndarray | None, sieve: n
     other = other ^ np.uint64(1)
     usable = slots <= width - 2
     if wanted is None:
-        at = np.nonzero(usable)[0]
-        found = [(at, np.where(slots > 0, other, keys)[at], slots[at] > 0)]
+        at, typed_at = np.nonzero(usable)[0], np.nonzero(usable & (slots > 0))[0]
+        found = [(at, keys[at], np.zeros(len(at), bool)), (typed_at, other[typed_at], np.ones(len(typed_at), bool))]
     else:
         found = []
         for values, ok in ((keys, np.ones(len(keys), bool)), (other, usable & (slots > 0))):
@@ -113,7 +113,7 @@ def item_windows(items: DataFrame, item_col: str, text_col: str, width: int) ->
     own = own.groupBy("text").agg(F.min("item").alias("item"))
     rows = own.select(F.col("item").cast("long").alias("uid"), "text").where("uid is not null").mapInArrow(of, "uid long, pos long, key long, slots array<string>")
     rows = rows.withColumnRenamed("uid", "item")
-    return rows.join(rows.groupBy("item").agg(F.count_distinct("key").alias("total")), "item")
+    return rows.join(rows.groupBy("item").agg(F.count_distinct("pos").alias("total")), "item")
 
 
 def hits(docs: DataFrame, keys: np.ndarray, width: int) -> DataFrame:
@@ -155,7 +155,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     ways = lined.groupBy("uid", "item", "way").agg(F.collect_set("pair").alias("pairs"))
     fits = ways.where(F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda x: x["a"])))).select("uid", "item", "way")
     kept = matched.withColumn("way", F.col("pos") - F.col("at")).join(fits, ["uid", "item", "way"], "left_semi")
-    shares = kept.groupBy("uid", "item").agg((F.count_distinct("key") / F.first("total")).alias("share"))
+    shares = kept.groupBy("uid", "item").agg((F.count_distinct("at") / F.first("total")).alias("share"))
     bad = shares.groupBy("uid").agg(F.array_sort(F.collect_list(F.when(F.col("share") >= coverage, F.col("item")))).alias("item_ids"), F.max("share").alias("covered"))
     rows = found.groupBy("uid").agg(F.first("doc_id").alias("doc_id")).join(bad, "uid", "left")
     items_of = F.coalesce("item_ids", F.array().cast("array<bigint>"))
