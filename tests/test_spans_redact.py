@@ -111,7 +111,7 @@ def test_runs(spark):
 
 def test_edits_pair_by_occurrence():
     assert edited("a __ b __ c", [("__", "1"), ("__", "2")]) == "a1b2c"
-    assert edited("__ __", [("__", "x")]) == "xx"
+    assert edited("__ __", [("__", "x")]) == "x"
     assert edited("____ __", [("__", "s"), ("____", "long")]) == "longs"
     assert edited("a\n__\nb", [("__", "x"), ("", "y")]) == "a\nx\nb"
 
