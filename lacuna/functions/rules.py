@@ -10,9 +10,13 @@ S = f"[{NOT_S}]"
 HAN = r"一-龥"
 
 
+#: Stands for a value in group 1 that follows the match, which itself is a label alone.
+AHEAD = -1
+
+
 @dataclass(frozen=True)
 class Rule:
-    """``trigger`` is a cheap regex without which the pattern cannot match; ``group`` 1 makes that group the value."""
+    """``trigger`` is a cheap regex without which the pattern cannot match; ``group`` 1 makes that group the value, AHEAD what group 1 sees behind the match."""
 
     type: str
     pattern: str
@@ -31,7 +35,6 @@ TRADES = "科技|投资|实业|商贸|文化|传媒|网络|信息|电子|建筑|
 PATH = rf"""(?:/[^{NOT_S}<>"'）】」』，。；、]*)?"""
 TLD = "com|cn|org|net|io|gov|edu|co|ai|app|me|info|xyz|biz|com\\.cn|org\\.cn|net\\.cn|gov\\.cn|edu\\.cn"
 OCTET = r"(?:25[0-5]|2[0-4]\d|[01]?\d\d?)"
-LABELLED = "|".join(rf"{label}{S}{{0,40}}[:：是为]{S}{{0,40}}" for label in ("姓名", "名字", "客户姓名", "联系人", "项目负责人"))
 
 #: The built-in rules in their order, which decides ties between equal spans.
 BUILTIN = (
@@ -47,10 +50,10 @@ BUILTIN = (
     Rule("ADDRESS", rf"(?:(?:北京|上海|天津|重庆|香港|澳门)[市省区]?|[{HAN}]{{2,6}}省)[{HAN}]{{2,10}}(?:市|区|县|镇|乡|街道)(?:[{HAN}\d-]|{S}){{6,80}}(?:路|街|道|巷|弄|号|楼|室|单元|栋|层|座|大厦|花园|小区|公寓|广场|中心|城|馆|酒店|宾馆|医院|学校|银行)", 0.75, 0, "[市区县镇乡道]"),
     Rule("CONTRACT_NO", rf"(?i)(?:合同书?号|Contract{S}*(?:No\.?|Number)?){S}*[:：]?{S}*([A-Z0-9]{{6,24}})", 0.90, 1, "(?i)合同|Contract"),
     Rule("PROJECT_NAME", rf"(?i)(?:项目[名称书]|Project{S}*Name){S}*[:：]?{S}*([{HAN}A-Za-z0-9]{{4,30}})", 0.80, 1, "(?i)项目|Project"),
-    Rule("COMPANY", rf"{BEFORE_COMPANY}(?:[{HAN}]{{2,8}}(?:省|市|自治区))?[{HAN}（）()]{{2,30}}(?:[{HAN}]{{0,10}}(?:{TRADES}))?(?:{FORMS})", 0.88, 0, "公司"),
-    Rule("COMPANY", rf"{BEFORE_COMPANY}[{HAN}]{{2,8}}集团", 0.88, 0, "集团"),
+    Rule("COMPANY", rf"(?=[{HAN}（）()]*公司){BEFORE_COMPANY}(?:[{HAN}]{{2,8}}(?:省|市|自治区))?[{HAN}（）()]{{2,30}}(?:[{HAN}]{{0,10}}(?:{TRADES}))?(?:{FORMS})", 0.88, 0, "公司"),
+    Rule("COMPANY", rf"(?=[{HAN}]*集团){BEFORE_COMPANY}[{HAN}]{{2,8}}集团", 0.88, 0, "集团"),
     Rule("BANK_LABEL", rf"(?:开户银行|开户行|收款银行){S}*[:：]?{S}*([{HAN}0-9]{{4,30}}(?:支行|分行|营业部|总行)?)", 0.85, 1, "开户|收款银行"),
-    Rule("NAME", rf"(?<={LABELLED})[{HAN}]{{2,4}}(?:[、，；]{S}*[{HAN}]{{2,4}})*", 0.85, 0, "姓名|名字|联系人|负责人"),
+    Rule("NAME", rf"(?:姓名|名字|客户姓名|联系人|项目负责人){S}*[:：是为]{S}*(?=([{HAN}]{{2,4}}(?:[、，；]{S}*[{HAN}]{{2,4}})*))", 0.85, AHEAD, "姓名|名字|联系人|负责人"),
     Rule("URL", rf"(?i)(?:https?://[\w-]+(?:\.[\w-]+)+{PATH}|www\.[\w-]+(?:\.[\w-]+)+{PATH}|(?<![\w@.])(?:[\w-]+\.)+(?:{TLD}){PATH})", 0.85, 0, r"(?i)\w\.\w"),
 )
 

@@ -12,6 +12,20 @@ from pyspark.sql import functions as F
 SPAN = "array<struct<s:int,e:int,v:string>>"
 
 
+#: A noncharacter that stands for a match between the texts around it.
+CUT = "\ufdd0"
+
+
+def gaps(text: Column, pattern: str) -> Column:
+    """The texts between the matches, first and last included.
+
+    A split by a regex compiles it for every row; a replacement compiles it once, and a split at one character needs
+    none. Texts that hold that character are split by the regex.
+    """
+    marked = F.split(F.regexp_replace(text, pattern, CUT), CUT, -1)
+    return F.when(F.contains(text, F.lit(CUT)), F.split(text, pattern, -1)).otherwise(marked)
+
+
 def no_spans() -> Column:
     return F.array().cast(SPAN)
 
@@ -19,12 +33,11 @@ def no_spans() -> Column:
 def spans_of(text: Column, pattern: str, guard: Column | None = None) -> Column:
     """All leftmost, non-overlapping matches of a Java regex; empty for a null text.
 
-    The pieces between the matches (``split``) and the matches themselves give the offsets: a fold adds their lengths
-    up. ``guard`` is a cheap condition without which the regex isn't tried at all. Patterns must not match the empty
+    The pieces between the matches and the matches themselves give the offsets: a fold adds their lengths up. ``guard`` is a cheap condition without which the regex isn't tried at all. Patterns must not match the empty
     string.
     """
     full = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.arrays_zip(F.split(text, pattern, -1).alias("g"), full.alias("v"))
+    pairs = F.arrays_zip(gaps(text, pattern).alias("g"), full.alias("v"))
 
     def step(acc: Column, x: Column) -> Column:
         s = acc["p"] + F.length(x["g"])
@@ -37,16 +50,17 @@ def spans_of(text: Column, pattern: str, guard: Column | None = None) -> Column:
     return F.when(found, folded).otherwise(no_spans())
 
 
-def group_spans(text: Column, pattern: str, group: int = 1, guard: Column | None = None) -> Column:
-    """As spans_of, but the span of a group where it took part (the first place in the match where its value stands)."""
+def group_spans(text: Column, pattern: str, group: int = 1, guard: Column | None = None, ahead: bool = False) -> Column:
+    """As spans_of, but the span of a group where it took part: the first place in the match where its value stands, or
+    with ``ahead`` the place behind the match, for a group within a final look-ahead."""
     full = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     grp = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    pairs = F.arrays_zip(F.split(text, pattern, -1).alias("g"), full.alias("v"), grp.alias("w"))
+    pairs = F.arrays_zip(gaps(text, pattern).alias("g"), full.alias("v"), grp.alias("w"))
 
     def step(acc: Column, x: Column) -> Column:
         s = acc["p"] + F.length(x["g"])
         took = F.length(x["w"]) > 0
-        at = s + F.when(took, F.instr(x["v"], x["w"]) - 1).otherwise(0)
+        at = s + (F.length(x["v"]) if ahead else F.when(took, F.instr(x["v"], x["w"]) - 1).otherwise(0))
         value = F.when(took, x["w"]).otherwise(x["v"])
         more = F.concat(acc["o"], F.array(F.struct(at.alias("s"), (at + F.length(value)).alias("e"), value.alias("v"))))
         end = s + F.length(x["v"])

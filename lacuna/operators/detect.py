@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.functions.rules import LABELS, NOT_S, ORDER, Rule, RuleSet
+from lacuna.functions.rules import AHEAD, LABELS, NOT_S, ORDER, Rule, RuleSet
 from lacuna.functions.spans import group_spans, no_spans, spans_of
 from lacuna.operators.company import company_spans
 
@@ -141,7 +141,7 @@ def detect(df: DataFrame, text_col: str = "text", rules: RuleSet | Sequence[Rule
     raw = {}
     for i, r in enumerate(active):
         trigger = _matches(t, r.trigger) if r.trigger else F.lit(True)
-        found = group_spans(t, r.pattern, r.group, trigger) if r.group else spans_of(t, r.pattern, trigger)
+        found = group_spans(t, r.pattern, 1, trigger, r.group == AHEAD) if r.group else spans_of(t, r.pattern, trigger)
         found = F.filter(found, lambda x: x["e"] > x["s"])
         if keep := FILTERS.get(r.type):
             found = _filtered(found, keep, t)
