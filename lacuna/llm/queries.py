@@ -39,10 +39,34 @@ ORACLE_SQL: dict[str, str] = {}
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lacuna.llm.quality_rules import judge
 
-    return judge(table(spark, sf_dir, "documents"))
+    rows = judge(table(spark, sf_dir, "documents"))
+    return rows.withColumns({c: F.round(c, 6) for c in ("char_distance", "word_distance")})
 
 
 QUERIES["op3_quality_rules"] = op3_quality_rules
+ORACLE_SQL["op3_quality_rules"] = r"""
+WITH d AS (SELECT row_number() OVER () AS uid, doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS lang FROM documents),
+w AS (SELECT *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines, regexp_replace(t, '\p{L}+', '', 'g') AS rest FROM d),
+f AS (SELECT uid, doc_id, lang, words, len(words) AS n, length(t) - length(rest) AS letters,
+  length(rest) - length(regexp_replace(rest, '[0-9]+', '', 'g')) AS digits, length(rest) - length(regexp_replace(rest, '[\x20\x09-\x0D]+', '', 'g')) AS white,
+  length(rest) - length(regexp_replace(rest, '[.,;:!?''"()-]+', '', 'g')) AS points, length(rest) - length(regexp_replace(rest, '[#*$%&|<>]+', '', 'g')) AS symbols,
+  length(rest) AS n_rest, length(t) AS n_chars, len(lines) - len(list_distinct(lines)) AS n_dup_lines FROM w),
+win AS (SELECT uid, i, words[i:i + 7] AS g FROM (SELECT uid, words, unnest(range(1, n - 6)) AS i FROM f WHERE n >= 8)),
+dup AS (SELECT uid, i FROM (SELECT uid, i, count(*) OVER (PARTITION BY uid, g) AS c FROM win) WHERE c > 1),
+rep AS (SELECT uid, count(DISTINCT i + k) AS n_repeat FROM dup, range(0, 8) r(k) GROUP BY uid),
+tok AS (SELECT uid, lang, unnest(words) AS word FROM f),
+tot AS (SELECT lang, count(*) AS total FROM tok GROUP BY lang),
+ref AS (SELECT lang, word, c / total AS q FROM (SELECT lang, word, count(*) AS c, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, word) AS r FROM tok WHERE length(word) <= 6 GROUP BY lang, word) JOIN tot USING (lang) WHERE r <= 24),
+own AS (SELECT uid, word, count(*) AS c FROM tok GROUP BY uid, word),
+pq AS (SELECT f.uid, coalesce(own.c, 0) / f.n AS p, ref.q FROM f JOIN ref ON ref.lang = f.lang LEFT JOIN own ON own.uid = f.uid AND own.word = ref.word WHERE f.n >= 50),
+whole AS (SELECT uid, p, q FROM pq UNION ALL SELECT uid, 1 - sum(p), greatest(1 - sum(q), 0) FROM pq GROUP BY uid),
+cls AS (SELECT lang, sum(letters) AS a, sum(digits) AS b, sum(white) AS c, sum(points) AS d, sum(symbols) AS e, sum(n_rest - digits - white - points - symbols) AS g FROM f GROUP BY lang),
+chr6 AS (SELECT f.uid, unnest([letters, digits, white, points, symbols, n_rest - digits - white - points - symbols]) / n_chars AS p, unnest([a, b, c, d, e, g]) / (a + b + c + d + e + g) AS q FROM f JOIN cls USING (lang) WHERE n >= 50),
+jsd AS (SELECT kind, uid, sqrt(greatest(sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2, 0)) AS v FROM (SELECT 'c' AS kind, * FROM chr6 UNION ALL SELECT 'w', * FROM whole) GROUP BY kind, uid),
+j AS (SELECT f.*, coalesce(n_repeat, 0) AS n_repeat, c.v AS cv, w.v AS wv, n < 20 OR 100 * coalesce(n_repeat, 0) > 30 * n AS failed FROM f LEFT JOIN rep USING (uid) LEFT JOIN jsd c ON c.kind = 'c' AND c.uid = f.uid LEFT JOIN jsd w ON w.kind = 'w' AND w.uid = f.uid)
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(n_chars - white AS BIGINT) AS word_chars, CAST(symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat AS BIGINT) AS n_repeat_words,
+  failed AS base_failed, NOT failed AND coalesce(cv <= 0.2, true) AND coalesce(wv <= 0.42, true) AS kept, round(cv, 6) AS char_distance, round(wv, 6) AS word_distance FROM j
+"""
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
