@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -33,9 +34,11 @@ def crc_of(id_column: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession, what: str) -> str:
-    """A new folder's name under spark.checkpoint.dir; a temporary folder serves only where that is unset (tests)."""
+    """A new folder's name under spark.checkpoint.dir; where that is unset a temporary folder serves a local master (tests) alone."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^,]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-")
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 

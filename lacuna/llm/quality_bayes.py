@@ -80,8 +80,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     total, good = sum(r["n"] for r in rows), sum(r["y"] for r in rows)
     rate = (good + 1) / (total + 2)
     p_cell = {r["cell"]: (r["y"] + cell_weight * rate) / (r["n"] + cell_weight) for r in rows}
-    known = F.create_map(*(F.lit(x) for kv in p_cell.items() for x in kv)) if p_cell else None
-    df = df.withColumn("p_document", F.coalesce(F.element_at(known, F.col("cell")), F.lit(rate)) if known is not None else F.lit(rate))
+    df = df.withColumn("p_document", F.get(F.array(*(F.lit(p_cell.get(c, rate)) for c in range(CELLS))), F.col("cell")))
     df = df.withColumn("evidence", F.coalesce("taught", "p_document"))
     paths = df.groupBy("host", "path").agg(F.sum("evidence").alias("path_sum"), F.count(F.lit(1)).alias("path_n"))
     hosts = paths.groupBy("host").agg(F.sum("path_sum").alias("host_sum"), F.sum("path_n").alias("host_n"))
