@@ -36,8 +36,10 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     df = keyed(docs, id_col, text_col, F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"))
     df = df.withColumns({"words": words_of(t), "rest": F.regexp_replace(t, r"\p{L}+", ""), "lines": F.filter(F.split(t, "\n", -1), lambda x: F.length(F.btrim(x, F.lit(WHITE))) > 0), "n_chars": F.length(t)})
     df = df.withColumn("n_words", F.size("words"))
-    hashes = F.transform(F.sequence(F.lit(1), n - 7), lambda i: F.xxhash64(F.slice("words", i, 8)))
-    df = df.withColumn("windows", F.when(n >= 9, hashes).otherwise(F.array().cast("array<bigint>")))
+    # hashes of 2, 4, then 8 words in a row: each from the one before and itself moved on; what runs over the end is cut off
+    moved = lambda c, k: F.zip_with(c, F.slice(c, k + 1, F.greatest(n, F.lit(1))), lambda a, b: F.xxhash64(a, b))
+    df = df.withColumn("twos", moved("words", 1)).withColumn("fours", moved("twos", 2)).withColumn("eights", moved("fours", 4))
+    df = df.withColumn("windows", F.when(n >= 9, F.slice("eights", F.lit(1), n - 7)).otherwise(F.array().cast("array<bigint>")))
     left = lambda pattern: F.length(F.regexp_replace("rest", pattern, ""))
     df = df.withColumns({"n_rest": F.length("rest"), "no_white": left(WHITE_RE), "digits": F.length("rest") - left("[0-9]+"), "points": F.length("rest") - left(r"[.,;:!?'\"()-]+"), "n_symbols": F.length("rest") - left(r"[#*$%&|<>]+"), "repeats": F.size(F.array_distinct("windows")) < F.size("windows")})
     df = df.withColumns({"letters": F.col("n_chars") - F.col("n_rest"), "white": F.col("n_rest") - F.col("no_white"), "symbols": F.col("n_symbols")})
@@ -55,7 +57,7 @@ def word_references(docs: DataFrame, text_col: str = "text", lang_col: str = "la
     Counts are summed before their shuffle, so a language that holds most rows costs one row for each word and task.
     """
     df = keyed(docs, lang_col, text_col, F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang")).select("lang", words_of(F.col("text")).alias("words"))
-    short = df.select("lang", F.explode("words").alias("word")).where(F.length("word") <= max_size)
+    short = df.select("lang", F.explode_outer("words").alias("word")).where(F.length("word") <= max_size)
     counted = short.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
     sums = df.groupBy("lang").agg(F.sum(F.size("words")).alias("total"))
     # ranked by slices of the words first: no language meets whole in one task
