@@ -396,3 +396,8 @@ def test_decontamination(spark, edge, empty):
         assert {r["doc_id"]: r["item_ids"] for r in rows if r["contaminated"]} == {501: [7], 503: [7]}
     assert decontaminate.decontaminate(empty, items).count() == 0
     assert not any(r["contaminated"] for r in decontaminate.decontaminate(df, items.limit(0)).collect())
+
+
+def test_article_headers_stay_and_comments_go():
+    page = '<body><article class="side-by-side"><header><h1>Title</h1></header><div class="entry-header">Lead</div><p>Body text of the article.</p><section class="comments"><p>me too</p></section><footer>share</footer></article></body>'
+    assert html_extract.text_of(html_extract.blocks_of(page), None) == "Title\n\nLead\n\nBody text of the article."
