@@ -93,16 +93,16 @@ def ranges_of(hashes: np.ndarray, n: int) -> np.ndarray:
 
 
 def blocked(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) -> tuple[DataFrame, int]:
-    """``block, held, dev, doc_id, text`` and the number of learning blocks. Held-out texts, and the tenth that teaches the weights, are in blocks of their own."""
+    """``block, held, dev, doc_id, text`` and the texts' size. Held-out texts, and the tenth that teaches the weights, are in blocks of their own."""
     df = keyed(docs, id_col, text_col).drop("uid")
     crc = crc_of(F.col("doc_id"))
     size = df.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, -(-size // block_bytes))
     df = df.withColumns({"held": crc % 10 == 0, "dev": (F.floor(crc / 10) % 10 == 0) & (crc % 10 != 0)})
     spread = F.xxhash64("doc_id", "text")
-    few = max(1, -(-n // 10))
+    few = max(8, -(-n // 10))
     number = F.when(F.col("held"), F.pmod(spread, F.lit(few))).when(F.col("dev"), F.pmod(spread, F.lit(few)) + few).otherwise(F.pmod(spread, F.lit(n)) + 2 * few)
-    return df.select(number.cast("int").alias("block"), "held", "dev", "doc_id", "text"), n + 2 * few
+    return df.select(number.cast("int").alias("block"), "held", "dev", "doc_id", "text"), size
 
 
 def counted(blocks: DataFrame, n_ranges: int) -> DataFrame:
@@ -189,8 +189,8 @@ def learned(stats: list[tuple[int, int, int, int]], v: int, rounds: int = 30) ->
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row for each input row: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``."""
-    blocks, n_blocks = blocked(docs, id_col, text_col, block_bytes)
-    n_ranges = max(1, -(-n_blocks * block_bytes // (12 * RANGE_GRAMS)))
+    blocks, size = blocked(docs, id_col, text_col, block_bytes)
+    n_ranges = max(1, -(-size // (12 * RANGE_GRAMS)))
     totals = written(counted(blocks, n_ranges), "totals")
     n, v = (totals.where("order = 1").agg(F.sum("n"), F.sum("v")).first()) or (0, 0)
     n, v = n or 0, v or 0
