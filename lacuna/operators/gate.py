@@ -37,7 +37,7 @@ def first_pattern(line: Column, extra: Sequence[str] = ()) -> Column:
 def lines_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``id, line_no, line``; line numbers begin with 1. An empty last line is no line."""
     text = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"\n\z", "")
-    return df.select(id_col, F.posexplode(F.split(text, "\n", -1)).alias("n", "line")).select(id_col, (F.col("n") + 1).alias("line_no"), "line")
+    return df.select(id_col, F.posexplode_outer(F.split(text, "\n", -1)).alias("n", "line")).select(id_col, (F.col("n") + 1).alias("line_no"), "line")
 
 
 def gate_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", extra: Sequence[str] = ()) -> DataFrame:
