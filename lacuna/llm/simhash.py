@@ -160,5 +160,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = components(links(distinct.select("fp"), max_bits))
     roots = found.join(distinct.withColumnRenamed("fp", "node"), "node")
     roots = roots.join(roots.groupBy("root").agg(F.min("least").alias("component_id")), "root").select(F.col("node").alias("fp"), "component_id")
-    classes = distinct.join(roots, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    # written, so that the last join has an exchange on either side and Spark can split a fingerprint with very many rows
+    classes = written(distinct.join(roots, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "classes")
     return fps.join(classes, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
