@@ -51,14 +51,14 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     )
 
 
-def word_references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", n_common: int = 24, max_size: int = 6) -> DataFrame:
-    """``lang, ref_words, ref_shares, ref_other``: the commonest words of at most max_size code points of each language, and their shares of all its words.
+def word_references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", n_common: int = 48) -> DataFrame:
+    """``lang, ref_words, ref_shares, ref_other``: the commonest words of each language, and their shares of all its words.
 
     Counts are summed before their shuffle, so a language that holds most rows costs one row for each word and task.
     """
     df = keyed(docs, lang_col, text_col, F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang")).select("lang", words_of(F.col("text")).alias("words"))
-    short = df.select("lang", F.explode_outer("words").alias("word")).where(F.length("word") <= max_size)
-    counted = short.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+    each = df.select("lang", F.explode_outer("words").alias("word")).where("word is not null")
+    counted = each.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
     sums = df.groupBy("lang").agg(F.sum(F.size("words")).alias("total"))
     # ranked by slices of the words first: no language meets whole in one task
     sliced = Window.partitionBy("lang", F.pmod(F.hash("word"), F.lit(64))).orderBy(F.desc("n"), "word")
@@ -91,7 +91,7 @@ def distance(pairs: Column) -> Column:
     return F.sqrt(F.greatest(both / 2, F.lit(0.0)))
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", n_common: int = 24, min_words: int = 50, max_chars: float = 0.2, max_words: float = 0.42) -> DataFrame:
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", n_common: int = 48, min_words: int = 50, max_chars: float = 0.2, max_words: float = 0.42) -> DataFrame:
     """One row for each input row: the base counts, ``base_failed``, ``kept``, ``char_distance`` and ``word_distance`` (null below ``min_words``)."""
     n = F.col("n_words")
     df = joined(features(docs, id_col, text_col, lang_col), written(word_references(docs, text_col, lang_col, n_common), "references"))

@@ -143,6 +143,15 @@ def test_divergent_texts_go_and_short_ones_stay(spark):
     assert pairs["d"] == pytest.approx(1.0)
 
 
+def test_words_of_every_length_are_references(spark):
+    long = [f"allgemeinheit{i}" for i in range(40)]
+    df = spark.createDataFrame([(i, " ".join(long * 2), "de") for i in range(4)] + [(9, " ".join(f"schrottwort{i}" for i in range(60)), "de")], "doc_id long, text string, lang string")
+    refs = quality_rules.word_references(df).first()
+    assert set(long) < set(refs["ref_words"]) and len(refs["ref_words"]) == 48
+    assert sum(refs["ref_shares"]) + refs["ref_other"] == pytest.approx(1.0) and max(refs["ref_shares"]) == pytest.approx(8 / 380)
+    assert not {r["doc_id"]: r["kept"] for r in quality_rules.judge(df).collect()}[9]
+
+
 # 4
 
 
