@@ -410,3 +410,10 @@ def test_decontamination(spark, edge, empty):
 def test_article_headers_stay_and_comments_go():
     page = '<body><article class="side-by-side"><header><h1>Title</h1></header><div class="entry-header">Lead</div><p>Body text of the article.</p><section class="comments"><p>me too</p></section><footer>share</footer></article></body>'
     assert html_extract.text_of(html_extract.blocks_of(page), None) == "Title\n\nLead\n\nBody text of the article."
+
+
+@pytest.mark.parametrize("part", ["<datalist><option value=a><option value=b></datalist>", "<div><button>Share</div>", "<div><select><option>One</div>", "<svg><path d=x>", "<object><object>in</object>in</object>", "<div><video src=x></div>"])
+def test_missing_end_tags_cut_nothing(part):
+    page = f"<body><article><p>Before.</p>{part}<p>After it.</p></article><p>Last <button>x</button> words.</p></body>"
+    assert html_extract.text_of(html_extract.blocks_of(page.replace("<p>Last <button>x</button> words.</p>", "")), None) == "Before.\n\nAfter it."
+    assert [b[0] for b in html_extract.blocks_of(page)][-1] == "Last words."
