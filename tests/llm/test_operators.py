@@ -417,3 +417,13 @@ def test_missing_end_tags_cut_nothing(part):
     page = f"<body><article><p>Before.</p>{part}<p>After it.</p></article><p>Last <button>x</button> words.</p></body>"
     assert html_extract.text_of(html_extract.blocks_of(page.replace("<p>Last <button>x</button> words.</p>", "")), None) == "Before.\n\nAfter it."
     assert [b[0] for b in html_extract.blocks_of(page)][-1] == "Last words."
+
+
+def test_all_main_text_stays_on_hosts_of_several_templates(spark):
+    sections = "".join(f"<section><p>{'Long text of a section. ' * 9}</p></section>" for _ in range(3))
+    first = f"<body><article><h1>Title</h1><p>Lead of it.</p>{sections}</article></body>"
+    teaser = "<body><article><p>Teaser.</p></article><div class=story><p>The story of another template, which is longer.</p></div></body>"
+    rows = [(i, "https://a.example", first) for i in range(5)] + [(7, "https://a.example", teaser), (8, "https://a.example", teaser.replace("story", "report"))]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[0].startswith("Title\n\nLead of it.\n\nLong") and got[0].count("\n\n") == 4
+    assert "The story of another template" in got[7] and "The report of another template" in got[8]
