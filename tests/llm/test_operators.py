@@ -427,3 +427,16 @@ def test_all_main_text_stays_on_hosts_of_several_templates(spark):
     got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got[0].startswith("Title\n\nLead of it.\n\nLong") and got[0].count("\n\n") == 4
     assert "The story of another template" in got[7] and "The report of another template" in got[8]
+
+
+@pytest.mark.parametrize("start", ["class=has-sidebar", "class='no-sidebar wide'", "class=header-fixed", "class=legal-news", "class=search-result", "class=with-comments", "aria-hidden='false'", "data-id=menu", "title='what is hidden here'", "class=sidebar"])
+def test_loose_names_set_no_text_apart(start):
+    page = f"<body><div {start}><p>The main text of the page.</p><p>More of it.</p></div><div class=site-footer>bye</div><div aria-hidden=true>unseen</div></body>"
+    assert html_extract.text_of(html_extract.blocks_of(page), None) == "The main text of the page.\n\nMore of it."
+
+
+def test_names_around_the_article_set_nothing_apart():
+    page = "<body><div class=sidebar><article><p>Short.</p></article></div><div><p>Much longer text that stands elsewhere.</p></div><div class=comments><article>me too</article></div></body>"
+    assert html_extract.text_of(html_extract.blocks_of(page), None).startswith("Short.\n\nMuch longer")
+    page = "<body><article><p>The article that has the text.</p></article><div class=comments><article>me too</article></div></body>"
+    assert html_extract.text_of(html_extract.blocks_of(page), None) == "The article that has the text."
