@@ -2,9 +2,9 @@
 
 Words lose their case and outer punctuation. Numbers, quantities, units and names (capitalised words inside a sentence)
 become typed placeholders: the template. Every window of ``width`` words of a benchmark item has a 64-bit key of its words and,
-where it holds a placeholder, one of its template. Texts are scanned for these keys, the hits hash-joined to the
+where it holds a placeholder, one of its template; where a capitalised word opens a sentence, one more with it as a name. Texts are scanned for these keys, the hits hash-joined to the
 items' windows, and each alignment of a text with an item checked for slot consistency: equal values of the item must
-stand against equal values of the text, else the alignment goes. A text is contaminated by an item if the rest covers at
+stand against equal values of the text, else the windows of its template go, and those of equal words stay. A text is contaminated by an item if the rest covers at
 least ``coverage`` of the item's windows; so re-parameterised questions are caught, and loose likeness is not.
 
 The keys of the benchmark are broadcast in blocks of at most ``block_keys``, each a pass over the texts; one block holds
@@ -30,14 +30,15 @@ from lacuna.llm.common import keyed, written
 
 #: Fixed values.
 UNITS = ("mm", "cm", "m", "km", "g", "kg", "mg", "l", "ml", "s", "ms", "min", "h", "hours", "minutes", "seconds", "days", "weeks", "months", "years", "miles", "feet", "inches", "pounds", "ounces", "meters", "metres", "kilometers", "kilograms", "grams", "liters", "litres", "dollars", "cents", "euros", "percent", "degrees", "usd", "eur", "mph")
-NUMBERS = ("one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "twenty", "thirty", "forty", "fifty", "hundred", "thousand", "million")
+NUMBERS = ("one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen", "seventeen", "eighteen", "nineteen", "twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety", "hundred", "thousand", "million")
+SPELLED = rf"^(?:{'|'.join(NUMBERS)})(?:-(?:and-)?(?:{'|'.join(NUMBERS)}))*$"
 OUTER = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”„‘’…–—¿¡"
 NUM, QTY, UNIT, NAME = (np.uint64(x) for x in (0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F))
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def canonical(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.DictionaryArray]:
-    """Of all words in order: the text's row, the plain word's hash, the template's hash, whether it is a slot; and the words (lower case, bare)."""
+def canonical(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.DictionaryArray]:
+    """Of all words in order: the text's row, the plain word's hash, the template's hash, whether it is a slot, whether it may be a name that opens a sentence; and the words (lower case, bare)."""
     split = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
     flat, owner = split.flatten(), pc.list_parent_indices(split).to_numpy()
     coded = flat.dictionary_encode()
@@ -47,19 +48,27 @@ def canonical(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     plain = pd.util.hash_array(low.to_numpy(zero_copy_only=False).astype(object), categorize=False) if len(low) else np.zeros(0, np.uint64)
     flag = lambda x: x.to_numpy(zero_copy_only=False).astype(bool)
     template, slot = plain.copy(), np.zeros(len(plain), bool)
-    number = flag(pc.or_(pc.match_substring_regex(bare, r"^\d[\d.,/:]*$"), pc.is_in(low, pa.array(NUMBERS, low.type))))
+    number = flag(pc.or_(pc.match_substring_regex(bare, r"^\d[\d.,/:]*$"), pc.match_substring_regex(low, SPELLED)))
     quantity = flag(pc.match_substring_regex(bare, r"^\d[\d.,]*[A-Za-z]{1,3}$"))
     for mark, rows in ((NUM, number), (QTY, quantity), (UNIT, flag(pc.is_in(low, pa.array(UNITS, low.type))))):
         template[rows], slot = mark, slot | rows
-    capital = flag(pc.match_substring_regex(bare, r"^\p{Lu}\p{Ll}+$")) & ~slot
+    capital = flag(pc.match_substring_regex(bare, r"^(?:\p{L}{1,2}['’])?\p{Lu}\p{Ll}+(?:\p{Lu}\p{Ll}+)*(?:-\p{Lu}\p{Ll}+)*(?:['’]\p{Ll}*)?$")) & ~slot
+    upper = flag(pc.match_substring_regex(bare, r"^\p{Lu}[\p{Lu}'’-]*\p{Lu}(?:['’]s)?$")) & ~slot
     ends = flag(pc.match_substring_regex(raw, r"""[.!?:]["')\]]*$"""))
     first = np.ones(len(place), bool)
     if len(place):
         first[1:] = (owner[1:] != owner[:-1]) | ends[place[:-1]]
-    named = capital[place] & ~first
+    loud = upper[place]  # a word in capitals is a name where its neighbours aren't in capitals
+    beside = np.zeros(len(place), bool)
+    if len(place):
+        same = (owner[1:] == owner[:-1]) & loud[1:] & loud[:-1]
+        beside[1:] |= same
+        beside[:-1] |= same
+    maybe = capital[place] | (loud & ~beside)
+    named, opens = maybe & ~first, maybe & first
     keep = flag(pc.greater(pc.binary_length(bare), 0))[place] if len(place) else np.zeros(0, bool)
-    place, named = place[keep], named[keep]
-    return owner[keep], plain[place], np.where(named, NAME, template[place]), slot[place] | named, pa.DictionaryArray.from_arrays(pa.array(place), low)
+    place, named, opens = place[keep], named[keep], opens[keep]
+    return owner[keep], plain[place], np.where(named, NAME, template[place]), slot[place] | named, opens, pa.DictionaryArray.from_arrays(pa.array(place), low)
 
 
 def windows(owner: np.ndarray, tokens: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -74,27 +83,32 @@ def windows(owner: np.ndarray, tokens: np.ndarray, width: int) -> tuple[np.ndarr
 
 def window_rows(texts: pa.Array, width: int, wanted: np.ndarray | None, sieve: np.ndarray | None = None):
     """Row, position, key, slot values of the windows: all, by each kind of key, or those with a wanted key of either kind."""
-    owner, plain, template, slot, words = canonical(texts)
+    owner, plain, template, slot, opens, words = canonical(texts)
     begin = np.searchsorted(owner, np.arange(len(texts)))
     starts, keys = windows(owner, plain, width)
-    slots = np.convolve(slot.astype(np.int32), np.ones(width, np.int32), "valid")[starts] if len(starts) else np.zeros(0, np.int32)
-    _, other = windows(owner, template, width)
-    other = other ^ np.uint64(1)
+    held = lambda x: np.convolve(x.astype(np.int32), np.ones(width, np.int32), "valid")[starts] if len(starts) else np.zeros(0, np.int32)
+    slots, opening, wide = held(slot), held(opens), slot | opens
+    other = windows(owner, template, width)[1] ^ np.uint64(1)
+    opened = windows(owner, np.where(opens, NAME, template), width)[1] ^ np.uint64(2)
     usable = slots <= width - 2
+    typed_kinds = ((other, usable & (slots > 0), slot), (opened, (slots + opening <= width - 2) & (opening > 0), wide))
     if wanted is None:
-        at, typed_at = np.nonzero(usable)[0], np.nonzero(usable & (slots > 0))[0]
-        found = [(at, keys[at], np.zeros(len(at), bool)), (typed_at, other[typed_at], np.ones(len(typed_at), bool))]
+        at = np.nonzero(usable)[0]
+        found = [(at, keys[at], np.zeros(len(at), np.int8))]
+        for k, (values, ok, _) in enumerate(typed_kinds, 1):
+            at = np.nonzero(ok)[0]
+            found.append((at, values[at], np.full(len(at), k, np.int8)))
     else:
         found = []
-        for values, ok in ((keys, np.ones(len(keys), bool)), (other, usable & (slots > 0))):
+        for k, (values, ok, _) in enumerate(((keys, np.ones(len(keys), bool), None), *typed_kinds)):
             at = np.nonzero(ok & sieve[(values >> np.uint64(42)).astype(np.int64)])[0]
             place = np.minimum(np.searchsorted(wanted, values[at]), len(wanted) - 1)
             at = at[wanted[place] == values[at]]
-            found.append((at, values[at], np.full(len(at), values is other)))
+            found.append((at, values[at], np.full(len(at), k, np.int8)))
     at, key, typed = (np.concatenate([x[i] for x in found]) for i in range(3))
     start = starts[at]
     names = words.dictionary
-    values = [[names[words.indices[int(s) + k].as_py()].as_py() for k in range(width) if slot[int(s) + k]] if t else [] for s, t in zip(start, typed, strict=True)]
+    values = [[names[words.indices[int(s) + k].as_py()].as_py() for k in range(width) if typed_kinds[t - 1][2][int(s) + k]] if t else [] for s, t in zip(start, typed, strict=True)]
     return owner[start], start - begin[owner[start]], key.view(np.int64), values
 
 
@@ -154,7 +168,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     lined = matched.select("uid", "doc_id", "item", "total", "key", way, F.size("slots").alias("n_slots"), F.explode_outer(pairs).alias("pair"))
     ways = lined.groupBy("uid", "item", "way").agg(F.collect_set("pair").alias("pairs"))
     fits = ways.where(F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda x: x["a"])))).select("uid", "item", "way")
-    kept = matched.withColumn("way", F.col("pos") - F.col("at")).join(fits, ["uid", "item", "way"], "left_semi")
+    lines = matched.withColumn("way", F.col("pos") - F.col("at"))
+    exact, typed = lines.where(F.size("slots") == 0), lines.where(F.size("slots") > 0)
+    kept = exact.unionByName(typed.join(fits, ["uid", "item", "way"], "left_semi"))
     shares = kept.groupBy("uid", "item").agg((F.count_distinct("at") / F.first("total")).alias("share"))
     bad = shares.groupBy("uid").agg(F.array_sort(F.collect_list(F.when(F.col("share") >= coverage, F.col("item")))).alias("item_ids"), F.max("share").alias("covered"))
     rows = found.groupBy("uid").agg(F.first("doc_id").alias("doc_id")).join(bad, "uid", "left")

@@ -440,3 +440,11 @@ def test_names_around_the_article_set_nothing_apart():
     assert html_extract.text_of(html_extract.blocks_of(page), None).startswith("Short.\n\nMuch longer")
     page = "<body><article><p>The article that has the text.</p></article><div class=comments><article>me too</article></div></body>"
     assert html_extract.text_of(html_extract.blocks_of(page), None) == "The article that has the text."
+
+
+def test_re_parameterised_items_are_found(spark):
+    item = "Tom has thirteen red apples and walks to the old market near the river. Tom gives McDonald 4 of them and keeps the rest for a cake. Later O'Brien buys 4 more apples there and brings them home."
+    docs = [item.replace("Tom", "Anna").replace("thirteen", "sixty-two").replace("McDonald", "Peter").replace("O'Brien", "Mary"), item.replace("4 more", "9 more"), item.replace("Tom", "Anna", 1).upper(), item.upper()]
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = decontaminate.decontaminate(spark.createDataFrame([*enumerate(docs), (9, "Tom has a cake. Tom keeps the rest of it for the river.")], "doc_id long, text string"), items).collect()
+    assert {r["doc_id"]: r["contaminated"] for r in rows} == {0: True, 1: True, 2: True, 3: True, 9: False}
