@@ -2,7 +2,7 @@
 
 A credential has parts: an access identifier, a secret, an endpoint. Strong parts (the base patterns) are always
 reported. Weak parts are reported only where parts that complete them stand in the same scope, an interval of
-``radius`` code points to either side. The interval join is a range window over each text's parts, ordered by start:
+``radius`` code points before its start and after its end. The interval join is a running maximum over each text's parts:
 no pairs are made, and a text with many parts costs its length, not its square.
 
 Defined cases: a null text counts as empty; an empty table gives no rows; each input row gives one row, so repeated
@@ -24,7 +24,7 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{32,}"  # a run of fewer than 32 fails, and nothing inside it can be longer
 #: Weak parts.
 IDENT = r"""(?i)(?<![A-Za-z0-9_])(?:user(?:_?name|_?id)?|login|account|client_?id|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@_.+-]{3,}"""
-BLOB = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,200}[0-9])(?=[0-9+/_=-]{0,200}[A-Za-z])[A-Za-z0-9+/_=-]{20,}"
+BLOB = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"  # with a digit and a letter
 ENDPOINT = r"""[a-z][a-z0-9+.-]{1,15}://[^\x20\x09-\x0D"'<>]+"""
 KINDS = ("assign", "access", "hex", "ident", "blob", "endpoint")
 
@@ -45,7 +45,7 @@ def find_parts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     strong = F.concat("assign", "access", "hex")
     named = (F.size("ident") > 0) | (F.size("access") > 0)
     df = df.withColumn("strong", strong).withColumn("blob", F.when(named, spans_of(t, BLOB)).otherwise(no_spans()))
-    df = df.withColumn("blob", F.filter("blob", lambda b: ~F.exists("strong", lambda x: (x["s"] < b["e"]) & (x["e"] > b["s"]))))
+    df = df.withColumn("blob", F.filter("blob", lambda b: b["v"].rlike("[0-9]") & b["v"].rlike("[A-Za-z]") & ~F.exists("strong", lambda x: (x["s"] < b["e"]) & (x["e"] > b["s"]))))
     def tagged(i: int, kind: str) -> Column:
         return F.transform(kind, lambda x: F.struct(x["s"].cast("long").alias("s"), F.lit(i).alias("k"), x["e"].cast("long").alias("e"), x["v"].alias("v")))
 
@@ -60,11 +60,13 @@ def link(parts: DataFrame, radius: int = 256) -> DataFrame:
     ``struct<s, k, e, v>`` in order; ``k`` counts through KINDS.
     """
     one = parts.select("uid", "doc_id", F.explode_outer("parts").alias("p")).select("uid", "doc_id", "p.*")
-    scope = Window.partitionBy("uid").orderBy("s").rangeBetween(-radius, radius)
-    near = lambda *kinds: F.sum(F.col("k").isin(*(KINDS.index(x) for x in kinds)).cast("int")).over(scope) > 0
+    # each part twice: where it starts, and where its scope ends; there, the furthest end of the parts begun so far tells
+    one = one.withColumn("asks", F.explode(F.array(F.lit(False), F.lit(True)))).withColumn("at", F.when(F.col("asks"), F.col("e") + radius).otherwise(F.col("s")))
+    scope = Window.partitionBy("uid").orderBy("at").rangeBetween(Window.unboundedPreceding, 0)
+    near = lambda *kinds: F.coalesce(F.max(F.when(~F.col("asks") & F.col("k").isin(*(KINDS.index(x) for x in kinds)), F.col("e"))).over(scope) >= F.col("s") - radius, F.lit(False))
     one = one.withColumns({"id_near": near("access", "ident"), "secret_near": near("assign", "hex", "blob")})
     kept = (F.col("k") <= 2) | ((F.col("k") == 3) & F.col("secret_near")) | ((F.col("k") == 4) & F.col("id_near")) | (F.col("id_near") & F.col("secret_near"))
-    return one.groupBy("uid").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.when(kept, F.struct("s", "k", "e", "v")))).alias("spans"))
+    return one.groupBy("uid").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.when(F.col("asks") & kept, F.struct("s", "k", "e", "v")))).alias("spans"))
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 256) -> DataFrame:

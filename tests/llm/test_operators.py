@@ -448,3 +448,11 @@ def test_re_parameterised_items_are_found(spark):
     items = spark.createDataFrame([(1, item)], "item_id long, text string")
     rows = decontaminate.decontaminate(spark.createDataFrame([*enumerate(docs), (9, "Tom has a cake. Tom keeps the rest of it for the river.")], "doc_id long, text string"), items).collect()
     assert {r["doc_id"]: r["contaminated"] for r in rows} == {0: True, 1: True, 2: True, 3: True, 9: False}
+
+
+def test_long_parts_link_by_the_gap_between_them(spark):
+    blob = "Ab1" * 200
+    cases = [f"{blob} user = alice", f"user = alice {blob}", f"{'a1b2' * 100} user = alice", f"user = alice {'x' * 300}1", f"{blob} {'. ' * 140} user = alice"]
+    df = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    got = {r["doc_id"]: [s["kind"] for s in r["spans"]] for r in secret_scan.scan_secrets(df).collect()}
+    assert got == {0: ["blob", "ident"], 1: ["ident", "blob"], 2: ["hex", "ident"], 3: ["ident", "blob"], 4: []}
