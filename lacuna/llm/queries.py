@@ -56,7 +56,7 @@ dup AS (SELECT uid, i FROM (SELECT uid, i, count(*) OVER (PARTITION BY uid, g) A
 rep AS (SELECT uid, count(DISTINCT i + k) AS n_repeat FROM dup, range(0, 8) r(k) GROUP BY uid),
 tok AS (SELECT uid, lang, unnest(words) AS word FROM f),
 tot AS (SELECT lang, count(*) AS total FROM tok GROUP BY lang),
-ref AS (SELECT lang, word, c / total AS q FROM (SELECT lang, word, count(*) AS c, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, word) AS r FROM tok WHERE length(word) <= 6 GROUP BY lang, word) JOIN tot USING (lang) WHERE r <= 24),
+ref AS (SELECT lang, word, c / total AS q FROM (SELECT lang, word, count(*) AS c, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, word) AS r FROM tok GROUP BY lang, word) JOIN tot USING (lang) WHERE r <= 48),
 own AS (SELECT uid, word, count(*) AS c FROM tok GROUP BY uid, word),
 pq AS (SELECT f.uid, coalesce(own.c, 0) / f.n AS p, ref.q FROM f JOIN ref ON ref.lang = f.lang LEFT JOIN own ON own.uid = f.uid AND own.word = ref.word WHERE f.n >= 50),
 whole AS (SELECT uid, p, q FROM pq UNION ALL SELECT uid, 1 - sum(p), greatest(1 - sum(q), 0) FROM pq GROUP BY uid),
