@@ -2,6 +2,10 @@
 
 Matches are ``array<struct<type, value, start, end, confidence, context, rule_idx, seq>>``; offsets are 0-based code
 points, so ``substring(text, start + 1, length(value)) = value``.
+
+Defined cases: null and empty texts have no matches; repeated rows and ids stay apart, each with its own matches; other
+columns stay, whatever their names, but one named like ``out`` is replaced; of equal spans the first in rule order
+stays; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -12,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lacuna.functions.rules import AHEAD, LABELS, NOT_S, ORDER, Rule, RuleSet
-from lacuna.functions.spans import group_spans, no_spans, spans_of
+from lacuna.functions.spans import SPAN, cut, free, group_spans, let, no_spans, scan, spans_of, with_blocks
 from lacuna.operators.company import company_spans
 
 MATCH = "array<struct<type:string,value:string,start:int,end:int,confidence:double,context:string,rule_idx:int,seq:int>>"
@@ -32,59 +36,76 @@ def context(text: Column, start: Column, radius: int = 20) -> Column:
     return F.concat(F.lit("..."), F.substring(text, begin + 1, start + radius - begin), F.lit("..."))
 
 
-def _before(text: Column, start: Column, n: int) -> Column:
+def with_contexts(text: Column, matches: Column, radius: int = 30) -> Column:
+    """The matches with their contexts, cut from the text's blocks."""
+
+    def one(b: Column, m: Column) -> Column:
+        begin = F.greatest(m["start"] - radius, F.lit(0))
+        return m.withField("context", F.concat(F.lit("..."), cut(b, begin, m["start"] + radius - begin), F.lit("...")))
+
+    return let(matches, lambda ms: with_blocks(text, F.size(ms) > 0, lambda b: F.transform(ms, lambda m: one(b, m))))
+
+
+def _before(blocks: Column, start: Column, n: int) -> Column:
     begin = F.greatest(start - n, F.lit(0))
-    return F.substring(text, begin + 1, start - begin)
+    return cut(blocks, begin, start - begin)
 
 
 def _matches(value: Column, pattern: str) -> Column:
     return F.rlike(value, F.lit(pattern))
 
 
-def _phone(text: Column, x: Column) -> Column:
-    left, right = F.when(x["s"] > 0, F.substring(text, x["s"], 1)).otherwise(""), F.substring(text, x["e"] + 1, 1)
-    return ~_matches(left, r"\d") & ~_matches(right, r"\d")
+def _phone(blocks: Column, x: Column) -> Column:
+    return ~_matches(_before(blocks, x["s"], 1), r"\d") & ~_matches(cut(blocks, x["e"], 1), r"\d")
 
 
-def _bank_card(text: Column, x: Column) -> Column:
+def _bank_card(blocks: Column, x: Column) -> Column:
     v, n = x["v"], F.length(x["v"])
-    right = F.substring(text, x["e"] + 1, 1)
-    wrapped = (x["s"] > 0) & (F.substring(text, x["s"], 1) == "（") & (right == "）")
-    wider = F.substring(text, F.greatest(x["s"] - 15, F.lit(0)) + 1, F.least(F.greatest(x["s"] - 1, F.lit(0)), F.lit(14)))
+    right = cut(blocks, x["e"], 1)
+    wrapped = (right == "）") & (_before(blocks, x["s"], 1) == "（")
+    wider = cut(blocks, F.greatest(x["s"] - 15, F.lit(0)), F.least(F.greatest(x["s"] - 1, F.lit(0)), F.lit(14)))
     bad = (n >= 17) & _matches(v, r"^[1-9]\d{5}(?:18|19|20)\d{2}")
     bad = bad | (n.between(17, 19) & _matches(v, r"^9[123]\d+$"))
-    bad = bad | _matches(_before(text, x["s"], 30), URL_BEFORE)
+    bad = bad | _matches(_before(blocks, x["s"], 30), URL_BEFORE)
     bad = bad | (wrapped & ~_matches(wider, ACCOUNT_BEFORE))
     return ~(bad | ((n == 16) & (v.startswith("0") | _matches(right, r"[\dXx]"))))
 
 
-def _amount(text: Column, x: Column) -> Column:
+def _amount(blocks: Column, x: Column) -> Column:
     number = F.regexp_extract(x["v"], r"(\d+(?:\.\d+)?)", 1)
     return _matches(x["v"], UNITS) | (~_matches(x["v"], "合计|小计") & (F.coalesce(number.try_cast("double"), F.lit(0.0)) > 100))
 
 
-def _amount_upper(text: Column, x: Column) -> Column:
-    return ~_matches(x["v"], "^(?:人民币)?[万亿]") & (~x["v"].contains("】") | _before(text, x["s"], 5).contains("【"))
+def _amount_upper(blocks: Column, x: Column) -> Column:
+    return ~_matches(x["v"], "^(?:人民币)?[万亿]") & (~x["v"].contains("】") | _before(blocks, x["s"], 5).contains("【"))
 
 
-def _project(text: Column, x: Column) -> Column:
+def _project(blocks: Column, x: Column) -> Column:
     return ~_matches(x["v"], STORY)
 
 
 FILTERS = {"PHONE": _phone, "BANK_CARD": _bank_card, "AMOUNT": _amount, "AMOUNT_UPPER": _amount_upper, "PROJECT_NAME": _project}
+#: Those that read the text around a value.
+LOOK_AROUND = ("PHONE", "BANK_CARD", "AMOUNT_UPPER")
+
+
+def _filtered(found: Column, type_: str, text: Column) -> Column:
+    keep = FILTERS[type_]
+    if type_ not in LOOK_AROUND:
+        return F.filter(found, lambda x: keep(None, x))
+    return let(found, lambda xs: with_blocks(text, F.size(xs) > 0, lambda b: F.filter(xs, lambda x: keep(b, x))))
 
 
 def _names(spans: Column) -> Column:
     """Names in a row are parted; the first bad one ends the row."""
 
     def parted(x: Column) -> Column:
-        def step(acc: Column, y: Column) -> Column:
-            bad = acc["stop"] | _matches(y["v"], BAD_NAME)
+        def step(stop: Column, y: Column) -> tuple[Column, Column]:
+            bad = stop | _matches(y["v"], BAD_NAME)
             one = F.struct((x["s"] + y["s"]).alias("s"), (x["s"] + y["e"]).alias("e"), y["v"].alias("v"))
-            return F.struct(bad.alias("stop"), F.when(bad, acc["o"]).otherwise(F.concat(acc["o"], F.array(one))).alias("o"))
+            return bad, F.when(bad, no_spans()).otherwise(F.array(one))
 
-        parts = spans_of(x["v"], f"[^{NOT_S}、，；]+")
-        several = F.aggregate(parts, F.struct(F.lit(False).alias("stop"), no_spans().alias("o")), step, lambda acc: acc["o"])
+        several = let(spans_of(x["v"], f"[^{NOT_S}、，；]+"), lambda parts: scan(parts, F.lit(False), step, SPAN)["o"])
         alone = F.array(F.struct(x["s"].alias("s"), x["e"].alias("e"), x["v"].alias("v")))
         return F.when(_matches(x["v"], "[、，；]"), several).when(x["v"].isin(*NOT_NAMES), no_spans()).otherwise(alone)
 
@@ -100,9 +121,12 @@ def _companies(spans: Column, parts: Column) -> Column:
     return F.flatten(F.zip_with(spans, parts, of))
 
 
-def _emitted(text: Column, spans: Column, type_: str, weight: float, idx: int) -> Column:
+def _emitted(spans: Column, type_: str, weight: float, idx: Column | int) -> Column:
+    """Matches without contexts."""
+
     def one(x: Column, i: Column) -> Column:
-        return F.struct(F.lit(type_).alias("type"), x["v"].alias("value"), x["s"].alias("start"), x["e"].alias("end"), F.lit(weight).alias("confidence"), context(text, x["s"], 30).alias("context"), F.lit(idx).alias("rule_idx"), i.alias("seq"))
+        rule = F.lit(idx) if isinstance(idx, int) else idx
+        return F.struct(F.lit(type_).alias("type"), x["v"].alias("value"), x["s"].alias("start"), x["e"].alias("end"), F.lit(weight).alias("confidence"), F.lit(None).cast("string").alias("context"), rule.alias("rule_idx"), i.alias("seq"))
 
     return F.transform(spans, one)
 
@@ -111,17 +135,15 @@ def resolve_overlaps(matches: Column) -> Column:
     """By start, then emit order; of two that overlap the last kept one, the longer stays, the earlier on a tie."""
     ordered = F.transform(matches, lambda m: F.struct(m["start"].alias("k"), m["rule_idx"].alias("r"), m["seq"].alias("q"), m.alias("m")))
     ordered = F.transform(F.array_sort(ordered), lambda x: x["m"])
-    empty = F.array().cast(MATCH)
+    none = F.array().cast(MATCH)
 
-    def step(acc: Column, m: Column) -> Column:
-        last = acc["last"]
+    def step(last: Column, m: Column) -> tuple[Column, Column]:
         apart = last.isNull() | (m["start"] >= last["end"])
         longer = (m["end"] - m["start"]) > (last["end"] - last["start"])
-        done = F.when(apart & last.isNotNull(), F.concat(acc["done"], F.array(last))).otherwise(acc["done"])
-        return F.struct(done.alias("done"), F.when(apart | longer, m).otherwise(last).alias("last"))
+        return F.when(apart | longer, m).otherwise(last), F.when(apart & last.isNotNull(), F.array(last)).otherwise(none)
 
-    start = F.struct(empty.alias("done"), F.lit(None).cast(MATCH[6:-1]).alias("last"))
-    return F.aggregate(ordered, start, step, lambda acc: F.when(acc["last"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["last"]))))
+    walked = let(ordered, lambda ms: scan(ms, F.lit(None).cast(MATCH[6:-1]), step, MATCH))
+    return let(walked, lambda w: F.when(w["c"].isNull(), w["o"]).otherwise(F.concat(w["o"], F.array(w["c"]))))
 
 
 def literal(keyword: str) -> str:
@@ -129,37 +151,54 @@ def literal(keyword: str) -> str:
     return "\\Q" + keyword.replace("\\E", "\\E\\\\E\\Q") + "\\E"
 
 
+#: Up to so many keywords each have an expression of their own.
+FEW_KEYWORDS = 32
+
+
+def _keyword_spans(text: Column, words: Sequence[str], first: int) -> list[Column]:
+    """Matches of keywords: an expression for each of a few, one for all of many."""
+    if len(words) <= FEW_KEYWORDS:
+        return [_emitted(spans_of(text, literal(k), text.contains(k)), "CUSTOM", 0.95, first + i) for i, k in enumerate(words)]
+
+    def of(x: Column) -> Column:
+        def step(p: Column, piece: Column) -> tuple[Column, Column]:
+            s = p + F.length(piece)
+            return s + F.length(x["k"]), F.array(F.struct(s.alias("s"), (s + F.length(x["k"])).alias("e"), x["k"].alias("v")))
+
+        quoted = F.concat(F.lit("\\Q"), F.replace(x["k"], F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+        places = let(F.split(text, quoted, -1), lambda g: scan(F.slice(g, F.lit(1), F.size(g) - 1), F.lit(0), step, SPAN)["o"])
+        return _emitted(places, "CUSTOM", 0.95, x["i"])
+
+    listed = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(first + i).alias("i")) for i, k in enumerate(words)))
+    return [F.flatten(F.transform(F.filter(listed, lambda x: F.contains(text, x["k"])), of))]
+
+
 def detect(df: DataFrame, text_col: str = "text", rules: RuleSet | Sequence[Rule] = RuleSet(), keywords: Sequence[str] = (), min_confidence: float = 0.0, include_disabled: bool = False, out: str = "matches") -> DataFrame:
-    """The input and ``out``: all spans of the rules and keywords, filtered, overlaps resolved. Null texts have none.
+    """The input and ``out``: all spans of the rules and keywords, filtered, overlaps resolved.
 
     Keywords count as they stand, in their order, blanks left out; they come after all rules and know no confidence
     threshold.
     """
     active = (rules if isinstance(rules, RuleSet) else RuleSet(tuple(rules))).active(min_confidence, include_disabled)
-    t = F.col("__t")
-    df = df.withColumn("__t", F.coalesce(F.col(text_col), F.lit("")))
+    own = {k: free(df, f"__{k}") for k in ("text", *(f"{c}{i}" for c in "rc" for i in range(len(active))))}
+    t = F.col(own["text"])
+    df = df.withColumn(own["text"], F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     raw = {}
     for i, r in enumerate(active):
-        trigger = _matches(t, r.trigger) if r.trigger else F.lit(True)
+        trigger = _matches(t, r.trigger) if r.trigger else None
         found = group_spans(t, r.pattern, 1, trigger, r.group == AHEAD) if r.group else spans_of(t, r.pattern, trigger)
         found = F.filter(found, lambda x: x["e"] > x["s"])
-        if keep := FILTERS.get(r.type):
-            found = _filtered(found, keep, t)
-        raw[f"__r{i}"] = _names(found) if r.type == "NAME" else found
+        found = _filtered(found, r.type, t) if r.type in FILTERS else found
+        raw[own[f"r{i}"]] = _names(found) if r.type == "NAME" else found
     df = df.withColumns(raw) if raw else df
     companies = [i for i, r in enumerate(active) if r.type == "COMPANY"]
     if companies:
-        df = df.withColumns({f"__c{i}": company_spans(F.transform(f"__r{i}", lambda x: x["v"])) for i in companies})
-    parts = [_emitted(t, _companies(F.col(f"__r{i}"), F.col(f"__c{i}")) if i in companies else F.col(f"__r{i}"), r.type, r.weight, i) for i, r in enumerate(active)]
-    words = [k for k in dict.fromkeys(keywords) if k.strip()]
-    parts += [_emitted(t, spans_of(t, literal(k), t.contains(k)), "CUSTOM", 0.95, len(active) + i) for i, k in enumerate(words)]
-    df = df.withColumn("__all", F.concat(*parts) if parts else F.array().cast(MATCH))
-    df = df.withColumn(out, F.when(F.size("__all") > 1, resolve_overlaps(F.col("__all"))).otherwise(F.col("__all")))
-    return df.drop("__t", "__all", *raw, *(f"__c{i}" for i in companies))
-
-
-def _filtered(found: Column, keep, text: Column) -> Column:
-    return F.filter(found, lambda x: keep(text, x))
+        df = df.withColumns({own[f"c{i}"]: company_spans(F.transform(own[f"r{i}"], lambda x: x["v"])) for i in companies})
+    parts = [_emitted(_companies(F.col(own[f"r{i}"]), F.col(own[f"c{i}"])) if i in companies else F.col(own[f"r{i}"]), r.type, r.weight, i) for i, r in enumerate(active)]
+    parts += _keyword_spans(t, [k for k in dict.fromkeys(keywords) if k.strip()], len(active))
+    whole = F.concat(*parts) if parts else F.array().cast(MATCH)
+    kept = let(whole, lambda ms: F.when(F.size(ms) > 1, resolve_overlaps(ms)).otherwise(ms))
+    return df.withColumn(out, with_contexts(t, kept)).drop(*own.values())
 
 
 def exploded(df: DataFrame, id_col: str = "doc_id", matches: str = "matches") -> DataFrame:

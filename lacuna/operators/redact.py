@@ -1,4 +1,9 @@
-"""Redaction, masks and restore. Folds over a row's sorted spans; no shuffle. A long form by windows serves giants."""
+"""Redaction, masks and restore. Folds over a row's sorted spans, in time with the text and its result; no shuffle.
+
+Defined cases: a null text counts as empty; null matches, and matches without a place, replace nothing; a null mapping
+restores nothing, and a null redacted text stays null; repeated rows stay apart; other columns stay, whatever their
+names; an empty table gives no rows.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lacuna.functions.rules import LABELS
+from lacuna.functions.spans import cut, free, let, scan, with_blocks
 
 ENTRY = "array<struct<idx:int,type:string,originalValue:string,maskedToken:string,start:int,end:int>>"
 END = 2147483647
@@ -38,29 +44,34 @@ def partial_mask(type_: Column, value: Column) -> Column:
 
 
 def _fold(text: Column, matches: Column, token) -> Column:
-    """``struct<o, map, ...>`` of the cursor walk: pieces of the redacted text and the mapping; skipped spans count in idx."""
+    """``struct<c<p, r>, o>`` of the cursor walk: the end of the last replaced span here and in the result, and of each one the text before it, its token and its entry; skipped spans count in idx."""
     ordered = F.transform(F.array_sort(F.transform(matches, lambda m, i: F.struct(m["start"].alias("k"), i.alias("i"), m.alias("m")))), lambda x, i: F.struct(x["m"].alias("m"), i.alias("i")))
+    kind = f"array<struct<gap:string,token:string,entry:{ENTRY[6:-1]}>>"
 
-    def step(acc: Column, x: Column) -> Column:
-        m, skip = x["m"], (x["m"]["start"] < acc["p"]) | (x["m"]["end"] < x["m"]["start"])
-        gap = F.substring(text, acc["p"] + 1, m["start"] - acc["p"])
-        new = token(m, x["i"])
-        at = acc["r"] + m["start"] - acc["p"]
-        entry = F.struct(x["i"].alias("idx"), m["type"].alias("type"), m["value"].alias("originalValue"), new.alias("maskedToken"), at.alias("start"), (at + F.length(new)).alias("end"))
-        moved = F.struct(m["end"].alias("p"), (at + F.length(new)).alias("r"), F.concat(acc["o"], F.array(gap, new)).alias("o"), F.concat(acc["map"], F.array(entry)).alias("map"))
-        return F.when(skip, acc).otherwise(moved)
+    def step(b: Column, at: Column, x: Column) -> tuple[Column, Column]:
+        m, skip = x["m"], (x["m"]["start"] < at["p"]) | (x["m"]["end"] < x["m"]["start"]) | x["m"]["start"].isNull() | x["m"]["end"].isNull()
+        size = F.length(token(m, x["i"]))
+        begin = at["r"] + m["start"] - at["p"]
+        made = let(token(m, x["i"]), lambda new: F.struct(cut(b, at["p"], m["start"] - at["p"]).alias("gap"), new.alias("token"), F.struct(x["i"].alias("idx"), m["type"].alias("type"), m["value"].alias("originalValue"), new.alias("maskedToken"), begin.alias("start"), (begin + F.length(new)).alias("end")).alias("entry")))
+        moved = F.struct(m["end"].alias("p"), (begin + size).alias("r"))
+        return F.when(skip, at).otherwise(moved), F.when(skip, F.array().cast(kind)).otherwise(F.array(made))
 
-    start = F.struct(F.lit(0).alias("p"), F.lit(0).alias("r"), F.array().cast("array<string>").alias("o"), F.array().cast(ENTRY).alias("map"))
-    return F.aggregate(ordered, start, step)
+    start = F.struct(F.lit(0).alias("p"), F.lit(0).alias("r"))
+    return let(ordered, lambda ms: with_blocks(text, F.size(ms) > 0, lambda b: scan(ms, start, lambda at, x: step(b, at, x), kind)))
 
 
 def redact(df: DataFrame, text_col: str = "text", matches: str = "matches", token=None) -> DataFrame:
-    """The input, ``redacted_text`` and ``mapping`` (places in the redacted text). ``token(match, idx)`` gives the replacement."""
-    token = token or (lambda m, i: display_token(m["value"], i))
-    t = F.coalesce(F.col(text_col), F.lit(""))
-    df = df.withColumn("__w", _fold(t, F.col(matches), token))
-    rest = F.substring(t, F.col("__w.p") + 1, F.lit(END))
-    return df.withColumns({"redacted_text": F.concat(F.array_join("__w.o", ""), rest), "mapping": F.col("__w.map")}).drop("__w")
+    """The input, ``redacted_text`` and ``mapping`` (places in the redacted text). ``token(match, idx)`` gives the
+    replacement; that of its own accord grows with idx, so texts with very many spans want another (``redact_typed``)."""
+    own = token or (lambda m, i: display_token(m["value"], i))
+    full = lambda m, i: F.coalesce(own(m, i), F.lit(""))
+    t, walk = F.coalesce(F.col(text_col), F.lit("")), free(df, "__walk")
+    # rows without matches, null arrays too, keep their text
+    listed = F.filter(F.coalesce(F.col(matches), F.array()), lambda m: m.isNotNull())
+    df = df.withColumn(walk, _fold(t, listed, full))
+    head = F.array_join(F.transform(F.col(f"{walk}.o"), lambda x: F.concat(x["gap"], x["token"])), "")
+    rest = F.substring(t, F.col(f"{walk}.c.p") + 1, F.lit(END))
+    return df.withColumns({"redacted_text": F.concat(head, rest), "mapping": F.transform(F.col(f"{walk}.o"), lambda x: x["entry"])}).drop(walk)
 
 
 def redact_typed(df: DataFrame, **options: str) -> DataFrame:
@@ -90,18 +101,41 @@ def redact_long(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
 
 
 def restored(text: Column, mapping: Column) -> Column:
-    """The original text: entries by start descending put back by place alone; bad places are skipped."""
+    """The original text: entries by start descending put back by place alone; bad places, and entries without a place or
+    a value, are skipped. A null mapping restores nothing.
+
+    Entries that lie apart, as redaction makes them, are put back in one walk; others one by one, each on the text that
+    the ones before left.
+    """
 
     def key(x: Column) -> Column:
-        return F.struct((-x["start"].cast("double")).alias("k"), x["start"].alias("s"), x["end"].alias("e"), x["originalValue"].alias("v"))
+        return F.struct((-x["start"].cast("double")).alias("k"), x["start"].cast("double").alias("s"), x["end"].cast("double").alias("e"), x["originalValue"].alias("v"))
 
     def step(acc: Column, x: Column) -> Column:
-        s, e = x["s"].cast("double"), x["e"].cast("double")
-        bad = s.isNull() | e.isNull() | F.isnan(s) | F.isnan(e) | (s < 0) | (e > F.length(acc)) | (s > e)
-        whole = F.concat(F.substring(acc, F.lit(1), s.cast("int")), x["v"], F.substring(acc, e.cast("int") + 1, F.lit(END)))
+        bad = F.isnan(x["s"]) | F.isnan(x["e"]) | (x["s"] < 0) | (x["e"] > F.length(acc)) | (x["s"] > x["e"])
+        whole = F.concat(F.substring(acc, F.lit(1), x["s"].cast("int")), x["v"], F.substring(acc, x["e"].cast("int") + 1, F.lit(END)))
         return F.when(bad, acc).otherwise(whole)
 
-    return F.aggregate(F.array_sort(F.transform(mapping, key)), text, step)
+    def good(n: Column, acc: Column, x: Column) -> Column:
+        """The start of the last entry if all so far lie apart, else null."""
+        fine = ~F.isnan(x["s"]) & ~F.isnan(x["e"]) & (x["s"] >= 0) & (x["s"] <= x["e"]) & (x["e"] <= F.least(acc, n)) & (F.floor(x["s"]) < acc)
+        return F.when(fine, F.floor(x["s"]).cast("double"))
+
+    def put(b: Column, p: Column, x: Column) -> tuple[Column, Column]:
+        s = x["s"].cast("int")
+        return x["e"].cast("int"), F.array(cut(b, p, s - p), x["v"])
+
+    def walked(b: Column, xs: Column) -> Column:
+        whole = scan(F.reverse(xs), F.lit(0), lambda p, x: put(b, p, x), "array<string>")
+        return let(whole, lambda w: F.concat(F.array_join(w["o"], ""), F.substring(text, w["c"] + 1, F.lit(END))))
+
+    def of(xs: Column) -> Column:
+        # the last entry may end where the text does, even if it is empty
+        apart = let(F.length(text).cast("double"), lambda n: F.aggregate(xs, n + 0.5, lambda acc, x: good(n, acc, x))).isNotNull()
+        return F.when(apart, with_blocks(text, F.size(xs) > 0, lambda b: walked(b, xs))).otherwise(F.aggregate(xs, text, step))
+
+    listed = F.filter(F.coalesce(mapping, F.array()), lambda x: x["start"].isNotNull() & x["end"].isNotNull() & x["originalValue"].isNotNull())
+    return let(F.array_sort(F.transform(listed, key)), of)
 
 
 def restore(df: DataFrame, text_col: str = "redacted_text", mapping: str = "mapping", out: str = "restored_text") -> DataFrame:
@@ -110,14 +144,16 @@ def restore(df: DataFrame, text_col: str = "redacted_text", mapping: str = "mapp
 
 def round_trip(df: DataFrame, text_col: str = "text", out: str = "round_trip_ok") -> DataFrame:
     """The input and ``out``: whether the restored text is the source, and no original stands at its place in the redacted text."""
-    kept = F.exists("mapping", lambda x: F.substring(F.col("redacted_text"), x["start"] + 1, x["end"] - x["start"]) == x["originalValue"])
-    same = restored(F.col("redacted_text"), F.col("mapping")) == F.coalesce(F.col(text_col), F.lit(""))
+    red, entries = F.col("redacted_text"), F.coalesce(F.col("mapping"), F.array())
+    kept = with_blocks(red, F.size(entries) > 0, lambda b: F.exists(entries, lambda x: F.coalesce(cut(b, x["start"], x["end"] - x["start"]) == x["originalValue"], F.lit(False))))
+    same = restored(red, F.col("mapping")) == F.coalesce(F.col(text_col), F.lit(""))
     return df.withColumn(out, same & ~kept)
 
 
 def verify_round_trip(df: DataFrame, text_col: str = "text") -> DataFrame:
     """Rows that fail the round trip."""
-    return round_trip(df, text_col, "__ok").where(~F.col("__ok")).drop("__ok")
+    ok = free(df, "__ok")
+    return round_trip(df, text_col, ok).where(~F.col(ok)).drop(ok)
 
 
 def replace_range(text: Column, start: Column, end: Column, replacement: Column) -> Column:
