@@ -129,7 +129,8 @@ def group_spans(text: Column, pattern: str, group: int = 1, guard: Column | None
 
 
 def _guarded(text: Column, pieces: Column, step: Callable[[Column, Column], tuple[Column, Column]], guard: Column | None) -> Column:
-    found = let(pieces, lambda x: F.when(F.size(x) > 1, scan(x, F.lit(0), step, SPAN)["o"]).otherwise(no_spans()))
+    # a single match, which most rows have, needs no fold
+    found = let(pieces, lambda x: F.when(F.size(x) == 2, step(F.lit(0), F.get(x, F.lit(0)))[1]).when(F.size(x) > 2, scan(x, F.lit(0), step, SPAN)["o"]).otherwise(no_spans()))
     return F.coalesce(found if guard is None else F.when(guard, found), no_spans())
 
 
