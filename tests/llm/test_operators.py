@@ -409,14 +409,14 @@ def test_decontamination(spark, edge, empty):
 
 def test_article_headers_stay_and_comments_go():
     page = '<body><article class="side-by-side"><header><h1>Title</h1></header><div class="entry-header">Lead</div><p>Body text of the article.</p><section class="comments"><p>me too</p></section><footer>share</footer></article></body>'
-    assert html_extract.text_of(html_extract.blocks_of(page), None) == "Title\n\nLead\n\nBody text of the article."
+    assert html_extract.text_of(html_extract.read_page(page), None) == "Title\n\nLead\n\nBody text of the article."
 
 
 @pytest.mark.parametrize("part", ["<datalist><option value=a><option value=b></datalist>", "<div><button>Share</div>", "<div><select><option>One</div>", "<svg><path d=x>", "<object><object>in</object>in</object>", "<div><video src=x></div>"])
 def test_missing_end_tags_cut_nothing(part):
     page = f"<body><article><p>Before.</p>{part}<p>After it.</p></article><p>Last <button>x</button> words.</p></body>"
-    assert html_extract.text_of(html_extract.blocks_of(page.replace("<p>Last <button>x</button> words.</p>", "")), None) == "Before.\n\nAfter it."
-    assert [b[0] for b in html_extract.blocks_of(page)][-1] == "Last words."
+    assert html_extract.text_of(html_extract.read_page(page.replace("<p>Last <button>x</button> words.</p>", "")), None) == "Before.\n\nAfter it."
+    assert html_extract.read_page(page).blocks[-1][0] == "Last words."
 
 
 def test_all_main_text_stays_on_hosts_of_several_templates(spark):
@@ -432,14 +432,14 @@ def test_all_main_text_stays_on_hosts_of_several_templates(spark):
 @pytest.mark.parametrize("start", ["class=has-sidebar", "class='no-sidebar wide'", "class=header-fixed", "class=legal-news", "class=search-result", "class=with-comments", "aria-hidden='false'", "data-id=menu", "title='what is hidden here'", "class=sidebar"])
 def test_loose_names_set_no_text_apart(start):
     page = f"<body><div {start}><p>The main text of the page.</p><p>More of it.</p></div><div class=site-footer>bye</div><div aria-hidden=true>unseen</div></body>"
-    assert html_extract.text_of(html_extract.blocks_of(page), None) == "The main text of the page.\n\nMore of it."
+    assert html_extract.text_of(html_extract.read_page(page), None) == "The main text of the page.\n\nMore of it."
 
 
 def test_names_around_the_article_set_nothing_apart():
     page = "<body><div class=sidebar><article><p>Short.</p></article></div><div><p>Much longer text that stands elsewhere.</p></div><div class=comments><article>me too</article></div></body>"
-    assert html_extract.text_of(html_extract.blocks_of(page), None).startswith("Short.\n\nMuch longer")
+    assert html_extract.text_of(html_extract.read_page(page), None).startswith("Short.\n\nMuch longer")
     page = "<body><article><p>The article that has the text.</p></article><div class=comments><article>me too</article></div></body>"
-    assert html_extract.text_of(html_extract.blocks_of(page), None) == "The article that has the text."
+    assert html_extract.text_of(html_extract.read_page(page), None) == "The article that has the text."
 
 
 def test_re_parameterised_items_are_found(spark):
@@ -456,3 +456,68 @@ def test_long_parts_link_by_the_gap_between_them(spark):
     df = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
     got = {r["doc_id"]: [s["kind"] for s in r["spans"]] for r in secret_scan.scan_secrets(df).collect()}
     assert got == {0: ["blob", "ident"], 1: ["ident", "blob"], 2: ["hex", "ident"], 3: ["ident", "blob"], 4: []}
+
+
+@pytest.mark.parametrize(("page", "text"), [("<a " * 350_000 + "<p>end", "end"), ('<a "' * 250_000 + "<p>end", "end"), ("<div>" * 50_000 + "deep", "deep"), ("<div class=c><p>x" * 20_000, "\n\n".join(["x"] * 20_000)), ("<td><p>" * 50_000 + "cell", "cell"), ("<svg><p>" * 30_000 + "drawn", "drawn"), ("<div class=menu>" * 30_000 + "kept", "kept"), ("&amp;" * 200_000, "&" * 200_000), ("<p>" + "word " * 200_000, "word " * 199_999 + "word"), ("<script>" + "</scrip" * 200_000, ""), ("<p>kept<b>" * 50_000, "\n\n".join(["kept"] * 50_000))])
+def test_long_and_deep_pages_are_read_in_time(page, text):
+    import time
+
+    began = time.time()
+    read = html_extract.read_page(page)
+    votes = html_extract.votes_of(read)
+    assert html_extract.text_of(read, votes[0][0] if votes else None) == text
+    assert time.time() - began < 5
+
+
+@pytest.mark.parametrize("classes", ["site has-sidebar", "legal-analysis", "search-results", "social-policy"])
+def test_wrappers_keep_sibling_sections(classes):
+    page = f'<body><div id="page" class="{classes}"><article><section><p>Main story begins here.</p></section><section><p>And goes on, with far more text than the first part of it had to say.</p></section></article></div><footer>bye</footer></body>'
+    assert html_extract.text_of(html_extract.read_page(page), None) == "Main story begins here.\n\nAnd goes on, with far more text than the first part of it had to say."
+
+
+def test_consensus_against_brute_force(spark):
+    """Votes, winners and texts of random pages by plain dictionaries of whole path strings."""
+    rng = random.Random(12)
+    shapes = ["<div class=story>{}</div>", "<article>{}</article>", "<section class=s1>{}</section>", "<div class=story><div class=body>{}</div></div>"]
+    rows = []
+    for i in range(160):
+        words = lambda n: " ".join(rng.choice("alpha beta gamma delta".split()) for _ in range(n))
+        main = rng.choice(shapes[:3] if i % 2 else shapes).format("".join(f"<p>{words(rng.randint(1, 9))}</p>" for _ in range(rng.randint(1, 4))))
+        side = rng.choice(["", "<aside><p>side words</p></aside>", f"<div class=more><p>{words(3)}</p></div>", "<nav>menu</nav>"])
+        rows.append((i, f"https://h{i % 5}.example/{i}", f"<html><body>{main}{side}</body></html>"))
+
+    def containers(page):
+        """Of each block: its text, all paths around it, and whether it is apart, from the page's own tags."""
+        stack, out = [], []
+        for tag, name, text in re.findall(r"<(/?\w+)(?: class=(\w+))?>|([^<>]+)", page):
+            if text:
+                kinds = [t for t, _ in stack]
+                held = ["/" + "/".join(n for _, n in stack[: k + 1] if n) for k, (t, n) in enumerate(stack) if n]
+                out.append((text, held, "aside" in kinds or "nav" in kinds))
+            elif tag[0] == "/":
+                stack.pop()
+            else:
+                stack.append((tag, "" if tag == "p" else f"{tag}.{re.sub('[0-9]', '', name)}" if name else tag))
+        return out
+
+    read = {i: (url.split("/")[2], containers(page)) for i, url, page in rows}
+    votes, templates = collections.defaultdict(collections.Counter), collections.defaultdict(collections.Counter)
+    weight, best_of, kind_of = collections.Counter(), {}, {}
+    for i, (host, blocks) in read.items():
+        total = sum(len(t) for t, _, away in blocks if not away)
+        full = [p for p in {p for _, held, _ in blocks for p in held} if sum(len(t) for t, held, away in blocks if p in held and not away) == total]
+        best_of[i], kind_of[i] = max(full, key=len), frozenset(p for _, held, _ in blocks for p in held)
+        for key, table in (((host,), votes), ((host, kind_of[i]), templates)):
+            table[key][best_of[i]] += 1
+            weight[key, best_of[i]] += total
+    winner = {key: max(c, key=lambda p: (c[p], weight[key, p], p)) for table in (votes, templates) for key, c in table.items()}
+    common = {host: {k for k in sorted((k for k in templates if k[0] == host and sum(templates[k].values()) >= 2), key=lambda k: -sum(templates[k].values()))} for host in {h for h, _ in read.values()}}
+    assert all(len(v) <= 30 for v in common.values())
+    got = {r["page_id"]: r for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), max_templates=30).collect()}
+    for i, (host, blocks) in read.items():
+        key = (host, kind_of[i])
+        own = winner[key] if key in common[host] else winner[(host,)]
+        holds = all(own in held for _, held, away in blocks if not away)
+        chosen = own if key in common[host] or holds else best_of[i]
+        assert got[i]["path"] == winner[(host,)]
+        assert got[i]["text"] == "\n\n".join(t for t, held, away in blocks if chosen in held and not away)
