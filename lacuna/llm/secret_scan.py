@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lacuna.functions.spans import no_spans, spans_of
+from lacuna.functions.spans import SPAN, let, no_spans, scan, spans_of
 from lacuna.llm.common import keyed
 
 #: The base patterns.
@@ -29,6 +29,18 @@ ENDPOINT = r"""[a-z][a-z0-9+.-]{1,15}://[^\x20\x09-\x0D"'<>]+"""
 KINDS = ("assign", "access", "hex", "ident", "blob", "endpoint")
 
 
+def apart_from(blobs: Column, strong: Column) -> Column:
+    """The blobs that overlap no strong part: strong parts by their start, blobs by their end, and the furthest end so far."""
+    event = lambda at, kind, x: F.struct(x[at].alias("at"), F.lit(kind).alias("k"), x["s"].alias("s"), x["e"].alias("e"), x["v"].alias("v"))
+    events = F.array_sort(F.concat(F.transform(blobs, lambda x: event("e", 0, x)), F.transform(strong, lambda x: event("s", 1, x))))
+
+    def step(reach: Column, x: Column) -> tuple[Column, Column]:
+        kept = (x["k"] == 0) & (reach <= x["s"])
+        return F.when(x["k"] == 1, F.greatest(reach, x["e"])).otherwise(reach), F.when(kept, F.array(F.struct(x["s"].alias("s"), x["e"].alias("e"), x["v"].alias("v")))).otherwise(no_spans())
+
+    return F.when((F.size(blobs) > 0) & (F.size(strong) > 0), let(events, lambda es: scan(es, F.lit(0), step, SPAN)["o"])).otherwise(blobs)
+
+
 def find_parts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``uid, doc_id, parts``: each text's strong and weak parts, not linked yet. Narrow."""
     df = keyed(docs, id_col, text_col)
@@ -45,7 +57,9 @@ def find_parts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     strong = F.concat("assign", "access", "hex")
     named = (F.size("ident") > 0) | (F.size("access") > 0)
     df = df.withColumn("strong", strong).withColumn("blob", F.when(named, spans_of(t, BLOB)).otherwise(no_spans()))
-    df = df.withColumn("blob", F.filter("blob", lambda b: b["v"].rlike("[0-9]") & b["v"].rlike("[A-Za-z]") & ~F.exists("strong", lambda x: (x["s"] < b["e"]) & (x["e"] > b["s"]))))
+    df = df.withColumn("blob", F.filter("blob", lambda b: b["v"].rlike("[0-9]") & b["v"].rlike("[A-Za-z]")))
+    df = df.withColumn("blob", apart_from(F.col("blob"), F.col("strong")))
+
     def tagged(i: int, kind: str) -> Column:
         return F.transform(kind, lambda x: F.struct(x["s"].cast("long").alias("s"), F.lit(i).alias("k"), x["e"].cast("long").alias("e"), x["v"].alias("v")))
 
