@@ -20,8 +20,8 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.functions.spans import spans_of
-from lacuna.llm.common import keyed
+from lacuna.functions.spans import cut, let, scan, spans_of, with_blocks
+from lacuna.llm.common import keyed, written
 
 #: The base patterns, with start guards and possessive loops that keep the same matches in linear time.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -81,7 +81,7 @@ def strictly_valid(kind: str, v: Column) -> Column:
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``uid, doc_id, text, row, base, found``: the base spans, and every candidate with its code and label; ``row`` holds the input's columns. Narrow."""
+    """``uid, doc_id, row, base, found``: the base spans, and every candidate with its code, its label and whether it is a base span; ``row`` holds the input's columns. Narrow."""
     t = F.col("text")
     df = keyed(docs, id_col, text_col, F.struct("*").alias("row")).withColumns({"at": t.contains("@"), "number": F.rlike(t, F.lit("[0-9]{2}|[0-9][\x20.-][0-9]"))})
     digits = F.col("number")
@@ -98,23 +98,23 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     df = df.withColumns({f"ok_{k}": kept(k) for k in BASE})
     n_base = sum(F.size(f"ok_{k}") for k in BASE)
 
-    def described(kind: str) -> Column:
+    def described(blocks: Column, kind: str) -> Column:
         def one(x: Column) -> Column:
             v = x["v"]
             d = F.length(digits_of(v))
-            left = F.substring(t, x["s"], 1)
-            right = F.substring(t, x["e"] + 1, 1)
+            before = lambda n: cut(blocks, F.greatest(x["s"] - n, F.lit(0)), F.least(x["s"], F.lit(n)))
+            right = cut(blocks, x["e"], 1)
             side = lambda c: F.when(F.rlike(c, F.lit(r"[\p{L}\p{N}]")), 2).when(F.rlike(c, F.lit(r"[^\s,;:()]")), 1).otherwise(0)
             parts = [
                 F.lit(KINDS.index(kind)), F.when(F.length(v) < 11, 0).when(F.length(v) < 15, 1).when(F.length(v) < 21, 2).otherwise(3),
                 F.least(F.floor(d * 4 / F.length(v)), F.lit(3)).cast("int"), F.least(F.floor(F.length(F.regexp_replace(v, "[A-Za-z0-9]+", "")) / 2), F.lit(2)).cast("int"),
-                F.when(x["s"] == 0, 0).otherwise(side(left)), side(right),
-                F.rlike(F.substring(t, F.greatest(x["s"] - 23, F.lit(1)), F.least(x["s"], F.lit(24))), F.lit(CUES)).cast("int"), (n_base > 1).cast("int"),
+                F.when(x["s"] == 0, 0).otherwise(side(before(1))), side(right),
+                F.rlike(before(24), F.lit(CUES)).cast("int"), (n_base > 1).cast("int"),
             ]
             code = F.lit(0)
             for part, size in zip(parts, SIZES, strict=True):
                 code = code * size + part
-            return F.struct(x["s"].alias("s"), F.lit(KINDS.index(kind)).alias("k"), x["e"].alias("e"), v.alias("v"), code.cast("int").alias("code"), F.coalesce(strictly_valid(kind, v), F.lit(False)).alias("label"))
+            return F.struct(x["s"].alias("s"), F.lit(KINDS.index(kind)).alias("k"), x["e"].alias("e"), v.alias("v"), code.cast("int").alias("code"), F.coalesce(strictly_valid(kind, v), F.lit(False)).alias("label"), (F.coalesce(base_valid(kind, v), F.lit(False)) if kind in BASE else F.lit(False)).alias("base"))
 
         of = F.filter(f"raw_{kind}", lambda x: F.length(digits_of(x["v"])).between(9, 21)) if kind == "card" else F.col(f"raw_{kind}")
         return F.transform(of, one)
@@ -122,7 +122,9 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     def plain(kind: str) -> Column:
         return F.transform(f"ok_{kind}", lambda x: F.struct(x["s"].alias("s"), F.lit(KINDS.index(kind)).alias("k"), x["e"].alias("e"), x["v"].alias("v")))
 
-    return df.select("uid", "doc_id", "text", "row", F.concat(*map(plain, BASE)).alias("base"), F.concat(*map(described, KINDS)).alias("found"))
+    some = sum(F.size(f"raw_{k}") for k in KINDS) > 0
+    every = with_blocks(t, some, lambda b: F.concat(*(described(b, k) for k in KINDS)))
+    return df.select("uid", "doc_id", "row", F.concat(*map(plain, BASE)).alias("base"), every.alias("found"))
 
 
 class Boosted:
@@ -220,7 +222,7 @@ class Boosted:
         return total
 
     def selected(self) -> set[int]:
-        """The codes whose candidates are redacted."""
+        """The codes whose candidates are redacted, for a look at what was learned."""
         every = product(*map(range, SIZES))
         out = set()
         for code, f in enumerate(every):
@@ -235,38 +237,41 @@ def fit(found: DataFrame, **options: float) -> Boosted:
     return Boosted({r["code"]: (r["n"], r["y"]) for r in one.collect()}, **options)
 
 
-def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Boosted | None = None) -> DataFrame:
-    """``doc_id, text, row, spans``: one row for each input row; spans are ``struct<kind, start, end, value>`` by start, then kind; ``row`` holds the input's columns."""
-    found = candidates(docs, id_col, text_col)
+def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Boosted | None = None, rows: bool = False) -> DataFrame:
+    """``doc_id, spans``, with ``rows`` also ``row``: one row for each input row; spans are ``struct<kind, start, end,
+    value>`` by start, then kind; ``row`` holds the input's columns.
+
+    The texts are searched once: the coded candidates are written to the shared folder, and what is learned from them is
+    applied to them.
+    """
+    found = written(candidates(docs, id_col, text_col).select("doc_id", *(["row"] if rows else []), "base", "found"), "candidates")
     model = model or fit(found)
-    cut = F.create_map(*(F.lit(x) for kv in (model.cuts or {-1: 0.0}).items() for x in kv))
+    cuts = F.create_map(*(F.lit(x) for kv in (model.cuts or {-1: 0.0}).items() for x in kv))
 
     def added(c: Column) -> Column:
-        in_base = F.exists("base", lambda b: (b["k"] == c["k"]) & (b["s"] < c["e"]) & (b["e"] > c["s"]))
-        return ~in_base & F.coalesce(model.score(c["code"]) >= F.element_at(cut, c["k"]), F.lit(False))
+        return ~c["base"] & F.coalesce(model.score(c["code"]) >= F.element_at(cuts, c["k"]), F.lit(False))
 
     kind = lambda c: F.when(c["k"] < len(BASE), c["k"] + len(KINDS)).otherwise(c["k"])
     more = F.transform(F.filter("found", added), lambda c: F.struct(c["s"].alias("s"), kind(c).alias("k"), c["e"].alias("e"), c["v"].alias("v")))
     name = F.array(*map(F.lit, NAMES))
     shaped = lambda x: F.struct(F.element_at(name, x["k"] + 1).alias("kind"), x["s"].alias("start"), x["e"].alias("end"), x["v"].alias("value"))
-    return found.select("doc_id", "text", "row", F.transform(F.array_sort(F.concat("base", more)), shaped).alias("spans"))
+    return found.select("doc_id", *(["row"] if rows else []), F.transform(F.array_sort(F.concat("base", more)), shaped).alias("spans"))
 
 
 def redacted(text: Column, spans: Column) -> Column:
     """The text with each group of overlapping spans replaced by [KIND] of the first."""
 
-    def step(acc: Column, x: Column) -> Column:
-        gap = F.substring(text, acc["p"] + 1, x["start"] - acc["p"])
-        out = F.concat(acc["o"], F.array(gap, F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]"))))
-        inside = x["start"] < acc["p"]
-        return F.struct(F.greatest(x["end"], acc["p"]).alias("p"), F.when(inside, acc["o"]).otherwise(out).alias("o"))
+    def step(b: Column, p: Column, x: Column) -> tuple[Column, Column]:
+        new = F.array(cut(b, p, x["start"] - p), F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]")))
+        return F.greatest(x["end"], p), F.when(x["start"] < p, F.array().cast("array<string>")).otherwise(new)
 
-    start = F.struct(F.lit(0).alias("p"), F.array().cast("array<string>").alias("o"))
-    whole = F.aggregate(spans, start, step, lambda acc: F.concat(F.array_join(acc["o"], ""), F.substring(text, acc["p"] + 1, 2147483647)))
+    walked = let(spans, lambda xs: with_blocks(text, F.size(xs) > 0, lambda b: scan(xs, F.lit(0), lambda p, x: step(b, p, x), "array<string>")))
+    whole = let(walked, lambda w: F.concat(F.array_join(w["o"], ""), F.substring(text, w["c"] + 1, F.lit(2147483647))))
     return F.when(F.size(spans) > 0, whole).otherwise(text)
 
 
 def redact_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Boosted | None = None) -> DataFrame:
     """The input's columns, with all spans of the text replaced by their kinds; null texts stay null."""
-    found = find_pii(docs, id_col, text_col, model).withColumn("text", redacted(F.col("text"), F.col("spans")))
-    return found.select(*(F.when(F.col("row")[c].isNotNull(), F.col("text")).alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns))
+    found = find_pii(docs, id_col, text_col, model, rows=True)
+    clean = redacted(F.col("row")[text_col].cast("string"), F.col("spans"))
+    return found.select(*(clean.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns))
