@@ -6,10 +6,13 @@ neighbouring words are learned with them, on sequences in which stretches of dif
 Forward-backward gives each word its label probabilities; a text's language is the one with most probability over its
 words with letters, the score its share.
 
-Training runs on the driver on a bounded sample: at most ``per_language`` windows of ``window`` code points for each of
-at most ``max_languages`` languages. Labelling covers every word of every text: emissions are computed once for each
-distinct word of a batch, and the chains run in numpy in blocks of ``STEP`` words that are joined exactly by their
-transfer matrices, so a long text costs what as many words of short ones do.
+Training runs on the driver on a bounded sample: windows of ``window`` code points of distinct texts, at most
+``per_language`` for each language, and about ``most`` in all, but ``least`` for a language with so many texts however
+many languages there are; none is left out. It works on slices of ``CELLS`` numbers, so its memory grows with the words
+and labels, not with their product with the sample. Labelling covers every word of every text: emissions are computed
+once for each distinct word of a batch. With few labels the chains run in blocks of ``STEP`` words that are joined
+exactly by their transfer matrices, so a long text costs what as many words of short ones do; with more, where such
+matrices would cost more than they save, all chains of a batch are walked in step. The results are the same.
 
 Defined cases: null texts and texts without a letter get ``und`` and score 0, as does every text if nothing could be
 learned; the crc32 of a null id is that of the empty text; repeated rows and ids stay apart; ties go to the lesser name;
@@ -28,10 +31,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lacuna.llm.common import crc_of
+from lacuna.llm.common import crc_of, written
 
 STEP = 32
 BITS = 14
+CELLS = 4_000_000
+#: Up to so many labels chains are joined by transfer matrices.
+FEW_LABELS = 12
 OUTER = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”„‘’…–—¿¡"
 
 
@@ -83,13 +89,26 @@ def in_lexicon(model: Model, words: pa.Array) -> np.ndarray:
     return model.members[at] * (model.lexicon[at] == h)[:, None]
 
 
+def word_slices(starts: np.ndarray, n_bytes: int, n_labels: int) -> Iterator[tuple[int, int, int, int]]:
+    """Words first to last, and their bytes, of slices with about CELLS numbers for all labels; one word at least."""
+    ends = np.append(starts[1:], n_bytes)
+    at = 0
+    while at < len(starts):
+        to = max(at + 1, int(np.searchsorted(ends, starts[at] + max(1, CELLS // max(1, n_labels)))))
+        yield at, to, int(starts[at]), int(ends[to - 1])
+        at = to
+
+
 def emissions(model: Model, words: pa.Array) -> np.ndarray:
+    out = in_lexicon(model, words) @ model.lexical
     if not len(words):
-        return np.zeros((0, len(model.labels)), np.float32)
+        return out
     found, starts = features_of(words)
     padded = np.vstack([model.weights, np.zeros((1, len(model.labels)), np.float32)])
-    sums = padded[found[:, 0]] + padded[found[:, 1]] + padded[found[:, 2]]
-    return np.add.reduceat(sums, starts, axis=0) + in_lexicon(model, words) @ model.lexical
+    for i, j, a, b in word_slices(starts, len(found), len(model.labels)):
+        own = found[a:b]
+        out[i:j] += np.add.reduceat(padded[own[:, 0]] + padded[own[:, 1]] + padded[own[:, 2]], starts[i:j] - a, axis=0)
+    return out
 
 
 def scaled(e: np.ndarray) -> np.ndarray:
@@ -99,6 +118,34 @@ def scaled(e: np.ndarray) -> np.ndarray:
 def marginals(emitted: np.ndarray, sizes: np.ndarray, transitions: np.ndarray) -> np.ndarray:
     """Label probabilities of each word of chains of the given sizes (at least 1 each), laid end to end."""
     a = np.exp(transitions - transitions.max()).astype(np.float32)
+    return by_blocks(emitted, sizes, a) if len(a) <= FEW_LABELS else by_steps(emitted, sizes, a)
+
+
+def norm(x: np.ndarray) -> np.ndarray:
+    return x / x.sum(axis=-1, keepdims=True)
+
+
+def by_steps(e: np.ndarray, sizes: np.ndarray, a: np.ndarray) -> np.ndarray:
+    """Forward-backward, all chains in step, the longest first."""
+    order = np.argsort(-sizes, kind="stable")
+    begin, size = (np.cumsum(sizes) - sizes)[order], sizes[order]
+    forward, out = np.empty_like(e), np.empty_like(e)
+    live = [int(n) for n in np.searchsorted(-size, -np.arange(size.max(initial=0)), side="left")]  # of each step: how many chains have it
+    state = np.full((len(size), len(a)), 1 / len(a), np.float32)
+    for t, n in enumerate(live):
+        at = begin[:n] + t
+        forward[at] = state[:n] = norm((state[:n] @ a) * e[at] + 1e-30)
+    state[:] = 1 / len(a)
+    for t in range(len(live) - 1, -1, -1):
+        n = live[t]
+        at = begin[:n] + t
+        out[at] = norm(forward[at] * state[:n] + 1e-30)
+        state[:n] = norm((e[at] * state[:n]) @ a.T + 1e-30)
+    return out
+
+
+def by_blocks(emitted: np.ndarray, sizes: np.ndarray, a: np.ndarray) -> np.ndarray:
+    """Forward-backward, all blocks of STEP words in step."""
     n_labels = a.shape[0]
     blocks = -(-sizes // STEP)
     first = np.cumsum(blocks) - blocks
@@ -111,9 +158,6 @@ def marginals(emitted: np.ndarray, sizes: np.ndarray, transitions: np.ndarray) -
     used = np.full(n, STEP)
     used[first + blocks - 1] = sizes - (blocks - 1) * STEP
 
-    def norm(x: np.ndarray) -> np.ndarray:
-        return x / x.sum(axis=-1, keepdims=True)
-
     passed = np.broadcast_to(np.eye(n_labels, dtype=np.float32), (n, n_labels, n_labels)).copy()
     for t in range(STEP):
         live = np.nonzero(used > t)[0]
@@ -162,7 +206,6 @@ def spliced(docs: list[tuple[int, np.ndarray]], length: int, rng: np.random.Gene
 def expected(e: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Forward-backward over sequences of one length: label probabilities, and the expected counts of label pairs."""
     forward, marginal, pair = np.empty_like(e), np.empty_like(e), np.zeros_like(a, dtype=np.float64)
-    norm = lambda x: x / x.sum(axis=-1, keepdims=True)
     state = np.full((len(e), e.shape[2]), 1 / e.shape[2], np.float32)
     for t in range(e.shape[1]):
         forward[:, t] = state = norm((state @ a) * e[:, t] + 1e-30)
@@ -198,20 +241,33 @@ def train(sample: list[tuple[str, str]], rounds: int = 20, rate: float = 0.35, l
     found, starts = features_of(words)
     sizes = np.diff(np.append(starts, len(found)))
     lex = in_lexicon(model, words)
-    grads = [np.full(x.shape, 1e-3) for x in (model.weights, model.lexical, model.transitions)]
-    for _ in range(rounds):
-        e = scaled(emissions(model, words))
-        marginal, pair = expected(e[w], np.exp(model.transitions - model.transitions.max()))
-        seen = np.bincount((y[:, :-1] * n_labels + y[:, 1:]).ravel(), minlength=n_labels**2).reshape(n_labels, n_labels)
-        error = -marginal
-        np.put_along_axis(error, y[..., None], np.take_along_axis(error, y[..., None], 2) + 1, 2)
-        per_word = np.stack([np.bincount(w.ravel(), weights=error[..., k].ravel(), minlength=len(words)) for k in range(n_labels)], axis=1)
-        wide = np.repeat(per_word, sizes, axis=0)
-        total = np.zeros(model.weights.shape)
+    plans = []  # of each slice of words and kind of feature: which bytes have it, in the features' order
+    for i, j, a, b in word_slices(starts, len(found), n_labels):
         for k in range(3):
-            ok = found[:, k] >= 0
-            for label in range(n_labels):
-                total[:, label] += np.bincount(found[ok, k], weights=wide[ok, label], minlength=3 << BITS)
+            own = found[a:b, k]
+            order = np.argsort(own, kind="stable")[int((own < 0).sum()) :]
+            names, first = np.unique(own[order], return_index=True)
+            plans.append((i, j, order, names, first))
+    seen = np.bincount((y[:, :-1] * n_labels + y[:, 1:]).ravel(), minlength=n_labels**2).reshape(n_labels, n_labels)
+    step = max(1, CELLS // (n_labels * max(n_labels, length)))
+    grads = [np.full(x.shape, 1e-3, np.float32) for x in (model.weights, model.lexical, model.transitions)]
+    for _ in range(rounds):
+        e, moves = scaled(emissions(model, words)), np.exp(model.transitions - model.transitions.max())
+        per_word, pair = np.zeros((len(words), n_labels), np.float32), np.zeros((n_labels, n_labels))
+        for at in range(0, len(w), step):
+            marginal, more = expected(e[w[at : at + step]], moves)
+            pair += more
+            own = y[at : at + step]
+            np.negative(marginal, out=marginal)
+            np.put_along_axis(marginal, own[..., None], np.take_along_axis(marginal, own[..., None], 2) + 1, 2)
+            order = np.argsort(w[at : at + step].ravel(), kind="stable")
+            names, first = np.unique(w[at : at + step].ravel()[order], return_index=True)
+            per_word[names] += np.add.reduceat(marginal.reshape(-1, n_labels)[order], first, axis=0)
+        total = np.zeros(model.weights.shape, np.float32)
+        for i, j, order, names, first in plans:
+            if len(order):
+                wide = np.repeat(per_word[i:j], sizes[i:j], axis=0)
+                total[names] += np.add.reduceat(wide[order], first, axis=0)
         for i, (x, g) in enumerate(((model.weights, total), (model.lexical, lex.T @ per_word), (model.transitions, seen - pair))):
             g = g / len(w) - 1e-5 * x
             grads[i] += g * g
@@ -219,25 +275,27 @@ def train(sample: list[tuple[str, str]], rounds: int = 20, rate: float = 0.35, l
     return model
 
 
-def sampled(docs: DataFrame, text_col: str, lang_col: str, per_language: int, window: int, max_languages: int) -> list[tuple[str, str]]:
-    """At most per_language windows of each language: of the texts with the least hashes, each at a place its hash chooses."""
-    t = F.col(text_col).cast("string")
-    known = docs.where(F.col(lang_col).isNotNull() & (F.length(F.trim(F.col(lang_col).cast("string"))) > 0)).select(F.col(lang_col).cast("string").alias("lang"), t.alias("text"))
-    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
-    if not sizes:
+def sampled(docs: DataFrame, text_col: str, lang_col: str, per_language: int, window: int, most: int, least: int) -> list[tuple[str, str]]:
+    """Windows of distinct texts of each language: of those with the least hashes, each at a place its hash chooses.
+
+    The hashes of a language fall into buckets, of which the least one each is kept: so texts that repeat count once, and
+    a task sends no more than its buckets, whatever a language's share of the rows.
+    """
+    lang, text = F.col(lang_col).cast("string"), F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    known = docs.where(F.length(F.trim(lang)) > 0).select(lang.alias("lang"), text.alias("text")).withColumn("h", F.xxhash64("text"))
+    firsts = written(known.groupBy("lang", F.pmod("h", F.lit(16 * per_language)).alias("bucket")).agg(F.min("h").alias("h")), "hashes")
+    n = firsts.select("lang").distinct().count()
+    if not n:
         return []
-    # some more than wanted pass a threshold on the hash; the least of them are taken
-    share = F.create_map(*(F.lit(x) for r in sizes for x in (r["lang"], min(1.0, 3.0 * per_language / r["n"]))))
-    h = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
-    known = known.withColumn("h", h).where((F.col("h") / (1 << 30)) < F.element_at(share, F.col("lang")))
+    own = min(per_language, max(least, most // n))
+    ranked = firsts.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= own).select("lang", "h")
     start = F.pmod(F.col("h"), F.greatest(F.length("text") - window, F.lit(1))).cast("int") + 1
-    cut = known.select("lang", "h", F.substring("text", start, F.lit(window)).alias("text")).distinct()
-    ranked = cut.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("r") <= per_language)
-    return sorted((r["lang"], r["text"] or "") for r in ranked.collect())
+    chosen = known.join(F.broadcast(ranked), ["lang", "h"], "left_semi")  # at most most rows, or least for each language
+    return sorted((r["lang"], r["text"]) for r in chosen.select("lang", F.substring("text", start, F.lit(window)).alias("text")).distinct().collect())
 
 
-def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = 200, window: int = 2000, max_languages: int = 200) -> Model:
-    return train(sampled(docs, text_col, lang_col, per_language, window, max_languages))
+def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = 200, window: int = 2000, most: int = 8000, least: int = 8) -> Model:
+    return train(sampled(docs, text_col, lang_col, per_language, window, most, least))
 
 
 def shares_of(model: Model, texts: pa.Array) -> np.ndarray:
@@ -272,7 +330,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for whole in batches:
-            for b in pieces(whole, "__text"):
+            for b in pieces(whole, "__text", 6 * CELLS // max(4, len(own.labels))):
                 p = shares_of(own, pc.fill_null(b["__text"], ""))
                 best = p.argmax(axis=1) if own.labels else np.zeros(b.num_rows, int)
                 score = p[np.arange(b.num_rows), best] if own.labels else np.zeros(b.num_rows)

@@ -7,8 +7,8 @@ hangs on the row's key, the seed and the place alone, so it is the same on any m
 Decoding gives back the text, byte for byte.
 
 The lattice never crosses the start of a run of spaces (no piece does), so it falls into units. Forward sums are made
-once for each distinct unit of a batch, and all units of a batch are walked in step in numpy; units over ``LONG`` bytes
-are walked one by one in logs. A leading space is added before encoding and taken off after decoding, as the vocabulary
+once for each distinct unit of a batch. Within a unit no segmentation passes by a place that no piece crosses, so units
+fall into stretches, and all stretches of a batch are walked in step in numpy, whatever their length. A leading space is added before encoding and taken off after decoding, as the vocabulary
 expects.
 
 Defined cases: a null text counts as empty and has no pieces; a null key is that of the empty text; rows that repeat
@@ -29,8 +29,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LONG = 64
-SCALE = 1000.0  # per byte: keeps sums of weights within range up to LONG bytes
+SCALE = 1000.0  # per byte: keeps sums of weights within range between two scalings
+RESCALE = 16
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -97,21 +97,23 @@ def uniform(seeds: np.ndarray, places: np.ndarray) -> np.ndarray:
 
 
 class Lattice(NamedTuple):
-    """The arcs of distinct units by the place (a count of bytes over all units, each with one place more) where they end."""
+    """The arcs of distinct units by the byte behind them, and the cuts: places that no arc crosses."""
 
-    first: np.ndarray  # of each place: its first arc
+    cuts: np.ndarray
+    first: np.ndarray  # of each place: the first arc that ends there
     ids: np.ndarray
     size: np.ndarray
     upto: np.ndarray  # cumulated share of the arcs of a place
 
 
 def lattice(v: Vocabulary, data: np.ndarray, offsets: np.ndarray) -> Lattice:
-    sizes = np.diff(offsets)
-    left = np.repeat(offsets[1:], sizes) - np.arange(len(data))
-    within = np.repeat(sizes, sizes) - left
-    unit = np.repeat(np.arange(len(sizes)), sizes)
-    codes, active = np.zeros(len(data), np.uint64), np.arange(len(data))
-    begin, size, ids = [np.arange(len(data), dtype=np.int32)], [np.ones(len(data), np.int32)], [v.bytes_[data].astype(np.int32)]
+    """Forward sums over units laid end to end. Between two cuts the sums depend on nothing outside, so all stretches are
+    walked in step, and long ones are scaled anew on the way; a unit costs its length, however long it is."""
+    n = len(data)
+    left = np.repeat(offsets[1:], np.diff(offsets)) - np.arange(n)
+    codes, active = np.zeros(n, np.uint64), np.arange(n)
+    begin, size, ids = [np.arange(n, dtype=np.int32)], [np.ones(n, np.int32)], [v.bytes_[data].astype(np.int32)]
+    crossed = np.zeros(n + 1, np.int32)
     for k, (known, of) in enumerate(v.keys, 1):
         active = active[left[active] >= k]
         if not len(active):
@@ -123,56 +125,46 @@ def lattice(v: Vocabulary, data: np.ndarray, offsets: np.ndarray) -> Lattice:
         hit = active[v.sieve[(own >> np.uint64(44)).astype(np.int64)]]
         at = np.minimum(np.searchsorted(known, codes[hit]), len(known) - 1)
         ok = known[at] == codes[hit]
-        begin.append(hit[ok].astype(np.int32))
-        size.append(np.full(int(ok.sum()), k, np.int32))
+        hit = hit[ok]
+        begin.append(hit.astype(np.int32))
+        size.append(np.full(len(hit), k, np.int32))
         ids.append(of[at[ok]].astype(np.int32))
+        np.add.at(crossed, hit + 1, 1)
+        np.add.at(crossed, hit + k, -1)
     begin, size, ids = np.concatenate(begin), np.concatenate(size), np.concatenate(ids)
-    end = begin + unit[begin].astype(np.int32) + size  # as a place
+    end = begin + size
     order = np.argsort(end, kind="stable")
     begin, end, size, ids = begin[order], end[order], size[order], ids[order]
-    start = end - size
-    n = len(data) + len(sizes)
+    cuts = np.nonzero(np.cumsum(crossed[:n]) == 0)[0]
+    home = np.repeat(cuts, np.diff(np.append(cuts, n)))  # of each byte: its stretch's start
     weight = np.exp(v.logs[ids]) * SCALE**size
-    reached = (within[begin] + size).astype(np.int16)
-    del order, begin, codes, left, within, unit
+    reached = end - home[begin]
     step = np.argsort(reached, kind="stable")
-    cuts = np.searchsorted(reached[step], np.arange(1, int(reached.max(initial=0)) + 2))
-    sums = np.zeros(n)
-    sums[offsets[:-1] + np.arange(len(sizes))] = 1.0
+    turns = np.searchsorted(reached[step], np.arange(1, int(reached.max(initial=0)) + 2))
+    sums = np.zeros(n + 1)  # of the ways from the stretch's start to a place within it
+    sums[cuts] = 1.0
+    inner = np.append(np.arange(n), -1) != np.append(home, -1)  # places within a stretch
+    lengths = np.diff(np.append(cuts, n))
+    long = np.argsort(-lengths, kind="stable")[: int((lengths > RESCALE).sum())]
     share = np.empty(len(ids))
-    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+    for t, (a, b) in enumerate(zip(turns[:-1], turns[1:], strict=True), 1):
         arcs = step[a:b]
-        share[arcs] = sums[start[arcs]] * weight[arcs]
+        own = sums[begin[arcs]] * weight[arcs]
         ends, back = np.unique(end[arcs], return_inverse=True)
-        sums[ends] = np.bincount(back, weights=share[arcs], minlength=len(ends))
-    total = np.cumsum(share / sums[end])
-    first = np.searchsorted(end, np.arange(n + 1))
-    base = np.append(0.0, total)[first[end]]
-    return Lattice(first, ids, size, total - base)
-
-
-def sample_long(v: Vocabulary, unit: bytes, seed: int, offset: int) -> list[tuple[int, int]]:
-    """``(end, id)`` of the drawn pieces of one long unit, the last first."""
-    longest = len(v.keys)
-    logs = v.logs
-    forward = [0.0]
-    for j in range(1, len(unit) + 1):
-        terms = [forward[j - 1] + logs[v.bytes_[unit[j - 1]]]]
-        terms += [forward[j - k] + logs[i] for k in range(2, min(longest, j) + 1) if (i := v.table.get(unit[j - k : j])) is not None]
-        top = max(terms)
-        forward.append(top + math.log(sum(math.exp(t - top) for t in terms)))
-    out, j = [], len(unit)
-    seeds = np.array([seed], np.uint64)
-    while j:
-        u = float(uniform(seeds, np.array([offset + j], np.int64))[0])
-        arcs = [(int(v.bytes_[unit[j - 1]]), 1)] + [(i, k) for k in range(2, min(longest, j) + 1) if (i := v.table.get(unit[j - k : j])) is not None]
-        for i, k in arcs:
-            u -= math.exp(forward[j - k] + logs[i] - forward[j])
-            if u < 0:
-                break
-        out.append((j, i))
-        j -= k
-    return out
+        total = np.bincount(back, weights=own, minlength=len(ends))
+        share[arcs] = own / total[back]
+        within = inner[ends]
+        sums[ends[within]] = total[within]
+        if t % RESCALE == 0:
+            long = long[lengths[long] > t]
+            at = cuts[long] + t
+            near = np.maximum(at[:, None] - np.arange(len(v.keys) + 1), cuts[long][:, None])
+            scale = sums[at]
+            near, owner = np.unique(near.ravel(), return_index=True)
+            sums[near] /= np.repeat(scale, len(v.keys) + 1)[owner]
+    total = np.cumsum(share)
+    first = np.searchsorted(end, np.arange(n + 2))
+    return Lattice(cuts, first, ids, size, total - np.append(0.0, total)[first[end]])
 
 
 def segment(v: Vocabulary, texts: pa.Array, seeds: np.ndarray) -> pa.ListArray:
@@ -192,30 +184,33 @@ def segment(v: Vocabulary, texts: pa.Array, seeds: np.ndarray) -> pa.ListArray:
         end = np.append(begin[1:], len(data))
         doc = np.searchsorted(bounds, begin, side="right") - 1
         doc_seed, doc_start = seeds[doc], bounds[doc]
-        short = np.nonzero(end - begin <= LONG)[0]
-        for i in np.nonzero(end - begin > LONG)[0]:
-            for j, piece in sample_long(v, data[begin[i] : end[i]].tobytes(), int(doc_seed[i]), int(begin[i] - doc_start[i])):
-                ids[begin[i] + j - 1] = piece + 1
         buffers = [None, pa.py_buffer(np.append(begin, len(data)).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]
-        units = pa.Array.from_buffers(pa.large_binary(), len(begin), buffers).take(pa.array(short)).dictionary_encode()
+        units = pa.Array.from_buffers(pa.large_binary(), len(begin), buffers).dictionary_encode()
         distinct = units.dictionary
         offsets = np.frombuffer(distinct.buffers()[1], np.int64)[distinct.offset : distinct.offset + len(distinct) + 1]
-        own = np.frombuffer(distinct.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if len(distinct) else np.zeros(0, np.uint8)
+        own = np.frombuffer(distinct.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
         offsets = offsets - offsets[0]
         net = lattice(v, own, offsets)
+        # every unit's stretches between cuts are walked back from their ends, all in step
         kind = units.indices.to_numpy().astype(np.int64)
-        left = (end - begin)[short]
-        place = (offsets + np.arange(len(offsets)))[kind] + left
-        at, text_start, seed = begin[short], (begin - doc_start)[short], doc_seed[short]
-        live = np.arange(len(short))
+        first = np.searchsorted(net.cuts, offsets)
+        counts = np.diff(first)[kind]
+        unit = np.repeat(np.arange(len(kind)), counts)
+        stretch = first[kind][unit] + np.arange(len(unit)) - np.repeat(np.cumsum(counts) - counts, counts)
+        place = np.append(net.cuts[1:], len(own))[stretch]
+        left = place - net.cuts[stretch]
+        shift = (begin - offsets[kind])[unit]  # from places in the distinct units to places in the texts
+        base, seed = shift - doc_start[unit], doc_seed[unit]
+        live = np.arange(len(place))
         while len(live):
-            u = uniform(seed[live], text_start[live] + left[live])
-            arc, last = net.first[place[live]], net.first[place[live] + 1] - 1
+            at = place[live]
+            u = uniform(seed[live], base[live] + at)
+            arc, last = net.first[at], net.first[at + 1] - 1
             go = np.nonzero((u >= net.upto[arc]) & (arc < last))[0]
             while len(go):
                 arc[go] += 1
                 go = go[(u[go] >= net.upto[arc[go]]) & (arc[go] < last[go])]
-            ids[at[live] + left[live] - 1] = net.ids[arc] + 1
+            ids[shift[live] + at - 1] = net.ids[arc] + 1
             place[live] -= net.size[arc]
             left[live] -= net.size[arc]
             live = live[left[live] > 0]
