@@ -214,8 +214,9 @@ def expected(e: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         marginal[:, t] = norm(forward[:, t] * state + 1e-30)
         into = e[:, t] * state
         if t:
-            joint = forward[:, t - 1][:, :, None] * a * into[:, None, :]
-            pair += (joint / np.maximum(joint.sum(axis=(1, 2), keepdims=True), 1e-30)).sum(axis=0)
+            before = forward[:, t - 1]
+            whole = ((before @ a) * into).sum(axis=1, keepdims=True)
+            pair += a * (before.T @ (into / np.maximum(whole, 1e-30)))  # sums over all sequences, without a table for each
         state = norm(into @ a.T + 1e-30)
     return marginal, pair
 
@@ -249,7 +250,7 @@ def train(sample: list[tuple[str, str]], rounds: int = 20, rate: float = 0.35, l
             names, first = np.unique(own[order], return_index=True)
             plans.append((i, j, order, names, first))
     seen = np.bincount((y[:, :-1] * n_labels + y[:, 1:]).ravel(), minlength=n_labels**2).reshape(n_labels, n_labels)
-    step = max(1, CELLS // (n_labels * max(n_labels, length)))
+    step = max(1, CELLS // (n_labels * length))
     grads = [np.full(x.shape, 1e-3, np.float32) for x in (model.weights, model.lexical, model.transitions)]
     for _ in range(rounds):
         e, moves = scaled(emissions(model, words)), np.exp(model.transitions - model.transitions.max())
