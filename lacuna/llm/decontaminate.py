@@ -7,17 +7,22 @@ items' windows, and each alignment of a text with an item checked for slot consi
 stand against equal values of the text, else the windows of its template go, and those of equal words stay. A text is contaminated by an item if the rest covers at
 least ``coverage`` of the item's windows; so re-parameterised questions are caught, and loose likeness is not.
 
-The keys of the benchmark are broadcast in blocks of at most ``block_keys``, each a pass over the texts; one block holds
-a benchmark of millions of words. Equal items are one class. Hits, which are few, are written to the shared folder.
-
-Defined cases: null texts have no words; items of fewer than ``width`` words, and windows with fewer than two plain
-words, never match; repeated rows and ids stay apart; empty tables give no rows or clean texts; other columns are
-ignored; null item ids are left out of the lists.
+The keys of the benchmark are broadcast in blocks of at most ``block_keys``, each a pass over the texts (which are then
+written first, so that all passes see the same rows); one block holds a benchmark of millions of words. Equal items are
+one class. Hits, which are few, are written to the shared folder; a text's repeats of a window count once, and meet each
+window's items as one list.
+
+Defined cases: null texts have no words and null items never match; an item of fewer than ``width`` words matches where
+all its words follow each other, one of a single word where a text has no other; windows with fewer than two plain words
+count only for an item that has no others, and match as they stand; ids may be of any type that has an order; items that
+share an id count apart and give it once; repeated rows and ids of texts stay apart; empty tables give no rows or clean
+texts; other columns are ignored; null item ids are left out of the lists.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -81,68 +86,78 @@ def windows(owner: np.ndarray, tokens: np.ndarray, width: int) -> tuple[np.ndarr
     return start, key[start] ^ (key[start] >> np.uint64(29))
 
 
-def window_rows(texts: pa.Array, width: int, wanted: np.ndarray | None, sieve: np.ndarray | None = None):
-    """Row, position, key, slot values of the windows: all, by each kind of key, or those with a wanted key of either kind."""
+class Wanted(NamedTuple):
+    """Sorted keys of the benchmark: of windows, with a sieve before them, and of whole short items by their number of words."""
+
+    keys: np.ndarray
+    sieve: np.ndarray
+    short: dict[int, np.ndarray]
+
+
+def among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values if len(known) else np.zeros(len(values), bool)
+
+
+def window_rows(texts: pa.Array, width: int, wanted: Wanted | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, list, np.ndarray, np.ndarray]:
+    """Row, position, key, slot values, number of words, and whether it counts, of windows: all of items, by each kind of key, or those of texts with a wanted key."""
     owner, plain, template, slot, opens, words = canonical(texts)
-    begin = np.searchsorted(owner, np.arange(len(texts)))
+    begin, sizes = np.searchsorted(owner, np.arange(len(texts))), np.bincount(owner, minlength=len(texts))
     starts, keys = windows(owner, plain, width)
     held = lambda x: np.convolve(x.astype(np.int32), np.ones(width, np.int32), "valid")[starts] if len(starts) else np.zeros(0, np.int32)
     slots, opening, wide = held(slot), held(opens), slot | opens
     other = windows(owner, template, width)[1] ^ np.uint64(1)
     opened = windows(owner, np.where(opens, NAME, template), width)[1] ^ np.uint64(2)
     usable = slots <= width - 2
-    typed_kinds = ((other, usable & (slots > 0), slot), (opened, (slots + opening <= width - 2) & (opening > 0), wide))
-    if wanted is None:
-        at = np.nonzero(usable)[0]
-        found = [(at, keys[at], np.zeros(len(at), np.int8))]
-        for k, (values, ok, _) in enumerate(typed_kinds, 1):
-            at = np.nonzero(ok)[0]
-            found.append((at, values[at], np.full(len(at), k, np.int8)))
-    else:
-        found = []
-        for k, (values, ok, _) in enumerate(((keys, np.ones(len(keys), bool), None), *typed_kinds)):
-            at = np.nonzero(ok & sieve[(values >> np.uint64(42)).astype(np.int64)])[0]
-            place = np.minimum(np.searchsorted(wanted, values[at]), len(wanted) - 1)
-            at = at[wanted[place] == values[at]]
-            found.append((at, values[at], np.full(len(at), k, np.int8)))
-    at, key, typed = (np.concatenate([x[i] for x in found]) for i in range(3))
-    start = starts[at]
+    kinds = ((keys, np.ones(len(keys), bool), None), (other, usable & (slots > 0), slot), (opened, (slots + opening <= width - 2) & (opening > 0), wide))
+    found = []  # start, key, marks of the values that stand in slots, words, whether it counts
+    for values, ok, marks in kinds:
+        at = np.nonzero(ok if wanted is None else ok & wanted.sieve[(values >> np.uint64(42)).astype(np.int64)])[0]
+        at = at if wanted is None else at[among(values[at], wanted.keys)]
+        found += [(int(s), int(k), marks, width, bool(u)) for s, k, u in zip(starts[at], values[at], usable[at], strict=True)]
+    for n in range(1, width) if wanted is None else wanted.short:
+        own, values = windows(owner, plain, n)
+        whole = sizes[owner[own]] == n
+        ok = whole if wanted is None else among(values, wanted.short[n]) & (whole | (n > 1))
+        found += [(int(s), int(k), None, n, True) for s, k in zip(own[ok], values[ok], strict=True)]
+    start = np.array([f[0] for f in found], np.int64)
     names = words.dictionary
-    values = [[names[words.indices[int(s) + k].as_py()].as_py() for k in range(width) if typed_kinds[t - 1][2][int(s) + k]] if t else [] for s, t in zip(start, typed, strict=True)]
-    return owner[start], start - begin[owner[start]], key.view(np.int64), values
-
-
-ROWS = pa.schema([("uid", pa.int64()), ("pos", pa.int64()), ("key", pa.int64()), ("slots", pa.list_(pa.string()))])
+    values = [[names[words.indices[s + k].as_py()].as_py() for k in range(n) if marks[s + k]] if marks is not None else [] for s, _, marks, n, _ in found]
+    row = owner[start] if len(start) else start
+    return row, start - begin[row], np.array([f[1] for f in found], np.uint64).view(np.int64), values, np.array([f[3] for f in found], np.int64), np.array([f[4] for f in found], bool)
 
 
 def item_windows(items: DataFrame, item_col: str, text_col: str, width: int) -> DataFrame:
-    """``item, key, pos, slots, total``: each class of equal items is one item, its least id."""
+    """``class, item, key, pos, slots, words, total``: each class of equal items is one item, its least id."""
+    kind = dict(items.dtypes)[item_col]
+    slots = pa.list_(pa.string())
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            row, pos, key, slots = window_rows(b["text"], width, None)
-            yield pa.RecordBatch.from_arrays([b["uid"].take(pa.array(row)), pa.array(pos, pa.int64()), pa.array(key), pa.array(slots, pa.list_(pa.string()))], schema=ROWS)
+            row, pos, key, values, n, counts = window_rows(b["text"], width)
+            at = pa.array(row)
+            yield pa.RecordBatch.from_arrays([b["class"].take(at), b["item"].take(at), pa.array(pos, pa.int64()), pa.array(key), pa.array(values, slots), pa.array(n), pa.array(counts)], names=["class", "item", "pos", "key", "slots", "words", "counts"])
 
-    own = items.select(F.col(item_col).alias("item"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    own = own.groupBy("text").agg(F.min("item").alias("item"))
-    rows = own.select(F.col("item").cast("long").alias("uid"), "text").where("uid is not null").mapInArrow(of, "uid long, pos long, key long, slots array<string>")
-    rows = rows.withColumnRenamed("uid", "item")
-    return rows.join(rows.groupBy("item").agg(F.count_distinct("pos").alias("total")), "item")
+    own = items.select(F.col(item_col).alias("item"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where("item is not null")
+    own = own.groupBy("text").agg(F.min("item").alias("item")).select(F.xxhash64("text").alias("class"), "item", "text")
+    rows = written(own.mapInArrow(of, f"class long, item {kind}, pos long, key long, slots array<string>, words long, counts boolean"), "item_windows")
+    best = rows.groupBy("class").agg(F.max("counts").alias("any"))
+    rows = rows.join(best, "class").where(F.col("counts") | ~F.col("any"))
+    return rows.join(rows.groupBy("class").agg(F.count_distinct("pos").alias("total")), "class").drop("counts", "any")
 
 
-def hits(docs: DataFrame, keys: np.ndarray, width: int) -> DataFrame:
+def hits(docs: DataFrame, keys: np.ndarray, short: dict[int, np.ndarray], width: int) -> DataFrame:
     """``uid, doc_id, pos, key, slots`` of each window with a wanted key; one row without a key for a text with none. ``docs``: uid, doc_id, text."""
     sieve = np.zeros(1 << 22, bool)
     sieve[(keys >> np.uint64(42)).astype(np.int64)] = True
-    shared = docs.sparkSession.sparkContext.broadcast((keys, np.packbits(sieve)))  # at most block_keys numbers
+    shared = docs.sparkSession.sparkContext.broadcast((keys, np.packbits(sieve), short))  # at most block_keys numbers
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, bits = shared.value
-        sieve = np.unpackbits(bits).astype(bool)
+        known, bits, whole = shared.value
+        wanted = Wanted(known, np.unpackbits(bits).astype(bool), whole)
         for b in batches:
-            row, pos, key, slots = window_rows(b["text"], width, wanted, sieve)
+            row, pos, key, slots, *_ = window_rows(b["text"], width, wanted)
             none = np.setdiff1d(np.arange(b.num_rows), row)
-            rows = pa.array(np.concatenate([row, none]))
+            rows = pa.array(np.concatenate([row, none]).astype(np.int64))
             pad = lambda x, kind: pa.concat_arrays([pa.array(x, kind), pa.nulls(len(none), kind)])
             yield pa.RecordBatch.from_arrays([b["uid"].take(rows), b["doc_id"].take(rows), pad(pos, pa.int64()), pad(key, pa.int64()), pad(slots, pa.list_(pa.string()))], names=["uid", "doc_id", "pos", "key", "slots"])
 
@@ -153,26 +168,28 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     """One row for each input row: ``doc_id, contaminated, n_items, item_ids`` (sorted), ``covered`` (the largest share of an item)."""
     wanted = written(item_windows(items, item_col, item_text_col, width), "windows")
     texts = keyed(docs, id_col, text_col).select("uid", "doc_id", "text")
-    distinct = wanted.select("key").distinct()
+    distinct = wanted.select("key", "words").distinct()
     n_blocks = max(1, -(-distinct.count() // block_keys))
+    texts = written(texts, "texts") if n_blocks > 1 else texts
     found = None
     for i in range(n_blocks):
         block = distinct.where(F.pmod(F.hash("key"), F.lit(n_blocks)) == i).collect()
-        keys = np.sort(np.array([r["key"] for r in block], np.int64).view(np.uint64)) if block else np.zeros(1, np.uint64)
-        part = hits(texts, keys, width)
+        of = lambda n: np.sort(np.array([r["key"] for r in block if r["words"] == n], np.int64).view(np.uint64))  # noqa: B023, E731
+        part = hits(texts, of(width), {n: of(n) for n in sorted({r["words"] for r in block} - {width})}, width)
         found = part if found is None else found.unionByName(part)
     found = written(found, "hits")
-    matched = found.where("key is not null").join(wanted.select("item", "key", "total", F.col("pos").alias("at"), F.col("slots").alias("own")), "key")
-    way = (F.col("pos") - F.col("at")).alias("way")
-    pairs = F.when(F.size("slots") > 0, F.arrays_zip(F.col("own").alias("a"), F.col("slots").alias("b"))).otherwise(F.array().cast("array<struct<a:string,b:string>>"))
-    lined = matched.select("uid", "doc_id", "item", "total", "key", way, F.size("slots").alias("n_slots"), F.explode_outer(pairs).alias("pair"))
-    ways = lined.groupBy("uid", "item", "way").agg(F.collect_set("pair").alias("pairs"))
-    fits = ways.where(F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda x: x["a"])))).select("uid", "item", "way")
-    lines = matched.withColumn("way", F.col("pos") - F.col("at"))
-    exact, typed = lines.where(F.size("slots") == 0), lines.where(F.size("slots") > 0)
-    kept = exact.unionByName(typed.join(fits, ["uid", "item", "way"], "left_semi"))
-    shares = kept.groupBy("uid", "item").agg((F.count_distinct("at") / F.first("total")).alias("share"))
-    bad = shares.groupBy("uid").agg(F.array_sort(F.collect_list(F.when(F.col("share") >= coverage, F.col("item")))).alias("item_ids"), F.max("share").alias("covered"))
+    seen = found.where("key is not null")
+    # windows of equal words: each once for a text, against the list of its places in items
+    lists = wanted.where(F.size("slots") == 0).groupBy("key").agg(F.collect_list(F.struct("class", "item", "total", F.col("pos").alias("at"))).alias("own"))
+    exact = seen.where(F.size("slots") == 0).select("uid", "key").distinct().join(lists, "key").select("uid", F.explode("own").alias("own")).select("uid", "own.*")
+    # windows of equal templates: a text's way along an item must put equal values against equal values
+    typed = seen.where(F.size("slots") > 0).join(wanted.select("class", "item", "key", "total", F.col("pos").alias("at"), F.col("slots").alias("own")), "key").withColumn("way", F.col("pos") - F.col("at"))
+    pairs = typed.select("uid", "class", "way", F.explode(F.arrays_zip(F.col("own").alias("a"), F.col("slots").alias("b"))).alias("pair"))
+    ways = pairs.groupBy("uid", "class", "way").agg(F.count_distinct("pair").alias("pairs"), F.count_distinct("pair.a").alias("values"))
+    typed = typed.join(ways.where("pairs = values").select("uid", "class", "way"), ["uid", "class", "way"], "left_semi")
+    kept = exact.unionByName(typed.select(*exact.columns))
+    shares = kept.groupBy("uid", "class").agg((F.count_distinct("at") / F.first("total")).alias("share"), F.first("item").alias("item"))
+    bad = shares.groupBy("uid").agg(F.array_sort(F.collect_set(F.when(F.col("share") >= coverage, F.col("item")))).alias("item_ids"), F.max("share").alias("covered"))
     rows = found.groupBy("uid").agg(F.first("doc_id").alias("doc_id")).join(bad, "uid", "left")
-    items_of = F.coalesce("item_ids", F.array().cast("array<bigint>"))
+    items_of = F.coalesce("item_ids", F.array().cast(f"array<{dict(items.dtypes)[item_col]}>"))
     return rows.select("doc_id", (F.size(items_of) > 0).alias("contaminated"), F.size(items_of).cast("long").alias("n_items"), items_of.alias("item_ids"), F.coalesce("covered", F.lit(0.0)).alias("covered"))
