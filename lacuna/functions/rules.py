@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
 #: White space of any script, of which Java's own class knows a part.
 NOT_S = r"\s\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
 S = f"[{NOT_S}]"
@@ -36,7 +39,7 @@ PATH = rf"""(?:/[^{NOT_S}<>"'）】」』，。；、]*)?"""
 TLD = "com|cn|org|net|io|gov|edu|co|ai|app|me|info|xyz|biz|com\\.cn|org\\.cn|net\\.cn|gov\\.cn|edu\\.cn"
 OCTET = r"(?:25[0-5]|2[0-4]\d|[01]?\d\d?)"
 
-#: The built-in rules in their order, which decides ties between equal spans.
+#: The built-in rules in their order, which decides ties between equal spans.
 BUILTIN = (
     Rule("PHONE", rf"(\+?86(?:[-.]|{S})?)?(?:1[3-9]\d{{9}}|0\d{{2,4}}(?:[-.]|{S})?\d{{7,8}})", 0.95, 1, r"\d{7}"),
     Rule("ID_CARD", r"[1-9]\d{5}(?:18|19|20)\d{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01])\d{3}[\dXx]", 0.98, 0, r"\d{17}"),
@@ -88,14 +91,30 @@ class RuleSet:
         return [r for r in self.rules if (r.enabled or include_disabled) and r.weight >= min_confidence]
 
 
-def custom_rule(pattern: str, weight: float = 0.9) -> Rule:
-    """A user's rule, ignoring case. A pattern that is no regex, or matches the empty string, is refused."""
-    import re
+def custom_rule(pattern: str, weight: float = 0.9, type_: str = "CUSTOM", enabled: bool = True) -> Rule:
+    """A user's rule, ignoring case: a Java regex. One that Spark can't compile, or that matches the empty string, is refused."""
+    spark, own = SparkSession.getActiveSession(), f"(?i){pattern}"
+    if spark is None:
+        raise ValueError("needs an active session, whose engine checks the pattern")
+
+    def works(column) -> bool | None:
+        try:
+            return spark.range(1).select(column).first()[0]
+        except Exception:  # the engine's errors differ by version and way of connecting
+            return None
 
-    try:
-        empty = re.search(pattern, "") is not None
-    except re.error as e:
-        raise ValueError(f"not a regular expression: {pattern}") from e
+    empty = works(F.rlike(F.lit(""), F.lit(own)))
+    if empty is None:
+        raise ValueError(f"not a regular expression: {pattern}")
     if empty:
         raise ValueError(f"matches the empty string: {pattern}")
-    return Rule("CUSTOM", f"(?i){pattern}", weight, 1 if re.compile(pattern).groups else 0)
+    grouped = works(F.regexp_extract(F.lit(""), f"{own}|", 1)) is not None  # matches, so the group's number is looked at
+    return Rule(type_, own, weight, 1 if grouped else 0, enabled=enabled)
+
+
+def rules_from(table: DataFrame, limit: int = 1000) -> RuleSet:
+    """The rules of a table ``type, pattern, weight, enabled`` in the order of type and pattern; a longer table is refused. Null weights are 0.9, null switches on."""
+    rows = table.where("pattern is not null").orderBy("type", "pattern").limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} rules")
+    return RuleSet(tuple(custom_rule(r["pattern"], 0.9 if r["weight"] is None else float(r["weight"]), r["type"] or "CUSTOM", r["enabled"] is not False) for r in rows))

@@ -1,7 +1,10 @@
 """Password encryption of mapping tables and texts: PBKDF2-SHA256 and AES-256-GCM.
 
 The key is derived in a vectorized helper that closes over the password, so neither stands in a plan. Wrong passwords
-and altered data give null, which callers send to a table of rejects.
+and altered data give null; ``decrypted`` parts such rows from the others.
+
+Defined cases: null texts and salts give null data; a null mapping is sealed as null and opens as null; repeated rows
+stay apart; other columns stay, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lacuna.functions.spans import free
 from lacuna.operators.redact import ENTRY
 
 #: Rounds, key, salt and IV sizes.
@@ -28,6 +32,11 @@ def check_password(password: str, confirmation: str) -> None:
         raise ValueError("the passwords differ")
 
 
+def valid_password(password: Column, confirmation: Column) -> Column:
+    """The same rule for columns; null passwords fail."""
+    return F.coalesce((F.length(password) >= 6) & (password == confirmation), F.lit(False))
+
+
 @lru_cache(maxsize=4096)
 def key_of(password: str, salt: bytes) -> bytes:
     return hashlib.pbkdf2_hmac("sha256", password.encode(), salt, ROUNDS, KEY_BYTES)
@@ -55,26 +64,35 @@ def random_bytes(n: int, *anchors: Column) -> Column:
 def encrypt_text(df: DataFrame, column: str, password: str, salt: Column | None = None, iv: Column | None = None, prefix: str = "") -> DataFrame:
     """The input and ``data`` (ciphertext and tag), ``salt`` and ``iv``. One salt given for all rows costs one derivation per task."""
     df = df.withColumns({f"{prefix}salt": salt if salt is not None else random_bytes(SALT_BYTES), f"{prefix}iv": iv if iv is not None else random_bytes(IV_BYTES)})
-    df = df.withColumn("__key", derive_key(F.col(f"{prefix}salt"), password))
-    sealed = F.aes_encrypt(F.col(column).cast("binary"), F.col("__key"), F.lit("GCM"), F.lit("DEFAULT"), F.col(f"{prefix}iv"))
-    return df.withColumn(f"{prefix}data", F.substring(sealed, IV_BYTES + 1, 2147483647)).drop("__key")
+    key = free(df, "__key")
+    df = df.withColumn(key, derive_key(F.col(f"{prefix}salt"), password))
+    sealed = F.aes_encrypt(F.col(column).cast("binary"), F.col(key), F.lit("GCM"), F.lit("DEFAULT"), F.col(f"{prefix}iv"))
+    return df.withColumn(f"{prefix}data", F.substring(sealed, IV_BYTES + 1, 2147483647)).drop(key)
 
 
 def decrypt_text(df: DataFrame, password: str, out: str = "text", prefix: str = "") -> DataFrame:
     """The input and ``out``; null where password or data are wrong."""
-    df = df.withColumn("__key", derive_key(F.col(f"{prefix}salt"), password))
-    opened = F.try_aes_decrypt(F.concat(f"{prefix}iv", f"{prefix}data"), F.col("__key"), F.lit("GCM"), F.lit("DEFAULT"))
-    return df.withColumn(out, opened.cast("string")).drop("__key")
+    key = free(df, "__key")
+    df = df.withColumn(key, derive_key(F.col(f"{prefix}salt"), password))
+    opened = F.try_aes_decrypt(F.concat(f"{prefix}iv", f"{prefix}data"), F.col(key), F.lit("GCM"), F.lit("DEFAULT"))
+    return df.withColumn(out, opened.cast("string")).drop(key)
+
+
+def decrypted(df: DataFrame, password: str, out: str = "text", prefix: str = "") -> tuple[DataFrame, DataFrame]:
+    """The rows that open, with ``out``, and the rejects with their ``reason``: data that the password doesn't open."""
+    opened = decrypt_text(df, password, out, prefix)
+    return opened.where(F.col(out).isNotNull()), opened.where(F.col(out).isNull()).drop(out).withColumn("reason", F.lit("wrong password or altered data"))
 
 
 def encrypt_mapping(df: DataFrame, password: str, mapping: str = "mapping", salt: Column | None = None, iv: Column | None = None) -> DataFrame:
     """The mapping as JSON, encrypted: ``data, salt, iv``."""
-    return encrypt_text(df.withColumn("__json", F.to_json(mapping)), "__json", password, salt, iv).drop("__json")
+    json = free(df, "__json")
+    return encrypt_text(df.withColumn(json, F.to_json(mapping)), json, password, salt, iv).drop(json)
 
 
 def decrypt_mapping(df: DataFrame, password: str, out: str = "mapping") -> DataFrame:
-    df = decrypt_text(df, password, "__json")
-    return df.withColumn(out, F.from_json("__json", ENTRY)).drop("__json")
+    json = free(df, "__json")
+    return decrypt_text(df, password, json).withColumn(out, F.from_json(json, ENTRY)).drop(json)
 
 
 def meta_envelope(name: Column, salt: Column, iv: Column, data: Column) -> Column:

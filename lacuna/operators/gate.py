@@ -1,4 +1,9 @@
-"""Line gate: which lines of texts hold personal data, by ordered patterns; and dictionary scrubbing with its audit."""
+"""Line gate: which lines of texts hold personal data, by ordered patterns; and dictionary scrubbing with its audit.
+
+Defined cases: null and empty texts are one empty line; a file without a path is scanned; repeated rows and ids stay
+apart; null and empty terms are left out; a diff line before any hunk has no number; an empty table gives no rows; other
+columns stay where rows are kept, whatever their names.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lacuna.functions.spans import free
+
 #: The gate's patterns in their order, looser than the detection rules.
 PATTERNS = (
     ("PHONE", r"(?<![A-Za-z0-9_])1[3-9][0-9]{9}(?![A-Za-z0-9_])"),
@@ -25,13 +32,16 @@ PATTERNS = (
 EXCLUDED = r"(^|/)(node_modules|dist|coverage|\.vite|test-fixtures|scripts)(/|$)"
 
 
+#: What a line must hold for any of the patterns to match: a digit, an address, a number with capitals, Chinese text.
+HINT = "[0-9@一-龥]|[A-Z]-"
+
+
 def first_pattern(line: Column, extra: Sequence[str] = ()) -> Column:
     """The name of the first pattern in the list that a line holds; the users' own come last."""
-    out = None
-    for name, pattern in (*PATTERNS, *((p, p) for p in extra if p)):
-        hit = F.rlike(line, F.lit(pattern))
-        out = F.when(hit, name) if out is None else out.when(hit, name)
-    return out
+    chosen = lambda pairs: F.coalesce(*(F.when(F.rlike(line, F.lit(p)), n) for n, p in pairs))
+    own = F.when(F.rlike(line, F.lit(HINT)), chosen(PATTERNS))
+    more = [(p, p) for p in extra if p]
+    return F.coalesce(own, chosen(more)) if more else own
 
 
 def lines_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -49,7 +59,7 @@ def gate_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ex
 def gate_targets(df: DataFrame, path_col: str = "path", text_col: str = "text") -> DataFrame:
     """Files to scan: not excluded, not binary, not empty."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return df.where(~F.rlike(path_col, F.lit(EXCLUDED)) & (F.length(text) > 0) & ~F.contains(text, F.lit("\0")))
+    return df.where(~F.coalesce(F.rlike(path_col, F.lit(EXCLUDED)), F.lit(False)) & (F.length(text) > 0) & ~F.contains(text, F.lit("\0")))
 
 
 def added_lines(diff: DataFrame, file_col: str = "file", order_col: str = "idx", line_col: str = "line") -> DataFrame:
@@ -58,10 +68,11 @@ def added_lines(diff: DataFrame, file_col: str = "file", order_col: str = "idx",
     order = Window.partitionBy(file_col).orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
     begin = F.when(line.startswith("@@ "), F.regexp_extract(line, r"^@@ -\S+ \+(\d+)", 1).try_cast("int"))
     added = line.startswith("+") & ~line.startswith("+++")
-    df = diff.withColumns({"__begin": F.last(begin, ignorenulls=True).over(order), "__hunk": F.sum(begin.isNotNull().cast("int")).over(order), "__added": added})
-    within = Window.partitionBy(file_col, "__hunk").orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
-    number = F.col("__begin") + F.coalesce(F.sum(F.col("__added").cast("int")).over(within), F.lit(0))
-    return df.withColumn("line_no", number.cast("int")).where("__added").select(file_col, "line_no", F.substring(line, F.lit(2), F.lit(2147483647)).alias("line"))
+    at, hunk, is_added = (free(diff, c) for c in ("__begin", "__hunk", "__added"))
+    df = diff.withColumns({at: F.last(begin, ignorenulls=True).over(order), hunk: F.sum(begin.isNotNull().cast("int")).over(order), is_added: added})
+    within = Window.partitionBy(file_col, hunk).orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
+    number = F.col(at) + F.coalesce(F.sum(F.col(is_added).cast("int")).over(within), F.lit(0))
+    return df.withColumn("line_no", number.cast("int")).where(is_added).select(file_col, "line_no", F.substring(line, F.lit(2), F.lit(2147483647)).alias("line"))
 
 
 def gate_verdict(targets: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -1,10 +1,18 @@
-"""Records of redactions, the audit log, statistics and settings, as append-only tables and views over them."""
+"""Records of redactions, the audit log, statistics and settings, as append-only tables and views over them.
+
+Defined cases: of several updates of one record the last state in the order active, restored, deleted counts; updates
+without a state, or of unknown records, change nothing; records that repeat stay apart; a file name or record listed
+several times is matched once; null names match nothing; empty tables give no rows; other columns stay, whatever their
+names.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lacuna.functions.spans import free
+
 STATES = ("active", "restored", "deleted")
 #: The end of a redacted file's name.
 MARK = r"(_脱敏)?\.[^.]+$"
@@ -34,9 +42,11 @@ def get_record(records: DataFrame, id_: str) -> DataFrame:
 
 
 def update_status(records: DataFrame, updates: DataFrame) -> DataFrame:
-    """New states by ``updates(id, status)``; other rows stay."""
-    new = updates.select("id", F.col("status").alias("__new"))
-    return records.join(new, "id", "left").withColumn("status", F.coalesce("__new", "status")).drop("__new")
+    """New states by ``updates(id, status)``; other rows stay. Each record keeps its one row, however often it is updated."""
+    name = free(records, "__new")
+    place = F.coalesce(*(F.when(F.col("status") == s, i) for i, s in enumerate(STATES)), F.lit(-1))
+    new = updates.where("id is not null and status is not null").groupBy("id").agg(F.max_by("status", F.struct(place, "status")).alias(name))
+    return records.join(new, "id", "left").withColumn("status", F.coalesce(name, "status")).drop(name).select(*records.columns)
 
 
 def delete_records(records: DataFrame, ids: DataFrame, hard: bool = False) -> DataFrame:
@@ -50,29 +60,30 @@ def stem(name: Column) -> Column:
     return F.regexp_replace(name, MARK, "")
 
 
-def match_records(files: DataFrame, records: DataFrame, size: int = 3, small: int = 100_000) -> DataFrame:
-    """``file_name, id, record_name, n_matches`` for every file: active records whose bare name holds the file's, or is held by it.
-
-    A small list of records (counted first) is broadcast. Beyond that names meet by their trigrams: the shorter
-    name's first trigram stands in the longer one, so only pairs that share it are compared. Names under three
-    characters, which may be held by any, are broadcast under the same bound.
-    """
-    f = files.select("file_name", stem(F.col("file_name")).alias("f"))
-    r = records.where(F.col("status") == "active").select("id", F.col("file_name").alias("record_name"), stem(F.col("file_name")).alias("r"))
-    held = F.contains("f", "r") | F.contains("r", "f")
-    if r.limit(small + 1).count() <= small:
-        pairs = f.join(F.broadcast(r), held)
-    else:
-        tiny_r, tiny_f = r.where(F.length("r") < size), f.where(F.length("f") < size)
-        if tiny_r.limit(small + 1).count() > small or tiny_f.limit(small + 1).count() > small:
-            raise ValueError(f"more than {small} names of fewer than {size} characters")
-        grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - (size - 1)), lambda i: F.substring(F.col(c), i, F.lit(size))))
-        long_f, long_r = f.where(F.length("f") >= size), r.where(F.length("r") >= size)
-        one = long_f.withColumn("g", F.explode(grams("f"))).join(long_r.withColumn("g", F.substring("r", 1, size)), "g").where(F.contains("f", "r"))
-        two = long_f.withColumn("g", F.substring("f", 1, size)).join(long_r.withColumn("g", F.explode(grams("r"))), "g").where(F.contains("r", "f"))
-        pairs = one.unionByName(two).drop("g").unionByName(f.join(F.broadcast(tiny_r), held)).unionByName(r.join(F.broadcast(tiny_f), held).select(*f.columns, *r.columns)).distinct()
+def _grams(name: Column, size: int) -> Column:
+    """The distinct substrings of a name of up to size characters, the empty one too."""
+    of = lambda n: F.when(F.length(name) >= n, F.transform(F.sequence(F.lit(1), F.length(name) - (n - 1)), lambda i: F.substring(name, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(F.array(F.lit("")), *(of(n) for n in range(1, size + 1))))
+
+
+def _held(short: DataFrame, a: str, wide: DataFrame, b: str, size: int) -> DataFrame:
+    """Pairs of rows of which the name ``a`` stands within the name ``b``: they meet by that substring of ``a`` that the fewest names ``b`` have, so common beginnings make no pairs."""
+    held = wide.withColumn("g", F.explode(_grams(F.col(b), size)))
+    counts = held.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    n = F.least(F.length(a), F.lit(size))
+    own = F.transform(F.sequence(F.lit(1), F.greatest(F.length(a) - n + 1, F.lit(1))), lambda i: F.substring(F.col(a), i, n))
+    each = short.select(a, F.explode(F.array_distinct(own)).alias("g")).distinct()
+    rarest = each.join(counts, "g", "left").groupBy(a).agg(F.min_by("g", F.struct(F.coalesce("n", F.lit(0)), "g")).alias("g"))
+    return short.join(rarest, a).join(held, "g").where(F.contains(b, a)).drop("g")
+
+
+def match_records(files: DataFrame, records: DataFrame, size: int = 3) -> DataFrame:
+    """``file_name, id, record_name, n_matches`` for every file: active records whose bare name holds the file's, or is held by it."""
+    f = files.select("file_name", stem(F.col("file_name")).alias("f")).where("f is not null").distinct()
+    r = records.where(F.col("status") == "active").select("id", F.col("file_name").alias("record_name"), stem(F.col("file_name")).alias("r")).where("r is not null").distinct()
+    pairs = _held(r, "r", f, "f", size).select("file_name", "id", "record_name").unionByName(_held(f, "f", r, "r", size).select("file_name", "id", "record_name")).distinct()
     n = F.count("id").over(Window.partitionBy("file_name"))
-    return f.select("file_name").distinct().join(pairs.select("file_name", "id", "record_name"), "file_name", "left").withColumn("n_matches", n)
+    return files.select("file_name").distinct().join(pairs, "file_name", "left").withColumn("n_matches", n)
 
 
 def build_audit(df: DataFrame, action: str, id_col: str = "file_id", hash_col: str = "file_hash", n_col: str = "n_matches") -> DataFrame:
@@ -97,8 +108,8 @@ def record_stats(records: DataFrame) -> DataFrame:
 
 def upsert_settings(settings: DataFrame, changes: DataFrame) -> DataFrame:
     """``key, value, ts``: the latest value of each key."""
-    order = Window.partitionBy("key").orderBy(F.desc("ts"), F.desc("value"))
-    return settings.unionByName(changes).withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
+    order, n = Window.partitionBy("key").orderBy(F.desc("ts"), F.desc("value")), free(settings, "__n")
+    return settings.unionByName(changes).withColumn(n, F.row_number().over(order)).where(F.col(n) == 1).drop(n)
 
 
 def read_settings(settings: DataFrame, defaults: dict[str, str]) -> DataFrame:

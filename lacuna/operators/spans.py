@@ -1,4 +1,12 @@
-"""Algebra of spans: selections, manual spans, override and protection, unions, parts, segments, slices, runs."""
+"""Algebra of spans: selections, manual spans, override and protection, unions, parts, segments, slices, runs.
+
+Joins of intervals go by document and by stretches of ``BIN`` code points, so that a document with very many spans is
+dealt out too, and no more pairs are compared than stand near each other.
+
+Defined cases: spans of a null document meet no others; empty spans overlap what they lie within; equal spans are kept
+as often as they occur, but a protected or overridden one goes wholly; null texts count as empty; other columns of the
+spans stay; empty tables give no rows.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lacuna.functions.rules import NOT_S
-from lacuna.functions.spans import overlapping_starts, spans_of
+from lacuna.functions.spans import free, overlapping_starts, spans_of
 from lacuna.operators.detect import context, literal
 
 PAD = f"[{NOT_S}&&[^\\n]]"
@@ -58,18 +66,32 @@ def filter_hits(hits: Column, existing: Column) -> Column:
     return F.filter(hits, lambda h: ~F.exists(existing, lambda m: overlaps(h, m)))
 
 
+#: Code points of a stretch of a document, by which intervals meet.
+BIN = 4096
+
+
+def in_bins(spans: DataFrame, name: str) -> DataFrame:
+    """Each span in every stretch that it touches."""
+    return spans.withColumn(name, F.explode(F.sequence(F.expr(f"start div {BIN}"), F.expr(f"greatest(start, `end` - 1) div {BIN}"))))
+
+
+def _clear_of(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """The spans of ``a`` that overlap none of ``b``: an interval anti join."""
+    part = free(a, "__bin")
+    other = in_bins(b.select(F.col(key).alias("k"), "start", "end"), "bin").select("k", "bin", F.col("start").alias("s"), F.col("end").alias("e"))
+    hit = in_bins(a.select(key, "start", "end").distinct(), part).join(other, (F.col(key) == F.col("k")) & (F.col(part) == F.col("bin")) & (F.col("start") < F.col("e")) & (F.col("end") > F.col("s")), "left_semi")
+    taken = hit.select(key, "start", "end").distinct()
+    return a.join(taken, [key, "start", "end"], "left_anti").select(*a.columns)
+
+
 def override_rows(old: DataFrame, new: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Row form of override: an interval anti join on the document, then the union."""
-    a, b = old.alias("a"), new.alias("b")
-    clash = (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a.start") < F.col("b.end")) & (F.col("a.end") > F.col("b.start"))
-    return a.join(b, clash, "left_anti").unionByName(new)
+    """Row form of override: old spans that overlap no new one, and the new ones."""
+    return _clear_of(old, new, key).unionByName(new)
 
 
 def protect_rows(hits: DataFrame, existing: DataFrame, key: str = "doc_id") -> DataFrame:
     """Row form of protection."""
-    a, b = hits.alias("a"), existing.alias("b")
-    clash = (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a.start") < F.col("b.end")) & (F.col("a.end") > F.col("b.start"))
-    return a.join(b, clash, "left_anti")
+    return _clear_of(hits, existing, key)
 
 
 def group_hits(hits: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.functions.rules import BUILTIN, LABELS, ORDER, custom_rule
+from lacuna.functions.rules import BUILTIN, LABELS, ORDER, custom_rule, rules_from
 from lacuna.operators import crypto, edits, gate, records, redact, search, spans
 from lacuna.operators.detect import count_by_type, detect, exploded, type_report
 from lacuna.plans.contracts import CONTRACTS, contracts, truth_sql
@@ -516,3 +517,198 @@ def source_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = F.col("turn") % 2 == 0
     rows = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("path"), F.when(table, "table").otherwise("text").alias("type"), "text", F.array("role", F.lit(""), "text", F.lit("0")).alias("cells"))
     return sources.blocks_to_text(rows)
+
+
+# Rows that put each operator to work: what a query above leaves empty or constant
+
+
+@query(f"SELECT {ROWS} FROM ({spans_sql(PHONE, C)}) WHERE NOT (start > 0 AND regexp_matches(substring(text, start, 1), '\\d')) AND NOT regexp_matches(substring(text, start + length(value) + 1, 1), '\\d') AND NOT regexp_matches(value, '^\\+?86[-.\\s]?(1[3-9]\\d{{9}}|0\\d{{2,4}}[-.\\s]?\\d{{7,8}})$')")
+def detect_phone_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exploded(detect(contracts(spark, sf_dir).select("doc_id", "text"), rules=[RULES["PHONE"]])).select("doc_id", "value", "start", "end")
+
+
+_LINKS = "concat('入口 https://h', CAST(c_custkey AS VARCHAR(20)), '.example.org/a/', CAST(c_custkey AS VARCHAR(20)), '，另见 www.site-', CAST(c_custkey AS VARCHAR(20)), '.com.cn/x；或 shop', CAST(c_custkey AS VARCHAR(20)), '.io。邮箱 me@corp', CAST(c_custkey AS VARCHAR(20)), '.com，版本 1.2')"
+_URLS = ("'https://h' || k || '.example.org/a/' || k", "'www.site-' || k || '.com.cn/x'", "'shop' || k || '.io'")
+
+
+@query("SELECT doc_id, value, CAST(instr(text, value) - 1 AS INTEGER) AS start FROM (" + " UNION ALL ".join(f"SELECT doc_id, text, {u} AS value FROM (SELECT c_custkey AS doc_id, CAST(c_custkey AS VARCHAR) AS k, {_LINKS} AS text FROM customer)" for u in _URLS) + ")")
+def detect_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """URLs with and without a scheme, ended by Chinese punctuation; an address's domain is none."""
+    df = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.expr(_LINKS).alias("text"))
+    return exploded(detect(df, rules=[RULES["URL"]])).select("doc_id", "value", "start")
+
+
+#: Texts and the company names that they hold, step by step of the filter.
+COMPANIES = (
+    ("甲方为星河公司有限公司", ("星河公司有限公司",)), ("前后公司公司", ()), ("策划师及其所属公司", ()), ("本公司与关联公司往来", ()), ("甲方公司负责交付", ()),
+    ("同时配合集团完成方案", ()), ("星河科技有限公司", ()), ("星河湾区集团是行业巨头", ("星河湾区集团",)), ("这家公司提供咨询服务", ()), ("广州星河数字技术有限公司委托深圳晨光网络科技有限公司承办", ("广州星河数字技术有限公司", "深圳晨光网络科技有限公司")),
+    ("经晨光移动通信有限公司同意", ("晨光移动通信有限公司",)), ("应当履行有限公司", ()),
+)
+_CASE = "CASE c_custkey % " + str(len(COMPANIES)) + " " + " ".join(f"WHEN {i} THEN '{t}'" for i, (t, _) in enumerate(COMPANIES)) + " END"
+
+
+@query("SELECT c_custkey AS doc_id, value, start FROM customer JOIN (VALUES " + ", ".join(f"({i}, '{v}', {t.index(v)})" for i, (t, names) in enumerate(COMPANIES) for v in names) + f") x(kind, value, start) ON c_custkey % {len(COMPANIES)} = kind")
+def detect_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates that the company filter drops, shortens and parts."""
+    df = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.expr(_CASE).alias("text"))
+    return exploded(detect(df, rules=[r for r in BUILTIN if r.type == "COMPANY"])).select("doc_id", "value", "start")
+
+
+@query(f"SELECT doc_id, 'MAIL' AS type, value, start FROM ({spans_sql('(?i)' + EMAIL)})")
+def detect_table_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules read from a table; one is switched off, one below the threshold."""
+    table = spark.createDataFrame([("MAIL", EMAIL, 0.9, True), ("OFF", "the", 0.9, False), ("WEAK", "and", 0.1, None)], "type string, pattern string, weight double, enabled boolean")
+    return exploded(detect(docs(spark, sf_dir), rules=rules_from(table), min_confidence=0.5)).select("doc_id", "type", "value", "start")
+
+
+@query(" UNION ALL ".join(f"SELECT doc_id, '{w}' AS value, count(*) AS n FROM ({spans_sql(w)}) GROUP BY doc_id" for w in ("token", "mail", "the")))
+def detect_many_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A long list of keywords, of which some occur."""
+    words = ["token", "mail", "the", *(f"no such word {i}" for i in range(60))]
+    found = exploded(detect(docs(spark, sf_dir), rules=[], keywords=words))
+    return found.groupBy("doc_id", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+_XE, _XM = f"(SELECT {ROWS} FROM ({spans_sql(EMAIL, C)}))", f"(SELECT {ROWS} FROM ({spans_sql('example', C)}))"
+
+
+def _contract_hits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    texts = contracts(spark, sf_dir).select("doc_id", "text")
+    rows = lambda df: exploded(df).select("doc_id", "value", "start", "end")
+    return rows(detect(texts, rules=[RULES["EMAIL"]])), rows(detect(texts, rules=[], keywords=["example"]))
+
+
+@query(f"SELECT * FROM {_XM} m WHERE NOT EXISTS (SELECT 1 FROM {_XE} e WHERE {_CLASH})")
+def span_protect_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of two hits in each contract, the one within an address goes and the one within a link stays."""
+    old, hits = _contract_hits(spark, sf_dir)
+    return spans.protect_rows(hits, old)
+
+
+@query(f"SELECT doc_id, value, CAST(start + 1 AS INTEGER) AS start FROM ({spans_sql(EMAIL, C)}) WHERE doc_id % 7 = 0")
+def span_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans moved by one place in every seventh contract: the audit must list these and no other."""
+    df = detect(contracts(spark, sf_dir).select("doc_id", "text"), rules=[RULES["EMAIL"]])
+    moved = F.transform("matches", lambda m: m.withField("start", m["start"] + F.when(F.col("doc_id") % 7 == 0, 1).otherwise(0)).withField("end", m["end"] + F.when(F.col("doc_id") % 7 == 0, 1).otherwise(0)))
+    return spans.check_integrity(df.withColumn("matches", moved)).select("doc_id", "value", "start")
+
+
+@query(f"SELECT doc_id, true AS round_trip_ok, count(*) AS n_spans FROM ({TRUTH}) GROUP BY doc_id")
+def round_trip_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All seventeen spans of every contract, redacted and restored."""
+    df = redact.round_trip(redact.redact(detect(contracts(spark, sf_dir).select("doc_id", "text"))))
+    return df.select("doc_id", "round_trip_ok", F.size("mapping").cast("long").alias("n_spans"))
+
+
+# Encryption
+
+ORACLE_SQL["encrypt_round_trip"] = f"SELECT doc_id, true AS round_trip_ok, true AS wrong_fails, CAST({len(SOME)} AS BIGINT) AS n_entries FROM {C}"
+_KEYS = [hashlib.pbkdf2_hmac("sha256", b"correct horse", f"salt of sixteen{i}".encode(), 100_000, 32).hex().upper() for i in range(2)]
+
+
+@query(f"SELECT o_orderkey AS doc_id, CASE o_orderkey % 2 WHEN 0 THEN '{_KEYS[0]}' ELSE '{_KEYS[1]}' END AS key FROM orders")
+def key_derivation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    salt = F.concat(F.lit("salt of sixteen"), (F.col("o_orderkey") % 2).cast("string")).cast("binary")
+    return read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.hex(crypto.derive_key(salt, "correct horse")).alias("key"))
+
+
+@query("SELECT doc_id, octet_length(encode(text)) + 16 AS n_bytes, md5(text) AS digest, true AS wrong_fails FROM documents")
+def text_encryption(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts sealed and opened; a changed byte opens nothing."""
+    sealed = crypto.encrypt_text(docs(spark, sf_dir), "text", "correct horse", salt=F.lit(b"0123456789abcdef"))
+    opened = crypto.decrypt_text(sealed, "correct horse", "opened")
+    spoilt = crypto.decrypt_text(opened.withColumn("data", F.concat(F.col("data"), F.lit(b"x"))), "correct horse", "wrong")
+    return spoilt.select("doc_id", (F.octet_length("data") - 1).cast("long").alias("n_bytes"), F.md5(F.col("opened").cast("binary")).alias("digest"), F.col("wrong").isNull().alias("wrong_fails"))
+
+
+@query("SELECT c_custkey AS id, length(p) >= 6 AND c_custkey % 3 > 0 AS valid FROM (SELECT c_custkey, 'pw' || c_custkey AS p FROM customer)")
+def password_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = F.concat(F.lit("pw"), F.col("c_custkey").cast("string"))
+    again = F.when(F.col("c_custkey") % 3 > 0, p).otherwise(F.concat(p, F.lit("x")))
+    return read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), crypto.valid_password(p, again).alias("valid"))
+
+
+# Records and audit
+
+
+@query(f"SELECT doc_id AS file_id, sha256(text) AS file_hash, 'contract ' || doc_id || '.docx' AS file_name, 'docx' AS file_type, sha256({_replaced(*_TOKENS)}) AS redacted_hash, 'active' AS status, CAST(16 AS INTEGER) AS n_salt, true AS dated FROM {C}")
+def record_add(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = redact.redact(some(spark, sf_dir)).withColumns({"file_name": F.concat(F.lit("contract "), F.col("doc_id").cast("string"), F.lit(".docx")), "format": F.lit("docx")})
+    made = records.build_records(crypto.encrypt_mapping(df, "correct horse", salt=F.lit(b"0123456789abcdef")))
+    return made.select("file_id", "file_hash", "file_name", "file_type", "redacted_hash", "status", F.octet_length("key_salt").alias("n_salt"), (F.col("created_at").isNotNull() & F.col("id").isNotNull()).alias("dated"))
+
+
+@query(f"SELECT o_orderkey AS id, {_STATE} AS status FROM orders WHERE o_orderkey = (SELECT max(o_orderkey) FROM orders)")
+def record_get(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = record_rows(spark, sf_dir)
+    return records.get_record(rows, rows.agg(F.max("id")).first()[0]).select("id", "status")
+
+
+@query(f"SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 = 0 THEN 'deleted' WHEN o_orderkey % 5 = 0 THEN 'restored' ELSE {_STATE} END AS status FROM orders")
+def record_updates_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several updates of one record, some twice: it keeps its one row."""
+    rows = record_rows(spark, sf_dir)
+    new = [rows.where(f"id % {k} = 0").select("id", F.lit(s).alias("status")) for k, s in ((7, "deleted"), (5, "restored"), (7, "deleted"), (35, "active"))]
+    return records.update_status(rows, new[0].unionByName(new[1]).unionByName(new[2]).unionByName(new[3])).select("id", "status")
+
+
+@query("WITH f AS (SELECT DISTINCT 'part ' || (s_suppkey % 50) AS f FROM supplier), r AS (SELECT DISTINCT c_custkey AS id, 'part ' || c_custkey AS r FROM customer), p AS (SELECT f.f, r.id FROM f LEFT JOIN r ON contains(f.f, r.r) OR contains(r.r, f.f)) SELECT f || '.pdf' AS file_name, id, count(id) OVER (PARTITION BY f) AS n_matches FROM p")
+def record_match_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files and records listed several times are matched once."""
+    files = read(spark, sf_dir, "supplier").select(F.concat(F.lit("part "), (F.col("s_suppkey") % 50).cast("string"), F.lit(".pdf")).alias("file_name"))
+    rows = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.concat(F.lit("part "), F.col("c_custkey").cast("string"), F.lit(".docx")).alias("file_name"), F.lit("active").alias("status"))
+    return records.match_records(files, rows.unionByName(rows)).select("file_name", "id", "n_matches")
+
+
+@query(f"SELECT doc_id AS file_id, 'desensitize' AS action, sha256(text) AS file_hash, '{len(SOME)}' AS match_count, true AS dated FROM {C}")
+def audit_add(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = some(spark, sf_dir).select(F.col("doc_id").alias("file_id"), redact.content_hash(F.col("text")).alias("file_hash"), F.size("matches").alias("n_matches"))
+    made = records.build_audit(df, "desensitize")
+    return made.select("file_id", "action", "file_hash", F.col("details")["matchCount"].alias("match_count"), (F.col("timestamp").isNotNull() & F.col("id").isNotNull()).alias("dated"))
+
+
+# Gate
+
+_PATH = "CASE doc_id % 6 WHEN 0 THEN concat('src/a', CAST(doc_id AS VARCHAR(20)), '.ts') WHEN 1 THEN 'scripts/b.sh' WHEN 2 THEN 'lib/dist/c.js' WHEN 3 THEN 'distance/d.md' WHEN 4 THEN 'node_modules/x' END"
+
+
+@query(f"SELECT doc_id, {_PATH} AS path FROM documents WHERE (doc_id % 6 IN (0, 3) OR doc_id % 6 = 5) AND doc_id % 4 > 0 AND length(text) > 0")
+def gate_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files outside the excluded folders, those without a path too; binary ones go."""
+    df = docs(spark, sf_dir).select("doc_id", F.expr(_PATH).alias("path"), F.when(F.col("doc_id") % 4 == 0, F.concat("text", F.lit("\0"))).otherwise(F.col("text")).alias("text"))
+    return gate.gate_targets(df).select("doc_id", "path")
+
+
+@query(f"SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, '[REDACTED]' AS pattern, '[REDACTED]' AS match FROM (SELECT *, {_GATE} AS pattern FROM ({_LINES.format('documents')})) WHERE pattern IS NOT NULL")
+def gate_quiet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gate.quiet(gate.gate_lines(docs(spark, sf_dir)))
+
+
+# Sources
+
+
+@query("SELECT item_id AS doc_id, md5(text || chr(10)) AS digest, true AS named FROM benchmark")
+def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts written as a file each and read as whole files."""
+    path = sources.shared_folder(spark, "files")
+    read(spark, sf_dir, "benchmark").select("item_id", "text").write.partitionBy("item_id").text(path)
+    df = sources.read_text_documents(spark, path)
+    return df.select(F.regexp_extract("doc_id", r"item_id=(\d+)", 1).cast("long").alias("doc_id"), F.md5(F.col("raw_text").cast("binary")).alias("digest"), F.col("file_name").endswith(".txt").alias("named"))
+
+
+@query("SELECT doc_id, doc_id % 3 = 0 AS legacy FROM documents")
+def source_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contents that begin as old office files, that are cut short of it, and plain texts."""
+    mark, text = F.lit(bytes.fromhex("D0CF11E0")), F.col("text").cast("binary")
+    content = F.when(F.col("doc_id") % 3 == 0, F.concat(mark, text)).when(F.col("doc_id") % 3 == 1, F.lit(bytes.fromhex("D0CF11"))).otherwise(text)
+    return docs(spark, sf_dir).select("doc_id", sources.is_legacy_binary(content).alias("legacy"))
+
+
+_MIME = "CASE doc_id % 5 WHEN 0 THEN 'application/PDF' WHEN 1 THEN 'text/plain' WHEN 2 THEN 'image/webp' WHEN 3 THEN 'text/csv' END"
+
+
+@query("SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'pdf' WHEN 1 THEN 'txt' WHEN 2 THEN 'image' WHEN 3 THEN 'csv' END AS format FROM documents WHERE doc_id % 5 < 4")
+def source_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Formats by MIME type, whatever the name; rows without either go to the rejects."""
+    df = docs(spark, sf_dir).select("doc_id", F.expr(_MIME).alias("mime_type"), F.lit("note.md").alias("file_name"))
+    return sources.with_format(df)[0].select("doc_id", "format")

@@ -1,7 +1,16 @@
-"""Texts from files and from extracted tables (cells, page items, blocks), and names and sinks of results."""
+"""Texts from files and from extracted tables (cells, page items, blocks), and names and sinks of results.
+
+Defined cases: null cells, items and blocks hold nothing; a document without any of them has no row, or an empty text
+where blank parts are listed; parts of equal place are ordered by their text; null names and types have no format; empty
+tables give no rows; other columns are ignored.
+"""
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +27,16 @@ BY_EXTENSION = {
 }
 
 
+def shared_folder(spark: SparkSession, what: str) -> str:
+    """A new folder's name under spark.checkpoint.dir; where that is unset a temporary folder serves a local master (tests) alone."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[[^,]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="spark-")
+    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
 def read_text_documents(spark: SparkSession, path: str) -> DataFrame:
     """``doc_id`` (the path), ``file_name, raw_text``: whole files, as they are; HTML keeps its tags."""
     df = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("doc_id"), F.col("value").alias("raw_text"))
