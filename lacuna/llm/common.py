@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lacuna.sources.documents import shared_folder
+
 #: The ASCII white space that parts words.
 WHITE = " \t\n\x0b\f\r"
 WHITE_RE = r"[\x20\x09-\x0D]+"
@@ -33,19 +36,37 @@ def crc_of(id_column: Column) -> Column:
     return F.crc32(F.coalesce(id_column.cast("string"), F.lit("")).cast("binary"))
 
 
-def shared_dir(spark: SparkSession, what: str) -> str:
-    """A new folder's name under spark.checkpoint.dir; where that is unset a temporary folder serves a local master (tests) alone."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not base:
-        if not re.fullmatch(r"local(\[[^,]*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+def pieces(batch: pa.RecordBatch, column: str, limit: int = 6_000_000) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about ``limit`` bytes of text each, one row at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False)) if batch.num_rows else np.zeros(0)
+    at = 0
+    while at < batch.num_rows:
+        base = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, base + limit)))
+        yield batch.slice(at, to - at)
+        at = to
+
+
+_made: list[str] = []
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
-    """Cuts the lineage: writes df to the shared folder and reads it back."""
+    """Cuts the lineage: writes df to the shared folder and reads it back. The folder stays until ``clear``."""
     spark = df.sparkSession
-    path = shared_dir(spark, what)
+    path = shared_folder(spark, what)
     df.write.parquet(path)
+    _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def mark() -> int:
+    """How many folders this process has written so far."""
+    return len(_made)
+
+
+def clear(spark: SparkSession, since: int, keep: int = 1) -> None:
+    """Removes the folders written since a mark but for the last ones; what still reads them must be done."""
+    for path in _made[since : len(_made) - keep]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    del _made[since : len(_made) - keep]

@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.llm.common import keyed, written
+from lacuna.llm.common import keyed, pieces, written
 
 #: Fixed values.
 UNITS = ("mm", "cm", "m", "km", "g", "kg", "mg", "l", "ml", "s", "ms", "min", "h", "hours", "minutes", "seconds", "days", "weeks", "months", "years", "miles", "feet", "inches", "pounds", "ounces", "meters", "metres", "kilometers", "kilograms", "grams", "liters", "litres", "dollars", "cents", "euros", "percent", "degrees", "usd", "eur", "mph")
@@ -109,21 +109,23 @@ def window_rows(texts: pa.Array, width: int, wanted: Wanted | None = None) -> tu
     opened = windows(owner, np.where(opens, NAME, template), width)[1] ^ np.uint64(2)
     usable = slots <= width - 2
     kinds = ((keys, np.ones(len(keys), bool), None), (other, usable & (slots > 0), slot), (opened, (slots + opening <= width - 2) & (opening > 0), wide))
-    found = []  # start, key, marks of the values that stand in slots, words, whether it counts
-    for values, ok, marks in kinds:
+    found = []  # arrays of start, key, kind, words, whether it counts
+    for kind, (values, ok, _) in enumerate(kinds):
         at = np.nonzero(ok if wanted is None else ok & wanted.sieve[(values >> np.uint64(42)).astype(np.int64)])[0]
         at = at if wanted is None else at[among(values[at], wanted.keys)]
-        found += [(int(s), int(k), marks, width, bool(u)) for s, k, u in zip(starts[at], values[at], usable[at], strict=True)]
+        found.append((starts[at], values[at], np.full(len(at), kind), np.full(len(at), width), usable[at]))
     for n in range(1, width) if wanted is None else wanted.short:
         own, values = windows(owner, plain, n)
         whole = sizes[owner[own]] == n
         ok = whole if wanted is None else among(values, wanted.short[n]) & (whole | (n > 1))
-        found += [(int(s), int(k), None, n, True) for s, k in zip(own[ok], values[ok], strict=True)]
-    start = np.array([f[0] for f in found], np.int64)
-    names = words.dictionary
-    values = [[names[words.indices[s + k].as_py()].as_py() for k in range(n) if marks[s + k]] if marks is not None else [] for s, _, marks, n, _ in found]
-    row = owner[start] if len(start) else start
-    return row, start - begin[row], np.array([f[1] for f in found], np.uint64).view(np.int64), values, np.array([f[3] for f in found], np.int64), np.array([f[4] for f in found], bool)
+        at = np.nonzero(ok)[0]
+        found.append((own[at], values[at], np.zeros(len(at), np.int64), np.full(len(at), n), np.ones(len(at), bool)))
+    start, key, kind, n, counts = (np.concatenate([f[i] for f in found]) for i in range(5))
+    names, indices = words.dictionary, words.indices.to_numpy()
+    lists = {int(i): [names[int(indices[s + k])].as_py() for k in range(width) if kinds[kind[i]][2][s + k]] for i, s in ((i, int(start[i])) for i in np.nonzero(kind)[0])}
+    values = [lists.get(i, []) for i in range(len(start))]
+    row = owner[start]
+    return row, start - begin[row], key.view(np.int64), values, n, counts
 
 
 def item_windows(items: DataFrame, item_col: str, text_col: str, width: int) -> DataFrame:
@@ -132,7 +134,7 @@ def item_windows(items: DataFrame, item_col: str, text_col: str, width: int) ->
     slots = pa.list_(pa.string())
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for whole in batches for part in pieces(whole, "text", 2_000_000)):
             row, pos, key, values, n, counts = window_rows(b["text"], width)
             at = pa.array(row)
             yield pa.RecordBatch.from_arrays([b["class"].take(at), b["item"].take(at), pa.array(pos, pa.int64()), pa.array(key), pa.array(values, slots), pa.array(n), pa.array(counts)], names=["class", "item", "pos", "key", "slots", "words", "counts"])
@@ -154,7 +156,7 @@ def hits(docs: DataFrame, keys: np.ndarray, short: dict[int, np.ndarray], width:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, bits, whole = shared.value
         wanted = Wanted(known, np.unpackbits(bits).astype(bool), whole)
-        for b in batches:
+        for b in (part for whole in batches for part in pieces(whole, "text", 2_000_000)):
             row, pos, key, slots, *_ = window_rows(b["text"], width, wanted)
             none = np.setdiff1d(np.arange(b.num_rows), row)
             rows = pa.array(np.concatenate([row, none]).astype(np.int64))

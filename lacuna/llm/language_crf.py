@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lacuna.llm.common import crc_of, written
+from lacuna.llm.common import crc_of, pieces, written
 
 STEP = 32
 BITS = 14
@@ -313,17 +313,6 @@ def shares_of(model: Model, texts: pa.Array) -> np.ndarray:
     return out / np.maximum(out.sum(axis=1, keepdims=True), 1e-30)
 
 
-def pieces(batch: pa.RecordBatch, column: str, limit: int = 6_000_000) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with about ``limit`` bytes of text each, one row at least."""
-    ends = np.cumsum(pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False)) if batch.num_rows else np.zeros(0)
-    at = 0
-    while at < batch.num_rows:
-        base = ends[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(ends, base + limit)))
-        yield batch.slice(at, to - at)
-        at = to
-
-
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id, held_out, lang_pred, score`` and the columns ``keep``: one row for each input row. Narrow."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size for each label

@@ -29,6 +29,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lacuna.llm.common import pieces as slices
+
 SCALE = 1000.0  # per byte: keeps sums of weights within range between two scalings
 RESCALE = 16
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -237,8 +239,6 @@ def joined(v: Vocabulary, lists: pa.ListArray) -> pa.Array:
 
 def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", seed: int = 0, exponent: float = 1.0, keep: tuple[str, ...] = (), decoded: bool = False) -> DataFrame:
     """``key, text, ids``, with ``decoded`` the text made of the ids again, and the columns ``keep``: one row for each input row. ``vocabulary`` is a file that every worker has. Narrow."""
-    from lacuna.llm.language_crf import pieces as slices
-
     kinds = dict(docs.dtypes)
     key = F.xxhash64(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")))
     own = docs.select(F.col(id_col).alias("__key"), key.alias("__seed"), *keep, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.llm.common import written
+from lacuna.llm.common import clear, mark, written
 
 
 def fingerprint_of(text: str | None, width: int = 4) -> int:
@@ -39,7 +39,7 @@ def fingerprint_of(text: str | None, width: int = 4) -> int:
     else:
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         ends = np.cumsum(sizes + 1) - 1
-        hashes = [h(joined[a:b], 42) for a, b in zip((ends - sizes)[: 1 - width].tolist(), ends[width - 1 :].tolist(), strict=True)]
+        hashes = [h(joined[a:b], 42) for a, b in zip((ends - sizes)[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)]
     counts = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 65536):
         part = np.array(hashes[i : i + 65536], np.uint64)
@@ -141,11 +141,13 @@ def components(pairs: DataFrame) -> DataFrame:
         out = out.where(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b")) if large else out.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
         return out.where("a <> b").distinct()
 
+    spark, at = pairs.sparkSession, mark()
     edges = written(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "links")
     state = None
     while True:
         # a state of a few numbers: the edges' count and sums of their hashes
         edges = written(star(star(edges, True), False), "stars")
+        clear(spark, at)  # the rounds before are no longer read
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
             break
