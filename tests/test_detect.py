@@ -2,7 +2,7 @@
 
 import pytest
 
-from lacuna.functions.rules import BUILTIN, Rule, RuleSet, custom_rule
+from lacuna.functions.rules import BUILTIN, Rule, RuleSet, custom_rule, rules_from
 from lacuna.operators.company import company_parts
 from lacuna.operators.detect import count_by_type, detect, exploded, type_report
 
@@ -103,7 +103,7 @@ def test_longer_span_wins_and_ties_keep_rule_order(spark):
     assert [(r["type"], r["value"]) for r in found(spark, ["xabcx"], rules=rules)] == [("B", "abc")]
 
 
-def test_rule_sets():
+def test_rule_sets(spark):
     s = RuleSet().switched("EMAIL", False)
     assert "EMAIL" not in [r.type for r in s.active()] and "EMAIL" in [r.type for r in s.active(include_disabled=True)]
     assert all(r.weight >= 0.9 for r in RuleSet().active(0.9)) and len(RuleSet().without("COMPANY").rules) == len(BUILTIN) - 2
@@ -111,6 +111,11 @@ def test_rule_sets():
     for bad in ("a*", "("):
         with pytest.raises(ValueError):
             custom_rule(bad)
+    assert custom_rule("x(\\d)").group == 1 and custom_rule("\\p{IsHan}++x").group == 0  # a Java regex
+    table = spark.createDataFrame([("B", "b+", None, None), ("A", "a+", 0.5, False), ("N", None, 0.5, True)], "type string, pattern string, weight double, enabled boolean")
+    assert [(r.type, r.weight, r.enabled) for r in rules_from(table).rules] == [("A", 0.5, False), ("B", 0.9, True)]
+    with pytest.raises(ValueError):
+        rules_from(table, limit=1)
 
 
 def test_counts_and_report(spark):

@@ -65,9 +65,9 @@ def test_encryption(spark):
 def test_records(spark):
     rows = spark.createDataFrame([("1", "abc.docx", "active", 1), ("2", "abcd_脱敏.docx", "active", 2), ("3", "zz.pdf", "deleted", 3)], "id string, file_name string, status string, created_at int")
     files = spark.createDataFrame([("abcd.txt",), ("qqq.txt",)], "file_name string")
-    for small in (100, 1):
-        got = {(r["file_name"], r["id"], r["n_matches"]) for r in records.match_records(files, rows, small=small).collect()}
-        assert got == {("abcd.txt", "1", 2), ("abcd.txt", "2", 2), ("qqq.txt", None, 0)}
+    for names, listed in ((files, rows), (files.unionByName(files), rows.unionByName(rows))):
+        got = sorted((r["file_name"], str(r["id"]), r["n_matches"]) for r in records.match_records(names, listed).collect())
+        assert got == [("abcd.txt", "1", 2), ("abcd.txt", "2", 2), ("qqq.txt", "None", 0)]
     assert records.record_stats(rows).first().asDict() == {"total": 3, "restored": 0, "active": 2}
     assert {r["id"]: r["status"] for r in records.delete_records(rows, rows.where("id = '1'")).collect()}["1"] == "deleted"
     assert [r["id"] for r in records.list_records(rows).collect()] == ["3", "2", "1"]
@@ -96,3 +96,41 @@ def test_stream(spark, tmp_path):
     stream = redact_stream(spark.readStream.schema("doc_id int, text string").parquet(str(tmp_path / "in")))
     write_stream(stream, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     assert {r["redacted_text"] for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {"______​", ""}
+
+
+def test_name_matches_against_brute_force(spark):
+    import random
+
+    rng = random.Random(5)
+    name = lambda: "".join(rng.choice("ab") for _ in range(rng.randint(0, 5)))
+    files, rows = sorted({name() for _ in range(25)}), [(i, name()) for i in range(40)]
+    got = records.match_records(spark.createDataFrame([(f"{f}.txt",) for f in files] + [(None,)], "file_name string"), spark.createDataFrame([(i, f"{r}.docx", "active") for i, r in rows] + [(99, None, "active")], "id int, file_name string, status string"))
+    expected = {f: [i for i, r in rows if r in f or f in r] for f in files}
+    found = {f: [] for f in files}
+    for r in got.where("file_name is not null").collect():
+        found[r["file_name"][:-4]] += [] if r["id"] is None else [r["id"]]
+        assert r["n_matches"] == len(expected[r["file_name"][:-4]])
+    assert {f: sorted(v) for f, v in found.items()} == expected
+
+
+def test_updates_keep_one_row_each(spark):
+    rows = spark.createDataFrame([("1", "active", "x"), ("2", "active", "y"), (None, "active", "z")], "id string, status string, __new string")
+    updates = spark.createDataFrame([("1", "restored"), ("1", "deleted"), ("1", "restored"), ("2", None), ("9", "deleted"), (None, "deleted")], "id string, status string")
+    assert sorted(map(str, records.update_status(rows, updates).collect())) == sorted(map(str, spark.createDataFrame([("1", "deleted", "x"), ("2", "active", "y"), (None, "active", "z")], rows.schema).collect()))
+
+
+def test_rows_without_a_path_are_scanned_and_all_of_a_text_is_searched(spark):
+    files = spark.createDataFrame([(None, "x"), ("scripts/x", "x")], "path string, text string")
+    assert [r["path"] for r in gate.gate_targets(files).collect()] == [None]
+    long = spark.createDataFrame([("x" * 600_000 + "needle",)], "text string")
+    assert [len(search.search(long, "needle", limit=n).first()["hits"]) for n in (500_000, None)] == [0, 1]
+    null = spark.createDataFrame([(1, "an anan", None)], "doc_id int, text string, matches array<struct<type:string,value:string,start:int,end:int,confidence:double,context:string,rule_idx:int,seq:int>>")
+    row = search.search_and_add(null, "an").first()
+    assert (row["n_added"], row["n_skipped"], len(row["matches"])) == (3, 0, 3)
+
+
+def test_rejects_of_decryption(spark):
+    sealed = crypto.encrypt_text(spark.createDataFrame([(1, "abc"), (2, "def")], "id int, t string"), "t", "secret1", salt=F.lit(b"0" * 16))
+    spoilt = sealed.withColumn("data", F.when(F.col("id") == 2, F.concat("data", F.lit(b"x"))).otherwise(F.col("data"))).drop("t")
+    good, bad = crypto.decrypted(spoilt, "secret1")
+    assert [(r["id"], r["text"]) for r in good.collect()] == [(1, "abc")] and [(r["id"], r["reason"]) for r in bad.collect()] == [(2, "wrong password or altered data")]

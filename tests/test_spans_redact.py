@@ -120,3 +120,14 @@ def test_edits_pair_by_occurrence():
 @given(st.text(alphabet="ab_ \n", max_size=30))
 def test_edits_without_tokens_change_nothing(text):
     assert edited(text, [("#", "x")]) == text
+
+
+def test_interval_joins_against_all_pairs(spark):
+    rng = random.Random(8)
+    span = lambda: (rng.randint(0, 3), s := rng.randint(0, 20_000), s + rng.choice([0, 1, 3, 5000]))
+    hits, held = [span() for _ in range(300)] + [(None, 1, 2)], [span() for _ in range(12)]
+    frame_of = lambda rows: spark.createDataFrame(rows, "doc_id int, start int, end int")
+    expected = [h for h in hits if not any(h[0] == e[0] and h[1] < e[2] and h[2] > e[1] for e in held)]
+    key = lambda rows: sorted(map(str, map(tuple, rows)))
+    assert key(spans.protect_rows(frame_of(hits), frame_of(held)).collect()) == key(expected)
+    assert key(spans.override_rows(frame_of(hits), frame_of(held)).collect()) == key(expected + held)
