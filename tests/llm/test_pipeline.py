@@ -30,3 +30,24 @@ def test_stages(spark, tmp_path):
     assert all("bob@" not in r["text"] and r["n_chars"] == len(r["text"]) for r in last.values())
     assert all(r["lossless"] and r["n_pieces"] == len(r["ids"]) for r in df.collect())
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(clean)
+
+
+def test_near_copies_go_and_tables_of_any_shape_pass(spark, tmp_path):
+    rng = random.Random(10)
+    words = lambda n: " ".join(rng.choice("bcdfghjklmnprstvw") + rng.choice("aeiou") + rng.choice("lmnrst") for _ in range(n))
+    rows = []
+    for i in range(60):
+        text = words(150).split()
+        rows.append((i, " ".join(text)))
+        text[rng.randrange(150)] = "altered"
+        rows.append((1000 + i, " ".join(text)))
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t), "clash", "clash") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, fp string, component_id string")
+    kept = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path))
+    ids = [r["doc_id"] for r in kept.collect()]
+    assert kept.columns == list(corpus_pipeline.COLUMNS) and set(range(60)) <= set(ids) and len(ids) <= 62
+    spark.createDataFrame([(1, words(20))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    empty = docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, str(tmp_path)).count() == 0, name
+        if name != "language":
+            assert stage(spark, docs, str(tmp_path)).count() > 0, name
