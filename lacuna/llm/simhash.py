@@ -7,7 +7,8 @@ part and threshold: probes, and candidates as seen in the pairs of a bounded sam
 index once for each part and probes all keys within t_i; candidates are verified on all 64 bits. Only the plan is made
 from the sample: the links are exact.
 
-Equal texts meet as one fingerprint first, so a group of copies costs one row. Components come from rounds of
+Equal texts meet as one fingerprint first, so a group of copies costs one row; of crowds of different fingerprints that
+lie close together only links between classes are made (``classes``). Components come from rounds of
 large-star and small-star joins, each written to the shared folder.
 
 Defined cases: null and empty texts have fingerprint zero; repeated rows give equal rows; a null id is never the
@@ -102,11 +103,15 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def links(distinct: DataFrame, max_bits: int = 4, sample_size: int = 4096) -> DataFrame:
-    """``a, b``: all pairs of distinct fingerprints (column ``fp``) that differ in at most max_bits bits, each once."""
-    n = distinct.count()
+def planned(distinct: DataFrame, max_bits: int, sample_size: int) -> tuple[int, list[tuple[int, int]]]:
+    """The number of fingerprints and the plan for them."""
     sample = distinct.orderBy(F.xxhash64("fp"), "fp").limit(sample_size).collect()  # bounded by sample_size
-    chosen = plan(np.array([r["fp"] for r in sample], np.int64), n, max_bits)
+    n = distinct.count()
+    return n, plan(np.array([r["fp"] for r in sample], np.int64), n, max_bits)
+
+
+def sides(distinct: DataFrame, chosen: list[tuple[int, int]]) -> tuple[DataFrame, DataFrame]:
+    """``a, part, key``: the keys that each fingerprint probes; and ``b, part, key``: where each stands."""
     fp = F.col("fp")
     index, probes = [], []
     for i, (mask, t) in enumerate(chosen):
@@ -117,8 +122,57 @@ def links(distinct: DataFrame, max_bits: int = 4, sample_size: int = 4096) -> Da
         probes.append(F.transform(F.array(*map(F.lit, flips)), probe(i, own)))
     left = distinct.select(fp.alias("a"), F.explode(F.concat(*probes)).alias("p")).select("a", "p.part", "p.key")
     right = distinct.select(fp.alias("b"), F.explode(F.array(*index)).alias("p")).select("b", "p.part", "p.key")
-    apart = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
-    return left.join(right, ["part", "key"]).where((F.col("a") < F.col("b")) & (apart <= max_bits)).select("a", "b").distinct()
+    return left, right
+
+
+def apart() -> Column:
+    return F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
+
+
+def links(distinct: DataFrame, max_bits: int = 4, sample_size: int = 4096) -> DataFrame:
+    """``a, b``: all pairs of distinct fingerprints (column ``fp``) that differ in at most max_bits bits, each once."""
+    left, right = sides(distinct, planned(distinct, max_bits, sample_size)[1])
+    return left.join(right, ["part", "key"]).where((F.col("a") < F.col("b")) & (apart() <= max_bits)).select("a", "b").distinct()
+
+
+def classes(distinct: DataFrame, max_bits: int = 4, sample_size: int = 4096, hot: int = 256) -> DataFrame:
+    """``node, root``: the fingerprints that have links, and the least one of their component.
+
+    Fingerprints that stand close together share keys. Where more than ``hot`` (and sixteen times what chance gives) share
+    one, the links between them are not all made: those of one bit join most of such a group first, which takes 64 probes
+    each; then pairs of different classes alone are compared, by a second pigeonhole over the other bits, and give links
+    between classes.
+    """
+    n, chosen = planned(distinct, max_bits, sample_size)
+    left, right = sides(distinct, chosen)
+    near = (F.col("a") < F.col("b")) & (apart() <= max_bits)
+    least = F.get(F.array(*(F.lit(hot + 16.0 * n / 2 ** mask.bit_count()) for mask, _ in chosen)), F.col("part"))
+    large = written(right.groupBy("part", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least).select("part", "key"), "large_keys")
+    if not large.limit(1).count():
+        return components(left.join(right, ["part", "key"]).where(near).select("a", "b").distinct())
+    some = left.join(right.join(large, ["part", "key"], "left_anti"), ["part", "key"]).where(near).select("a", "b")
+    crowd = right.join(large, ["part", "key"], "left_semi")
+    flips = F.array(*(F.lit(signed(1 << b)) for b in range(64)))
+    beside = crowd.select("b").distinct().select(F.col("b").alias("a"), F.explode(F.transform(flips, lambda f: F.col("b").bitwiseXOR(f))).alias("b")).where("a < b")
+    single = beside.join(distinct.select(F.col("fp").alias("b")), "b", "left_semi").select("a", "b")
+    first = written(components(some.unionByName(single).distinct()), "first_classes")
+    root = lambda df, c: df.join(first.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")), c, "left").withColumn(f"{c}_root", F.coalesce(f"{c}_root", c))
+    crowd = written(root(crowd, "b"), "crowd")
+    spread = crowd.groupBy("part", "key").agg(F.min("b_root").alias("low"), F.max("b_root").alias("high"))
+    asking = root(left, "a").join(spread, ["part", "key"]).where((F.col("low") < F.col("high")) | (F.col("low") != F.col("a_root"))).drop("low", "high")
+
+    def finer(df: DataFrame, c: str) -> DataFrame:
+        out = None
+        for i, (mask, _) in enumerate(chosen):
+            rest = [b for b in range(64) if not mask >> b & 1]
+            cuts = [sum(1 << b for b in rest[k :: max_bits + 1]) for k in range(max_bits + 1)]
+            own = F.array(*(F.struct(F.lit(k).alias("sub"), F.col(c).bitwiseAND(F.lit(signed(m))).alias("sub_key")) for k, m in enumerate(cuts)))
+            out = F.when(F.col("part") == i, own) if out is None else out.when(F.col("part") == i, own)
+        return df.withColumn("s", F.explode(out)).select("*", "s.sub", "s.sub_key").drop("s")
+
+    between = finer(asking, "a").join(finer(crowd, "b"), ["part", "key", "sub", "sub_key"]).where(near & (F.col("a_root") != F.col("b_root")))
+    linked = between.select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).distinct()
+    return components(first.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(linked))
 
 
 def probe(part: int, own: Column):
@@ -155,13 +209,13 @@ def components(pairs: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 4, width: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 4, width: int = 4, hot: int = 256) -> DataFrame:
     """``doc_id, fingerprint, component_id``: one row for each input row."""
     fps = written(fingerprints(docs, id_col, text_col, width), "fingerprints")
     distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    found = components(links(distinct.select("fp"), max_bits))
+    found = classes(distinct.select("fp"), max_bits, hot=hot)
     roots = found.join(distinct.withColumnRenamed("fp", "node"), "node")
     roots = roots.join(roots.groupBy("root").agg(F.min("least").alias("component_id")), "root").select(F.col("node").alias("fp"), "component_id")
     # written, so that the last join has an exchange on either side and Spark can split a fingerprint with very many rows
-    classes = written(distinct.join(roots, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "classes")
-    return fps.join(classes, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    members = written(distinct.join(roots, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "classes")
+    return fps.join(members, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
