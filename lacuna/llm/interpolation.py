@@ -8,9 +8,9 @@ the token itself is deleted (its counts less one).
 Counts cover the whole corpus and never meet in one place. Rows are written once with a block each, of some megabytes. A
 block counts its n-grams (64-bit hashes) in numpy, and sends each range of hashes, sorted, differenced and packed, to
 that range's counter, which adds up the blocks and returns to each the totals of its own n-grams, in the block's order.
-Counters take at most ``fan`` blocks and ranges: of a larger corpus, ``fan`` blocks at a time are merged, range by range,
-into one of the next level, whose ranges are ``fan`` times finer, until one is left; totals go the same way back. So
-an n-gram crosses the network once for each block that has it, and level, however often it occurs; a frequent n-gram
+Counters take at most ``fan`` blocks and ranges, which some 48 GB of text need: of a larger corpus, ``fan`` blocks at a
+time are merged, range by range, into one of the next level, whose ranges are finer, until one is left; totals go the same
+way back. So an n-gram crosses the network once for each block that has it, and level, however often it occurs; a frequent n-gram
 costs no more than a rare one, no block or range grows with the corpus, and the number of rows sent grows as it does.
 
 Defined cases: a null text counts as empty (one end token); the crc32 of a null id is that of the empty text; repeated
@@ -35,7 +35,8 @@ from lacuna.llm.common import crc_of, keyed, written
 END = np.uint64(0x9E3779B97F4A7C15)  # the end token's number
 BUCKETS = 40
 BLOCK_BYTES = 12_000_000
-FAN = 64
+FAN = 4096
+RANGE_BYTES = 18_000_000  # of text for each range of hashes
 ROWS = "node int, ngram int, part long, grams binary, counts binary"
 TOTALS = "node int, ngram int, part long, totals binary, n long, v long"
 
@@ -144,24 +145,30 @@ def table_of(rows: list[tuple]) -> pa.Table:
     return pa.table({c: pa.array([r[i] for r in rows], k) for i, (c, k) in enumerate(zip(("node", "ngram", "part", "grams", "counts"), kinds, strict=True))})
 
 
-def counted(blocks: DataFrame, n_blocks: int, size: int, order: int, fan: int, block_bytes: int) -> tuple[DataFrame, int, int]:
-    """``block, ngram, part, totals``: for each block, order and range of hashes the packed totals of the block's n-grams; and N and V."""
+def widths_of(n_blocks: int, size: int, fan: int, range_bytes: int) -> list[int]:
+    """How many parts each level splits a range into: one level for up to fan blocks; the last makes ranges of range_bytes of text."""
     depth = next(d for d in range(1, 64) if fan**d >= n_blocks)
-    # a single level needs no more ranges than blocks of text
-    width = fan if depth > 1 else max(1, min(fan, -(-size // block_bytes)))
+    wanted = max(1, -(-size // range_bytes))
+    return [*([fan] * (depth - 1)), max(1, min(fan, -(-wanted // fan ** (depth - 1))))]
+
+
+def counted(blocks: DataFrame, n_blocks: int, size: int, order: int, fan: int, range_bytes: int) -> tuple[DataFrame, int, int]:
+    """``block, ngram, part, totals``: for each block, order and range of hashes the packed totals of the block's n-grams; and N and V."""
+    widths = widths_of(n_blocks, size, fan, range_bytes)
+    ranges = np.cumprod(widths).tolist()
 
     def send(table: pa.Table) -> pa.Table:
         t, node = tokens_of(table["text"].combine_chunks(), order), table["block"][0].as_py()
         learns = not table["held"][0].as_py()
         rows = []
         for k, (names, places) in enumerate(zip(t.names, t.places, strict=True), 1):
-            rows += rows_of(node, k, names, np.bincount(places, minlength=len(names)) if learns else np.zeros(len(names), np.int64), 0, width, width)
+            rows += rows_of(node, k, names, np.bincount(places, minlength=len(names)) if learns else np.zeros(len(names), np.int64), 0, widths[0], widths[0])
         return table_of(rows)
 
     def merge(level: int):
         def of(table: pa.Table) -> pa.Table:
             names, sums, _, _ = united(table)
-            return table_of(rows_of(table["node"][0].as_py() // fan, table["ngram"][0].as_py(), names, sums, table["part"][0].as_py() * fan, fan, fan ** (level + 1)))
+            return table_of(rows_of(table["node"][0].as_py() // fan, table["ngram"][0].as_py(), names, sums, table["part"][0].as_py() * widths[level], widths[level], ranges[level]))
 
         return of
 
@@ -175,12 +182,12 @@ def counted(blocks: DataFrame, n_blocks: int, size: int, order: int, fan: int, b
         return shared_out(nodes, np.concatenate([unpacked(t) for _, t in finer]), places, grams, False)
 
     levels = [blocks.groupBy("block").applyInArrow(send, ROWS)]
-    for level in range(1, depth):
+    for level in range(1, len(widths)):
         levels[-1] = written(levels[-1], "grams").withColumn("parent", F.expr(f"node div {fan}"))
         levels.append(levels[-1].groupBy("parent", "ngram", "part").applyInArrow(merge(level), ROWS))
     top = totals = written(levels[-1].groupBy("ngram", "part").applyInArrow(add, TOTALS), "totals")
-    for own in reversed(levels[:-1]):
-        above = totals.select(F.col("node").cast("long").alias("parent"), "ngram", F.expr(f"part div {fan}").alias("within"), "part", "totals")
+    for own, width in zip(reversed(levels[:-1]), reversed(widths), strict=False):
+        above = totals.select(F.col("node").cast("long").alias("parent"), "ngram", F.expr(f"part div {width}").alias("within"), "part", "totals")
         totals = own.groupBy("parent", "ngram", "part").cogroup(above.groupBy("parent", "ngram", "within")).applyInArrow(back, TOTALS)
         totals = written(totals, "totals")
     sums = top.where("ngram = 1").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
@@ -249,10 +256,10 @@ def learned(stats: list[tuple[int, float, float, int]], rounds: int = 30) -> np.
     return weights
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 2, block_bytes: int = BLOCK_BYTES, fan: int = FAN, weights: list[np.ndarray] | None = None) -> DataFrame:
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 2, block_bytes: int = BLOCK_BYTES, fan: int = FAN, range_bytes: int = RANGE_BYTES, weights: list[np.ndarray] | None = None) -> DataFrame:
     """One row for each input row: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``. ``weights`` of each order are learned unless given."""
     blocks, size, n_blocks = blocked(docs, id_col, text_col, block_bytes)
-    totals, n, v = counted(blocks, n_blocks, size, order, fan, block_bytes)
+    totals, n, v = counted(blocks, n_blocks, size, order, fan, range_bytes)
     weights = weights or learn_weights(blocks, totals, n, v, order)
 
     def score(texts: pa.Table, own: pa.Table) -> pa.Table:

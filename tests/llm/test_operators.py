@@ -655,8 +655,8 @@ def test_decontamination_of_plain_texts_against_brute_force(spark):
         assert collections.Counter((r["doc_id"], tuple(r["item_ids"])) for r in rows) == expected
 
 
-@pytest.mark.parametrize(("order", "block_bytes", "fan"), [(2, 10_000_000, 64), (3, 10_000_000, 64), (3, 3_000, 4), (1, 3_000, 2)])
-def test_interpolated_scores_against_brute_force(spark, order, block_bytes, fan):
+@pytest.mark.parametrize(("order", "block_bytes", "fan", "range_bytes"), [(2, 10_000_000, 64, 10_000_000), (3, 3_000, 64, 1_000), (3, 3_000, 4, 500), (1, 3_000, 2, 10_000_000)])
+def test_interpolated_scores_against_brute_force(spark, order, block_bytes, fan, range_bytes):
     """Scores by plain counters with given weights, and the learned weights by plain expectation-maximisation; over one level of counters and several."""
     rng = random.Random(41)
     made = [(i, " ".join(rng.choice("a b c d e f".split()) for _ in range(rng.randint(0, 40)))) for i in range(400)] + [(7, "a b a b")] * 40
@@ -694,12 +694,12 @@ def test_interpolated_scores_against_brute_force(spark, order, block_bytes, fan)
         return p
 
     weights = [np.array([0.0, *np.random.default_rng(k).uniform(0.1, 0.9, interpolation.BUCKETS - 1)]) for k in range(order)]
-    rows = interpolation.score_texts(df, order=order, block_bytes=block_bytes, fan=fan, weights=weights).collect()
+    rows = interpolation.score_texts(df, order=order, block_bytes=block_bytes, fan=fan, range_bytes=range_bytes, weights=weights).collect()
     expected = sorted((i, round(sum(math.log10(probability(g, weights, 0)) for g in grams(t)), 5)) for i, t in made)
     assert sorted((r["doc_id"], round(r["score"], 5)) for r in rows) == expected
     dev = [g for i, t in made if crc(i) // 10 % 10 == 0 and crc(i) % 10 for g in grams(t)]
     blocks, size, n_blocks = interpolation.blocked(df, "doc_id", "text", block_bytes)
-    totals, got_n, got_v = interpolation.counted(blocks, n_blocks, size, order, fan, block_bytes)
+    totals, got_n, got_v = interpolation.counted(blocks, n_blocks, size, order, fan, range_bytes)
     assert (got_n, got_v) == (n, v)
     learned, own = interpolation.learn_weights(blocks, totals, n, v, order), []
     for k in range(1, order + 1):
@@ -717,3 +717,98 @@ def test_interpolated_scores_against_brute_force(spark, order, block_bytes, fan)
         # the optimum is flat here, so what the weights are for is compared: the held-out likelihood
         fit, best = (sum(math.log(probability(g, ws, 1)) for g in dev) / len(dev) for ws in (learned[:k], own))
         assert fit > best - 0.003 and (k == 1 or abs(learned[k - 1] - own[-1]).max() < 0.3)
+
+
+def test_rows_sent_grow_with_the_corpus():
+    """Blocks, ranges and levels of ten to a million times the text: rows for each block stay below twice the fan."""
+    for size in (10**8, 10**9, 10**10, 10**12, 10**14):
+        n = size // interpolation.BLOCK_BYTES + 1
+        widths = interpolation.widths_of(n, size, interpolation.FAN, interpolation.RANGE_BYTES)
+        rows, nodes, ranges = 0, n, 1
+        for w in widths:
+            ranges *= w
+            rows += nodes * ranges
+            nodes = -(-nodes // interpolation.FAN)
+        assert nodes == 1 and rows <= 2 * interpolation.FAN * n + interpolation.FAN**2 and size / ranges < 2 * interpolation.RANGE_BYTES
+
+
+@pytest.mark.parametrize(("hot", "max_bits"), [(2, 4), (40, 4), (3, 6)])
+def test_crowds_of_fingerprints_against_brute_force(spark, hot, max_bits):
+    """Balls of fingerprints around some centres, near each other and far, and single ones: the classes of all pairs."""
+    rng = random.Random(51)
+    near = lambda x, k: x ^ sum(1 << b for b in rng.sample(range(64), k))
+    centre = rng.getrandbits(64)
+    fps = {near(c, rng.randint(0, 4)) for c in (centre, near(centre, 9), near(centre, 14), rng.getrandbits(64)) for _ in range(150)} | {rng.getrandbits(64) for _ in range(100)}
+    fps = sorted(f - (1 << 64) if f >> 63 else f for f in fps)
+    root = {f: f for f in fps}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(fps, 2):
+        if ((a ^ b) & (2**64 - 1)).bit_count() <= max_bits:
+            a, b = sorted((find(a), find(b)))
+            root[b] = a
+    linked = collections.Counter(find(f) for f in fps)
+    expected = {f: find(f) for f in fps if linked[find(f)] > 1}
+    rows = simhash.classes(spark.createDataFrame([(f,) for f in fps], "fp long"), max_bits, hot=hot).collect()
+    assert len(rows) == len(expected) and {r["node"]: r["root"] for r in rows} == expected
+
+
+def test_quality_bayes_against_brute_force(spark):
+    """Posteriors of cells, hosts and paths by plain dictionaries, from the cells of the texts; ties of sites and labels too."""
+    rng = random.Random(61)
+    made, marks = [], []
+    for i in range(300):
+        host, path = rng.choice(["a", "a", "a", "b", "c", None]), rng.choice(["x", "y", None])
+        bad = rng.random() < {"a": 0.2, "b": 0.6, "c": 0.5, None: 0.5}[host]
+        made.append((i, " ".join(rng.choice(["%%", "##|", "ok"] if bad else ["plain", "words", "here", "and", f"w{rng.randint(0, 99)}"]) for _ in range(rng.randint(1, 90))), host, path))
+        marks += [(i, int(not bad))] * rng.choice([0, 1, 1, 2]) + ([(i, int(bad))] if i % 50 == 0 else [])
+    made.append(made[5])
+    docs = spark.createDataFrame(made, "doc_id long, text string, source string, lang string")
+    labels = spark.createDataFrame(marks, "doc_id long, quality int")
+    each = [r.asDict() for r in quality_bayes.cells(docs, "doc_id", "text", "source", "lang").collect()]
+    given = collections.defaultdict(list)
+    for i, q in marks:
+        given[i].append(q)
+    for r in each:
+        label = sum(given[r["doc_id"]]) / len(given[r["doc_id"]]) if given[r["doc_id"]] else None
+        r["taught"] = label if zlib.crc32(str(r["doc_id"]).encode()) % 5 else None
+    taught = [r for r in each if r["taught"] is not None]
+    rate = (sum(r["taught"] for r in taught) + 1) / (len(taught) + 2)
+    cell = collections.defaultdict(list)
+    for r in taught:
+        cell[r["cell"]].append(r["taught"])
+    for r in each:
+        own = cell[r["cell"]]
+        r["p"] = (sum(own) + 20 * rate) / (len(own) + 20)
+        r["e"] = r["p"] if r["taught"] is None else r["taught"]
+    hosts, paths = collections.defaultdict(list), collections.defaultdict(list)
+    for r in each:
+        hosts[r["host"]].append(r["e"])
+        paths[r["host"], r["path"]].append(r["e"])
+    mean = sum(r["e"] for r in each) / len(each)
+
+    def strength(groups):
+        groups = [(sum(v), len(v), m) for v, m in groups if len(v) >= 2]
+        between, chance = sum(n * (s / n - m) ** 2 for s, n, m in groups), sum(m * (1 - m) for _, _, m in groups)
+        n, whole = sum(n for _, n, _ in groups), sum(m * (1 - m) * n for _, n, m in groups)
+        beyond = max(between - chance, 0) / n
+        return min(max(whole / n / beyond - 1, 1.0), 1000.0) if beyond > 0 else 1000.0
+
+    of_host = strength([(v, mean) for v in hosts.values()])
+    of_path = strength([(v, min(max(sum(hosts[h]) / len(hosts[h]), 0.001), 0.999)) for (h, _), v in paths.items()])
+    logit = lambda p: math.log(p / (1 - p))
+    near = lambda p: min(max(p, 0.001), 0.999)
+    expected = []
+    for r in each:
+        h, p = hosts[r["host"]], paths[r["host"], r["path"]]
+        p_host = (sum(h) - r["e"] + of_host * mean) / (len(h) - 1 + of_host)
+        p_path = (sum(p) - r["e"] + of_path * p_host) / (len(p) - 1 + of_path)
+        score = 1 / (1 + math.exp(-(logit(near(r["p"])) - logit(rate) + logit(near(p_path)))))
+        expected.append((r["doc_id"], r["host"], r["path"], *(round(x, 6) for x in (r["p"], p_host, p_path, score))))
+    rows = quality_bayes.classify(docs, labels).collect()
+    assert sorted((r["doc_id"], r["host"], r["path"], *(round(r[c], 6) for c in ("p_document", "p_host", "p_path", "score"))) for r in rows) == sorted(expected)
+    assert all(r["kept"] == (r["score"] >= 0.5) for r in rows)
