@@ -1,4 +1,9 @@
-"""Edits of tokens in texts, paired with values by occurrence, and their spread over runs of text."""
+"""Edits of tokens in texts, paired with values by occurrence, and their spread over runs of text.
+
+Defined cases: a null text stays null; null edits change nothing; an edit of an empty token is left out; a null value
+counts as empty; tokens that don't occur change nothing, nor do values beyond a token's last occurrence; repeated rows
+stay apart; other columns stay; an empty table gives no rows.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +14,19 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-PADDING = "[^\\S\\n]*"
+from lacuna.operators.spans import meeting
+
+#: White space of any script but the line end.
+PADDING = "\t\x0b\x0c\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
+def padded(text: str, start: int, end: int) -> tuple[int, int]:
+    """The place grown over the white space beside it."""
+    while start and text[start - 1] in PADDING:
+        start -= 1
+    while end < len(text) and text[end] in PADDING:
+        end += 1
+    return start, end
 
 
 def edited(text: str | None, edits: list[tuple[str, str]]) -> str | None:
@@ -18,7 +35,7 @@ def edited(text: str | None, edits: list[tuple[str, str]]) -> str | None:
     ends stay. Groups of one token that other tokens of its length part are not joined."""
     if text is None:
         return None
-    groups = [(t, [v for _, v in g]) for t, g in groupby((e for e in edits if e[0]), key=lambda e: e[0])]
+    groups = [(t, [v or "" for _, v in g]) for t, g in groupby((e for e in edits if e[0]), key=lambda e: e[0])]
     groups.sort(key=lambda g: -len(g[0]))
     for token, parts in groupby(groups, key=lambda g: g[0]):
         values = [v for _, vs in parts for v in vs]
@@ -26,10 +43,8 @@ def edited(text: str | None, edits: list[tuple[str, str]]) -> str | None:
         todo = [(m, values[0]) for m in found] if len(values) == 1 else list(zip(found, values, strict=False))
         whole = text
         for m, value in reversed(todo):
-            source = whole if len(values) == 1 else text
-            left = len(re.search(f"{PADDING}$", source[: m.start()])[0])
-            right = len(re.match(PADDING, source[m.end() :])[0])
-            text = text[: m.start() - left] + value + text[m.end() + right :]
+            start, end = padded(whole if len(values) == 1 else text, m.start(), m.end())
+            text = text[:start] + value + text[end:]
     return text
 
 
@@ -53,8 +68,8 @@ def shares(start: Column, end: Column, run_start: Column, run_end: Column, value
 
 def spread_over_runs(runs: DataFrame, edits: DataFrame, key: str = "doc_id") -> DataFrame:
     """``key, idx, text``: runs (``idx, text, start, end``) after replacing ranges (``start, end, value``) by their values, each run taking its share of the value; the last range first."""
-    hit = runs.alias("r").join(edits.alias("e"), (F.col(f"r.{key}") == F.col(f"e.{key}")) & (F.col("e.start") < F.col("r.end")) & (F.col("e.end") > F.col("r.start")), "left")
-    cut = F.struct((-F.greatest("e.start", "r.start")).alias("k"), (F.greatest("e.start", "r.start") - F.col("r.start")).alias("a"), (F.least("e.end", "r.end") - F.col("r.start")).alias("b"), shares(F.col("e.start"), F.col("e.end"), F.col("r.start"), F.col("r.end"), F.col("e.value")).alias("v"))
-    one = hit.groupBy(f"r.{key}", "r.idx", "r.text").agg(F.array_sort(F.collect_list(F.when(F.col("e.start").isNotNull(), cut))).alias("cuts"))
+    cut = F.struct((-F.greatest("e.start", "start")).alias("k"), (F.greatest("e.start", "start") - F.col("start")).alias("a"), (F.least("e.end", "end") - F.col("start")).alias("b"), shares(F.col("e.start"), F.col("e.end"), F.col("start"), F.col("end"), F.col("e.value")).alias("v"))
+    cuts = meeting(runs.select(key, "idx", "start", "end").distinct(), edits, key, "e").groupBy(key, "idx").agg(F.array_sort(F.collect_list(cut)).alias("cuts"))
+    one = runs.select(key, "idx", "text").join(cuts, [key, "idx"], "left").withColumn("cuts", F.coalesce("cuts", F.array()))
     put = lambda acc, c: F.concat(F.substring(acc, F.lit(1), c["a"].cast("int")), c["v"], F.substring(acc, c["b"].cast("int") + 1, F.lit(2147483647)))
     return one.select(key, "idx", F.aggregate("cuts", F.col("text"), put).alias("text"))

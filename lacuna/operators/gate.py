@@ -107,11 +107,21 @@ def apply_dictionary(df: DataFrame, pairs: Sequence[tuple[str, str]], text_col:
     return df.withColumn(out, F.aggregate(terms, F.col(text_col), lambda acc, x: F.replace(acc, x["a"], x["b"])))
 
 
-def residual_counts(df: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text", term_col: str = "term", limit: int = 10_000) -> DataFrame:
-    """``term, n_lines``: how many lines still hold each term. The terms are broadcast, their number checked."""
-    n = terms.select(term_col).distinct().limit(limit + 1).count()
-    if n > limit:
-        raise ValueError(f"more than {limit} terms")
+def residual_counts(df: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text", term_col: str = "term", small: int = 10_000) -> DataFrame:
+    """``term, n_lines``: how many lines still hold each term.
+
+    Lines and terms meet by that substring of a term, of up to three characters, that the fewest terms have; then the
+    whole term is looked for. Few terms (counted first) are broadcast, so that the lines stay where they are.
+    """
     own = terms.select(F.col(term_col).alias("term")).where("length(term) > 0").distinct()
-    held = lines_of(df, id_col, text_col).join(F.broadcast(own), F.contains("line", "term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    return own.join(held, "term", "left").select("term", F.coalesce("n", F.lit(0)).cast("long").alias("n_lines"))
+    size = F.least(F.length("term"), F.lit(3))
+    each = own.select("term", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("term") - size + 1), lambda i: F.substring("term", i, size)))).alias("gram"))
+    anchors = each.join(each.groupBy("gram").agg(F.count(F.lit(1)).alias("n")), "gram").groupBy("term").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+    sizes = sorted(r[0] for r in own.select(size.alias("n")).distinct().collect())  # at most three
+    if not sizes:
+        return own.withColumn("n_lines", F.lit(0).cast("long"))
+    grams = F.array_distinct(F.concat(*(F.regexp_extract_all("line", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in sizes)))
+    few = own.limit(small + 1).count() <= small
+    held = lines_of(df, id_col, text_col).select("line", F.explode(grams).alias("gram")).join(F.broadcast(anchors) if few else anchors, "gram").where(F.contains("line", "term"))
+    counts = held.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    return own.join(counts, "term", "left").select("term", F.coalesce("n", F.lit(0)).cast("long").alias("n_lines"))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lacuna.functions.rules import NOT_S
-from lacuna.functions.spans import free, overlapping_starts, spans_of
+from lacuna.functions.spans import cut, free, let, overlapping_starts, scan, spans_of, with_blocks
 from lacuna.operators.detect import context, literal
 
 PAD = f"[{NOT_S}&&[^\\n]]"
@@ -70,9 +70,18 @@ def filter_hits(hits: Column, existing: Column) -> Column:
 BIN = 4096
 
 
-def in_bins(spans: DataFrame, name: str) -> DataFrame:
+def in_bins(spans: DataFrame, name: str, start: str = "start", end: str = "end") -> DataFrame:
     """Each span in every stretch that it touches."""
-    return spans.withColumn(name, F.explode(F.sequence(F.expr(f"start div {BIN}"), F.expr(f"greatest(start, `end` - 1) div {BIN}"))))
+    return spans.withColumn(name, F.explode(F.sequence(F.expr(f"`{start}` div {BIN}"), F.expr(f"greatest(`{start}`, `{end}` - 1) div {BIN}"))))
+
+
+def meeting(a: DataFrame, b: DataFrame, key: str, other: str) -> DataFrame:
+    """The columns of ``a`` and, as a struct ``other``, those of ``b``: each pair of spans of a document that overlap, once."""
+    one = in_bins(a, "__bin")
+    two = in_bins(b.select(F.col(key).alias("__k"), F.col("start").alias("__s"), F.col("end").alias("__e"), F.struct(*b.columns).alias(other)), "__part", "__s", "__e")
+    both = (F.col(key) == F.col("__k")) & (F.col("__bin") == F.col("__part")) & (F.col("start") < F.col("__e")) & (F.col("end") > F.col("__s"))
+    first = F.col("__bin") == F.expr(f"greatest(start, __s) div {BIN}")  # of the stretches that both touch
+    return one.join(two, both & first).drop("__bin", "__part", "__k", "__s", "__e")
 
 
 def _clear_of(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
@@ -121,25 +130,24 @@ PART = "array<struct<kind:string,text:string,type:string,start:int,end:int>>"
 def highlight_parts(text: Column, matches: Column, selected: Column | None = None, original: bool = True) -> Column:
     """Ordered parts of text and matches that make up the text; ``selected(match)`` tells which matches show, the others are text. Masked, a match is no-break spaces of its length."""
 
-    def step(acc: Column, m: Column) -> Column:
-        part = lambda kind, value, type_, s, e: F.struct(F.lit(kind).alias("kind"), value.alias("text"), type_.alias("type"), s.alias("start"), e.alias("end"))
-        gap = F.substring(text, acc["p"] + 1, m["start"] - acc["p"])
-        plain = F.substring(text, m["start"] + 1, m["end"] - m["start"])
+    part = lambda kind, value, type_, s, e: F.struct(F.lit(kind).alias("kind"), value.alias("text"), type_.alias("type"), s.alias("start"), e.alias("end"))
+    none, nothing = F.array().cast(PART), F.lit(None).cast("string")
+
+    def step(b: Column, p: Column, m: Column) -> tuple[Column, Column]:
+        plain = cut(b, m["start"], m["end"] - m["start"])
         shown = plain if original else F.repeat(F.lit("\u00a0"), m["end"] - m["start"])
-        before = F.when(m["start"] > acc["p"], F.array(part("text", gap, F.lit(None).cast("string"), acc["p"], m["start"]))).otherwise(F.array().cast(PART))
+        before = F.when(m["start"] > p, F.array(part("text", cut(b, p, m["start"] - p), nothing, p, m["start"]))).otherwise(none)
         on = selected(m) if selected is not None else F.lit(True)
-        own = F.when(on, part("match", shown, m["type"], m["start"], m["end"])).otherwise(part("text", plain, F.lit(None).cast("string"), m["start"], m["end"]))
-        return F.when(m["start"] < acc["p"], acc).otherwise(F.struct(m["end"].alias("p"), F.concat(acc["o"], before, F.array(own)).alias("o")))
+        own = F.when(on, part("match", shown, m["type"], m["start"], m["end"])).otherwise(part("text", plain, nothing, m["start"], m["end"]))
+        skip = m["start"] < p
+        return F.when(skip, p).otherwise(m["end"]), F.when(skip, none).otherwise(F.concat(before, F.array(own)))
 
-    start = F.struct(F.lit(0).alias("p"), F.array().cast(PART).alias("o"))
-    ordered = F.transform(F.array_sort(F.transform(matches, lambda m, i: F.struct(m["start"].alias("k"), i.alias("i"), m.alias("m")))), lambda x: x["m"])
-
-    def last(acc: Column) -> Column:
-        rest = F.substring(text, acc["p"] + 1, 2147483647)
-        tail = F.struct(F.lit("text").alias("kind"), rest.alias("text"), F.lit(None).cast("string").alias("type"), acc["p"].alias("start"), F.length(text).alias("end"))
-        return F.when(F.length(rest) > 0, F.concat(acc["o"], F.array(tail))).otherwise(acc["o"])
+    def last(w: Column) -> Column:
+        rest = F.substring(text, w["c"] + 1, F.lit(2147483647))
+        return F.when(F.length(rest) > 0, F.concat(w["o"], F.array(part("text", rest, nothing, w["c"], F.length(text))))).otherwise(w["o"])
 
-    return F.aggregate(ordered, start, step, last)
+    ordered = F.transform(F.array_sort(F.transform(matches, lambda m, i: F.struct(m["start"].alias("k"), i.alias("i"), m.alias("m")))), lambda x: x["m"])
+    return let(ordered, lambda ms: with_blocks(text, F.size(ms) > 0, lambda b: let(scan(ms, F.lit(0), lambda p, m: step(b, p, m), PART), last)))
 
 
 def segment_text(text: Column, matches: Column, cuts: Column) -> Column:
@@ -161,19 +169,23 @@ def segment_text(text: Column, matches: Column, cuts: Column) -> Column:
 
 def slice_parts(parts: DataFrame, hits: DataFrame, key: str = "doc_id") -> DataFrame:
     """``key, part_idx, hit, start, end``: parts cut by the hits that overlap them; a hit over several parts gives a slice in each; what no hit covers keeps hit null."""
-    cuts = parts.alias("p").join(hits.alias("h"), (F.col(f"p.{key}") == F.col(f"h.{key}")) & (F.col("h.start") < F.col("p.end")) & (F.col("h.end") > F.col("p.start")), "left")
-    one = cuts.groupBy(f"p.{key}", "p.part_idx", "p.start", "p.end").agg(F.array_sort(F.collect_list(F.when(F.col("h.start").isNotNull(), F.struct(F.greatest("h.start", "p.start").alias("s"), F.least("h.end", "p.end").alias("e"), F.col("h.index").alias("h"))))).alias("hits"))
+    own = [key, "part_idx", "start", "end"]
+    parts = parts.select(*own)
+    cuts = meeting(parts.distinct(), hits, key, "h").groupBy(*own).agg(F.array_sort(F.collect_list(F.struct(F.greatest("h.start", "start").alias("s"), F.least("h.end", "end").alias("e"), F.col("h.index").alias("h")))).alias("hits"))
+    one = parts.join(cuts, own, "left").withColumn("hits", F.coalesce("hits", F.array()))
 
-    def step(acc: Column, h: Column) -> Column:
-        s = F.greatest(h["s"], acc["p"])
-        gap = F.when(s > acc["p"], F.array(F.struct(F.lit(None).cast("int").alias("h"), acc["p"].alias("s"), s.alias("e")))).otherwise(F.array().cast("array<struct<h:int,s:int,e:int>>"))
-        return F.when(h["e"] <= s, acc).otherwise(F.struct(h["e"].alias("p"), F.concat(acc["o"], gap, F.array(F.struct(h["h"].cast("int").alias("h"), s.alias("s"), h["e"].alias("e")))).alias("o")))
+    kind = "array<struct<h:int,s:int,e:int>>"
+    piece = lambda h, s, e: F.array(F.struct(h.cast("int").alias("h"), s.cast("int").alias("s"), e.cast("int").alias("e")))
+    none, null = F.array().cast(kind), F.lit(None)
 
-    def last(acc: Column) -> Column:
-        return F.when(acc["p"] < F.col("end"), F.concat(acc["o"], F.array(F.struct(F.lit(None).cast("int").alias("h"), acc["p"].alias("s"), F.col("end").cast("int").alias("e"))))).otherwise(acc["o"])
+    def step(p: Column, h: Column) -> tuple[Column, Column]:
+        s = F.greatest(h["s"].cast("int"), p)
+        gap = F.when(s > p, piece(null, p, s)).otherwise(none)
+        return F.greatest(h["e"].cast("int"), p), F.when(h["e"] <= s, none).otherwise(F.concat(gap, piece(h["h"], s, h["e"])))
 
-    start = F.struct(F.col("start").cast("int").alias("p"), F.array().cast("array<struct<h:int,s:int,e:int>>").alias("o"))
-    return one.select(key, "part_idx", F.explode(F.aggregate("hits", start, step, last)).alias("x")).select(key, "part_idx", F.col("x.h").alias("hit"), F.col("x.s").alias("start"), F.col("x.e").alias("end"))
+    walked = scan(F.col("hits"), F.col("start").cast("int"), step, kind)
+    whole = let(walked, lambda w: F.when(w["c"] < F.col("end"), F.concat(w["o"], piece(null, w["c"], F.col("end")))).otherwise(w["o"]))
+    return one.select(key, "part_idx", F.explode(whole).alias("x")).select(key, "part_idx", F.col("x.h").alias("hit"), F.col("x.s").alias("start"), F.col("x.e").alias("end"))
 
 
 def runs_with_offsets(runs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -188,8 +200,8 @@ def locate_token(runs: DataFrame, token: str, key: str = "doc_id") -> DataFrame:
     placed = runs_with_offsets(runs, key)
     whole = placed.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "text"))), lambda x: x["text"]), "").alias("t"))
     found = whole.select(key, F.explode_outer(spans_of(F.col("t"), literal(token), F.col("t").contains(token))).alias("x")).where("x is not null").select(key, F.col("x.s").alias("s"), F.col("x.e").alias("e"))
-    hit = found.alias("f").join(placed.alias("r"), (F.col(f"f.{key}") == F.col(f"r.{key}")) & (F.col("r.start") < F.col("f.e")) & (F.col("r.end") > F.col("f.s")))
-    return hit.groupBy(F.col(f"f.{key}").alias(key), F.col("f.s").alias("start")).agg(F.when(F.count(F.lit(1)) == 1, F.min("r.idx")).alias("run_idx"))
+    hit = meeting(found.select(key, F.col("s").alias("start"), F.col("e").alias("end")), placed, key, "r")
+    return hit.groupBy(key, "start").agg(F.when(F.count(F.lit(1)) == 1, F.min("r.idx")).alias("run_idx"))
 
 
 def expand_over_padding(text: Column, start: Column, end: Column) -> Column:
