@@ -145,6 +145,15 @@ def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["op7_pieces"] = op7_pieces
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lacuna.llm.toxicity import judge
+
+    return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES["op11_toxicity"] = op11_toxicity
+
+
 def damaged(turns: DataFrame) -> DataFrame:
     """The turns with faults: by the crc32 of ``conv_id:turn`` mod 20 dropped, emptied, cut, repeated or given to the user."""
     own = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
