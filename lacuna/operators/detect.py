@@ -12,12 +12,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lacuna.functions.rules import AHEAD, LABELS, NOT_S, ORDER, Rule, RuleSet
 from lacuna.functions.spans import SPAN, cut, free, group_spans, let, no_spans, scan, spans_of, with_blocks
 from lacuna.operators.company import company_spans
+from lacuna.operators.keywords import hits
 
 MATCH = "array<struct<type:string,value:string,start:int,end:int,confidence:double,context:string,rule_idx:int,seq:int>>"
 
@@ -155,29 +156,23 @@ def literal(keyword: str) -> str:
 FEW_KEYWORDS = 32
 
 
-def _keyword_spans(text: Column, words: Sequence[str], first: int) -> list[Column]:
-    """Matches of keywords: an expression for each of a few, one for all of many."""
-    if len(words) <= FEW_KEYWORDS:
+def _keyword_spans(spark: SparkSession, text: Column, given: Sequence[str] | DataFrame, first: int) -> list[Column]:
+    """Matches of keywords: an expression for each of a few, an automaton for many or for a table's."""
+    words = given if isinstance(given, DataFrame) else [k for k in dict.fromkeys(given) if k and k.strip()]
+    if not isinstance(words, DataFrame) and len(words) <= FEW_KEYWORDS:
         return [_emitted(spans_of(text, literal(k), text.contains(k)), "CUSTOM", 0.95, first + i) for i, k in enumerate(words)]
 
-    def of(x: Column) -> Column:
-        def step(p: Column, piece: Column) -> tuple[Column, Column]:
-            s = p + F.length(piece)
-            return s + F.length(x["k"]), F.array(F.struct(s.alias("s"), (s + F.length(x["k"])).alias("e"), x["k"].alias("v")))
+    def one(x: Column) -> Column:
+        return F.struct(F.lit("CUSTOM").alias("type"), x["v"].alias("value"), x["s"].alias("start"), x["e"].alias("end"), F.lit(0.95).alias("confidence"), F.lit(None).cast("string").alias("context"), (x["i"] + first).alias("rule_idx"), x["q"].alias("seq"))
 
-        quoted = F.concat(F.lit("\\Q"), F.replace(x["k"], F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
-        places = let(F.split(text, quoted, -1), lambda g: scan(F.slice(g, F.lit(1), F.size(g) - 1), F.lit(0), step, SPAN)["o"])
-        return _emitted(places, "CUSTOM", 0.95, x["i"])
+    return [F.transform(h, one) for h in hits(spark, text, words)]
 
-    listed = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(first + i).alias("i")) for i, k in enumerate(words)))
-    return [F.flatten(F.transform(F.filter(listed, lambda x: F.contains(text, x["k"])), of))]
 
-
-def detect(df: DataFrame, text_col: str = "text", rules: RuleSet | Sequence[Rule] = RuleSet(), keywords: Sequence[str] = (), min_confidence: float = 0.0, include_disabled: bool = False, out: str = "matches") -> DataFrame:
+def detect(df: DataFrame, text_col: str = "text", rules: RuleSet | Sequence[Rule] = RuleSet(), keywords: Sequence[str] | DataFrame = (), min_confidence: float = 0.0, include_disabled: bool = False, out: str = "matches") -> DataFrame:
     """The input and ``out``: all spans of the rules and keywords, filtered, overlaps resolved.
 
     Keywords count as they stand, in their order, blanks left out; they come after all rules and know no confidence
-    threshold.
+    threshold. They may be a table with the columns ``keyword`` and ``idx``.
     """
     active = (rules if isinstance(rules, RuleSet) else RuleSet(tuple(rules))).active(min_confidence, include_disabled)
     own = {k: free(df, f"__{k}") for k in ("text", *(f"{c}{i}" for c in "rc" for i in range(len(active))))}
@@ -195,7 +190,10 @@ def detect(df: DataFrame, text_col: str = "text", rules: RuleSet | Sequence[Rule
     if companies:
         df = df.withColumns({own[f"c{i}"]: company_spans(F.transform(own[f"r{i}"], lambda x: x["v"])) for i in companies})
     parts = [_emitted(_companies(F.col(own[f"r{i}"]), F.col(own[f"c{i}"])) if i in companies else F.col(own[f"r{i}"]), r.type, r.weight, i) for i, r in enumerate(active)]
-    parts += _keyword_spans(t, [k for k in dict.fromkeys(keywords) if k.strip()], len(active))
+    for i, found in enumerate(_keyword_spans(df.sparkSession, t, keywords, len(active))):
+        name = free(df, f"__k{i}")
+        own[name], df = name, df.withColumn(name, found)
+        parts.append(F.col(name))
     whole = F.concat(*parts) if parts else F.array().cast(MATCH)
     kept = let(whole, lambda ms: F.when(F.size(ms) > 1, resolve_overlaps(ms)).otherwise(ms))
     return df.withColumn(out, with_contexts(t, kept)).drop(*own.values())

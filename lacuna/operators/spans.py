@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lacuna.functions.rules import NOT_S
-from lacuna.functions.spans import cut, free, let, overlapping_starts, scan, spans_of, with_blocks
+from lacuna.functions.spans import between, cut, free, let, overlapping_starts, scan, spans_of, with_blocks
 from lacuna.operators.detect import context, literal
 
 PAD = f"[{NOT_S}&&[^\\n]]"
@@ -50,20 +50,41 @@ def manual_matches(df: DataFrame, phrase_col: str, positions_col: str | None = N
     return df.withColumn("manual", _manual(t, places, F.length(p))).withColumn("found", F.size("manual") > 0)
 
 
-def overlaps(a: Column, b: Column) -> Column:
-    return (a["start"] < b["end"]) & (a["end"] > b["start"])
+def clear_of(spans: Column, others: Column) -> Column:
+    """The spans that overlap none of the others, in their order; null others are none.
+
+    One sweep over both: others by their starts, spans by their ends, and the furthest end of the others that start
+    before a span's end is carried along. Both arrays are made once, however the caller makes them.
+    """
+
+    def swept(xs: Column, ys: Column) -> Column:
+        event = lambda at, kind, i, edge: F.struct(at.alias("at"), F.lit(kind).alias("kind"), i.alias("i"), edge.alias("edge"))
+        ends = F.transform(xs, lambda x, i: event(x["end"], 0, i, x["start"]))  # before an other that starts there: touching is no overlap
+        starts = F.transform(F.filter(ys, lambda y: y["start"].isNotNull() & y["end"].isNotNull()), lambda y: event(y["start"], 1, F.lit(0), y["end"]))
+
+        def step(reach: Column, e: Column) -> tuple[Column, Column]:
+            free = (e["kind"] == 0) & F.coalesce(e["edge"] >= reach, F.lit(True))
+            return F.when(e["kind"] == 1, F.greatest(reach, e["edge"])).otherwise(reach), F.when(free, F.array(e["i"])).otherwise(F.array().cast("array<int>"))
+
+        kept = let(F.array_sort(F.concat(ends, starts)), lambda es: scan(es, F.lit(None).cast("int"), step, "array<int>")["o"])
+        return let(F.array_sort(kept), lambda own: F.transform(own, lambda i: F.get(xs, i)))
+
+    return let(spans, lambda xs: let(others, lambda ys: F.when(F.coalesce(F.size(ys), F.lit(0)) <= 0, xs).otherwise(swept(xs, ys))))
 
 
 def override_matches(old: Column, new: Column) -> Column:
     """New spans win: old ones that overlap any go, new ones are added; by start."""
-    kept = F.filter(old, lambda m: ~F.exists(new, lambda r: overlaps(m, r)))
-    keyed = F.transform(F.concat(kept, new), lambda m, i: F.struct(m["start"].alias("k"), i.alias("i"), m.alias("m")))
-    return F.transform(F.array_sort(keyed), lambda x: x["m"])
+
+    def of(added: Column) -> Column:
+        keyed = F.transform(F.concat(clear_of(old, added), added), lambda m, i: F.struct(m["start"].alias("k"), i.alias("i"), m.alias("m")))
+        return F.transform(F.array_sort(keyed), lambda x: x["m"])
+
+    return let(new, of)
 
 
 def filter_hits(hits: Column, existing: Column) -> Column:
     """Hits that overlap no existing span; touching is no overlap."""
-    return F.filter(hits, lambda h: ~F.exists(existing, lambda m: overlaps(h, m)))
+    return clear_of(hits, existing)
 
 
 #: Code points of a stretch of a document, by which intervals meet.
@@ -151,20 +172,48 @@ def highlight_parts(text: Column, matches: Column, selected: Column | None = Non
 
 
 def segment_text(text: Column, matches: Column, cuts: Column) -> Column:
-    """``array<struct<start, end, text, matches>>``: the text cut at valid places; spans go by their start, with places of the segment, ends clipped."""
-    n = F.length(text)
-    good = F.filter(cuts, lambda c: c.isNotNull() & ~F.isnan(c.cast("double")) & (c.cast("double") > 0) & (c.cast("double") < n))
-    inner = F.array_sort(F.array_distinct(F.transform(good, lambda c: F.floor(c.cast("double")).cast("int"))))
-    inner = F.filter(inner, lambda c: (c > 0) & (c < n))
-    bounds = F.concat(F.array(F.lit(0)), inner, F.array(n))
-    pairs = F.zip_with(F.slice(bounds, F.lit(1), F.size(inner) + 1), F.slice(bounds, F.lit(2), F.size(inner) + 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-
-    def one(x: Column) -> Column:
-        own = F.filter(matches, lambda m: (m["start"] >= x["a"]) & (m["start"] < x["b"]))
-        moved = F.transform(own, lambda m: F.struct(m["type"].alias("type"), m["value"].alias("value"), (m["start"] - x["a"]).alias("start"), (F.least(m["end"], x["b"]) - x["a"]).alias("end")))
-        return F.struct(x["a"].alias("start"), x["b"].alias("end"), F.substring(text, x["a"] + 1, x["b"] - x["a"]).alias("text"), moved.alias("matches"))
-
-    return F.transform(pairs, one)
+    """``array<struct<start, end, text, matches>>``: the text cut at valid places; spans go by their start, with places of the segment, ends clipped.
+
+    One walk over cuts and starts in order gives each span its segment; then each segment takes its own spans, in the
+    order they had. Both arrays are made once.
+    """
+    number = "struct<k:int,i:int>"
+
+    def dealt(n: Column, ms: Column, bounds: Column) -> Column:
+        """By segment: its mark (i = -1), then the numbers of its spans."""
+        event = lambda at, kind, i: F.struct(at.cast("int").alias("at"), F.lit(kind).alias("kind"), i.cast("int").alias("i"))
+        inside = F.filter(F.transform(ms, lambda m, i: event(m["start"], 1, i)), lambda e: (e["at"] >= 0) & (e["at"] < n))
+        marks = F.transform(bounds, lambda c: event(c, 0, F.lit(-1)))
+
+        def step(k: Column, e: Column) -> tuple[Column, Column]:
+            now = F.when(e["kind"] == 0, k + 1).otherwise(k)
+            return now, F.array(F.struct(now.alias("k"), e["i"].alias("i")))
+
+        return F.array_sort(let(F.array_sort(F.concat(marks, inside)), lambda es: scan(es, F.lit(-1), step, f"array<{number}>")["o"]))
+
+    def cut_up(b: Column, n: Column, ms: Column, bounds: Column, order: Column) -> Column:
+        at = F.filter(F.transform(order, lambda x, j: F.when(x["i"] < 0, j)), lambda j: j.isNotNull())
+
+        def one(k: Column, at: Column) -> Column:
+            start, end = F.get(bounds, k), F.coalesce(F.get(bounds, k + 1), n)
+            first, last = F.get(at, k) + 1, F.coalesce(F.get(at, k + 1), F.size(order)) - 1
+
+            def moved(x: Column) -> Column:
+                return let(F.get(ms, x["i"]), lambda m: F.struct(m["type"].alias("type"), m["value"].alias("value"), (m["start"] - start).alias("start"), (F.least(m["end"], end) - start).alias("end")))
+
+            own = F.transform(F.when(first <= last, between(order, first, last)).otherwise(F.array().cast(f"array<{number}>")), moved)
+            return F.struct(start.alias("start"), end.alias("end"), cut(b, start, end - start).alias("text"), own.alias("matches"))
+
+        return let(at, lambda places: F.transform(F.sequence(F.lit(0), F.size(bounds) - 1), lambda k: one(k, places)))
+
+    def of(t: Column, ms: Column) -> Column:
+        n = F.length(t)
+        good = F.filter(cuts, lambda c: c.isNotNull() & ~F.isnan(c.cast("double")) & (c.cast("double") > 0) & (c.cast("double") < n))
+        inner = F.array_sort(F.array_distinct(F.transform(good, lambda c: F.floor(c.cast("double")).cast("int"))))
+        bounds = F.concat(F.array(F.lit(0)), F.filter(inner, lambda c: (c > 0) & (c < n)))
+        return let(bounds, lambda bs: let(dealt(n, ms, bs), lambda order: with_blocks(t, F.lit(True), lambda b: cut_up(b, n, ms, bs, order))))
+
+    return let(text, lambda t: let(matches, lambda ms: of(t, ms)))
 
 
 def slice_parts(parts: DataFrame, hits: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lacuna.functions.rules import BUILTIN, LABELS, ORDER, custom_rule, rules_from
 from lacuna.operators import crypto, edits, gate, records, redact, search, spans
 from lacuna.operators.detect import count_by_type, detect, exploded, type_report
+from lacuna.operators.keywords import keyword_matches
 from lacuna.plans.contracts import CONTRACTS, contracts, truth_sql
 from lacuna.sources import documents as sources
 
@@ -569,6 +570,16 @@ def detect_many_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("doc_id", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("""WITH k AS (SELECT DISTINCT w AS keyword FROM (SELECT unnest(string_split_regex(text, '[^A-Za-z]+')) AS w FROM benchmark) WHERE length(w) >= 6)
+SELECT doc_id, keyword, CAST((length(text) - length(replace(text, keyword, ''))) / length(keyword) AS BIGINT) AS n, CAST(instr(text, keyword) - 1 AS INTEGER) AS first, CAST(length(text) - length(string_split(text, keyword)[-1]) - length(keyword) AS INTEGER) AS last
+FROM documents JOIN k ON contains(text, keyword)""")
+def detect_keyword_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All words of six letters or more of the benchmark, sought in all documents by one automaton."""
+    word = F.explode(F.split("text", "[^A-Za-z]+")).alias("keyword")
+    words = read(spark, sf_dir, "benchmark").select("item_id", word).where(F.length("keyword") >= 6).groupBy("keyword").agg(F.min("item_id").alias("idx"))
+    return keyword_matches(docs(spark, sf_dir), words).groupBy("doc_id", "keyword").agg(F.count(F.lit(1)).alias("n"), F.min("start").alias("first"), F.max("start").alias("last"))
+
+
 _XE, _XM = f"(SELECT {ROWS} FROM ({spans_sql(EMAIL, C)}))", f"(SELECT {ROWS} FROM ({spans_sql('example', C)}))"
 
 

@@ -1,8 +1,13 @@
 """Inline texts with the spans that must and must not be found."""
 
+import random
+import time
+
 import pytest
 
 from lacuna.functions.rules import BUILTIN, Rule, RuleSet, custom_rule, rules_from
+from lacuna.operators import detect as detection
+from lacuna.operators import keywords
 from lacuna.operators.company import company_parts
 from lacuna.operators.detect import count_by_type, detect, exploded, type_report
 
@@ -127,3 +132,32 @@ def test_counts_and_report(spark):
 def test_company_parts_stay_inside_the_candidate():
     for value in ("甲方为占位集团", "X有限公司公司", "", "公司", "委托北京甲集团公司代理示例公司（北京）融媒体科技文化有限公司"):
         assert all(0 <= o and o + n <= len(value) for o, n in company_parts(value))
+
+
+def test_keyword_automata_find_what_expressions_do(spark, monkeypatch):
+    """Long lists, lists over several automata and tables give what a few expressions give, overlaps resolved."""
+    rng = random.Random(2)
+    word = lambda low, high: "".join(rng.choice("ab é😀") for _ in range(rng.randrange(low, high)))
+    df = spark.createDataFrame([*((i, word(0, 60)) for i in range(200)), (1000, None), (1001, "")], "doc_id int, text string")
+    words = [word(1, 5) for _ in range(30)]
+    hits = lambda keywords: sorted(map(tuple, exploded(detect(df, rules=[BUILTIN[0]], keywords=keywords)).collect()))
+    few = hits(words)
+    table = spark.createDataFrame([*((w, i) for i, w in enumerate(words)), (None, 1), (" ", 2), (words[0], 99)], "keyword string, idx int")
+    monkeypatch.setattr(detection, "FEW_KEYWORDS", 0)
+    assert few and hits(words) == few == hits(table)
+    monkeypatch.setattr(keywords, "BLOCK", 10)
+    assert hits(words) == few == hits(table)
+    assert keywords.keyword_matches(df, table.limit(0)).count() == 0 == keywords.keyword_matches(df.limit(0), table).count()
+
+
+def test_keyword_lists_cost_a_pass(spark):
+    text = "th1 word " * 100_000
+    df = spark.createDataFrame([(1, text)], "doc_id int, text string")
+
+    def took(n):
+        began = time.time()
+        assert keywords.keyword_matches(df, [f"th{i}" for i in range(n)]).count() == 100_000
+        return time.time() - began
+
+    took(50)
+    assert took(50_000) < 2 * took(50) + 1

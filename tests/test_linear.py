@@ -1,13 +1,16 @@
 """Texts with very many spans: the same results as few, in time with the text; and rows that lack parts."""
 
+import itertools
+import random
 import time
 
 from pyspark.sql import functions as F
 
 from lacuna.functions.rules import BUILTIN, custom_rule
 from lacuna.functions.spans import group_spans, overlapping_starts, spans_of
-from lacuna.operators import redact
+from lacuna.operators import redact, spans
 from lacuna.operators.detect import MATCH, detect, exploded
+from lacuna.operators.search import search_and_add
 
 EMAIL = next(r for r in BUILTIN if r.type == "EMAIL")
 PHONE = next(r for r in BUILTIN if r.type == "PHONE")
@@ -78,3 +81,32 @@ def test_input_columns_of_any_name_stay(spark):
     df = spark.createDataFrame([(1, "a@b.co", "keep", "too", "it")], "doc_id int, text string, __text string, __walk string, __r0 string")
     row = redact.redact(detect(df, rules=[EMAIL, custom_rule("zz+")])).first()
     assert (row["__text"], row["__walk"], row["__r0"]) == ("keep", "too", "it") and row["redacted_text"].startswith("______")
+
+
+def test_sweeps_over_two_arrays_by_brute_force(spark):
+    rng = random.Random(5)
+    made = lambda k: [(f"t{j}", "v", a, a + rng.randrange(5)) for j, a in enumerate(rng.randrange(40) for _ in range(rng.randrange(k)))]
+    rows = [(i, "x" * rng.randrange(45), made(8), made(6), [float(rng.randrange(-2, 50)) if rng.random() < 0.9 else None for _ in range(rng.randrange(5))]) for i in range(200)]
+    rows += [(900, "abc", [], None, []), (901, "", [("t", "v", 0, 0)], [], [float("nan"), 1.0])]
+    kind = "array<struct<type:string,value:string,start:int,end:int>>"
+    df = spark.createDataFrame(rows, f"id int, text string, a {kind}, b {kind}, cuts array<double>")
+    got = df.select("id", spans.filter_hits(F.col("a"), F.col("b")).alias("f"), spans.override_matches(F.col("a"), F.coalesce("b", F.array().cast(kind))).alias("o"), spans.segment_text(F.col("text"), F.col("a"), F.col("cuts")).alias("s"))
+    by_id = {r["id"]: r for r in got.collect()}
+    for i, text, a, b, cuts in rows:
+        apart = [x for x in a if not any(x[2] < y[3] and x[3] > y[2] for y in b or [])]
+        assert [tuple(x) for x in by_id[i]["f"]] == apart
+        assert [tuple(x) for x in by_id[i]["o"]] == sorted(apart + (b or []), key=lambda x: x[2])
+        bounds = [0, *sorted({int(c) for c in cuts if c is not None and 0 < c < len(text)} - {0}), len(text)]
+        want = [(x, y, text[x:y], [(m[0], m[1], m[2] - x, min(m[3], y) - x) for m in a if x <= m[2] < y]) for x, y in itertools.pairwise(bounds)]
+        assert [(x["start"], x["end"], x["text"], [tuple(m) for m in x["matches"]]) for x in by_id[i]["s"]] == want
+
+
+def test_sweeps_straight_after_detection_in_time(spark):
+    """What makes the arrays is not run again for each of their elements."""
+    found = detect(spark.createDataFrame([(1, " ".join(f"u{i}@x.co" for i in range(20_000)))], "doc_id int, text string"), rules=[EMAIL])
+    m, third = F.col("matches"), F.filter("matches", lambda x: x["start"] % 3 == 0)
+    cuts = F.transform(F.sequence(F.lit(1), F.lit(2000)), lambda i: i * 90)
+    for df in (found.select(spans.filter_hits(m, third)), found.select(spans.override_matches(m, third)), found.select(spans.segment_text(F.col("text"), m, cuts)), search_and_add(found, "x.c")):
+        began = time.time()
+        df.write.format("noop").mode("overwrite").save()
+        assert time.time() - began < 15  # one to three seconds each; a product of the arrays would take hours
