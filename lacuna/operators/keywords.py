@@ -43,15 +43,15 @@ def occurrences(words: ahocorasick.Automaton, text: str) -> list[tuple[int, int,
     """``(start, end, keyword, its index, number among its own)`` by end; of a keyword's overlapping ones the left stays."""
     out, last = [], {}
     for at, (index, word) in words.iter(text):
-        start, (end, n) = at + 1 - len(word), last.get(index, (0, 0))
+        start, (end, n) = at + 1 - len(word), last.get(word, (0, 0))
         if start >= end:
             out.append((start, at + 1, word, index, n))
-            last[index] = (at + 1, n + 1)
+            last[word] = (at + 1, n + 1)
     return out
 
 
 def blocks(spark: SparkSession, keywords: Sequence[str] | DataFrame) -> list[list[tuple[int, str]]]:
-    """(index, keyword) lists of at most some BLOCK code points. A table has the columns ``keyword`` and ``idx``, their order; only a block at a time is made of it."""
+    """(index, keyword) lists of at most some BLOCK code points. A table has the columns ``keyword`` and ``idx``, their order (several may share one); only a block at a time is made of it."""
     if not isinstance(keywords, DataFrame):
         out, size = [[]], 0
         for i, k in enumerate(dict.fromkeys(k for k in keywords if k and k.strip())):

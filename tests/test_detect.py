@@ -147,6 +147,9 @@ def test_keyword_automata_find_what_expressions_do(spark, monkeypatch):
     assert few and hits(words) == few == hits(table)
     monkeypatch.setattr(keywords, "BLOCK", 10)
     assert hits(words) == few == hits(table)
+    alike = spark.createDataFrame([(w, 0) for w in words], "keyword string, idx int")  # an order may be shared
+    places = lambda t: sorted(tuple(r)[:2] + tuple(r)[3:] for r in keywords.keyword_matches(df, t).collect())
+    assert places(alike) == places(table)
     assert keywords.keyword_matches(df, table.limit(0)).count() == 0 == keywords.keyword_matches(df.limit(0), table).count()
 
 
