@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lacuna.functions.spans import free
+from lacuna.operators.stretches import running
 
 #: The gate's patterns in their order, looser than the detection rules.
 PATTERNS = (
@@ -65,13 +66,15 @@ def gate_targets(df: DataFrame, path_col: str = "path", text_col: str = "text")
 def added_lines(diff: DataFrame, file_col: str = "file", order_col: str = "idx", line_col: str = "line") -> DataFrame:
     """``file, line_no, line`` of the added lines of a unified diff, one row per diff line."""
     line = F.col(line_col)
-    order = Window.partitionBy(file_col).orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
     begin = F.when(line.startswith("@@ "), F.regexp_extract(line, r"^@@ -\S+ \+(\d+)", 1).try_cast("int"))
     added = line.startswith("+") & ~line.startswith("+++")
-    at, hunk, is_added = (free(diff, c) for c in ("__begin", "__hunk", "__added"))
-    df = diff.withColumns({at: F.last(begin, ignorenulls=True).over(order), hunk: F.sum(begin.isNotNull().cast("int")).over(order), is_added: added})
-    within = Window.partitionBy(file_col, hunk).orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
-    number = F.col(at) + F.coalesce(F.sum(F.col(is_added).cast("int")).over(within), F.lit(0))
+    before, hunk, is_added = (free(diff, c) for c in ("__before", "__hunk", "__added"))
+    df = running(diff.withColumn(is_added, added), file_col, [order_col], {before: ("sum", F.col(is_added).cast("long"))})
+    df = df.withColumn(before, F.coalesce(before, F.lit(0)))
+    # of the last hunk: where it begins, and how many lines had been added by then
+    last = F.when(begin.isNotNull(), F.struct(F.col(order_col).alias("at"), begin.alias("line"), F.col(before).alias("added")))
+    df = running(df, file_col, [order_col], {hunk: ("max", last)}, inclusive=True)
+    number = F.col(f"{hunk}.line") + F.col(before) - F.col(f"{hunk}.added")
     return df.withColumn("line_no", number.cast("int")).where(is_added).select(file_col, "line_no", F.substring(line, F.lit(2), F.lit(2147483647)).alias("line"))
 
 

@@ -10,12 +10,13 @@ spans stay; empty tables give no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lacuna.functions.rules import NOT_S
 from lacuna.functions.spans import between, cut, free, let, overlapping_starts, scan, spans_of, with_blocks
 from lacuna.operators.detect import context, literal
+from lacuna.operators.stretches import running
 
 PAD = f"[{NOT_S}&&[^\\n]]"
 
@@ -131,11 +132,11 @@ def group_hits(hits: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def merge_intervals(spans: DataFrame, key: str = "doc_id") -> DataFrame:
     """``key, start, end``: touching or overlapping spans become one."""
-    order = Window.partitionBy(key).orderBy("start", "end")
-    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    flagged = spans.withColumn("__new", (reach.isNull() | (F.col("start") > reach)).cast("int"))
-    numbered = flagged.withColumn("__n", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy(key, "__n").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("__n")
+    reach, first, island = (free(spans, c) for c in ("__reach", "__first", "__island"))
+    own = running(spans.select(key, "start", "end"), key, ["start", "end"], {reach: ("max", F.col("end"))})
+    begun = own.withColumn(first, F.when(F.col(reach).isNull() | (F.col("start") > F.col(reach)), F.col("start")))
+    numbered = running(begun, key, ["start", "end"], {island: ("max", F.col(first))}, inclusive=True)
+    return numbered.groupBy(key, island).agg(F.min("start").alias("start"), F.max("end").alias("end")).drop(island)
 
 
 def check_integrity(df: DataFrame, text_col: str = "text", matches: str = "matches", id_col: str = "doc_id") -> DataFrame:
@@ -238,10 +239,11 @@ def slice_parts(parts: DataFrame, hits: DataFrame, key: str = "doc_id") -> DataF
 
 
 def runs_with_offsets(runs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Each run's place in the document's text."""
-    order = Window.partitionBy(key).orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.length("text")).over(order), F.lit(0)).cast("int")
-    return runs.withColumn("start", start).withColumn("end", F.col("start") + F.length("text"))
+    """Each run's place in the document's text; ``idx`` is a whole number."""
+    before = free(runs, "__before")
+    own = running(runs, key, ["idx"], {before: ("sum", F.length("text").cast("long"))})
+    own = own.withColumn("start", F.coalesce(before, F.lit(0)).cast("int")).drop(before)
+    return own.withColumn("end", F.col("start") + F.length("text"))
 
 
 def locate_token(runs: DataFrame, token: str, key: str = "doc_id") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lacuna.functions.rules import BUILTIN, LABELS, ORDER, custom_rule, rules_from
-from lacuna.operators import crypto, edits, gate, records, redact, search, spans
+from lacuna.operators import crypto, edits, gate, records, redact, search, spans, stretches
 from lacuna.operators.detect import count_by_type, detect, exploded, type_report
 from lacuna.operators.keywords import keyword_matches
 from lacuna.plans.contracts import CONTRACTS, contracts, truth_sql
@@ -283,7 +283,7 @@ def redact_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(ORACLE_SQL["redact_mapping"])
 def redact_mapping_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return redact.redact_long(some(spark, sf_dir)).select("doc_id", "idx", "type", F.col("originalValue").alias("original"), "start", "end")
+    return stretches.redact_long(some(spark, sf_dir)).select("doc_id", "idx", "type", F.col("originalValue").alias("original"), F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"))
 
 
 @query(f"SELECT doc_id, {_replaced(*(repr(f'[{k}_000{i + 1}]') for i, k in enumerate(SOME)))} AS redacted_text FROM {C}")
@@ -291,6 +291,25 @@ def redact_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redact.redact_typed(some(spark, sf_dir)).select("doc_id", "redacted_text")
 
 
+def _by_stretches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Contracts in stretches of 64 code points, redacted; and the entries."""
+    path = sources.shared_folder(spark, "found")
+    some(spark, sf_dir).select("doc_id", "text", "matches").write.parquet(path)
+    found = spark.read.parquet(path)
+    one = found.select(F.col("doc_id").alias("id"), F.explode_outer("matches").alias("m")).where("m is not null").select("id", "m.*")
+    return stretches.redact_stretches(stretches.text_stretches(found, size=64), one, lambda m, i: redact.type_token(m["type"], i + 1))
+
+
+@query(ORACLE_SQL["redact_types"])
+def redact_by_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stretches.assembled(_by_stretches(spark, sf_dir)[0]).select(F.col("id").alias("doc_id"), F.col("text").alias("redacted_text"))
+
+
+@query(f"SELECT doc_id, text FROM {C}")
+def restore_by_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stretches.assembled(stretches.restore_stretches(*_by_stretches(spark, sf_dir))).select(F.col("id").alias("doc_id"), "text")
+
+
 @query(f"SELECT doc_id, {_replaced(*(f'repeat(chr(95), length({c}))' for c in ('email', 'id_card', 'tax_id')))} AS redacted_text FROM {C}")
 def redact_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redact.redact_same_length(some(spark, sf_dir)).select("doc_id", "redacted_text")
