@@ -1,39 +1,44 @@
 """Main text of web pages by consensus host paths.
 
-Each page is read into blocks; every block knows the path of the containers around it, generalised: tag names with
+Each page is read once into blocks; every block knows the path of the containers around it, generalised: tag names with
 their classes, digits taken out. A container's score is the text it holds outside links, less what stands in
-containers that are never main text. Each page votes for the deepest path
-that holds all of this text; votes are summed in Spark by host, and by host and template, which is the set of a page's
-container paths. Each page is read again and keeps the blocks within containers of a path: its template's winner (of the
-host's ``max_templates`` with the most votes, two at least), else its host's winner if that holds all of the page's main
-text, else its own; so only pages of the same template outvote a page. Only paths and votes are joined, never pages, and
-votes are summed before their shuffle, so a host with a third of all pages costs one row for each of its paths,
-templates and tasks.
+containers that are never main text. Each page votes for the deepest path that holds all of this text; votes are summed
+in Spark by host. A page is then extracted by the path with the most votes among those of its own containers that hold
+all of its main text: so a host's usual container outvotes a narrower one of an odd page and brings back what that would
+have left out (lists of links within the article), and no vote ever loses main text. What the walk found is written, each
+block with the depth to which it lies within the page's path, so the second extraction is a filter. Only paths and votes
+are joined with each other, summed before their shuffle, so a host with a third of all pages costs one row for each of
+its paths and tasks.
+
+Never main text: nav, header (but that of an article), footer, aside, menu, and what is hidden. Forms, dialogs, some
+roles and some class or id names set a container apart unless that holds an article or main and none stands outside, or
+most of the text while there is no article or main elsewhere: a form around the page is no form. Reader comments go
+whenever there is other text.
 
 Defined cases: null and empty pages have no text; pages without a host (or a null address) vote together under the
-empty name; a class or id name sets a container apart unless that holds most of the page's text, or an article or main
-and no other stands outside such containers; repeated rows and ids stay apart; ties between paths go to more text, then the lesser path; other columns
-are ignored; an empty table gives no rows.
+empty name; tags, attributes and comments end as HTML says, but a quote without an end closes at the tag's end, and a tag
+at the next "<"; repeated rows and ids stay apart; ties between paths go to more text, then to the deeper one; other
+columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import hashlib
 import html
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.llm.common import written
+from lacuna.llm.common import pieces, written
 
-#: A tag ends at the next "<" at the latest, and its parts are never tried twice: a page is read in one walk.
-PIECE = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</?[A-Za-z](?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+(?:>|(?=<))|[^<]+|<", re.S)
+#: A tag's parts are never tried twice: a page is read in one walk. A quote counts only behind "=", where an attribute's value begins.
+PIECE = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</?[A-Za-z][^\s/><]*+(?:[\s/]++|=?[^\s/>=<]++(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]++)?+)?+|=)*+(?:>|(?=<)|\Z)|[^<]+|<", re.S)
 NAME = re.compile(r"</?([A-Za-z][A-Za-z0-9:-]*)")
-ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
+ATTRIBUTE = re.compile(r"([^\s/>=<]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))?)?")
 #: Fixed values of HTML: elements without content, with raw text, that part blocks, that hold blocks, that an open one of the same kind ends.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noembed noframes".split())
@@ -43,8 +48,10 @@ UNREAD = frozenset("template noscript svg math iframe object select optgroup opt
 BLOCK = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 HOLDER = frozenset("article aside body center dialog div details fieldset footer form header html main menu nav section table td".split())
 ENDS = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "optgroup": ("option", "optgroup"), "select": ("select",), "button": ("button",)}
-#: What is never main text: elements, roles, and words of class or id names.
-APART = frozenset("nav header footer aside form menu dialog head".split())
+#: What is never main text: elements, elements unless they hold the page, roles, and words of class or id names, those of comments among them.
+APART = frozenset("nav header footer aside menu head".split())
+LOOSE = frozenset("form dialog".split())
+COMMENTS = re.compile(r"comments?|disqus|replies|reply|respond", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar".split())
 NAMES = re.compile(r"(?:(?:site|page|main|global|top|bottom|left|right|primary|secondary|post|entry|article|blog|content|user|wp|cookie|js|the)[_-])*(ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|footer|header|masthead|cookies?|consent|gdpr|notice\w*|alert\w*|popup|modal|newsletter|subscribe\w*|share|sharing|social|related|recommend\w*|comments?|disqus|replies|reply|respond|login|signup|search|toolbar|widgets?|pagination|pager|copyright|legal|skip)(?:[_-](?:container|wrapper|wrap|inner|outer|box|area|bar|banner|block|slot|unit|list|links?|buttons?|icons?|form|menu|nav|navigation|header|footer|sidebar|widgets?|thread|section|posts?|articles?|stories|items?|notice|message|overlay|popup|left|right|top|bottom|main|primary|secondary|\d+))*", re.I)
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -102,11 +109,6 @@ class Page:
             out.append((out[parent] * pow(256, len(more), PRIME) + number_of(more)) % PRIME)
         return out
 
-    def template(self) -> int:
-        """A 64-bit hash of the set of container paths, those without text too."""
-        digest = hashlib.blake2b(repr(sorted(self.hashes()[1:])).encode(), digest_size=8).digest()
-        return int.from_bytes(digest, "little", signed=True)
-
     def scores(self) -> list[float]:
         """The main text that each container holds, outside links; the first is that of the page."""
         out = [0.0] * len(self.names)
@@ -122,19 +124,6 @@ class Page:
         full = [i for i, s in enumerate(scores) if s >= scores[0] - 1e-6] if scores[0] > 0 else []
         return max(full, default=0)
 
-    def find(self, path: str) -> int | None:
-        """The container of a path."""
-        wanted = number_of(bytes_of(path))
-        return next((i for i, h in enumerate(self.hashes()) if h == wanted and i), None)
-
-    def text(self, container: int) -> str:
-        """The main text within a container, in page order."""
-        held = [False] * len(self.names)
-        held[container] = True
-        for i in range(container + 1, len(held)):
-            held[i] = held[i] or held[self.parents[i]]
-        return "\n\n".join(text for text, own, apart, _ in self.blocks if held[own] and not apart)
-
 
 class Reader:
     """Reads a page by its tags. Counts of open elements stand for walks over the stack."""
@@ -143,6 +132,7 @@ class Reader:
         self.page = Page()
         self.marks: list[int] = []  # of each block: the innermost element apart by its name alone; 0 if there is none
         self.outer: list[int] = [-1]  # of each mark: the one around it
+        self.chat: list[bool] = [False]  # of each mark: whether it is comments, or within them
         self.content_in: list[int] = []  # of each article and main: the mark around it
         self.stack: list[tuple[str, int, bool, int]] = []  # element, container, apart, mark around its content
         self.places: dict[str, list[int]] = defaultdict(list)  # of each open element's name: its places in the stack
@@ -203,13 +193,16 @@ class Reader:
             found = {k.lower(): a or b or c for k, a, b, c in reversed(ATTRIBUTE.findall(attributes))} if attributes else {}  # the first of a name counts
             headed = bool(self.places.get("article"))  # the header of an article is part of it
             names = f"{found.get('class', '')} {found.get('id', '')}".split() if found else []
-            marked = any(not (headed and m[1].lower() == "header") for m in map(NAMES.fullmatch, names) if m)
-            apart = (apart and not (tag == "header" and headed)) or found.get("role", "").lower() in ROLES or "hidden" in found or found.get("aria-hidden", "").lower() == "true" or bool(HIDDEN.search(found.get("style", "")))
-            if tag in ("article", "main"):
-                self.content_in.append(mark)
-            if marked and not apart and tag not in ("article", "main", "body", "html"):
+            words = [m[1] for m in map(NAMES.fullmatch, names) if m and not (headed and m[1].lower() == "header")]
+            chat = any(map(COMMENTS.fullmatch, words)) and tag not in ("main", "body", "html")
+            apart = (apart and not (tag == "header" and headed)) or "hidden" in found or (found.get("aria-hidden") or "").lower() == "true" or bool(HIDDEN.search(found.get("style") or ""))
+            marked = bool(words) or tag in LOOSE or (found.get("role") or "").lower() in ROLES
+            if not apart and (chat or marked and tag not in ("article", "main", "body", "html")):
                 self.outer.append(mark)
+                self.chat.append(chat or self.chat[mark])
                 mark = len(self.outer) - 1
+            if tag in ("article", "main") and not self.chat[mark]:
+                self.content_in.append(mark)
             if tag in HOLDER:
                 container = self.page.inside(container, ".".join([tag, *sorted(set(DIGITS.sub("", found.get("class", "")).lower().split()))]) if found else tag)
         at = len(self.stack)
@@ -246,13 +239,14 @@ class Reader:
         return self.page
 
     def settle(self) -> None:
-        """Sets blocks apart by names: those within a named element, unless it holds most of the text, or an article or main while none stands outside such elements."""
+        """Sets blocks apart by their marks: those within a marked element, unless it holds an article or main while none
+        stands outside marks, or most of the text while there is none at all; comments unless there is nothing else."""
         if not any(self.marks):
             return
         held, void = [0.0] * len(self.outer), [False] * len(self.outer)
         for (text, _, apart, share), mark in zip(self.page.blocks, self.marks, strict=True):
-            held[mark] += 0.0 if apart else len(text) * (1 - share)
-        if self.content_in and all(self.content_in):
+            held[mark] += 0.0 if apart or self.chat[mark] else len(text) * (1 - share)
+        if all(self.content_in):
             for mark in self.content_in:
                 void[mark] = True
         for i in range(len(held) - 1, 0, -1):  # inner ones have greater numbers
@@ -260,29 +254,50 @@ class Reader:
             void[self.outer[i]] |= void[i]
         away = [False] * len(held)
         for i in range(1, len(held)):
-            away[i] = away[self.outer[i]] or not (void[i] or 2 * held[i] > held[0])
-        self.page.blocks = [(text, c, apart or away[mark], share) for (text, c, apart, share), mark in zip(self.page.blocks, self.marks, strict=True)]
+            most = not self.content_in and 2 * held[i] > held[0]
+            away[i] = away[self.outer[i]] or not (self.chat[i] or void[i] or most)
+        blocks = list(zip(self.page.blocks, self.marks, strict=True))
+        other = any(not (b[2] or away[mark] or self.chat[mark]) and b[3] < 1 for b, mark in blocks)
+        self.page.blocks = [(text, c, apart or away[mark] or other and self.chat[mark], share) for (text, c, apart, share), mark in blocks]
 
 
 def read_page(source: str | None) -> Page:
     return Reader().read(source or "")
 
 
-def votes_of(page: Page) -> list[tuple[str, float]]:
-    """The page's best container path and its score: the innermost that holds all main text."""
-    scores = page.scores()
-    best = page.innermost(scores)
-    return [(page.path(best), scores[best])] if best else []
+class Extract(NamedTuple):
+    """A page's main text by depth: the containers that hold all of it, outermost first, and of each block how many of them it lies in."""
 
+    path: str | None
+    chain: list[int]
+    weight: float
+    texts: list[str]
+    depths: list[int]
 
-def text_of(page: Page, path: str | None, template_path: str | None = None) -> str:
-    """The main text within the template's container; else within the host's, which counts only where it holds all main text; else within the page's own."""
+    def text(self, depth: int) -> str:
+        return "\n\n".join(t for t, d in zip(self.texts, self.depths, strict=True) if d >= depth)
+
+
+def extract_of(page: Page) -> Extract:
     scores = page.scores()
-    known = page.find(template_path) if template_path else None
-    if known is None and path:
-        known = page.find(path)
-        known = known if known is not None and scores[known] >= scores[0] - 1e-6 else None
-    return (known is not None and page.text(known)) or page.text(page.innermost(scores)) or page.text(0)
+    best, hashes = page.innermost(scores), page.hashes()
+    chain = []
+    at = best
+    while at:
+        chain.append(at)
+        at = page.parents[at]
+    chain.reverse()
+    depth, place = [0] * len(page.names), {c: k + 1 for k, c in enumerate(chain)}
+    for i in range(1, len(depth)):  # parents come first
+        depth[i] = place.get(i, depth[page.parents[i]])
+    kept = [(text, depth[c]) for text, c, apart, _ in page.blocks if not apart]
+    return Extract(page.path(best) if best else None, [hashes[c] for c in chain], scores[0], [t for t, _ in kept], [d for _, d in kept])
+
+
+def own_text(page: Page) -> str:
+    """The text within the page's own path, without a host's votes."""
+    found = extract_of(page)
+    return found.text(len(found.chain))
 
 
 def host_of(url: Column) -> Column:
@@ -290,44 +305,42 @@ def host_of(url: Column) -> Column:
     return F.regexp_replace(host, r"^www\.", "")
 
 
-def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html", max_templates: int = 8) -> DataFrame:
-    """``host, path, votes, weight, templates``: each host's winning container path, and those of its templates as lines ``template:path``."""
-
-    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            read = ((h, read_page(source)) for h, source in zip(b["host"].to_pylist(), b["page"].to_pylist(), strict=True))
-            rows = [(h, page.template(), p, s) for h, page in read for p, s in votes_of(page)]
-            kinds = (pa.string(), pa.int64(), pa.string(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["host", "template", "path", "weight"])
-
-    read = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).cast("string").alias("page"))
-    summed = read.mapInArrow(vote, "host string, template long, path string, weight double").groupBy("host", "template", "path").agg(F.count(F.lit(1)).alias("votes"), F.sum("weight").alias("weight"))
-    summed = written(summed, "votes")
-    best = F.max_by(F.struct("path", "votes", "weight"), F.struct("votes", F.round("weight", 3).alias("w"), F.col("path").alias("p"))).alias("best")
-    hosts = summed.groupBy("host", "path").agg(F.sum("votes").alias("votes"), F.sum("weight").alias("weight")).groupBy("host").agg(best).select("host", "best.*")
-    kinds = summed.groupBy("host", "template").agg(best, F.sum("votes").alias("n")).where("n >= 2")
-    ranked = kinds.withColumn("rank", F.row_number().over(Window.partitionBy("host").orderBy(F.desc("n"), "template"))).where(F.col("rank") <= max_templates)
-    lines = ranked.groupBy("host").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", F.col("template").cast("string"), F.col("best.path")))), "\n").alias("templates"))
-    return hosts.join(lines, "host", "left")
-
-
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", max_broadcast: int = 20_000, max_templates: int = 8) -> DataFrame:
-    """``page_id, url, text, n_chars, path``: one row for each input row; ``path`` is the host's winner."""
-    paths = written(host_paths(pages, url_col, html_col, max_templates).select("host", "path", "templates"), "paths")
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), host_of(F.col(url_col)).alias("host"), F.col(html_col).cast("string").alias("page"))
-    few = paths.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("path") + F.length("host") + F.coalesce(F.length("templates"), F.lit(0))).alias("size")).first()
-    small = few["n"] <= max_broadcast and (few["size"] or 0) <= 4_000_000
-    rows = rows.join(F.broadcast(paths) if small else paths, "host", "left")
-    kind = dict(rows.dtypes)
+READ = "path string, chain array<long>, weight double, texts array<string>, depths array<int>"
+
+
+def read_pages(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
+    """``page_id, url, host, own`` (the number of the page's path) and what its walk found."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = []
-            for source, path, lines in zip(b["page"].to_pylist(), b["path"].to_pylist(), b["templates"].to_pylist(), strict=True):
-                page = read_page(source)
-                known = dict(line.split(":", 1) for line in lines.split("\n")) if lines else {}
-                texts.append(text_of(page, path, known.get(str(page.template())) if known else None))
-            yield pa.RecordBatch.from_arrays([b["page_id"], b["url"], pa.array(texts, pa.string()), b["path"]], names=["page_id", "url", "text", "path"])
-
-    out = rows.mapInArrow(read, f"page_id {kind['page_id']}, url {kind['url']}, text string, path string")
-    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "path")
+        kinds = (pa.string(), pa.list_(pa.int64()), pa.float64(), pa.list_(pa.string()), pa.list_(pa.int32()))
+        for whole in batches:
+            for b in pieces(whole, "__page"):
+                found = [extract_of(read_page(source)) for source in b["__page"].to_pylist()]
+                columns = [pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([b["page_id"], b["url"], b["host"], *columns], names=["page_id", "url", "host", *Extract._fields])
+
+    own = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), host_of(F.col(url_col)).alias("host"), F.col(html_col).cast("string").alias("__page"))
+    kind = dict(own.dtypes)
+    return own.mapInArrow(read, f"page_id {kind['page_id']}, url {kind['url']}, host string, {READ}").withColumn("own", F.try_element_at("chain", F.lit(-1)))
+
+
+def host_paths(read: DataFrame) -> DataFrame:
+    """``host, own, path, depth``: for each path that pages of a host have, the one of its containers with the most votes there."""
+    voted = read.where("own is not null").groupBy("host", "own").agg(F.count(F.lit(1)).alias("votes"), F.round(F.sum("weight"), 3).alias("weight"), F.min("path").alias("path"), F.first("chain").alias("chain"))
+    votes = written(voted, "votes")
+    around = votes.select("host", "own", F.posexplode("chain").alias("at", "number"))
+    both = around.join(votes.select("host", F.col("own").alias("number"), "votes", "weight", "path"), ["host", "number"])
+    best = F.max_by(F.struct("path", "at"), F.struct("votes", "weight", "at")).alias("best")
+    return both.groupBy("host", "own").agg(best).select("host", "own", "best.path", (F.col("best.at") + 1).alias("depth"))
+
+
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", max_broadcast: int = 20_000) -> DataFrame:
+    """``page_id, url, text, n_chars, path``: one row for each input row; ``path`` is the one it was extracted by."""
+    read = written(read_pages(pages, id_col, url_col, html_col), "pages")
+    paths = written(host_paths(read), "paths")
+    few = paths.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("path") + F.length("host")).alias("size")).first()
+    small = few["n"] <= max_broadcast and (few["size"] or 0) <= 4_000_000
+    rows = read.drop("path", "chain", "weight").join(F.broadcast(paths) if small else paths, ["host", "own"], "left")
+    blocks = F.filter(F.arrays_zip("texts", "depths"), lambda x: x["depths"] >= F.coalesce("depth", F.lit(0)))
+    text = F.array_join(F.transform(blocks, lambda x: x["texts"]), "\n\n")
+    return rows.select("page_id", "url", text.alias("text"), "path").select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "path")
