@@ -135,13 +135,14 @@ def links(distinct: DataFrame, max_bits: int = 4, sample_size: int = 4096) -> Da
     return left.join(right, ["part", "key"]).where((F.col("a") < F.col("b")) & (apart() <= max_bits)).select("a", "b").distinct()
 
 
-def classes(distinct: DataFrame, max_bits: int = 4, sample_size: int = 4096, hot: int = 256) -> DataFrame:
+def classes(distinct: DataFrame, max_bits: int = 4, sample_size: int = 4096, hot: int = 256, n_leaders: int = 8) -> DataFrame:
     """``node, root``: the fingerprints that have links, and the least one of their component.
 
     Fingerprints that stand close together share keys. Where more than ``hot`` (and sixteen times what chance gives) share
-    one, the links between them are not all made: those of one bit join most of such a group first, which takes 64 probes
-    each; then pairs of different classes alone are compared, by a second pigeonhole over the other bits, and give links
-    between classes.
+    one, the links between them are not all made. Links of one bit, which take 64 probes each, and links to a few leaders
+    of each such key (those with the least hashes) join most of such a group first. What can still be linked are
+    pairs of different classes, and of these one at least is not of its key's most frequent class: so that class meets only the
+    others, not itself, by a second pigeonhole over the other bits, and gives links between classes.
     """
     n, chosen = planned(distinct, max_bits, sample_size)
     left, right = sides(distinct, chosen)
@@ -155,11 +156,18 @@ def classes(distinct: DataFrame, max_bits: int = 4, sample_size: int = 4096, hot
     flips = F.array(*(F.lit(signed(1 << b)) for b in range(64)))
     beside = crowd.select("b").distinct().select(F.col("b").alias("a"), F.explode(F.transform(flips, lambda f: F.col("b").bitwiseXOR(f))).alias("b")).where("a < b")
     single = beside.join(distinct.select(F.col("fp").alias("b")), "b", "left_semi").select("a", "b")
-    first = written(components(some.unionByName(single).distinct()), "first_classes")
+    leaders = crowd.groupBy("part", "key").agg(F.array(*(F.min_by("b", F.xxhash64("b", F.lit(i))) for i in range(n_leaders))).alias("leaders"))
+    stars = crowd.join(leaders, ["part", "key"]).select("b", F.explode(F.filter(F.array_distinct("leaders"), lambda x: (x != F.col("b")) & (F.bit_count(x.bitwiseXOR(F.col("b"))) <= max_bits))).alias("a"))
+    stars = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    first = written(components(some.unionByName(single).unionByName(stars).distinct()), "first_classes")
     root = lambda df, c: df.join(first.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")), c, "left").withColumn(f"{c}_root", F.coalesce(f"{c}_root", c))
     crowd = written(root(crowd, "b"), "crowd")
-    spread = crowd.groupBy("part", "key").agg(F.min("b_root").alias("low"), F.max("b_root").alias("high"))
-    asking = root(left, "a").join(spread, ["part", "key"]).where((F.col("low") < F.col("high")) | (F.col("low") != F.col("a_root"))).drop("low", "high")
+    spread = crowd.groupBy("part", "key", "b_root").agg(F.count(F.lit(1)).alias("n")).groupBy("part", "key")
+    spread = written(spread.agg(F.min("b_root").alias("low"), F.max("b_root").alias("high"), F.max_by("b_root", F.struct("n", "b_root")).alias("most")), "spread")
+    asking = root(left, "a").join(spread, ["part", "key"]).where((F.col("low") < F.col("high")) | (F.col("low") != F.col("a_root"))).withColumn("rest", F.col("a_root") == F.col("most")).drop("low", "high", "most")
+    # asked of the most frequent class: only by others; by it: only the rest
+    held = crowd.join(spread.select("part", "key", "most"), ["part", "key"])
+    held = held.withColumn("rest", F.explode(F.when(F.col("b_root") == F.col("most"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True))))).drop("most")
 
     def finer(df: DataFrame, c: str) -> DataFrame:
         out = None
@@ -170,8 +178,8 @@ def classes(distinct: DataFrame, max_bits: int = 4, sample_size: int = 4096, hot
             out = F.when(F.col("part") == i, own) if out is None else out.when(F.col("part") == i, own)
         return df.withColumn("s", F.explode(out)).select("*", "s.sub", "s.sub_key").drop("s")
 
-    between = finer(asking, "a").join(finer(crowd, "b"), ["part", "key", "sub", "sub_key"]).where(near & (F.col("a_root") != F.col("b_root")))
-    linked = between.select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).distinct()
+    between = finer(asking, "a").join(finer(held, "b"), ["part", "key", "rest", "sub", "sub_key"]).where((apart() <= max_bits) & (F.col("a_root") != F.col("b_root")))
+    linked = between.select(F.greatest("a_root", "b_root").alias("a"), F.least("a_root", "b_root").alias("b")).distinct()
     return components(first.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(linked))
 
 
@@ -219,3 +227,48 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # written, so that the last join has an exchange on either side and Spark can split a fingerprint with very many rows
     members = written(distinct.join(roots, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "classes")
     return fps.join(members, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def shingle_sketch(text: str | None, width: int = 5, size: int = 128) -> list[int]:
+    """The least hashes of the different word shingles, ascending: of two such lists follows the shingles' overlap."""
+    words = (text or "").encode().lower().split()
+    n = max(1, len(words) - width + 1) if words else 0
+    hashes = np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + width]), 7) for i in range(n)), np.uint64, n).view(np.int64))
+    return hashes[:size].tolist()
+
+
+def overlap_of(a: Column, b: Column, size: int = 128) -> Column:
+    """The estimated Jaccard similarity of two sketches, exact where both hold all shingles; 1 for two empty ones."""
+    least = F.slice(F.array_sort(F.array_union(a, b)), 1, size)
+    return F.when(F.size(least) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(F.array_intersect(a, b), least)) / F.size(least))
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 9, width: int = 2, hot: int = 64, overlap: float = 0.8, n_keys: int = 5) -> DataFrame:
+    """``doc_id, h``: of each group of near copies the row that stays, by its id and the ``xxhash64`` of its text.
+
+    Fingerprints of word pairs within ``max_bits`` give the candidates' groups; within them texts are linked only if their
+    five-word shingles overlap (estimated from sketches, which for short texts are whole). A group's texts aren't compared
+    in pairs: they meet by ``n_keys`` least hashes of their sketches, and of those that share one each is compared with the
+    one of the least id. Links make families, of which the row with the least id stays; so a wrong candidate never loses a
+    text, and a group costs its rows, whatever its size.
+    """
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+
+    @F.pandas_udf("fp long, sketch array<long>")
+    def of(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"fp": [fingerprint_of(t, width) for t in texts], "sketch": [shingle_sketch(t) for t in texts]})
+
+    # equal texts are one from here on
+    own = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("h"), of(text).alias("x")).groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.any_value("x").alias("x"))
+    own = written(own.select("h", "doc_id", "x.fp", "x.sketch"), "texts")
+    found = classes(own.select("fp").distinct(), max_bits, hot=hot)
+    close = own.join(found.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    # of each key the least of the sketch's hashes as mixed with its number; all of a group share key 0
+    keys = F.array(*(F.struct(F.lit(i).alias("i"), (F.array_min(F.transform("sketch", lambda x: F.xxhash64(x, F.lit(i)))) if i else F.lit(0).cast("long")).alias("key")) for i in range(n_keys + 1)))  # noqa: B023
+    each = written(close.select("h", "doc_id", "root", "sketch", F.explode(keys).alias("k")).select("h", "doc_id", "root", "sketch", "k.i", "k.key"), "sketches")
+    least = lambda v: F.min_by(v, F.struct(F.col("doc_id").isNull(), "doc_id", "h"))
+    first = each.groupBy("root", "i", "key").agg(least(F.struct("h", "sketch")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    both = each.join(written(first, "leaders"), ["root", "i", "key"]).where((F.col("h") != F.col("first.h")) & (overlap_of(F.col("sketch"), F.col("first.sketch")) >= overlap))
+    families = written(components(both.select(F.col("h").alias("a"), F.col("first.h").alias("b")).distinct()), "families")
+    named = own.select("h", "doc_id").join(families.select(F.col("node").alias("h"), "root"), "h", "left").withColumn("root", F.coalesce("root", "h"))
+    return named.groupBy("root").agg(least(F.struct("doc_id", "h")).alias("x")).select("x.doc_id", "x.h")
