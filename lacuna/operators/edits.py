@@ -29,6 +29,33 @@ def padded(text: str, start: int, end: int) -> tuple[int, int]:
     return start, end
 
 
+def replaced(text: str, todo: list[tuple[int, int, str]], same: bool) -> str:
+    """The text with each place (start, end, value; in order, apart) and the white space beside it replaced, the last first.
+
+    ``same``: how far a place reaches to the right was settled before any replacement, so it may take from what the place
+    behind it left. What lies behind the current place is kept in pieces, so each character is moved once.
+    """
+    right: list[str] = []  # the first piece last
+    begin = len(text)  # where they begin in the source
+
+    for start, end, value in reversed(todo):
+        start = padded(text, start, start)[0]
+        stop = len(text) if same else begin
+        while end < stop and text[end] in PADDING:
+            end += 1
+        eaten = max(0, end - begin)
+        while right and (eaten or not same and end >= begin):
+            piece = right.pop()
+            rest = piece[eaten:] if eaten else piece.lstrip(PADDING)
+            eaten = max(0, eaten - len(piece))
+            if rest:
+                right.append(rest)
+                break
+        right += [text[end:begin], value]
+        begin = start
+    return text[:begin] + "".join(reversed(right))
+
+
 def edited(text: str | None, edits: list[tuple[str, str]]) -> str | None:
     """Neighbouring edits of a token form a group; longer tokens go first. A group of one value replaces every occurrence,
     one of several gives the n-th occurrence the n-th value, the last first. White space beside a token goes with it, line
@@ -40,10 +67,13 @@ def edited(text: str | None, edits: list[tuple[str, str]]) -> str | None:
     for token, parts in groupby(groups, key=lambda g: g[0]):
         values = [v for _, vs in parts for v in vs]
         found = list(re.finditer(re.escape(token), text))
-        todo = [(m, values[0]) for m in found] if len(values) == 1 else list(zip(found, values, strict=False))
-        whole = text
-        for m, value in reversed(todo):
-            start, end = padded(whole if len(values) == 1 else text, m.start(), m.end())
+        todo = [(m.start(), m.end(), v) for m, v in (((m, values[0]) for m in found) if len(values) == 1 else zip(found, values, strict=False))]
+        if token.strip(PADDING) == token:
+            text = replaced(text, todo, len(values) == 1)
+            continue
+        whole = text  # a token that ends in white space may reach into its neighbour
+        for at, to, value in reversed(todo):
+            start, end = padded(whole if len(values) == 1 else text, at, to)
             text = text[:start] + value + text[end:]
     return text
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lacuna.functions.spans import free
+from lacuna.operators import dictionary, keywords
 from lacuna.operators.stretches import running
 
 #: The gate's patterns in their order, looser than the detection rules.
@@ -90,41 +91,28 @@ def quiet(found: DataFrame) -> DataFrame:
     return found.withColumns({"pattern": F.lit("[REDACTED]"), "match": F.lit("[REDACTED]")})
 
 
-def dictionary_pairs(dictionary: DataFrame, from_col: str = "from", to_col: str = "to", limit: int = 100_000) -> list[tuple[str, str]]:
-    """The pairs, longest first; a dictionary beyond the limit is refused."""
-    rows = dictionary.where(F.length(from_col) > 0).select(from_col, F.coalesce(to_col, F.lit(""))).limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} pairs")
-    return sorted(((r[0], r[1]) for r in rows), key=lambda x: -len(x[0]))
+def apply_dictionary(df: DataFrame, pairs: Sequence[tuple[str, str]] | DataFrame, text_col: str = "text", out: str = "scrubbed") -> DataFrame:
+    """Replaces literal terms, longest first, one after the other: later pairs see what earlier ones made.
 
-
-def apply_dictionary(df: DataFrame, pairs: Sequence[tuple[str, str]], text_col: str = "text", out: str = "scrubbed") -> DataFrame:
-    """Replaces literal terms, longest first, one after the other: later pairs see what earlier ones made."""
-    ordered = sorted((p for p in pairs if p[0]), key=lambda p: -len(p[0]))
-    if len(ordered) <= 50:
+    A dictionary may be a table (``from, to``; those of equal length in the order of their terms) of any size: see ``dictionary``.
+    """
+    ordered = None if isinstance(pairs, DataFrame) else sorted((p for p in pairs if p[0]), key=lambda p: -len(p[0]))
+    if ordered is not None and len(ordered) <= 50:
         text = F.col(text_col)
         for a, b in ordered:
             text = F.replace(text, F.lit(a), F.lit(b))
         return df.withColumn(out, text)
-    terms = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ordered))
-    return df.withColumn(out, F.aggregate(terms, F.col(text_col), lambda acc, x: F.replace(acc, x["a"], x["b"])))
-
-
-def residual_counts(df: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text", term_col: str = "term", small: int = 10_000) -> DataFrame:
-    """``term, n_lines``: how many lines still hold each term.
-
-    Lines and terms meet by that substring of a term, of up to three characters, that the fewest terms have; then the
-    whole term is looked for. Few terms (counted first) are broadcast, so that the lines stay where they are.
-    """
-    own = terms.select(F.col(term_col).alias("term")).where("length(term) > 0").distinct()
-    size = F.least(F.length("term"), F.lit(3))
-    each = own.select("term", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("term") - size + 1), lambda i: F.substring("term", i, size)))).alias("gram"))
-    anchors = each.join(each.groupBy("gram").agg(F.count(F.lit(1)).alias("n")), "gram").groupBy("term").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
-    sizes = sorted(r[0] for r in own.select(size.alias("n")).distinct().collect())  # at most three
-    if not sizes:
+    return df.withColumn(out, dictionary.scrubbed(df.sparkSession, F.col(text_col).cast("string"), pairs if ordered is None else ordered))
+
+
+def residual_counts(df: DataFrame, terms: DataFrame, text_col: str = "text", term_col: str = "term") -> DataFrame:
+    """``term, n_lines``: how many lines still hold each term. One pass of automata over the texts; only terms that a text holds become rows."""
+    own = terms.select(F.col(term_col).cast("string").alias("term")).where("length(term) > 0").distinct()
+    counts = keywords.lines_with(df.sparkSession, F.col(text_col).cast("string"), own.select(F.col("term").alias("keyword"), F.lit(0).alias("idx")))
+    found = None
+    for c in counts:
+        one = df.select(F.explode_outer(c).alias("x")).where("x is not null").groupBy("x.term").agg(F.sum("x.n").alias("n_lines"))
+        found = one if found is None else found.unionByName(one)  # a term is in one automaton
+    if found is None:
         return own.withColumn("n_lines", F.lit(0).cast("long"))
-    grams = F.array_distinct(F.concat(*(F.regexp_extract_all("line", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in sizes)))
-    few = own.limit(small + 1).count() <= small
-    held = lines_of(df, id_col, text_col).select("line", F.explode(grams).alias("gram")).join(F.broadcast(anchors) if few else anchors, "gram").where(F.contains("line", "term"))
-    counts = held.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    return own.join(counts, "term", "left").select("term", F.coalesce("n", F.lit(0)).cast("long").alias("n_lines"))
+    return own.join(found, "term", "left").select("term", F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"))

@@ -10,7 +10,9 @@ twice counts at its first place; texts are read whole; an empty table gives no r
 
 from __future__ import annotations
 
+import re
 import uuid
+from bisect import bisect_left
 from collections.abc import Sequence
 from functools import lru_cache
 
@@ -24,6 +26,7 @@ from lacuna.functions.spans import free
 
 HIT = "array<struct<s:int,e:int,v:string,i:int,q:int>>"
 FIELDS = [pa.field("s", pa.int32()), pa.field("e", pa.int32()), pa.field("v", pa.string()), pa.field("i", pa.int32()), pa.field("q", pa.int32())]
+LINES = [pa.field("term", pa.string()), pa.field("n", pa.int32())]
 #: Code points of keywords in one automaton, some 50 bytes of memory each at most.
 BLOCK = 4_000_000
 
@@ -50,8 +53,18 @@ def occurrences(words: ahocorasick.Automaton, text: str) -> list[tuple[int, int,
     return out
 
 
-def blocks(spark: SparkSession, keywords: Sequence[str] | DataFrame) -> list[list[tuple[int, str]]]:
-    """(index, keyword) lists of at most some BLOCK code points. A table has the columns ``keyword`` and ``idx``, their order (several may share one); only a block at a time is made of it."""
+def lines_of(words: ahocorasick.Automaton, text: str) -> list[tuple[str, int]]:
+    """Each keyword of the text, and on how many of its lines it stands."""
+    ends = [m.start() for m in re.finditer("\n", text)]
+    lines: dict[str, set[int]] = {}
+    for at, (_, word) in words.iter(text):
+        if "\n" not in word:
+            lines.setdefault(word, set()).add(bisect_left(ends, at))
+    return [(w, len(n)) for w, n in lines.items()]
+
+
+def blocks(spark: SparkSession, keywords: Sequence[str] | DataFrame, blank: bool = False) -> list[list[tuple[int, str]]]:
+    """(index, keyword) lists of at most some BLOCK code points. A table has the columns ``keyword`` and ``idx``, their order (several may share one); only a block at a time is made of it; its blank keywords count if ``blank``."""
     if not isinstance(keywords, DataFrame):
         out, size = [[]], 0
         for i, k in enumerate(dict.fromkeys(k for k in keywords if k and k.strip())):
@@ -61,7 +74,7 @@ def blocks(spark: SparkSession, keywords: Sequence[str] | DataFrame) -> list[lis
             size += len(k)
         return [x for x in out if x]
     word = F.col("keyword").cast("string")
-    own = keywords.where(F.length(F.trim(word)) > 0).groupBy(word.alias("keyword")).agg(F.min(F.col("idx").cast("int")).alias("idx"))
+    own = keywords.where(F.length(word if blank else F.trim(word)) > 0).groupBy(word.alias("keyword")).agg(F.min(F.col("idx").cast("int")).alias("idx"))
     n = -(-(own.agg(F.sum(F.length("keyword"))).first()[0] or 0) // BLOCK)
     parts = (own.where(F.pmod(F.xxhash64("keyword"), F.lit(n)) == k) for k in range(n))
     return [x for x in ([(r["idx"], r["keyword"]) for r in p.collect()] for p in parts) if x]
@@ -72,6 +85,29 @@ def hits(spark: SparkSession, text: Column, keywords: Sequence[str] | DataFrame)
     return [_hits(spark.sparkContext.broadcast(b), uuid.uuid4().hex)(text) for b in blocks(spark, keywords)]
 
 
+def lines_with(spark: SparkSession, text: Column, keywords: DataFrame) -> list[Column]:
+    """For each block of the keywords ``array<struct<term, n>>``: those that a text holds, and on how many of its lines. Keywords over several lines are on none."""
+    return [_lines(spark.sparkContext.broadcast(b), uuid.uuid4().hex)(text) for b in blocks(spark, keywords, blank=True)]
+
+
+def counted(texts: pa.Array, shared: Broadcast, key: str) -> pa.Array:
+    _given.setdefault(key, shared)
+    words, ends, rows = automaton(key), [0], []
+    for text in texts:
+        rows += lines_of(words, text.as_py() or "")
+        ends.append(len(rows))
+    columns = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 2, LINES, strict=True)]
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, fields=LINES))
+
+
+def _lines(shared: Broadcast, key: str):
+    def of(texts):
+        return counted(texts, shared, key)
+
+    of.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    return F.arrow_udf(of, "array<struct<term:string,n:int>>")
+
+
 def found(texts: pa.Array, shared: Broadcast, key: str) -> pa.Array:
     """The hits of a batch of texts."""
     _given.setdefault(key, shared)

@@ -495,6 +495,15 @@ def dictionary_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gate.apply_dictionary(docs(spark, sf_dir), PAIRS).select("doc_id", F.md5(F.col("scrubbed").cast("binary")).alias("digest"))
 
 
+@query("""WITH k AS (SELECT list(w ORDER BY length(w) DESC, w) AS ws FROM (SELECT DISTINCT w FROM (SELECT unnest(string_split_regex(text, '[^A-Za-z]+')) AS w FROM benchmark) WHERE length(w) >= 10))
+SELECT doc_id, md5(CASE WHEN text IS NOT NULL THEN list_reduce(list_prepend(text, ws), lambda acc, w: replace(acc, w, '[' || left(w, 2) || ']')) END) AS digest FROM documents, k""")
+def dictionary_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dictionary made from the benchmark's long words, in one pass over all documents."""
+    words = read(spark, sf_dir, "benchmark").select(F.explode(F.split("text", "[^A-Za-z]+")).alias("from")).where(F.length("from") >= 10).distinct()
+    pairs = words.select("from", F.concat(F.lit("["), F.substring("from", 1, 2), F.lit("]")).alias("to"))
+    return gate.apply_dictionary(docs(spark, sf_dir), pairs).select("doc_id", F.md5(F.col("scrubbed").cast("binary")).alias("digest"))
+
+
 @query(f"WITH t AS (SELECT DISTINCT list_aggregate(string_split(text, ' ')[2:3], 'string_agg', ' ') AS term FROM benchmark) SELECT term, count(line) AS n_lines FROM t LEFT JOIN ({_LINES.format('documents')}) ON contains(line, term) WHERE length(term) > 0 GROUP BY term")
 def dictionary_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms = read(spark, sf_dir, "benchmark").select(F.array_join(F.slice(F.split("text", " "), 2, 2), " ").alias("term"))
