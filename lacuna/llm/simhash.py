@@ -233,7 +233,7 @@ def shingle_sketch(text: str | None, width: int = 5, size: int = 128) -> list[in
     """The least hashes of the different word shingles, ascending: of two such lists follows the shingles' overlap."""
     words = (text or "").encode().lower().split()
     n = max(1, len(words) - width + 1) if words else 0
-    hashes = np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + width]), 7) for i in range(n)), np.uint64, n).view(np.int64))
+    hashes = np.unique(np.fromiter((xxhash.xxh32_intdigest(b" ".join(words[i : i + width]), 7) for i in range(n)), np.uint32, n).view(np.int32))
     return hashes[:size].tolist()
 
 
@@ -254,7 +254,7 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
 
-    @F.pandas_udf("fp long, sketch array<long>")
+    @F.pandas_udf("fp long, sketch array<int>")
     def of(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame({"fp": [fingerprint_of(t, width) for t in texts], "sketch": [shingle_sketch(t) for t in texts]})
 
@@ -263,12 +263,16 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own = written(own.select("h", "doc_id", "x.fp", "x.sketch"), "texts")
     found = classes(own.select("fp").distinct(), max_bits, hot=hot)
     close = own.join(found.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    groups = close.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("root")
+    close = written(close.join(groups, "root").select("h", "doc_id", "root", "sketch"), "close")
     # of each key the least of the sketch's hashes as mixed with its number; all of a group share key 0
     keys = F.array(*(F.struct(F.lit(i).alias("i"), (F.array_min(F.transform("sketch", lambda x: F.xxhash64(x, F.lit(i)))) if i else F.lit(0).cast("long")).alias("key")) for i in range(n_keys + 1)))  # noqa: B023
-    each = written(close.select("h", "doc_id", "root", "sketch", F.explode(keys).alias("k")).select("h", "doc_id", "root", "sketch", "k.i", "k.key"), "sketches")
+    each = close.select("h", "doc_id", "root", F.explode(keys).alias("k")).select("h", "doc_id", "root", "k.i", "k.key")
     least = lambda v: F.min_by(v, F.struct(F.col("doc_id").isNull(), "doc_id", "h"))
-    first = each.groupBy("root", "i", "key").agg(least(F.struct("h", "sketch")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    both = each.join(written(first, "leaders"), ["root", "i", "key"]).where((F.col("h") != F.col("first.h")) & (overlap_of(F.col("sketch"), F.col("first.sketch")) >= overlap))
-    families = written(components(both.select(F.col("h").alias("a"), F.col("first.h").alias("b")).distinct()), "families")
+    first = written(each.groupBy("root", "i", "key").agg(least("h").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "leaders")
+    pairs = written(each.join(first, ["root", "i", "key"]).where(F.col("h") != F.col("first")).select("h", "first").distinct(), "compared")
+    both = pairs.join(close.select("h", "sketch"), "h").join(close.select(F.col("h").alias("first"), F.col("sketch").alias("other")), "first")
+    alike = both.where(overlap_of(F.col("sketch"), F.col("other")) >= overlap).select(F.col("h").alias("a"), F.col("first").alias("b"))
+    families = written(components(alike), "families")
     named = own.select("h", "doc_id").join(families.select(F.col("node").alias("h"), "root"), "h", "left").withColumn("root", F.coalesce("root", "h"))
     return named.groupBy("root").agg(least(F.struct("doc_id", "h")).alias("x")).select("x.doc_id", "x.h")

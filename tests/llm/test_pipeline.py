@@ -97,6 +97,6 @@ def test_sketches_give_the_overlap(spark):
         base = [f"w{rng.randrange(9)}" for _ in range(rng.randrange(60))]
         cases.append((" ".join(base), " ".join(w if rng.random() < 0.97 else "x" for w in base)))
     shingles = lambda t: {tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} if t.split() else set()
-    df = spark.createDataFrame([(simhash.shingle_sketch(a), simhash.shingle_sketch(b)) for a, b in cases], "a array<long>, b array<long>")
+    df = spark.createDataFrame([(simhash.shingle_sketch(a), simhash.shingle_sketch(b)) for a, b in cases], "a array<int>, b array<int>")
     got = [r[0] for r in df.select(simhash.overlap_of(df["a"], df["b"])).collect()]
     assert all(abs(x - (len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b)) if shingles(a) | shingles(b) else 1)) < 1e-9 for x, (a, b) in zip(got, cases, strict=True))
