@@ -8,8 +8,9 @@ names.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from lacuna.functions.spans import free
 
@@ -18,10 +19,15 @@ STATES = ("active", "restored", "deleted")
 MARK = r"(_脱敏)?\.[^.]+$"
 
 
-def build_records(df: DataFrame, id_col: str = "doc_id", name_col: str = "file_name", format_col: str = "format") -> DataFrame:
-    """One active record per redacted document. Write the result once: ids and times are new on every run."""
+def _new_id(run: str | None, *parts: str) -> Column:
+    """A random id, or with a run's name one that is the same whenever the run is repeated."""
+    return F.expr("uuid()") if run is None else F.sha2(F.concat_ws("\x1f", F.lit(run), *(F.coalesce(F.col(c).cast("string"), F.lit("\x1e")) for c in parts)), 256)
+
+
+def build_records(df: DataFrame, id_col: str = "doc_id", name_col: str = "file_name", format_col: str = "format", run: str | None = None) -> DataFrame:
+    """One active record per redacted document. Without a ``run`` ids are new each time, so write the result once; with one a repeated run makes the same ids, for ``append_new``."""
     return df.select(
-        F.expr("uuid()").alias("id"), F.col(id_col).alias("file_id"), F.sha2(F.col("text"), 256).alias("file_hash"), F.col(name_col).alias("file_name"), F.col(format_col).alias("file_type"),
+        _new_id(run, id_col, name_col, "text").alias("id"), F.col(id_col).alias("file_id"), F.sha2(F.col("text"), 256).alias("file_hash"), F.col(name_col).alias("file_name"), F.col(format_col).alias("file_type"),
         F.current_timestamp().alias("created_at"), F.col("data").alias("mapping_table"), F.col("salt").alias("key_salt"), F.col("iv"), F.sha2(F.col("redacted_text"), 256).alias("redacted_hash"), F.lit("active").alias("status"),
     )
 
@@ -32,6 +38,44 @@ def append(df: DataFrame, path: str, by: str | None = "status") -> None:
     (writer.partitionBy(by) if by else writer).parquet(path)
 
 
+def in_buckets(df: DataFrame, key: str, n_buckets: int) -> DataFrame:
+    return df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(n_buckets)).cast("int"))
+
+
+def _stored(spark: SparkSession, path: str, schema: StructType, buckets: list[int]) -> DataFrame | None:
+    """The given buckets of a table, or None if there is no table yet."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return None
+    return spark.read.schema(schema).parquet(path).where(F.col("bucket").isin(buckets))
+
+
+def append_new(df: DataFrame, path: str, key: str = "id", n_buckets: int = 64) -> None:
+    """Appends the rows whose key the table doesn't have, one for each key, to the buckets of their keys: a job that is run again adds nothing.
+
+    Only the keys of the buckets that get rows are read.
+    """
+    own = in_buckets(df.dropDuplicates([key]), key, n_buckets)
+    touched = [r[0] for r in own.select("bucket").distinct().collect()]  # n_buckets at most
+    there = _stored(df.sparkSession, path, own.schema, touched)
+    if there is not None:
+        own = own.join(there.select(key), key, "left_anti").select(*own.columns)
+    own.write.mode("append").partitionBy("bucket").parquet(path)
+
+
+def update_stored(updates: DataFrame, path: str, schema: StructType, n_buckets: int = 64) -> list[int]:
+    """New states by ``updates(id, status)`` in a table of ``append_new``: the buckets of their ids alone are read and written again. Run again, it changes nothing. Returns these buckets."""
+    spark = updates.sparkSession
+    touched = sorted(r[0] for r in in_buckets(updates.where("id is not null and status is not null"), "id", n_buckets).select("bucket").distinct().collect())
+    whole = StructType([*(f for f in schema if f.name != "bucket"), StructField("bucket", IntegerType())])
+    there = _stored(spark, path, whole, touched) if touched else None
+    if there is None:
+        return []
+    # a bucket's files are replaced only when all of its new ones are written
+    update_status(there, updates).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    return touched
+
+
 def list_records(records: DataFrame, status: str | None = None) -> DataFrame:
     """All records, the newest first; with a status that status alone, in no order."""
     return records.orderBy(F.desc("created_at")) if status is None else records.where(F.col("status") == status)
@@ -66,30 +110,41 @@ def _grams(name: Column, size: int) -> Column:
     return F.array_distinct(F.concat(F.array(F.lit("")), *(of(n) for n in range(1, size + 1))))
 
 
-def _held(short: DataFrame, a: str, wide: DataFrame, b: str, size: int) -> DataFrame:
-    """Pairs of rows of which the name ``a`` stands within the name ``b``: they meet by that substring of ``a`` that the fewest names ``b`` have, so common beginnings make no pairs."""
+def _within(short: DataFrame, a: str, wide: DataFrame, b: str) -> DataFrame:
+    """Pairs of rows of which the name ``a`` stands within the name ``b``, by equality: each ``b`` gives its substrings of the lengths that names ``a`` have. Only true pairs are ever made."""
+    sizes = [r[0] for r in short.select(F.length(a)).distinct().collect()]  # lengths of names
+    of = lambda n: F.when(F.length(b) >= n, F.transform(F.sequence(F.lit(1), F.length(b) - (n - 1)), lambda i: F.substring(b, i, F.lit(n))) if n else F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    parts = F.array_distinct(F.concat(F.array().cast("array<string>"), *(of(n) for n in sorted(sizes))))
+    return short.join(wide.withColumn("g", F.explode(parts)), F.col(a) == F.col("g")).drop("g")
+
+
+def _held(short: DataFrame, a: str, wide: DataFrame, b: str, size: int, many: int) -> DataFrame:
+    """Pairs of rows of which the name ``a`` stands within the name ``b``: they meet by that substring of ``a`` of up to
+    ``size`` characters that the fewest names ``b`` have. Names of which even that stands in more than ``many`` names, so that
+    they would meet as a product, are sought whole."""
     held = wide.withColumn("g", F.explode(_grams(F.col(b), size)))
     counts = held.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
     n = F.least(F.length(a), F.lit(size))
     own = F.transform(F.sequence(F.lit(1), F.greatest(F.length(a) - n + 1, F.lit(1))), lambda i: F.substring(F.col(a), i, n))
     each = short.select(a, F.explode(F.array_distinct(own)).alias("g")).distinct()
-    rarest = each.join(counts, "g", "left").groupBy(a).agg(F.min_by("g", F.struct(F.coalesce("n", F.lit(0)), "g")).alias("g"))
-    return short.join(rarest, a).join(held, "g").where(F.contains(b, a)).drop("g")
+    rarest = each.join(counts, "g", "left").groupBy(a).agg(F.min_by(F.struct("g", F.coalesce("n", F.lit(0)).alias("n")), F.struct(F.coalesce("n", F.lit(0)), "g")).alias("x")).select(a, "x.g", "x.n")
+    few = short.join(rarest.where(F.col("n") <= many).drop("n"), a).join(held, "g").where(F.contains(b, a)).drop("g")
+    return few.unionByName(_within(short.join(rarest.where(F.col("n") > many).select(a), a), a, wide, b))
 
 
-def match_records(files: DataFrame, records: DataFrame, size: int = 3) -> DataFrame:
+def match_records(files: DataFrame, records: DataFrame, size: int = 3, many: int = 1000) -> DataFrame:
     """``file_name, id, record_name, n_matches`` for every file: active records whose bare name holds the file's, or is held by it."""
     f = files.select("file_name", stem(F.col("file_name")).alias("f")).where("f is not null").distinct()
     r = records.where(F.col("status") == "active").select("id", F.col("file_name").alias("record_name"), stem(F.col("file_name")).alias("r")).where("r is not null").distinct()
-    pairs = _held(r, "r", f, "f", size).select("file_name", "id", "record_name").unionByName(_held(f, "f", r, "r", size).select("file_name", "id", "record_name")).distinct()
+    pairs = _held(r, "r", f, "f", size, many).select("file_name", "id", "record_name").unionByName(_held(f, "f", r, "r", size, many).select("file_name", "id", "record_name")).distinct()
     n = F.count("id").over(Window.partitionBy("file_name"))
     return files.select("file_name").distinct().join(pairs, "file_name", "left").withColumn("n_matches", n)
 
 
-def build_audit(df: DataFrame, action: str, id_col: str = "file_id", hash_col: str = "file_hash", n_col: str = "n_matches") -> DataFrame:
-    """One audit row per document: ``id, timestamp, action, file_id, file_hash, details``."""
+def build_audit(df: DataFrame, action: str, id_col: str = "file_id", hash_col: str = "file_hash", n_col: str = "n_matches", run: str | None = None) -> DataFrame:
+    """One audit row per document: ``id, timestamp, action, file_id, file_hash, details``; ids as in ``build_records``."""
     details = F.create_map(F.lit("matchCount"), F.col(n_col).cast("string"))
-    return df.select(F.expr("uuid()").alias("id"), F.current_timestamp().alias("timestamp"), F.lit(action).alias("action"), F.col(id_col).alias("file_id"), F.col(hash_col).alias("file_hash"), details.alias("details"))
+    return df.select(_new_id(None if run is None else f"{run}\x1f{action}", id_col, hash_col).alias("id"), F.current_timestamp().alias("timestamp"), F.lit(action).alias("action"), F.col(id_col).alias("file_id"), F.col(hash_col).alias("file_hash"), details.alias("details"))
 
 
 def query_audit(log: DataFrame, file_id: object = None, action: str | None = None, limit: int = 100, tie: str = "id") -> DataFrame:
