@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,26 +48,35 @@ def pieces(batch: pa.RecordBatch, column: str, limit: int = 6_000_000) -> Iterat
         at = to
 
 
-_made: list[str] = []
+class _Made(threading.local):
+    """The folders that this thread has written: jobs that run at once in one driver don't see each other's."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+
+_made = _Made()
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
-    """Cuts the lineage: writes df to the shared folder and reads it back. The folder stays until ``clear``."""
+    """Cuts the lineage: writes df to the shared folder and reads it back. The folder stays until ``clear``, or the driver's orderly end."""
     spark = df.sparkSession
     path = shared_folder(spark, what)
     df.write.parquet(path)
-    _made.append(path)
+    _made.paths.append(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def mark() -> int:
-    """How many folders this process has written so far."""
-    return len(_made)
+    """How many folders this thread has written so far."""
+    return len(_made.paths)
 
 
 def clear(spark: SparkSession, since: int, keep: int = 1) -> None:
     """Removes the folders written since a mark but for the last ones; what still reads them must be done."""
-    for path in _made[since : len(_made) - keep]:
+    for path in _made.paths[since : len(_made.paths) - keep]:
         folder = spark._jvm.org.apache.hadoop.fs.Path(path)
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-    del _made[since : len(_made) - keep]
+    del _made.paths[since : len(_made.paths) - keep]
