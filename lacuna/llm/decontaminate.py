@@ -8,8 +8,10 @@ stand against equal values of the text, else the windows of its template go, and
 least ``coverage`` of the item's windows; so re-parameterised questions are caught, and loose likeness is not.
 
 The keys of the benchmark are broadcast in blocks of at most ``block_keys``, each a pass over the texts (which are then
-written first, so that all passes see the same rows); one block holds a benchmark of millions of words. Equal items are
-one class. Hits, which are few, are written to the shared folder; a text's repeats of a window count once, and meet each
+written first, so that all passes see the same rows); one block holds a benchmark of millions of words. Items of one form
+(the same words and placeholders, and equal values in the same places) are one class, known by its least id
+(``item_classes`` lists the members): a text meets a template once, however many items are made from it. Windows as they
+stand in any member count for the class. Hits, which are few, are written to the shared folder; a text's repeats of a window count once, and meet each
 window's items as one list.
 
 Defined cases: null texts have no words and null items never match; an item of fewer than ``width`` words matches where
@@ -21,6 +23,7 @@ texts; other columns are ignored; null item ids are left out of the lists.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -128,23 +131,52 @@ def window_rows(texts: pa.Array, width: int, wanted: Wanted | None = None) -> tu
     return row, start - begin[row], key.view(np.int64), values, n, counts
 
 
+def forms(row: np.ndarray, pos: np.ndarray, key: np.ndarray, values: list, counts: np.ndarray, n: int) -> tuple[np.ndarray, list]:
+    """The form of each of n items, and all windows' slot values as numbers: of items with one form the same words and
+    placeholders stand in the same places, and equal values where the others' are equal."""
+    form, numbers, names = hashlib.blake2b, [[] for _ in values], [{} for _ in range(n)]
+    read: list[dict] = [{} for _ in range(n)]
+    for i in sorted(range(len(values)), key=lambda i: (row[i], pos[i], -len(values[i]))):  # of a place the window with most slots first
+        own = names[row[i]]
+        numbers[i] = [str(own.setdefault(v, len(own))) for v in values[i]]
+        read[row[i]].setdefault(bool(counts[i]), {}).setdefault(int(pos[i]), (int(key[i]), numbers[i]))
+    chosen = [sorted((x.get(True) or x.get(False) or {}).items()) for x in read]
+    return np.array([int.from_bytes(form(repr(x).encode(), digest_size=8).digest(), "little", signed=True) for x in chosen], np.int64), numbers
+
+
 def item_windows(items: DataFrame, item_col: str, text_col: str, width: int) -> DataFrame:
-    """``class, item, key, pos, slots, words, total``: each class of equal items is one item, its least id."""
+    """``class, item, key, pos, slots, words, total``: items of one form are one class, known by its least id; ``slots`` are numbers of values."""
     kind = dict(items.dtypes)[item_col]
     slots = pa.list_(pa.string())
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (part for whole in batches for part in pieces(whole, "text", 2_000_000)):
             row, pos, key, values, n, counts = window_rows(b["text"], width)
-            at = pa.array(row)
-            yield pa.RecordBatch.from_arrays([b["class"].take(at), b["item"].take(at), pa.array(pos, pa.int64()), pa.array(key), pa.array(values, slots), pa.array(n), pa.array(counts)], names=["class", "item", "pos", "key", "slots", "words", "counts"])
+            form, numbers = forms(row, pos, key, values, counts, b.num_rows)
+            yield pa.RecordBatch.from_arrays([pa.array(form[row]), b["item"].take(pa.array(row)), pa.array(pos, pa.int64()), pa.array(key), pa.array(numbers, slots), pa.array(n), pa.array(counts)], names=["class", "item", "pos", "key", "slots", "words", "counts"])
 
     own = items.select(F.col(item_col).alias("item"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where("item is not null")
-    own = own.groupBy("text").agg(F.min("item").alias("item")).select(F.xxhash64("text").alias("class"), "item", "text")
+    own = own.groupBy("text").agg(F.min("item").alias("item")).select("item", "text")
     rows = written(own.mapInArrow(of, f"class long, item {kind}, pos long, key long, slots array<string>, words long, counts boolean"), "item_windows")
-    best = rows.groupBy("class").agg(F.max("counts").alias("any"))
-    rows = rows.join(best, "class").where(F.col("counts") | ~F.col("any"))
-    return rows.join(rows.groupBy("class").agg(F.count_distinct("pos").alias("total")), "class").drop("counts", "any")
+    best = rows.groupBy("class").agg(F.max("counts").alias("any"), F.min("item").alias("item"))
+    rows = rows.drop("item").join(best, "class").where(F.col("counts") | ~F.col("any")).drop("counts", "any").distinct()
+    return rows.join(rows.groupBy("class").agg(F.count_distinct("pos").alias("total")), "class")
+
+
+def item_classes(items: DataFrame, item_col: str = "item_id", text_col: str = "text", width: int = 5) -> DataFrame:
+    """``item_id, class_id``: the class of each item that has words, known by its least id: what ``item_ids`` of a result stand for."""
+    kind = dict(items.dtypes)[item_col]
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (part for whole in batches for part in pieces(whole, "text", 2_000_000)):
+            row, pos, key, values, _, counts = window_rows(b["text"], width)
+            form, _ = forms(row, pos, key, values, counts, b.num_rows)
+            some = np.unique(row)
+            yield pa.RecordBatch.from_arrays([b["item"].take(pa.array(some)), pa.array(form[some])], names=["item_id", "class"])
+
+    own = items.select(F.col(item_col).alias("item"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where("item is not null")
+    formed = own.mapInArrow(of, f"item_id {kind}, class long")
+    return formed.join(formed.groupBy("class").agg(F.min("item_id").alias("class_id")), "class").select("item_id", "class_id").distinct()
 
 
 def hits(docs: DataFrame, keys: np.ndarray, short: dict[int, np.ndarray], width: int) -> DataFrame:
@@ -167,7 +199,7 @@ def hits(docs: DataFrame, keys: np.ndarray, short: dict[int, np.ndarray], width:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 5, coverage: float = 0.8, block_keys: int = 2_000_000) -> DataFrame:
-    """One row for each input row: ``doc_id, contaminated, n_items, item_ids`` (sorted), ``covered`` (the largest share of an item)."""
+    """One row for each input row: ``doc_id, contaminated, n_items, item_ids`` (of classes, sorted), ``covered`` (the largest share of an item)."""
     wanted = written(item_windows(items, item_col, item_text_col, width), "windows")
     texts = keyed(docs, id_col, text_col).select("uid", "doc_id", "text")
     distinct = wanted.select("key", "words").distinct()

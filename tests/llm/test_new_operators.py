@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lacuna.llm import conversations, hard_negatives, toxicity
+from lacuna.llm import conversations, decontaminate, hard_negatives, toxicity
 from lacuna.llm.queries import damaged
 
 # 11
@@ -227,3 +227,54 @@ def test_hard_negatives_of_odd_tables(spark):
     assert sorted(rows) == [(100, 7, 1, 8), (100, 7, 1, 8)]  # equal anchors count once, each of two equal positives takes a place
     assert hard_negatives.hard_negatives(df.limit(0), F.lit(True)).count() == 0
     assert hard_negatives.hard_negatives(df, F.lit(None).cast("boolean")).count() == 0
+
+
+# 10: classes of templates
+
+
+def test_template_classes_by_all_pairs(spark):
+    """Coverage and slot consistency of every text with every item, by their windows alone."""
+    rng = random.Random(17)
+    said = "the a of market river buys sells gives apples pears boats old red".split()
+    slot = lambda: rng.choice(["5", "7", "12", "Anna", "Tom", "McKay"])
+    shapes = [[rng.choice(said) if rng.random() < 0.7 else None for _ in range(rng.randrange(7, 16))] for _ in range(6)]
+    filled = lambda shape: "and " + " ".join(w or slot() for w in shape)
+    items = [(i, filled(rng.choice(shapes))) for i in range(40)]
+    docs = [(i, " ".join(filled(rng.choice(shapes)) if rng.random() < 0.7 else " ".join(rng.choice(said) for _ in range(9)) for _ in range(rng.randrange(1, 3)))) for i in range(80)]
+    windows = lambda text: [(int(p), int(k), v, bool(c)) for _, p, k, v, _, c in zip(*decontaminate.window_rows(pa.array([text]), 5), strict=True)]
+    read = {i: windows(t) for i, t in items}
+    read = {i: [w for w in ws if w[3] or not any(x[3] for x in ws)] for i, ws in read.items()}
+
+    def covered(doc, item):
+        places = {p for p, k, v, _ in item if not v for q, l, u, _ in doc if not u and k == l}
+        ways = {}
+        for p, k, v, _ in item:
+            for q, l, u, _ in doc:
+                if v and u and k == l:
+                    ways.setdefault(q - p, []).append((p, set(zip(v, u, strict=True))))
+        for own in ways.values():
+            pairs = set().union(*(x for _, x in own))
+            if len(pairs) == len({a for a, _ in pairs}):
+                places |= {p for p, _ in own}
+        return len(places) / len({p for p, *_ in item})
+
+    class_of = {r["item_id"]: r["class_id"] for r in decontaminate.item_classes(spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert set(class_of) == {i for i, ws in read.items() if ws} and len(set(class_of.values())) < len(items)
+    got = {r["doc_id"]: r for r in decontaminate.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    for i, text in docs:
+        doc = windows(text)
+        want = {class_of[j] for j, item in read.items() if item and covered(doc, item) >= 0.8}
+        assert want <= set(got[i]["item_ids"])  # a class may take windows as they stand from several members
+        assert len(set(got[i]["item_ids"]) - want) <= 1 and got[i]["n_items"] == len(got[i]["item_ids"])
+
+
+def test_a_template_meets_a_text_once(spark):
+    item = lambda a, b, c: f"Well, {a} has {b} apples and gives {c} apples to {a} before the market by the old river opens again today."
+    items = spark.createDataFrame([(i, item(["Anna", "Tom", "Mia"][i % 3], 1000 + i, 3000 + i)) for i in range(400)] + [(500, item("Anna", 9, 9))], "item_id long, text string")
+    docs = spark.createDataFrame([(i, "Solve this: " + item("Peter", i, i + 1)) for i in range(300)], "doc_id long, text string")
+    windows = decontaminate.item_windows(items, "item_id", "text", 5)
+    assert windows.where(F.size("slots") > 0).count() == 2 * windows.where(F.size("slots") > 0).select("key", "pos").distinct().count()  # two classes: 9 and 9 are equal
+    rows = decontaminate.decontaminate(docs, items).collect()
+    assert all(r["contaminated"] and r["item_ids"] == [0] for r in rows)
+    members = decontaminate.item_classes(items).groupBy("class_id").count().collect()
+    assert {(r["class_id"], r["count"]) for r in members} == {(0, 400), (500, 1)}
