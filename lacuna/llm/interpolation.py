@@ -11,7 +11,8 @@ that range's counter, which adds up the blocks and returns to each the totals of
 Counters take at most ``fan`` blocks and ranges, which some 48 GB of text need: of a larger corpus, ``fan`` blocks at a
 time are merged, range by range, into one of the next level, whose ranges are finer, until one is left; totals go the same
 way back. So an n-gram crosses the network once for each block that has it, and level, however often it occurs; a frequent n-gram
-costs no more than a rare one, no block or range grows with the corpus, and the number of rows sent grows as it does.
+costs no more than a rare one, and no block or range grows with the corpus. Each block sends a row for each range: within
+one level their number grows with the square of the corpus (some 8 million small rows at 30 GB), from one level on as it does.
 
 Defined cases: a null text counts as empty (one end token); the crc32 of a null id is that of the empty text; repeated
 rows count as often as they occur, and fall into different blocks; other columns are ignored; an empty table gives no
