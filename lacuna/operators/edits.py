@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lacuna.operators.redact import restored
 from lacuna.operators.spans import meeting
 
 #: White space of any script but the line end.
@@ -101,5 +102,5 @@ def spread_over_runs(runs: DataFrame, edits: DataFrame, key: str = "doc_id") ->
     cut = F.struct((-F.greatest("e.start", "start")).alias("k"), (F.greatest("e.start", "start") - F.col("start")).alias("a"), (F.least("e.end", "end") - F.col("start")).alias("b"), shares(F.col("e.start"), F.col("e.end"), F.col("start"), F.col("end"), F.col("e.value")).alias("v"))
     cuts = meeting(runs.select(key, "idx", "start", "end").distinct(), edits, key, "e").groupBy(key, "idx").agg(F.array_sort(F.collect_list(cut)).alias("cuts"))
     one = runs.select(key, "idx", "text").join(cuts, [key, "idx"], "left").withColumn("cuts", F.coalesce("cuts", F.array()))
-    put = lambda acc, c: F.concat(F.substring(acc, F.lit(1), c["a"].cast("int")), c["v"], F.substring(acc, c["b"].cast("int") + 1, F.lit(2147483647)))
-    return one.select(key, "idx", F.aggregate("cuts", F.col("text"), put).alias("text"))
+    entries = F.transform("cuts", lambda c: F.struct(c["a"].alias("start"), c["b"].alias("end"), F.coalesce(c["v"], F.lit("")).alias("originalValue")))
+    return one.select(key, "idx", restored(F.col("text"), entries).alias("text"))
