@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lacuna.functions.rules import BUILTIN, LABELS, ORDER, custom_rule, rules_from
 from lacuna.operators import crypto, edits, gate, records, redact, search, spans, stretches
+from lacuna.operators.company import company_spans
 from lacuna.operators.detect import count_by_type, detect, exploded, type_report
 from lacuna.operators.keywords import keyword_matches
 from lacuna.plans.contracts import CONTRACTS, contracts, truth_sql
@@ -583,6 +584,39 @@ def detect_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exploded(detect(df, rules=[r for r in BUILTIN if r.type == "COMPANY"])).select("doc_id", "value", "start")
 
 
+#: Candidates made of parts by the digits of the order's key: what stands before the name, what goes with it, its form.
+_BEFORE = ("", "甲方为", "乙方", "经", "因", "同时", "但还", "为", "向", "关联公司", "中国", "（北方")
+_WITH = ("", "（中国）", "（", "省新华路", "及其", "所属", "应当", "履行", "连续", "十佳", "并", "数字")
+_FORMS = ("有限公司", "公司公司", "集团", "科技有限公司")
+_pick = lambda parts, key: f"CASE {key} % {len(parts)} " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(parts)) + " END"
+_CANDIDATES = f"""SELECT o_orderkey AS doc_id, concat(pre, name, own, form) AS value, pre, concat(name, own) AS rest, CASE form WHEN '公司公司' THEN '公司' ELSE form END AS form FROM (
+  SELECT o_orderkey, {_pick(_BEFORE, 'o_custkey')} AS pre, {_pick(_WITH, 'CAST(floor(o_orderkey / 4) AS INT)')} AS own, {_pick(_FORMS, 'o_orderkey')} AS form,
+    concat(substring('金木水火土日月星', CAST(o_orderkey % 8 AS INT) + 1, 1), substring('海山川江河湖', CAST(o_custkey % 6 AS INT) + 1, 1), substring('东西南北中远宏达', CAST(o_custkey % 8 AS INT) + 1, 1)) AS name
+  FROM orders)"""
+
+
+@query(f"""WITH c AS (SELECT *, CASE WHEN pre IN ('甲方为', '乙方', '经', '因') THEN length(pre) ELSE 0 END AS n_pre, concat(pre, rest) AS body FROM ({_CANDIDATES})),
+j AS (SELECT *, substr(body, n_pre + 1) AS kept FROM c),
+v AS (SELECT doc_id, n_pre, kept || form AS company, CASE
+  WHEN value LIKE '%关联公司%' THEN 'related'
+  WHEN length(replace(kept, '（', '')) <> length(replace(kept, '）', '')) THEN 'brackets'
+  WHEN regexp_matches(kept, '(省|市|区|县)[一-龥]{{1,10}}(路|街|道|巷|弄)') THEN 'street'
+  WHEN regexp_matches(kept, '及其|所属') THEN 'linked'
+  WHEN regexp_matches(kept, '^(同时|但还)') THEN 'adverb'
+  WHEN regexp_matches(kept, '应当|履行') THEN 'action'
+  WHEN regexp_matches(kept, '连续|十佳') THEN 'praise'
+  WHEN left(kept, 1) IN ('向', '并', '因', '经') OR right(kept, 1) IN ('并', '向') THEN 'narrative'
+  WHEN regexp_matches(kept || form, '^为[一-龥]{{0,4}}(集团|公司)$') THEN 'short'
+  WHEN regexp_matches(kept, '为[一-龥]{{0,4}}(集团|公司)$') THEN 'as'
+  WHEN regexp_matches(kept || form, '^为[一-龥]{{8,}}(公司|集团)') THEN 'as' END AS why FROM j)
+SELECT doc_id, company, CAST(n_pre AS INTEGER) AS start FROM v WHERE why IS NULL""")
+def company_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates from all orders through the filter: each drop step against its own predicate."""
+    read(spark, sf_dir, "orders").createOrReplaceTempView("orders")
+    df = spark.sql(_CANDIDATES).withColumn("x", F.explode_outer(company_spans(F.array("value"))[0])).where("x is not null")
+    return df.select("doc_id", F.substring("value", F.col("x.o") + 1, F.col("x.n")).alias("company"), F.col("x.o").alias("start"))
+
+
 @query(f"SELECT doc_id, 'MAIL' AS type, value, start FROM ({spans_sql('(?i)' + EMAIL)})")
 def detect_table_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules read from a table; one is switched off, one below the threshold."""
