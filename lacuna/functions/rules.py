@@ -1,4 +1,9 @@
-"""Detection rules: type, Java regex, weight; and the immutable set of them that a job runs with."""
+"""Detection rules: type, Java regex, weight; and the immutable set of them that a job runs with.
+
+Defined cases: a table's rows without a pattern are left out, its null types are CUSTOM, null weights 0.9, null switches on;
+rules that repeat each take part, the first of equal spans stays; an empty table gives no rules; a pattern that can't be
+compiled, or matches the empty string, is refused.
+"""
 
 from __future__ import annotations
 

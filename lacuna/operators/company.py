@@ -2,6 +2,9 @@
 
 It depends on the candidate's text alone, so it runs as one vectorized function over arrays of candidates, and rows
 without candidates cost nothing. Each step below either drops the candidate, shortens it or emits parts of it.
+
+Defined cases: a null array has no candidates, a null or empty candidate no parts; equal candidates have equal parts; a
+candidate of any length is read whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -117,7 +120,7 @@ def company_parts(value: str) -> Parts:
 
 
 def _of_rows(candidates: pd.Series) -> pd.Series:
-    return pd.Series([[[{"o": o, "n": n} for o, n in company_parts(v)] for v in (row if row is not None else ())] for row in candidates])
+    return pd.Series([[[{"o": o, "n": n} for o, n in company_parts(v or "")] for v in (row if row is not None else ())] for row in candidates])
 
 
 def company_spans(candidates: Column) -> Column:

@@ -1,4 +1,8 @@
-"""The same transforms on a stream: detection and redaction hold no state, so each micro-batch is a job of its own."""
+"""The same transforms on a stream: detection and redaction hold no state, so each micro-batch is a job of its own.
+
+Defined cases: those of detection and redaction, batch by batch: a null text counts as empty, repeated rows and ids stay
+apart, other columns stay; an empty stream gives no rows.
+"""
 
 from __future__ import annotations
 
