@@ -110,8 +110,8 @@ def planned(distinct: DataFrame, max_bits: int, sample_size: int) -> tuple[int,
     return n, plan(np.array([r["fp"] for r in sample], np.int64), n, max_bits)
 
 
-def sides(distinct: DataFrame, chosen: list[tuple[int, int]]) -> tuple[DataFrame, DataFrame]:
-    """``a, part, key``: the keys that each fingerprint probes; and ``b, part, key``: where each stands."""
+def sides(distinct: DataFrame, chosen: list[tuple[int, int]], *more: str) -> tuple[DataFrame, DataFrame]:
+    """``a, part, key``: the keys that each fingerprint probes; and ``b, part, key``: where each stands. More columns go with both, as ``a_...`` and ``b_...``."""
     fp = F.col("fp")
     index, probes = [], []
     for i, (mask, t) in enumerate(chosen):
@@ -120,9 +120,12 @@ def sides(distinct: DataFrame, chosen: list[tuple[int, int]]) -> tuple[DataFrame
         flips = [signed(sum(1 << b for b in chosen)) for k in range(t + 1) for chosen in combinations(bits, k)]
         index.append(F.struct(F.lit(i).alias("part"), own.alias("key")))
         probes.append(F.transform(F.array(*map(F.lit, flips)), probe(i, own)))
-    left = distinct.select(fp.alias("a"), F.explode(F.concat(*probes)).alias("p")).select("a", "p.part", "p.key")
-    right = distinct.select(fp.alias("b"), F.explode(F.array(*index)).alias("p")).select("b", "p.part", "p.key")
-    return left, right
+
+    def side(c: str, keys: Column) -> DataFrame:
+        names = [c, *(f"{c}_{m}" for m in more)]
+        return distinct.select(fp.alias(c), *(F.col(m).alias(f"{c}_{m}") for m in more), F.explode(keys).alias("p")).select(*names, "p.part", "p.key")
+
+    return side("a", F.concat(*probes)), side("b", F.array(*index))
 
 
 def apart() -> Column:
@@ -138,33 +141,46 @@ def links(distinct: DataFrame, max_bits: int = 4, sample_size: int = 4096) -> Da
 def classes(distinct: DataFrame, max_bits: int = 4, sample_size: int = 4096, hot: int = 256, n_leaders: int = 8) -> DataFrame:
     """``node, root``: the fingerprints that have links, and the least one of their component.
 
-    Fingerprints that stand close together share keys. Where more than ``hot`` (and sixteen times what chance gives) share
-    one, the links between them are not all made. Links of one bit, which take 64 probes each, and links to a few leaders
-    of each such key (those with the least hashes) join most of such a group first. What can still be linked are
-    pairs of different classes, and of these one at least is not of its key's most frequent class: so that class meets only the
-    others, not itself, by a second pigeonhole over the other bits, and gives links between classes.
+    Fingerprints that stand close together share keys, and the links between them are not all made. Links to a few leaders of
+    each key (those with the least hashes, the same ones in each key where they stand) join most of any such group first, and
+    no row of a key meets more than ``n_leaders`` others. What can still be linked are pairs of different classes: these are made, and no others.
+    Where more than ``hot`` (and sixteen times what chance gives) share a key, links of one bit, which take 64 probes each, join
+    them too, and of the pairs left one at least is not of its key's most frequent class: so that class meets only the
+    others, not itself, by a second pigeonhole over the other bits. No key's fingerprints go unasked.
     """
     n, chosen = planned(distinct, max_bits, sample_size)
-    left, right = sides(distinct, chosen)
-    near = (F.col("a") < F.col("b")) & (apart() <= max_bits)
+    right = sides(distinct, chosen)[1]
     least = F.get(F.array(*(F.lit(hot + 16.0 * n / 2 ** mask.bit_count()) for mask, _ in chosen)), F.col("part"))
-    large = written(right.groupBy("part", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least).select("part", "key"), "large_keys")
-    if not large.limit(1).count():
-        return components(left.join(right, ["part", "key"]).where(near).select("a", "b").distinct())
-    some = left.join(right.join(large, ["part", "key"], "left_anti"), ["part", "key"]).where(near).select("a", "b")
-    crowd = right.join(large, ["part", "key"], "left_semi")
-    flips = F.array(*(F.lit(signed(1 << b)) for b in range(64)))
-    beside = crowd.select("b").distinct().select(F.col("b").alias("a"), F.explode(F.transform(flips, lambda f: F.col("b").bitwiseXOR(f))).alias("b")).where("a < b")
-    single = beside.join(distinct.select(F.col("fp").alias("b")), "b", "left_semi").select("a", "b")
-    leaders = crowd.groupBy("part", "key").agg(F.array(*(F.min_by("b", F.xxhash64("b", F.lit(i))) for i in range(n_leaders))).alias("leaders"))
-    stars = crowd.join(leaders, ["part", "key"]).select("b", F.explode(F.filter(F.array_distinct("leaders"), lambda x: (x != F.col("b")) & (F.bit_count(x.bitwiseXOR(F.col("b"))) <= max_bits))).alias("a"))
+    leaders = F.array_distinct(F.array(*(F.min_by("b", F.xxhash64("b", F.lit(i))) for i in range(n_leaders))))
+    shared = right.groupBy("part", "key").agg(F.count(F.lit(1)).alias("n"), leaders.alias("leaders")).where("n > 1")
+    shared = written(shared.select("part", "key", (F.col("n") > least).alias("large"), "leaders"), "shared_keys")
+    close = F.filter("leaders", lambda x: (x != F.col("b")) & (F.bit_count(x.bitwiseXOR(F.col("b"))) <= max_bits))
+    stars = right.join(shared, ["part", "key"]).select("b", F.explode(close).alias("a"))
     stars = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    first = written(components(some.unionByName(single).unionByName(stars).distinct()), "first_classes")
-    root = lambda df, c: df.join(first.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")), c, "left").withColumn(f"{c}_root", F.coalesce(f"{c}_root", c))
-    crowd = written(root(crowd, "b"), "crowd")
+    large = shared.where("large").select("part", "key")
+    crowded = large.limit(1).count() > 0
+    if crowded:
+        flips = F.array(*(F.lit(signed(1 << b)) for b in range(64)))
+        beside = right.join(large, ["part", "key"], "left_semi").select("b").distinct()
+        beside = beside.select(F.col("b").alias("a"), F.explode(F.transform(flips, lambda f: F.col("b").bitwiseXOR(f))).alias("b")).where("a < b")
+        stars = stars.unionByName(beside.join(distinct.select(F.col("fp").alias("b")), "b", "left_semi").select("a", "b"))
+    first = written(components(stars.distinct()), "first_classes")
+    rooted = distinct.select("fp").join(first.select(F.col("node").alias("fp"), "root"), "fp", "left")
+    left, right = sides(written(rooted.withColumn("root", F.coalesce("root", "fp")), "rooted"), chosen, "root")
+    other = (apart() <= max_bits) & (F.col("a_root") != F.col("b_root"))
+    between = left.join(right.join(large, ["part", "key"], "left_anti") if crowded else right, ["part", "key"]).where((F.col("a") < F.col("b")) & other)
+    if crowded:
+        between = between.select("a_root", "b_root").unionByName(between_crowds(left, right.join(large, ["part", "key"], "left_semi"), chosen, max_bits).where(other).select("a_root", "b_root"))
+    linked = between.select(F.greatest("a_root", "b_root").alias("a"), F.least("a_root", "b_root").alias("b")).distinct()
+    return components(first.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(linked))
+
+
+def between_crowds(left: DataFrame, crowd: DataFrame, chosen: list[tuple[int, int]], max_bits: int) -> DataFrame:
+    """Of the crowded keys the pairs ``a, b`` with their roots that may be linked: alike in a part of the bits outside the key's, and not both of its most frequent class."""
+    crowd = written(crowd, "crowd")
     spread = crowd.groupBy("part", "key", "b_root").agg(F.count(F.lit(1)).alias("n")).groupBy("part", "key")
     spread = written(spread.agg(F.min("b_root").alias("low"), F.max("b_root").alias("high"), F.max_by("b_root", F.struct("n", "b_root")).alias("most")), "spread")
-    asking = root(left, "a").join(spread, ["part", "key"]).where((F.col("low") < F.col("high")) | (F.col("low") != F.col("a_root"))).withColumn("rest", F.col("a_root") == F.col("most")).drop("low", "high", "most")
+    asking = left.join(spread, ["part", "key"]).where((F.col("low") < F.col("high")) | (F.col("low") != F.col("a_root"))).withColumn("rest", F.col("a_root") == F.col("most")).drop("low", "high", "most")
     # asked of the most frequent class: only by others; by it: only the rest
     held = crowd.join(spread.select("part", "key", "most"), ["part", "key"])
     held = held.withColumn("rest", F.explode(F.when(F.col("b_root") == F.col("most"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True))))).drop("most")
@@ -178,9 +194,7 @@ def classes(distinct: DataFrame, max_bits: int = 4, sample_size: int = 4096, hot
             out = F.when(F.col("part") == i, own) if out is None else out.when(F.col("part") == i, own)
         return df.withColumn("s", F.explode(out)).select("*", "s.sub", "s.sub_key").drop("s")
 
-    between = finer(asking, "a").join(finer(held, "b"), ["part", "key", "rest", "sub", "sub_key"]).where((apart() <= max_bits) & (F.col("a_root") != F.col("b_root")))
-    linked = between.select(F.greatest("a_root", "b_root").alias("a"), F.least("a_root", "b_root").alias("b")).distinct()
-    return components(first.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(linked))
+    return finer(asking, "a").join(finer(held, "b"), ["part", "key", "rest", "sub", "sub_key"])
 
 
 def probe(part: int, own: Column):

@@ -100,3 +100,20 @@ def test_sketches_give_the_overlap(spark):
     df = spark.createDataFrame([(simhash.shingle_sketch(a), simhash.shingle_sketch(b)) for a, b in cases], "a array<int>, b array<int>")
     got = [r[0] for r in df.select(simhash.overlap_of(df["a"], df["b"])).collect()]
     assert all(abs(x - (len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b)) if shingles(a) | shingles(b) else 1)) < 1e-9 for x, (a, b) in zip(got, cases, strict=True))
+
+
+def test_links_of_a_family_below_the_crowds_are_not_all_made(spark, monkeypatch):
+    """300 fingerprints within nine bits of each other, in keys that count as no crowd: one class, from few links."""
+    rng = random.Random(16)
+    centre, made, written_as = rng.getrandbits(63), [], simhash.written
+
+    def counted(df, what):
+        out = written_as(df, what)
+        made.append(out.count() if what == "links" else 0)
+        return out
+
+    monkeypatch.setattr(simhash, "written", counted)
+    fps = sorted({centre ^ sum(1 << b for b in rng.sample(range(63), rng.randint(0, 4))) for _ in range(300)})
+    rows = simhash.classes(spark.createDataFrame([(f,) for f in fps], "fp long"), 9, hot=1000).collect()
+    assert len(rows) == len(fps) and {r["root"] for r in rows} == {fps[0]}
+    assert sum(made) < len(fps) * (len(fps) - 1) / 8
