@@ -17,6 +17,7 @@ smallest; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 from math import comb
 
@@ -261,10 +262,10 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """``doc_id, h``: of each group of near copies the row that stays, by its id and the ``xxhash64`` of its text.
 
     Fingerprints of word pairs within ``max_bits`` give the candidates' groups; within them texts are linked only if their
-    five-word shingles overlap (estimated from sketches, which for short texts are whole). A group's texts aren't compared
-    in pairs: they meet by ``n_keys`` least hashes of their sketches, and of those that share one each is compared with the
-    one of the least id. Links make families, of which the row with the least id stays; so a wrong candidate never loses a
-    text, and a group costs its rows, whatever its size.
+    five-word shingles overlap (estimated from sketches, which for short texts are whole). First they meet by ``n_keys``
+    least hashes of their sketches, and of those that share one each is compared with the one of the least id; that joins
+    most of each family, whatever its size. Then every pair of different families that can be alike is compared
+    (``between_families``), so no link between them is lost. Of each family the row with the least id stays.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
 
@@ -285,8 +286,52 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = lambda v: F.min_by(v, F.struct(F.col("doc_id").isNull(), "doc_id", "h"))
     first = written(each.groupBy("root", "i", "key").agg(least("h").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "leaders")
     pairs = written(each.join(first, ["root", "i", "key"]).where(F.col("h") != F.col("first")).select("h", "first").distinct(), "compared")
-    both = pairs.join(close.select("h", "sketch"), "h").join(close.select(F.col("h").alias("first"), F.col("sketch").alias("other")), "first")
-    alike = both.where(overlap_of(F.col("sketch"), F.col("other")) >= overlap).select(F.col("h").alias("a"), F.col("first").alias("b"))
-    families = written(components(alike), "families")
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(close.select("h", "sketch"), "h").join(close.select(F.col("h").alias("first"), F.col("sketch").alias("other")), "first")
+        return both.where(overlap_of(F.col("sketch"), F.col("other")) >= overlap).select(F.col("h").alias("a"), F.col("first").alias("b"))
+
+    found = written(components(alike(pairs)), "found")
+    family = close.join(found.select(F.col("node").alias("h"), F.col("root").alias("family")), "h", "left").withColumn("family", F.coalesce("family", "h"))
+    more = alike(written(between_families(written(family, "family"), overlap), "between"))
+    families = written(components(found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)), "families")
     named = own.select("h", "doc_id").join(families.select(F.col("node").alias("h"), "root"), "h", "left").withColumn("root", F.coalesce("root", "h"))
     return named.groupBy("root").agg(least(F.struct("doc_id", "h")).alias("x")).select("x.doc_id", "x.h")
+
+
+def between_families(rows: DataFrame, overlap: float, size: int = 128) -> DataFrame:
+    """``h, first``: all pairs of rows (``h, root, family, sketch``) of one root and different families whose sketches may overlap so far.
+
+    Two sketches with that overlap share so many hashes that those of each which come first, in any one order of all, have
+    one in common (prefix filter; the smaller sketch needs fewer). The order begins with a root's rarest ones, so what all of a
+    group have in common brings no pairs; a pair meets at the first hash it shares. Pairs that meet are held against
+    parities of their hashes, which differ in no more bits than there are hashes in one sketch alone. All of a pair's least hashes
+    up to ``size`` count for the overlap, so up to a sketch's ``sure`` one no more than ``size - sure`` may be in one sketch alone; that
+    is asked up to the ``bound`` of the root, of sketches that reach it. Every pair passes that has the overlap.
+    """
+    sure = math.ceil(size * overlap - 1e-6)
+    top = F.coalesce(F.try_element_at("sketch", F.lit(sure)), F.lit(2**31 - 1))
+    several = rows.groupBy("root").agg(F.min("family").alias("low"), F.max("family").alias("high"), F.percentile_approx(top, 0.03, 1000).alias("bound")).where("low < high").select("root", "bound")
+    # an empty sketch has one hash of its own, which no other has
+    hashes = F.when(F.size("sketch") == 0, F.array(F.lit(1 << 32))).otherwise(F.col("sketch").cast("array<bigint>"))
+    each = rows.join(several, "root").select("h", "root", "family", "bound", (top >= F.col("bound")).alias("reaches"), F.size(hashes).alias("size"), F.explode(hashes).alias("x"))
+    each = written(each, "hashes")
+    counts = each.groupBy("root", "x").agg(F.count(F.lit(1)).alias("n"), (F.min("family") < F.max("family")).alias("several"))
+    parity = lambda k, c: F.expr(f"bit_xor(if({c} and pmod(x, 8) = {k}, shiftleft(1L, cast(pmod(x div 8, 64) as int)), 0L))")
+    parities = [parity(k, c).alias(f"{name}{k}") for name, c in (("p", "true"), ("s", "x <= bound")) for k in range(8)]
+    ranked = each.join(counts, ["root", "x"]).groupBy("h", "root", "family", "size", "reaches").agg(F.array_sort(F.collect_list(F.struct("n", "x", "several"))).alias("order"), *parities)
+    n = F.col("size")
+    # shared hashes that a pair must have: of the larger sketch by itself, and of the smaller one with a partner of its size at least
+    large, small = n * overlap, F.least(n * (2 * overlap / (1 + overlap)), F.lit(size * overlap))
+    first = F.filter(F.slice("order", 1, (n - F.ceil(large - 1e-6) + 1).cast("int")), lambda k: k["several"])
+    own = ("h", "family", "size", "reaches", "prefix", *(f"{c}{k}" for c in "ps" for k in range(8)))
+    keys = ranked.withColumn("prefix", F.transform(first, lambda k: k["x"])).withColumn("few", F.transform(F.filter(F.slice("order", 1, (n - F.ceil(small - 1e-6) + 1).cast("int")), lambda k: k["several"]), lambda k: k["x"]))
+    keys = written(keys.select("root", "few", *own), "prefixes")
+    other = keys.select("root", F.explode("few").alias("x"), *(F.col(c).alias(f"other_{c}") for c in own))
+    both = n + F.col("other_size")
+    need = F.greatest(n * overlap, F.least(both * (overlap / (1 + overlap)), F.lit(size * overlap))) - 1e-6
+    differ = lambda c: sum(F.bit_count(F.col(f"{c}{k}").bitwiseXOR(F.col(f"other_{c}{k}"))) for k in range(8))
+    may = (F.col("family") != F.col("other_family")) & ((n > F.col("other_size")) | (n == F.col("other_size")) & (F.col("h") > F.col("other_h")))
+    may &= (F.col("other_size") >= need) & (differ("p") <= both - 2 * need) & (~F.col("reaches") | ~F.col("other_reaches") | (differ("s") <= size - sure))
+    may &= F.get(F.array_intersect("prefix", "other_prefix"), F.lit(0)) == F.col("x")
+    return keys.withColumn("x", F.explode("prefix")).join(other, ["root", "x"]).where(may).select("h", F.col("other_h").alias("first")).distinct()

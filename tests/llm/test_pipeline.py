@@ -117,3 +117,38 @@ def test_links_of_a_family_below_the_crowds_are_not_all_made(spark, monkeypatch)
     rows = simhash.classes(spark.createDataFrame([(f,) for f in fps], "fp long"), 9, hot=1000).collect()
     assert len(rows) == len(fps) and {r["root"] for r in rows} == {fps[0]}
     assert sum(made) < len(fps) * (len(fps) - 1) / 8
+
+
+def test_families_are_those_of_all_pairs_alike(spark):
+    """Crowds of texts about the line between alike and not: the families of all pairs of a crowd, long texts and short ones, as from brute force."""
+    rng = random.Random(15)
+    words = lambda n: [rng.choice("bcdfghjklmnprstvw") + rng.choice("aeiou") + rng.choice("lmnrst") for _ in range(n)]
+    texts = ["", " ", "\n"]
+    for n, edits in ((90, 2), (300, 6), (60, 1), (124, 2)):
+        base = words(n)
+        for _ in range(70):
+            copy = list(base)
+            for _ in range(rng.randint(1, edits)):
+                copy[rng.randrange(n)] = words(1)[0] * 2
+            texts.append(" ".join(copy[rng.randrange(3) :]))
+    rows = list(enumerate(dict.fromkeys(texts)))
+    fps = [simhash.fingerprint_of(t, 2) & (2**64 - 1) for _, t in rows]
+    sketches = [set(simhash.shingle_sketch(t)) for _, t in rows]
+
+    def families(pairs):
+        root = list(range(len(rows)))
+        for a, b in pairs:
+            a, b = sorted((root[a], root[b]))
+            root = [a if x == b else x for x in root] if a != b else root
+        return root
+
+    pairs = [(i, j) for j in range(len(rows)) for i in range(j)]
+    group = families([(i, j) for i, j in pairs if (fps[i] ^ fps[j]).bit_count() <= 9])
+
+    def alike(a, b):
+        least = set(sorted(a | b)[:128])
+        return not least or len(a & b & least) / len(least) >= 0.8
+
+    expected = sorted(set(families([(i, j) for i, j in pairs if group[i] == group[j] and alike(sketches[i], sketches[j])])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.representatives(docs).collect()) == expected
