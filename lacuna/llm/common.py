@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import threading
 from collections.abc import Iterator
 
@@ -48,6 +49,14 @@ def pieces(batch: pa.RecordBatch, column: str, limit: int = 6_000_000) -> Iterat
         at = to
 
 
+def give_back() -> None:
+    """Hands what is free in this Python worker back to the system; workers live on from stage to stage, and keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim:
+        trim(0)
+
+
 class _Made(threading.local):
     """The folders that this thread has written: jobs that run at once in one driver don't see each other's."""
 

@@ -29,8 +29,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lacuna.llm.common import give_back
 from lacuna.llm.common import pieces as slices
 
+SLICE = 500_000  # bytes of text segmented at once; some 150 bytes of memory each
+BLOCK = 250_000  # bytes of distinct units whose arcs are summed at once; some 250 bytes of memory each
 SCALE = 1000.0  # per byte: keeps sums of weights within range between two scalings
 RESCALE = 16
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -169,6 +172,20 @@ def lattice(v: Vocabulary, data: np.ndarray, offsets: np.ndarray) -> Lattice:
     return Lattice(cuts, first, ids, size, total - np.append(0.0, total)[first[end]])
 
 
+def lattice_by_blocks(v: Vocabulary, data: np.ndarray, offsets: np.ndarray) -> Lattice:
+    """The same lattice, made from blocks of whole units: what the sums take on the way is bounded, however long the texts are."""
+    parts, cuts, first, a, arcs = [], [], [np.zeros(1, np.int64)], 0, 0
+    while a < len(offsets) - 1:
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + BLOCK, side="right")) - 1)
+        part = lattice(v, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        cuts.append(part.cuts + offsets[a])
+        first.append(part.first[1:-1] + arcs)
+        parts.append(part)
+        a, arcs = b, arcs + len(part.ids)
+    first.append(np.array([arcs]))
+    return Lattice(np.concatenate(cuts), np.concatenate(first), *(np.concatenate([x[i] for x in parts]) for i in (2, 3, 4)))
+
+
 def segment(v: Vocabulary, texts: pa.Array, seeds: np.ndarray) -> pa.ListArray:
     """The sampled pieces' ids of each text."""
     spaced = pc.if_else(pc.equal(pc.binary_length(texts), 0), "", pc.binary_join_element_wise(" ", texts, "")).cast(pa.large_binary())
@@ -192,7 +209,7 @@ def segment(v: Vocabulary, texts: pa.Array, seeds: np.ndarray) -> pa.ListArray:
         offsets = np.frombuffer(distinct.buffers()[1], np.int64)[distinct.offset : distinct.offset + len(distinct) + 1]
         own = np.frombuffer(distinct.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
         offsets = offsets - offsets[0]
-        net = lattice(v, own, offsets)
+        net = lattice_by_blocks(v, own, offsets)
         # every unit's stretches between cuts are walked back from their ends, all in step
         kind = units.indices.to_numpy().astype(np.int64)
         first = np.searchsorted(net.cuts, offsets)
@@ -237,6 +254,18 @@ def joined(v: Vocabulary, lists: pa.ListArray) -> pa.Array:
     return pa.array([raw[a:b].decode("utf-8", "replace") for a, b in zip(starts.tolist(), bounds[1:].tolist(), strict=True)], pa.string())
 
 
+def encoded_rows(v: Vocabulary, batches: Iterator[pa.RecordBatch], decoded: bool) -> Iterator[pa.RecordBatch]:
+    """The batches' columns but ``__seed``, with ``__ids`` and, if asked for, ``__decoded``, by slices of the rows."""
+    give_back()  # what other stages left in this worker
+    for whole in batches:
+        for b in slices(whole, "__text", SLICE):
+            ids = segment(v, b["__text"], b["__seed"].to_numpy().view(np.uint64))
+            more = {"__ids": ids} | ({"__decoded": joined(v, ids)} if decoded else {})
+            names = [c for c in b.schema.names if c != "__seed"]
+            yield pa.RecordBatch.from_arrays([*(b[c] for c in names), *more.values()], names=[*names, *more])
+        give_back()
+
+
 def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", seed: int = 0, exponent: float = 1.0, keep: tuple[str, ...] = (), decoded: bool = False) -> DataFrame:
     """``key, text, ids``, with ``decoded`` the text made of the ids again, and the columns ``keep``: one row for each input row. ``vocabulary`` is a file that every worker has. Narrow."""
     kinds = dict(docs.dtypes)
@@ -244,12 +273,7 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
     own = docs.select(F.col(id_col).alias("__key"), key.alias("__seed"), *keep, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = load(vocabulary, exponent)
-        for whole in batches:
-            for b in slices(whole, "__text", 1_500_000):
-                ids = segment(v, b["__text"], b["__seed"].to_numpy().view(np.uint64))
-                more = {"__ids": ids} | ({"__decoded": joined(v, ids)} if decoded else {})
-                yield pa.RecordBatch.from_arrays([*(b[c] for c in b.schema.names if c != "__seed"), *more.values()], names=[*(c for c in b.schema.names if c != "__seed"), *more])
+        yield from encoded_rows(load(vocabulary, exponent), batches, decoded)
 
     schema = ", ".join([f"__key {kinds[id_col]}", *(f"`{c}` {kinds[c]}" for c in keep), "__text string", "__ids array<int>", *(["__decoded string"] if decoded else [])])
     return own.mapInArrow(run, schema).select(F.col("__key").alias("key"), F.col("__text").alias("text"), F.col("__ids").alias("ids"), *([F.col("__decoded").alias("decoded")] if decoded else []), *(c for c in keep if c not in ("key", "text", "ids")))

@@ -290,6 +290,27 @@ def test_redaction_of_rows(spark, edge):
 TRICKY = ["Hello world", " a  b\n\nc\t", "", "▁lit ▁", "été ñandú 中文 😀 x", "x" * 200, "\n", "  ", "é", "<s> </s> <unk>", "  ", "a\u0000b"]
 
 
+def test_pieces_take_bounded_memory_however_large_the_batch():
+    """3 MB of texts, among them one of 0.6 MB; slices of 1.5 MB with one lattice took 320 MB."""
+    import tracemalloc
+
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 9)))
+    texts = [" ".join(word() for _ in range(n)) for n in [90_000] + [800] * 450]
+    v, seeds = pieces.load(VOCABULARY), np.arange(len(texts), dtype=np.int64)
+    batch = pa.RecordBatch.from_arrays([pa.array(seeds), pa.array(texts)], names=["__seed", "__text"])
+    tracemalloc.start()
+    peaks, ids = [], []
+    for b in pieces.encoded_rows(v, iter([batch]), True):
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.reset_peak()
+        assert b["__decoded"].equals(b["__text"])
+        ids.append(b["__ids"])
+    tracemalloc.stop()
+    assert max(peaks) < 110e6
+    assert [x for part in ids for x in part.to_pylist()] == [pieces.segment(v, pa.array([t]), seeds[i : i + 1].view(np.uint64)).to_pylist()[0] for i, t in enumerate(texts)]
+
+
 def test_pieces_are_lossless_and_keyed(spark, edge, empty):
     v = pieces.load(VOCABULARY)
     seeds = np.arange(len(TRICKY), dtype=np.uint64) * np.uint64(7919)
