@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from lacuna.llm.common import WHITE, WHITE_RE, keyed, words_of, written
 
 CLASSES = ("letters", "digits", "white", "points", "symbols", "others")
+#: Of the hashes of common words; few buckets hold more than two of 48 words.
+BUCKETS = 128
 
 
 def repeated_words(words: Column) -> Column:
@@ -38,8 +40,10 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     df = df.withColumn("n_words", F.size("words"))
     # hashes of 2, 4, then 8 words in a row: each from the one before and itself moved on; what runs over the end is cut off
     moved = lambda c, k: F.zip_with(c, F.slice(c, k + 1, F.greatest(n, F.lit(1))), lambda a, b: F.xxhash64(a, b))
-    df = df.withColumn("twos", moved("words", 1)).withColumn("fours", moved("twos", 2)).withColumn("eights", moved("fours", 4))
-    df = df.withColumn("windows", F.when(n >= 9, F.slice("eights", F.lit(1), n - 7)).otherwise(F.array().cast("array<bigint>")))
+    df = df.withColumn("twos", moved("words", 1)).withColumn("fours", moved("twos", 2))
+    # a window found twice starts with four words found twice; most texts have none, and no hashes of eight words are made
+    df = df.withColumn("eights", F.when((n >= 9) & (F.size(F.array_distinct("fours")) < n), moved("fours", 4)))
+    df = df.withColumn("windows", F.when(F.col("eights").isNotNull(), F.slice("eights", F.lit(1), n - 7)).otherwise(F.array().cast("array<bigint>")))
     left = lambda pattern: F.length(F.regexp_replace("rest", pattern, ""))
     df = df.withColumns({"n_rest": F.length("rest"), "no_white": left(WHITE_RE), "digits": F.length("rest") - left("[0-9]+"), "points": F.length("rest") - left(r"[.,;:!?'\"()-]+"), "n_symbols": F.length("rest") - left(r"[#*$%&|<>]+"), "repeats": F.size(F.array_distinct("windows")) < F.size("windows")})
     df = df.withColumns({"letters": F.col("n_chars") - F.col("n_rest"), "white": F.col("n_rest") - F.col("no_white"), "symbols": F.col("n_symbols")})
@@ -59,7 +63,7 @@ def word_references(docs: DataFrame, text_col: str = "text", lang_col: str = "la
     df = keyed(docs, lang_col, text_col, F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang")).select("lang", words_of(F.col("text")).alias("words"))
     each = df.select("lang", F.explode_outer("words").alias("word")).where("word is not null")
     counted = each.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
-    sums = df.groupBy("lang").agg(F.sum(F.size("words")).alias("total"))
+    sums = counted.groupBy("lang").agg(F.sum("n").alias("total"))  # a language without words has no reference, and no text to compare
     # ranked by slices of the words first: no language meets whole in one task
     sliced = Window.partitionBy("lang", F.pmod(F.hash("word"), F.lit(64))).orderBy(F.desc("n"), "word")
     best = counted.withColumn("rank", F.row_number().over(sliced)).where(F.col("rank") <= n_common)
@@ -69,6 +73,15 @@ def word_references(docs: DataFrame, text_col: str = "text", lang_col: str = "la
     return words.withColumn("ref_other", F.lit(1.0) - F.aggregate("ref_shares", F.lit(0.0), lambda a, x: a + x))
 
 
+def bucket_of(word: Column) -> Column:
+    return F.pmod(F.hash(word), F.lit(BUCKETS))
+
+
+def bucketed(refs: DataFrame) -> DataFrame:
+    """refs and ``ref_buckets``: the words of each bucket, so that a word meets one bucket and not the whole list."""
+    return refs.withColumn("ref_buckets", F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda k: F.filter("ref_words", lambda w: bucket_of(w) == k)))
+
+
 def class_references(counts: DataFrame) -> DataFrame:
     """``lang, ref_classes``: each language's shares of CLASSES."""
     sums = counts.groupBy("lang").agg(*(F.sum(c).cast("double").alias(c) for c in CLASSES))
@@ -94,8 +107,8 @@ def distance(pairs: Column) -> Column:
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", n_common: int = 48, min_words: int = 50, max_chars: float = 0.2, max_words: float = 0.42) -> DataFrame:
     """One row for each input row: the base counts, ``base_failed``, ``kept``, ``char_distance`` and ``word_distance`` (null below ``min_words``)."""
     n = F.col("n_words")
-    df = joined(features(docs, id_col, text_col, lang_col), written(word_references(docs, text_col, lang_col, n_common), "references"))
-    df = df.withColumn("common", F.when(n >= min_words, F.filter("words", lambda w: F.array_contains("ref_words", w))))
+    df = joined(features(docs, id_col, text_col, lang_col), written(bucketed(word_references(docs, text_col, lang_col, n_common)), "references"))
+    df = df.withColumn("common", F.when(n >= min_words, F.filter("words", lambda w: F.array_contains(F.col("ref_buckets")[bucket_of(w)], w))))
     seen = F.transform("ref_words", lambda w: (F.size("common") - F.size(F.array_remove("common", w))) / n)
     shares = F.zip_with(seen, "ref_shares", lambda p, q: F.struct(p.alias("p"), q.alias("q")))
     rest = F.array(F.struct((F.lit(1.0) - F.size("common") / n).alias("p"), F.greatest("ref_other", F.lit(0.0)).alias("q")))

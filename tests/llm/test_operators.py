@@ -143,6 +143,20 @@ def test_divergent_texts_go_and_short_ones_stay(spark):
     assert pairs["d"] == pytest.approx(1.0)
 
 
+def test_common_words_meet_one_bucket_and_windows_at_the_end_count(spark):
+    passage = "one two three four five six seven eight"
+    rows = [(1, f"{passage} nine ten {passage}", "en"), (2, f"one two three four x {passage}", "en"), (3, " ".join(f"w{i % 70}" for i in range(60)), "de"), (4, " \n", "fr")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    refs = {r["lang"]: r for r in quality_rules.bucketed(quality_rules.word_references(df)).collect()}
+    assert set(refs) == {"en", "de"} and len(refs["de"]["ref_words"]) == 48
+    for r in refs.values():
+        assert sorted(w for b in r["ref_buckets"] for w in b) == sorted(r["ref_words"]) and len(r["ref_buckets"]) == quality_rules.BUCKETS
+        assert max(map(len, r["ref_buckets"])) <= 4
+    got = {r["doc_id"]: r for r in quality_rules.judge(df).collect()}
+    assert {i: r["n_repeat_words"] for i, r in got.items()} == {1: 16, 2: 0, 3: 0, 4: 0}
+    assert got[3]["word_distance"] == pytest.approx(0.0, abs=1e-6) and got[4]["word_distance"] is None
+
+
 def test_words_of_every_length_are_references(spark):
     long = [f"allgemeinheit{i}" for i in range(40)]
     df = spark.createDataFrame([(i, " ".join(long * 2), "de") for i in range(4)] + [(9, " ".join(f"schrottwort{i}" for i in range(60)), "de")], "doc_id long, text string, lang string")
