@@ -132,10 +132,11 @@ def group_hits(hits: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def merge_intervals(spans: DataFrame, key: str = "doc_id") -> DataFrame:
     """``key, start, end``: touching or overlapping spans become one."""
-    reach, first, island = (free(spans, c) for c in ("__reach", "__first", "__island"))
+    reach, first, later, island = (free(spans, c) for c in ("__reach", "__first", "__later", "__island"))
     own = running(spans.select(key, "start", "end"), key, ["start", "end"], {reach: ("max", F.col("end"))})
     begun = own.withColumn(first, F.when(F.col(reach).isNull() | (F.col("start") > F.col(reach)), F.col("start")))
-    numbered = running(begun, key, ["start", "end"], {island: ("max", F.col(first))}, inclusive=True)
+    # of equal spans the one that begins a union goes first, however they come here
+    numbered = running(begun.withColumn(later, F.col(first).isNull()), key, ["start", "end", later], {island: ("max", F.col(first))}, inclusive=True)
     return numbered.groupBy(key, island).agg(F.min("start").alias("start"), F.max("end").alias("end")).drop(island)
 
 
