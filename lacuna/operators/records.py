@@ -104,41 +104,53 @@ def stem(name: Column) -> Column:
     return F.regexp_replace(name, MARK, "")
 
 
-def _grams(name: Column, size: int) -> Column:
-    """The distinct substrings of a name of up to size characters, the empty one too."""
-    of = lambda n: F.when(F.length(name) >= n, F.transform(F.sequence(F.lit(1), F.length(name) - (n - 1)), lambda i: F.substring(name, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(F.array(F.lit("")), *(of(n) for n in range(1, size + 1))))
+def _parts(name: Column, sizes: list[int]) -> Column:
+    """The distinct substrings of a name of the given lengths."""
+    of = lambda n: F.when(F.length(name) >= n, F.transform(F.sequence(F.lit(1), F.length(name) - (n - 1)), lambda i: F.substring(name, i, F.lit(n))) if n else F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(F.array().cast("array<string>"), *(of(n) for n in sorted(sizes))))
+
+
+def _met(a: DataFrame, b: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """A join that broadcasts neither side: parts of names are like each other, so they are far larger than their files and shuffles tell."""
+    return a.join(b.hint("merge"), on, how)
+
+
+def _sizes(names: DataFrame, length: Column) -> list[int]:
+    """The lengths that occur, not more than a name is long."""
+    return [r[0] for r in names.select(length).distinct().collect()]
 
 
 def _within(short: DataFrame, a: str, wide: DataFrame, b: str) -> DataFrame:
-    """Pairs of rows of which the name ``a`` stands within the name ``b``, by equality: each ``b`` gives its substrings of the lengths that names ``a`` have. Only true pairs are ever made."""
-    sizes = [r[0] for r in short.select(F.length(a)).distinct().collect()]  # lengths of names
-    of = lambda n: F.when(F.length(b) >= n, F.transform(F.sequence(F.lit(1), F.length(b) - (n - 1)), lambda i: F.substring(b, i, F.lit(n))) if n else F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
-    parts = F.array_distinct(F.concat(F.array().cast("array<string>"), *(of(n) for n in sorted(sizes))))
-    return short.join(wide.withColumn("g", F.explode(parts)), F.col(a) == F.col("g")).drop("g")
+    """Pairs of which the name ``a`` stands within the name ``b``, by equality: each ``b`` gives its substrings of the lengths that names ``a`` have. Only true pairs are ever made."""
+    return _met(wide.withColumn(a, F.explode(_parts(F.col(b), _sizes(short, F.length(a))))), short, a)
 
 
 def _held(short: DataFrame, a: str, wide: DataFrame, b: str, size: int, many: int) -> DataFrame:
-    """Pairs of rows of which the name ``a`` stands within the name ``b``: they meet by that substring of ``a`` of up to
+    """``a, b``: pairs of distinct names of which ``a`` stands within ``b``: they meet by that substring of ``a`` of up to
     ``size`` characters that the fewest names ``b`` have. Names of which even that stands in more than ``many`` names, so that
     they would meet as a product, are sought whole."""
-    held = wide.withColumn("g", F.explode(_grams(F.col(b), size)))
-    counts = held.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
     n = F.least(F.length(a), F.lit(size))
+    held = wide.withColumn("g", F.explode(_parts(F.col(b), _sizes(short, n))))
+    counts = held.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
     own = F.transform(F.sequence(F.lit(1), F.greatest(F.length(a) - n + 1, F.lit(1))), lambda i: F.substring(F.col(a), i, n))
-    each = short.select(a, F.explode(F.array_distinct(own)).alias("g")).distinct()
-    rarest = each.join(counts, "g", "left").groupBy(a).agg(F.min_by(F.struct("g", F.coalesce("n", F.lit(0)).alias("n")), F.struct(F.coalesce("n", F.lit(0)), "g")).alias("x")).select(a, "x.g", "x.n")
-    few = short.join(rarest.where(F.col("n") <= many).drop("n"), a).join(held, "g").where(F.contains(b, a)).drop("g")
-    return few.unionByName(_within(short.join(rarest.where(F.col("n") > many).select(a), a), a, wide, b))
+    each = short.select(a, F.explode(F.array_distinct(own)).alias("g"))
+    rarest = _met(each, counts, "g", "left").groupBy(a).agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g")).alias("x")).select(a, "x.g", "x.n")
+    few = _met(held, rarest.where(F.col("n").between(1, many)).drop("n"), "g").where(F.contains(b, a))
+    return few.select(a, b).unionByName(_within(rarest.where(F.col("n") > many).select(a), a, wide, b).select(a, b))
 
 
 def match_records(files: DataFrame, records: DataFrame, size: int = 3, many: int = 1000) -> DataFrame:
-    """``file_name, id, record_name, n_matches`` for every file: active records whose bare name holds the file's, or is held by it."""
+    """``file_name, id, record_name, n_matches`` for every file: active records whose bare name holds the file's, or is held by it.
+
+    Distinct bare names are matched, then their files and records join the pairs.
+    """
     f = files.select("file_name", stem(F.col("file_name")).alias("f")).where("f is not null").distinct()
     r = records.where(F.col("status") == "active").select("id", F.col("file_name").alias("record_name"), stem(F.col("file_name")).alias("r")).where("r is not null").distinct()
-    pairs = _held(r, "r", f, "f", size, many).select("file_name", "id", "record_name").unionByName(_held(f, "f", r, "r", size, many).select("file_name", "id", "record_name")).distinct()
+    of_files, of_records = f.select("f").distinct(), r.select("r").distinct()
+    pairs = _held(of_records, "r", of_files, "f", size, many).unionByName(_held(of_files, "f", of_records, "r", size, many)).distinct()
+    rows = _met(_met(pairs, f, "f"), r, "r").select("file_name", "id", "record_name")
     n = F.count("id").over(Window.partitionBy("file_name"))
-    return files.select("file_name").distinct().join(pairs, "file_name", "left").withColumn("n_matches", n)
+    return _met(files.select("file_name").distinct(), rows, "file_name", "left").withColumn("n_matches", n)
 
 
 def build_audit(df: DataFrame, action: str, id_col: str = "file_id", hash_col: str = "file_hash", n_col: str = "n_matches", run: str | None = None) -> DataFrame:

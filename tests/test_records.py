@@ -28,6 +28,16 @@ def test_a_common_stem_makes_no_product(spark):
     assert (got["n"], got["most"]) == (n, 1)
 
 
+def test_no_parts_of_names_are_broadcast(spark):
+    f = spark.range(300).select(F.format_string("contract %d.txt", "id").alias("file_name"))
+    r = spark.range(3000).select(F.col("id"), F.format_string("contract %d_脱敏.txt", F.col("id") % 1500).alias("file_name"), F.lit("active").alias("status"))
+    plan = records.match_records(f, r)._jdf.queryExecution()
+    n, shown = plan.toRdd().count(), plan.executedPlan().toString()
+    starts = lambda a, b: a.startswith(b) or b.startswith(a)
+    want = sum(starts(str(k), str(i % 1500)) for k in range(300) for i in range(3000))
+    assert n == want and "Join" in shown and "Broadcast" not in shown
+
+
 def test_repeated_jobs_change_nothing_and_updates_touch_their_buckets(spark, tmp_path):
     path = str(tmp_path / "records")
     df = spark.createDataFrame([(i, f"text {i}", f"f{i}.txt", "txt", b"d", b"s", b"v", "red") for i in range(400)], "doc_id long, text string, file_name string, format string, data binary, salt binary, iv binary, redacted_text string")
