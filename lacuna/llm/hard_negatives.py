@@ -39,6 +39,8 @@ from lacuna.sources.documents import shared_folder
 #: Stands for a null id: after all others.
 LAST = np.iinfo(np.int64).max
 STEP = 512
+#: So many candidates at least are merged into a task's results at once.
+MERGE = 200_000
 #: A search over this share of the rows gives the floors.
 SHARE = 16
 RESULT = "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long"
@@ -107,21 +109,31 @@ class Walk:
         self.query, self.id, self.score = (np.zeros(0, np.int64) for _ in range(3))
         self.least = asked.low.copy()  # of each query: what a row must reach to enter
         own, self.length = unit(asked.vectors)
-        self.asking, self.first = np.unique(asked.owner, return_index=True)
+        self.buffer, self.held = [], 0  # candidates not yet merged, and their number
+        asking, first, n = np.unique(asked.owner, return_index=True, return_counts=True)
+        self.least = np.append(self.least, np.inf)  # of no query
+        self.high = np.append(asked.high, -np.inf)
+        k = np.arange(n.max(initial=0))
+        queries = np.where(k < n[:, None], first[:, None] + k, len(asked.owner))
         self.clusters = []
-        for c in np.unique(asked.cluster[self.asking]):
-            members = self.asking[asked.cluster[self.asking] == c]
+        of = asked.cluster[asking]
+        for c in np.unique(of):
+            members = asking[of == c]
             centre = unit(own[members].sum(axis=0, keepdims=True))[0][0]
             radius = np.arccos(np.clip(own[members] @ centre, -1, 1)).max()
-            self.clusters.append((members, centre, radius))
-
-    def need(self, members: np.ndarray) -> np.ndarray:
-        """Of each member: the least score that matters to any of its queries."""
-        return np.minimum.reduceat(self.least, self.first)[np.searchsorted(self.asking, members)]
+            self.clusters.append((members, centre, radius, queries[of == c]))
 
     def keep(self, query: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
-        """Takes candidates in; each query keeps its n best."""
-        query, ids, score = (np.concatenate(x) for x in ((self.query, query), (self.id, ids), (self.score, score)))
+        """Takes candidates in; they are merged when they are as many as the results, so that each is sorted a few times only."""
+        self.buffer.append((query, ids, score))
+        self.held += len(query)
+        if self.held >= max(MERGE, len(self.query)):
+            self.merge()
+
+    def merge(self) -> None:
+        """Each query keeps its n best."""
+        query, ids, score = (np.concatenate(x) for x in zip((self.query, self.id, self.score), *self.buffer))
+        self.buffer, self.held = [], 0
         order = np.lexsort((ids, -score, query))
         query, ids, score = query[order], ids[order], score[order]
         rank = np.arange(len(query)) - np.searchsorted(query, query)
@@ -131,29 +143,41 @@ class Walk:
 
     def batch(self, ids: np.ndarray, labels: np.ndarray, vectors: np.ndarray) -> None:
         own, length = unit(vectors)
-        for members, centre, radius in self.clusters:
+        for members, centre, radius, queries in self.clusters:
             angle = np.arccos(np.clip(own @ centre, -1, 1))
             bound = length * np.cos(np.maximum(angle - radius, 0)) * (1 + 1e-9) + 1e-6
             order = np.argsort(-bound, kind="stable")  # the list that all members share
             for at in range(0, len(order), STEP):
-                live = members[self.length[members] * bound[order[at]] + 1e-6 >= self.need(members)]
-                if not len(live):
+                live = self.length[members] * bound[order[at]] + 1e-6 >= self.least[queries].min(axis=1)
+                if not live.any():
                     break  # certified: nothing below can matter to any member
                 rows = order[at : at + STEP]
-                self.step(live, ids[rows], labels[rows], vectors[rows])
+                self.step(members[live], queries[live], ids[rows], labels[rows], vectors[rows])
 
-    def step(self, live: np.ndarray, ids: np.ndarray, labels: np.ndarray, vectors: np.ndarray) -> None:
-        a = self.asked
-        score = np.rint(a.vectors[live] @ vectors.T).astype(np.int64)
+    def step(self, live: np.ndarray, queries: np.ndarray, ids: np.ndarray, labels: np.ndarray, vectors: np.ndarray) -> None:
+        a, n = self.asked, self.asked.n
+        score = np.rint(a.vectors[live] @ vectors.T)
         equal = a.labels[live][:, None] == labels
         fits = equal & (a.ids[live][:, None] != ids) if a.same else ~equal
-        first, last = np.searchsorted(a.owner, live), np.searchsorted(a.owner, live, side="right")
-        for k in range(int((last - first).max(initial=0))):  # the anchors' k-th queries
-            has = np.nonzero(last - first > k)[0]
-            q = first[has] + k
-            i, j = np.nonzero(fits[has] & (score[has] >= self.least[q][:, None]) & (score[has] <= a.high[q][:, None]))
-            if len(i):
-                self.keep(q[i], ids[j], score[has[i], j])
+        # what matters to any of an anchor's queries, few places once there are floors
+        fits &= (score >= self.least[queries].min(axis=1)[:, None]) & (score <= self.high[queries].max(axis=1)[:, None])
+        i, j = np.nonzero(fits)
+        s = score[i, j]
+        for k in range(queries.shape[1]):  # the anchors' k-th queries
+            q = queries[i, k]
+            good = (s >= self.least[q]) & (s <= self.high[q])
+            u, v, w = i[good], j[good], s[good]
+            many = np.bincount(u, minlength=len(live)) >= n
+            if many.any():  # their n best places alone, and those equal to the last
+                own = np.full(score.shape, -np.inf)
+                own[u, v] = w
+                floor = np.partition(own[many], len(ids) - n, axis=1)[:, len(ids) - n]
+                mine = queries[many, k]
+                self.least[mine] = np.maximum(self.least[mine], floor)
+                good = w >= self.least[queries[u, k]]
+                u, v, w = u[good], v[good], w[good]
+            if len(u):
+                self.keep(queries[u, k], ids[v], w.astype(np.int64))
 
 
 def search(rows: DataFrame, asked: Broadcast, width: int) -> DataFrame:
@@ -164,6 +188,7 @@ def search(rows: DataFrame, asked: Broadcast, width: int) -> DataFrame:
         for b in batches:
             ids = pc.fill_null(b["id"], int(LAST)).to_numpy()
             w.batch(ids, b["label"].to_numpy(), matrix(b["v"], width))
+        w.merge()
         yield pa.RecordBatch.from_arrays([pa.array(w.query, pa.int32()), pa.array(w.id, pa.int64()), pa.array(w.score, pa.int64())], names=["query", "id", "score"])
 
     return rows.mapInArrow(walk, FOUND)

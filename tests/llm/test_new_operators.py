@@ -278,3 +278,25 @@ def test_a_template_meets_a_text_once(spark):
     assert all(r["contaminated"] and r["item_ids"] == [0] for r in rows)
     members = decontaminate.item_classes(items).groupBy("class_id").count().collect()
     assert {(r["class_id"], r["count"]) for r in members} == {(0, 400), (500, 1)}
+
+
+def test_candidates_are_sorted_a_few_times_only(monkeypatch):
+    """A task with many queries doesn't sort all of its results for each step of each list."""
+    h, rng = hard_negatives, np.random.default_rng(5)
+    rows, labels, ids = rng.integers(-40, 40, (6000, 6)).astype(float), rng.integers(0, 3, 6000), np.arange(6000)
+    anchors, calls, lexsort = np.arange(0, 6000, 30), [], np.lexsort
+    owner = np.repeat(np.arange(len(anchors)), rng.integers(0, 4, len(anchors)))
+    low, high = rng.integers(-2000, 500, len(owner)).astype(float), rng.integers(600, 4000, len(owner)).astype(float)
+    asked = h.Asked(anchors, labels[anchors], rows[anchors], h.clustered(rows[anchors], 16), owner, low, high, 4, False)
+    monkeypatch.setattr(np, "lexsort", lambda keys: calls.append(1) or lexsort(keys))
+    w = h.Walk(asked)
+    for at in range(0, 6000, 1000):
+        w.batch(ids[at : at + 1000], labels[at : at + 1000], rows[at : at + 1000])
+    w.keep(np.zeros(0, int), np.zeros(0, int), np.zeros(0, int))
+    getattr(w, "merge", lambda: None)()
+    got, want = sorted(zip(w.query.tolist(), (-w.score).tolist(), w.id.tolist())), []
+    for q, a in enumerate(owner):
+        score = (rows @ rows[anchors[a]]).astype(int)
+        fits = (labels != labels[anchors[a]]) & (score >= low[q]) & (score <= high[q])
+        want += [(q, -s, i) for s, i in sorted(zip((-score[fits]).tolist(), ids[fits].tolist()))[:4] for s in [-s]]
+    assert got == sorted(want) and len(calls) <= 5
